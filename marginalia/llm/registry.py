@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe
+from marginalia.llm import bpe, langid, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_langid": langid.op3_langid,
     "op5_bpe": bpe.op5_bpe,
+    "op8_secrets": secrets.op8_secrets,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
