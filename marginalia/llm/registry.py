@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, langid, secrets, toxicity
+from marginalia.llm import bpe, langid, minhash, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": minhash.op1_minhash,
     "op3_langid": langid.op3_langid,
     "op5_bpe": bpe.op5_bpe,
     "op8_secrets": secrets.op8_secrets,

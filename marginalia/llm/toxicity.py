@@ -72,7 +72,7 @@ class Model:
         return float(self.weights[x].sum()) + self.bias
 
 
-def fit(rows: list[tuple[int, np.ndarray, list[np.ndarray]]], least: int = 5, noise: float = 4.0, l2: float = 1e-4, swap_weight: float = 1.0, steps: int = 200) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, list[np.ndarray]]], least: int = 5, noise: float = 3.0, l2: float = 1e-4, swap_weight: float = 1.0, steps: int = 200) -> Model:
     """Fit on label, features and the features of the swapped copies.
 
     First an L1 fit by accelerated proximal gradient over features of equal variance:
