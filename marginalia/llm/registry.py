@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, langid, minhash, secrets, toxicity
+from marginalia.llm import bpe, decontaminate, langid, licenses, minhash, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
     "op3_langid": langid.op3_langid,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_bpe": bpe.op5_bpe,
+    "op6_simhash": simhash.op6_simhash,
+    "op7_licenses": licenses.op7_licenses,
     "op8_secrets": secrets.op8_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
 }
