@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, decontaminate, langid, licenses, minhash, secrets, simhash, toxicity
+from marginalia.llm import bpe, decontaminate, html, langid, licenses, minhash, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_warc": warc.op2_warc,
     "op3_langid": langid.op3_langid,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_bpe": bpe.op5_bpe,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licenses": licenses.op7_licenses,
     "op8_secrets": secrets.op8_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_html": html.op10_html,
 }
 
 ORACLES: dict[str, str] = {}
