@@ -81,7 +81,7 @@ def _phrase(index: DataFrame, phrase: tuple[str, ...]) -> DataFrame:
         return index.where(F.col("term") == phrase[0]).select("doc_id").distinct()
     starts = None
     for k, term in enumerate(phrase):
-        at = index.where(F.col("term") == term).select("doc_id", "weight", F.transform("positions", lambda p, k=k: p - k).alias(f"p{k}"))
+        at = index.where(F.col("term") == term).select("doc_id", "weight", F.expr(f"transform(positions, p -> p - {k})").alias(f"p{k}"))
         starts = at if starts is None else starts.join(at, ["doc_id", "weight"])
     meet = reduce(F.array_intersect, [F.col(f"p{k}") for k in range(len(phrase))])
     return starts.where(F.size(meet) > 0).select("doc_id").distinct()

@@ -199,7 +199,7 @@ def _(spark, d):
     return T.span_lists(spark, d).select("id", spans.jaccard(F.col("spans"), lines).alias("j"))
 
 
-@query("span_covers", f"""WITH x AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY line) AS line, s, e, k FROM ({_SPANS})), w AS (SELECT * FROM x WHERE line = 1), l AS (SELECT * FROM x WHERE line > 1)
+@query("span_covers", f"""WITH x AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY line, s, e, k) AS line, s, e, k FROM ({_SPANS})), w AS (SELECT * FROM x WHERE line = 1), l AS (SELECT * FROM x WHERE line > 1)
 SELECT o.id, coalesce(bool_and(EXISTS (SELECT 1 FROM w WHERE w.id = l.id AND w.k = l.k AND w.s <= l.s AND w.e >= l.e)) FILTER (l.id IS NOT NULL), true) AS covered FROM (SELECT DISTINCT id FROM x) o LEFT JOIN l ON o.id = l.id GROUP BY o.id""")
 def _(spark, d):
     s = F.col("spans")
@@ -217,7 +217,7 @@ def _(spark, d):
 _BODY = "SELECT o_orderkey AS id, repeat('word ' || o_orderstatus || ' & more <of> it ', 8) AS body FROM orders"
 
 
-@query("speech_stats", f"""WITH x AS ({_SPANS}), b AS ({_BODY}), h AS (SELECT x.id, string_agg(substr(body, s + 1, e - s), ' ' ORDER BY s, line) AS t FROM x JOIN b USING (id) WHERE k = 'highlight' GROUP BY x.id),
+@query("speech_stats", f"""WITH x AS ({_SPANS}), b AS ({_BODY}), h AS (SELECT x.id, string_agg(substr(body, s + 1, e - s), ' ' ORDER BY s, line, e) AS t FROM x JOIN b USING (id) WHERE k = 'highlight' GROUP BY x.id),
 w AS (SELECT o.id, coalesce({_WORDS.format("coalesce(t, '')")}, 0) AS words FROM (SELECT DISTINCT id FROM x) o LEFT JOIN h USING (id))
 SELECT id, words::INTEGER AS words, (CASE WHEN words = 0 THEN 0 ELSE greatest(1, round_even(words * 60 / 270.0, 0)) END)::BIGINT AS seconds FROM w""")
 def _(spark, d):
