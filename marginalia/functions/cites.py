@@ -32,7 +32,7 @@ def cite_year(c: Column) -> Column:
 def parse_cite(cite: Column) -> Column:
     """A struct of cite_short, author, year, url, title, qualifications and raw."""
     raw = strip(F.coalesce(cite, F.lit("")))
-    plain = F.replace(raw, F.lit(" "), F.lit(" "))
+    plain = F.replace(raw, F.lit("\u00a0"), F.lit(" "))
     matched = F.regexp_extract(plain, SHORT, 1)
     few = F.array_join(F.slice(F.filter(F.split(squeeze(plain), " "), lambda w: w != ""), 1, 4), " ")
     short = F.regexp_replace(squeeze(F.when(matched != "", matched).otherwise(few)), r"^[ ,;]+|[ ,;]+$", "")
