@@ -33,7 +33,7 @@ TRIE_WORDS, KEPT_WORDS, KEPT_PAIRS = 50_000, 400_000, 1_000_000
 
 # Fixed value: the public pre-tokenisation pattern of byte-level BPE vocabularies,
 # with white space as Unicode has it.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 

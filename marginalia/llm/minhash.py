@@ -17,8 +17,8 @@ With 36 bands of 8 rows a link of similarity 0.85 fails to be a candidate with a
 chance of about 1 in 100,000, one of 0.9 with 1 in 10**9.
 
 Edge cases: null and empty texts, and texts without words, have the empty set and are
-linked with nothing; each row is a document of its own, also if a doc_id is repeated;
-rows without doc_id have no component and aren't kept; an empty table gives an empty
+linked with nothing; a row whose doc_id stands in other rows too is placed by its own
+text; rows without doc_id have no component and aren't kept; an empty table gives an empty
 result; other columns of the input play no part.
 """
 
@@ -121,15 +121,17 @@ def signatures(docs: DataFrame, s: Setting, id_col: str = "doc_id", text_col: st
 
 
 def shingle_sets(docs: DataFrame, s: Setting, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, items array<long>``: the full set of each row."""
-    out = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int64()))])
+    """``doc_id, mark, items array<long>``: the full set of each row, and a hash of it."""
+    out = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches):
         shingler = _tables(s.samples, s.width)[2]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingler.shingles(t).view(np.int64) for t in b.column(1).to_pylist()], out.field(1).type)], schema=out)
+            sets = [shingler.shingles(t) for t in b.column(1).to_pylist()]
+            marks = [int(mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.int64()), pa.array([x.view(np.int64) for x in sets], out.field(2).type)], schema=out)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, mark long, items array<long>")
 
 
 def _pop(x: str, y: str, words: int):
@@ -150,11 +152,11 @@ def _confirm(stage: Stage, docs: DataFrame, pairs: DataFrame, s: Setting, name:
     pairs = stage.put(pairs, f"{name}-pairs")
     ids = stage.put(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = stage.put(shingle_sets(docs.join(wanted, docs[id_col] == ids["id"], "left_semi"), s, id_col, text_col).dropDuplicates(["doc_id"]), f"{name}-sets")
+    sets = stage.put(shingle_sets(docs.join(wanted, docs[id_col] == ids["id"], "left_semi"), s, id_col, text_col).dropDuplicates(["doc_id", "mark"]), f"{name}-sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("a_items", "b_items")))
     linked = both.where(100 * F.col("shared") >= s.percent * (F.size("a_items") + F.size("b_items") - F.col("shared")))
-    out = stage.put(linked.select("a", "b"), f"{name}-links")
+    out = stage.put(linked.select("a", "b").distinct(), f"{name}-links")
     stage.drop(f"{name}-sets")
     return out
 

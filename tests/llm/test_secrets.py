@@ -1,0 +1,71 @@
+"""Secret spans against plain regular expressions, checksums, redaction."""
+
+import hashlib
+import random
+import re
+import zlib
+
+from marginalia.llm import secrets as S
+from tests.llm.fixtures import collected, documents, nothing
+
+
+def base_spans(text):
+    out = []
+    for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", text):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_base_kinds_on_random_texts():
+    rng = random.Random(3)
+    parts = ["password", "PASSWD", "secret", "token", "api_key", "apiKey", "API", "AKIA", "akia", '"', "'", ":", "=", " ", "abcdef", "a1b2c3d4", "0123456789abcdef", "ABCDEFGH", "12345678", "é", "🙂", "ſecret", "\n", "-", "K"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        got = [(a, o, b, k) for a, o, b, _, k in S.find(text) if k in S.BASE]
+        assert got == base_spans(text), text
+
+
+def digits62(n):
+    out = ""
+    for _ in range(6):
+        n, d = divmod(n, 62)
+        out = S.DIGITS62[d] + out
+    return out
+
+
+def test_checksums_decide():
+    body = "abcdefghijKLMNOPQRST0123456789"
+    good = "ghp_" + body + digits62(zlib.crc32(body.encode()))
+    bad = good[:-1] + ("A" if good[-1] != "A" else "B")
+    assert [s[4] for s in S.find(f"x {good} y")] == ["github"]
+    assert S.find(f"x {bad} y") == []
+    assert [s[4] for s in S.find("npm_" + good[4:])] == ["npm"]
+    assert [s[4] for s in S.find("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.abcdefghijklmnop0123")] == ["jwt"]
+    assert S.find("eyJub3RoaW5nIjoxfQ00.eyJzdWIiOiIxMjM0In0.abcdefghijklmnop0123") == []
+
+
+def test_redaction_keeps_the_rest():
+    text = 'é token = "0123456789abcdef0123456789" and password: hunter22 🙂'
+    out = S.redact_text(text)
+    assert out == 'é token = "[secret]" and password: [secret] 🙂'
+    assert S.redact_text("nothing here") == "nothing here" and S.redact_text(None) is None and S.redact_text("") == ""
+
+
+def test_query_columns(spark):
+    df = documents(spark, extra=True)
+    out = collected(S.digest(S.scan(df)))
+    assert len(out) == df.count()
+    assert all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["spans"] == "" for r in out)
+    one = spark.createDataFrame([(1, "é token=abcdef"), (1, "é token=abcdef")], "doc_id long, text string")
+    got = collected(S.digest(S.scan(one)))
+    assert [r["spans"] for r in got] == ["assign:2:14"] * 2 and got[0]["n_assign"] == 1
+    assert got[0]["base_sha256"] == hashlib.sha256(b"assign:2:14").hexdigest()
+
+
+def test_columns_survive_redaction(spark):
+    df = documents(spark, extra=True)
+    assert S.redact(df).columns == df.columns and S.redact(df).count() == df.count()
+    assert S.digest(S.scan(nothing(spark))).count() == 0
