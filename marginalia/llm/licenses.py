@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import table
+from marginalia.llm.common import Stage, table
 
 K = 3
 # Phrases of the contract.
@@ -55,7 +55,7 @@ NEIGHBOUR = 2
 
 def words_of(text: Column) -> Column:
     """The words.  Two letters whose lower case is ASCII are first put into others that stay words."""
-    plain = F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("å")), F.lit("İ"), F.lit("å")))
+    plain = F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00e5")), F.lit("\u0130"), F.lit("\u00e5")))
     return F.array_remove(F.split(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
@@ -84,6 +84,7 @@ def spans(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str]
     grams = words.select("doc_id", "mark", F.posexplode(gram_hashes(F.col("words"))).alias("pos", "hash"))
     hits = grams.join(F.broadcast(told), "hash")
     voted = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy("doc_id", "mark", "template", "label", "is_base", "size", "diagonal").agg(F.collect_set("at").alias("ats"))
+    voted = Stage(spark, "licenses").put(voted, "voted")  # few rows, from one pass over the texts
     whole = F.size("ats") == F.col("size") - (K - 1)
     exact = voted.where(F.col("is_base") & whole).select("doc_id", "mark", "label", "is_base", F.col("diagonal").alias("first_word"), F.col("size").alias("n_words"), F.lit(1.0).alias("score"))
     line = Window.partitionBy("doc_id", "mark", "template").orderBy("diagonal")
