@@ -92,22 +92,51 @@ def with_next(docs: DataFrame) -> DataFrame:
     return led.select("doc_id", "mark", "text", "grp", "nth", F.col("nxt.doc_id").alias("next_id"), F.col("nxt.mark").alias("next_mark"), F.col("nxt.text").alias("next_text"))
 
 
-def near_pairs(prints: DataFrame, radius: int = 3, spare: int = 1) -> DataFrame:
-    """Pairs ``a, b, distance`` of distinct fingerprints (hi, lo) within ``radius``: ``a`` and ``b`` are their texts.
+def block_keys(prints: DataFrame, radius: int, spare: int) -> DataFrame:
+    """``prints`` with ``key``, once for each permuted table: each table keys on ``spare`` of ``radius + spare`` blocks.
 
-    ``radius + spare`` blocks; each table keys on ``spare`` of them.
+    Two fingerprints within the radius differ in at most ``radius`` blocks, so the other
+    ``spare`` agree and the pair meets in that table.
     """
     n = radius + spare
     cuts = [128 * k // n for k in range(n + 1)]
-    distinct = prints.select("hi", "lo").distinct().withColumn("bits", F.concat(F.lpad(F.bin("hi"), 64, "0"), F.lpad(F.bin("lo"), 64, "0")))
-    keys = [F.xxhash64(F.lit(k), *(F.substring("bits", cuts[c] + 1, cuts[c + 1] - cuts[c]) for c in chosen)) for k, chosen in enumerate(combinations(range(n), spare))]
-    tables = distinct.select("hi", "lo", F.explode(F.array(*keys)).alias("key"))
+    bits = F.concat(F.lpad(F.bin("hi"), 64, "0"), F.lpad(F.bin("lo"), 64, "0"))
+    keys = [F.xxhash64(F.lit(k), *(F.substring("_bits", cuts[c] + 1, cuts[c + 1] - cuts[c]) for c in chosen)) for k, chosen in enumerate(combinations(range(n), spare))]
+    return prints.withColumn("_bits", bits).withColumn("key", F.explode(F.array(*keys))).drop("_bits")
+
+
+def near_pairs(prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
+    """Pairs ``a, b, distance`` of distinct fingerprints (hi, lo) within ``radius``, as their texts."""
+    tables = block_keys(prints.select("hi", "lo").distinct(), radius, spare)
     left, right = (tables.select("key", *(F.col(c).alias(f"{c}{s}") for c in ("hi", "lo"))) for s in "12")
     d = apart(F.col("hi1"), F.col("lo1"), F.col("hi2"), F.col("lo2"))
     met = left.join(right, "key").where("hi1 < hi2 or (hi1 = hi2 and lo1 < lo2)").withColumn("distance", d).where(F.col("distance") <= radius)
     return met.select(as_text(F.col("hi1"), F.col("lo1")).alias("a"), as_text(F.col("hi2"), F.col("lo2")).alias("b"), "distance").distinct()
 
 
+def neighbours(queries: DataFrame, prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
+    """``hi, lo, n``: for each distinct fingerprint of ``queries`` the sum of ``m`` over ``prints`` (hi, lo, m) within ``radius``, itself included."""
+    asked = block_keys(queries.select("hi", "lo").distinct(), radius, spare).select("key", F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"))
+    base = block_keys(prints.select("hi", "lo", "m"), radius, spare)
+    near = asked.join(base, "key").where(apart(F.col("q_hi"), F.col("q_lo"), F.col("hi"), F.col("lo")) <= radius)
+    once = near.select("q_hi", "q_lo", "hi", "lo", "m").distinct()  # a pair can meet in several tables
+    return once.groupBy("q_hi", "q_lo").agg(F.sum("m").alias("n")).select(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo"), "n")
+
+
+def with_neighbours(out: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
+    """``out`` with ``n_near``: how many other rows have a fingerprint within ``radius``, for rows whose doc_id is divisible by ``every``; else null.
+
+    Equal fingerprints count as one with a multiplicity, so a group of copies isn't expanded.
+    """
+    halves = [F.conv(F.substring("fingerprint", p, 16), 16, -10).cast("long") for p in (1, 17)]
+    out = Stage(out.sparkSession, "neighbours").put(out.withColumn("_hi", halves[0]).withColumn("_lo", halves[1]), "rows")
+    prints = out.groupBy(F.col("_hi").alias("hi"), F.col("_lo").alias("lo")).agg(F.count("*").alias("m"))
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    found = neighbours(out.where(asks).select(F.col("_hi").alias("hi"), F.col("_lo").alias("lo")), prints, radius)
+    joined = out.withColumn("_asks", asks).join(found, asks & (F.col("_hi") == F.col("hi")) & (F.col("_lo") == F.col("lo")), "left")
+    return joined.withColumn("n_near", F.when(F.col("_asks"), F.col("n") - 1)).drop("_hi", "_lo", "_asks", "hi", "lo", "n")
+
+
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's fingerprint, that of its edited text, and their likeness to it and to the next row's."""
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -130,4 +159,4 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_edited(table(spark, sf_dir, "documents"))
+    return with_neighbours(compare_edited(table(spark, sf_dir, "documents")))
