@@ -111,10 +111,13 @@ def breadcrumb(path: Column) -> Column:
     return F.array_join(path, " › ")
 
 
-# Named rounds of a tournament.
+# Named rounds of a tournament; sort number and rest of a name, and the two forms of a round.
 ROUNDS = ("Finals", "Semifinals", "Semis", "Quarterfinals", "Quarters", "Octofinals", "Octos", "Doubles", "Triples", "Elims", "RR", "Round-Robin")
 
 
+REST, NUMBERED, NAMED = r"(?s)^(\d{1,3})\.?(?:---|--|-)(.+)$", r"^(.+?)-Round-(\d+)$", rf"(?i)^(.+?)-({'|'.join(ROUNDS)})$"
+
+
 def disclosure_name(name: Column) -> Column:
     """A struct of school, team, side, tournament, round_name and sort_prefix; null if the name doesn't fit.
 
@@ -124,13 +127,12 @@ def disclosure_name(name: Column) -> Column:
     stem = F.regexp_replace(name, r"\.docx$", "")
     parts = F.split(stem, "-", 4)
     rest = parts[3]
-    numbered = F.regexp_extract(rest, r"(?s)^(\d{1,3})\.?(?:---|--|-)(.+)$", 1)
-    body = F.when(numbered != "", F.regexp_extract(rest, r"(?s)^(\d{1,3})\.?(?:---|--|-)(.+)$", 2)).otherwise(rest)
-    numeric, named = r"^(.+?)-Round-(\d+)$", rf"(?i)^(.+?)-({'|'.join(ROUNDS)})$"
-    is_number, is_name = body.rlike(numeric), body.rlike(named)
+    numbered = F.regexp_extract(rest, REST, 1)
+    body = F.when(numbered != "", F.regexp_extract(rest, REST, 2)).otherwise(rest)
+    is_number, is_name = body.rlike(NUMBERED), body.rlike(NAMED)
     spaced = lambda c: F.nullif(strip(F.replace(c, F.lit("-"), F.lit(" "))), F.lit(""))
-    tournament = F.when(is_number, F.regexp_extract(body, numeric, 1)).when(is_name, F.regexp_extract(body, named, 1)).otherwise(body)
-    round_name = F.when(is_number, F.concat(F.lit("Round "), F.regexp_extract(body, numeric, 2))).when(is_name, F.regexp_extract(body, named, 2))
+    tournament = F.when(is_number, F.regexp_extract(body, NUMBERED, 1)).when(is_name, F.regexp_extract(body, NAMED, 1)).otherwise(body)
+    round_name = F.when(is_number, F.concat(F.lit("Round "), F.regexp_extract(body, NUMBERED, 2))).when(is_name, F.regexp_extract(body, NAMED, 2))
     fits = (F.size(parts) == 4) & parts[2].isin("Aff", "Neg")
     return F.when(
         fits,
@@ -144,7 +146,7 @@ STOP_WORDS = "a an the and or of for to in on at is are was were be been being t
 
 def content_words(c: Column) -> Column:
     """Distinct lower-case words of more than two letters that aren't stop words."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z][A-Za-z'\-]+"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NAME_WORD), F.lit(0))
     kept = F.filter(F.transform(found, F.lower), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
     return F.array_distinct(kept)
 
@@ -159,6 +161,12 @@ def within_unit(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+# Marks of tags that a parser made, and the shape of a short cite.
+BRACKETED, COUNTED, ENDED = r"^\s*\[[^\]]{0,4}\]\s", r"^\s*\d{1,2}[.)\-]\s", "[.?!”\"]\\z"
+AUTHOR_YEAR = r"^[A-Z][A-Za-z'\-]+(\s+(et al\.?|and\s+[A-Z][A-Za-z'\-]+))?,?\s*'?\d{2,4}"
+NAME_WORD = r"[A-Za-z][A-Za-z'\-]+"
+
+
 def tag_quality(tag: Column, source_file: Column) -> Column:
     """How much a tag looks like a written claim, from 0 to 1."""
     n = word_count(tag)
@@ -169,12 +177,12 @@ def tag_quality(tag: Column, source_file: Column) -> Column:
     score = (
         F.lit(0.5)
         + bonus(F.contains(tag, F.lit("---")), -0.4)
-        + bonus(tag.rlike(r"^\s*\[[^\]]{0,4}\]\s"), -0.25)
-        + bonus(tag.rlike(r"^\s*\d{1,2}[.)\-]\s"), -0.15)
+        + bonus(tag.rlike(BRACKETED), -0.25)
+        + bonus(tag.rlike(COUNTED), -0.15)
         + bonus((F.coalesce(source_file, F.lit("")) != "") & (strip(tag) == stem), -0.3)
         + length
         + bonus(tag.rlike(r"^\p{Lu}"), 0.05)
-        + bonus(tag.rlike("[.?!”\"]\\z"), 0.05)
+        + bonus(tag.rlike(ENDED), 0.05)
         + bonus(caps >= 2, -0.15)
     )
     return F.when(F.coalesce(tag, F.lit("")) == "", 0.0).otherwise(within_unit(score))
@@ -183,11 +191,11 @@ def tag_quality(tag: Column, source_file: Column) -> Column:
 def cite_quality(cite: Column, year: Column) -> Column:
     """How much a short cite looks like author and year, from 0 to 1."""
     c = strip(cite)
-    shape = c.rlike(r"^[A-Z][A-Za-z'\-]+(\s+(et al\.?|and\s+[A-Z][A-Za-z'\-]+))?,?\s*'?\d{2,4}")
+    shape = c.rlike(AUTHOR_YEAR)
     edge = lambda y: F.concat(F.lit(r"(^|[^A-Za-z0-9_])"), y, F.lit(r"([^A-Za-z0-9_]|$)"))
     short = F.lpad((year % 100).cast("string"), 2, "0")
     agrees = F.coalesce(F.regexp_like(c, edge(short)) | F.regexp_like(c, edge(year.cast("string"))), F.lit(False))
-    names = F.size(F.regexp_extract_all(c, F.lit(r"[A-Za-z][A-Za-z'\-]+"), F.lit(0)))
+    names = F.size(F.regexp_extract_all(c, F.lit(NAME_WORD), F.lit(0)))
     bonus = lambda when, x: F.when(when, F.lit(x)).otherwise(0.0)
     score = F.lit(0.5) + F.when(shape, 0.3).otherwise(-0.1) + bonus(~c.rlike(r"\d"), -0.2) + bonus(agrees, 0.1) + bonus(names >= 3, 0.07) + bonus(F.length(c) > 60, -0.15) + bonus(F.length(c) < 4, -0.2)
     return F.when(F.coalesce(cite, F.lit("")) == "", 0.0).otherwise(within_unit(score))

@@ -11,19 +11,18 @@ from pyspark.sql import functions as F
 from marginalia.functions import spans as S
 
 
-def number_from(rows: DataFrame, top: int, order: list[str], id_col: str) -> DataFrame:
-    """New ids after ``top`` in the given order.
+def number_from(rows: DataFrame, top: int, order: list[str], id_col: str, prefix: int = 3) -> DataFrame:
+    """New ids after ``top`` in the given order, the first column of which is a string.
 
-    The order is kept without one global sort task: rows are sorted by range, counted
-    by partition, and numbered within.
+    Strings sort by their first characters first, so rows are numbered within each
+    prefix, and a prefix starts after the rows of all smaller ones: only the counts by
+    prefix meet in one task.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    if dealt.rdd.getNumPartitions() == 1:
-        return rows.withColumn(id_col, F.lit(top) + F.row_number().over(Window.orderBy(*order)))
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_before")
-    nth = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return dealt.withColumn("_nth", nth).join(F.broadcast(before), "_p").withColumn(id_col, F.lit(top) + F.col("_before") + F.col("_nth")).drop("_p", "_nth", "_before")
+    part = rows.withColumn("_pre", F.substring(F.coalesce(F.col(order[0]), F.lit("")), 1, prefix)).withColumn("_null", F.col(order[0]).isNotNull())
+    counts = part.groupBy("_null", "_pre").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_null", "_pre")) - F.col("_n")).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("_null", "_pre").orderBy(*order))
+    return part.withColumn("_nth", nth).join(before, ["_null", "_pre"]).withColumn(id_col, F.lit(top) + F.col("_before") + F.col("_nth")).drop("_null", "_pre", "_nth", "_before")
 
 
 def get_or_create(old: DataFrame, wanted: DataFrame, keys: list[str], id_col: str) -> DataFrame:

@@ -104,26 +104,26 @@ def apply_plan(cards: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("canonical_card_id", new).drop("_l", "_w", "_win")
 
 
-def flatten_chains(cards: DataFrame, put: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, most_rounds: int = 40) -> DataFrame:
+def flatten_chains(cards: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """``card_id, canonical_card_id`` with every pointer at the end of its chain, by pointer jumping.
 
-    A card whose chain runs into a cycle points at the cycle's smallest card, which is visible.
+    Each round doubles the length of the chain that is covered, so log2 of the number of
+    cards is enough; without cycles the rounds end when nothing moves.  A card whose chain
+    runs into a cycle points at the smallest card seen on it, which is visible.  ``put``
+    stores a round's table where all executors see it and returns it read back.
     """
-    now = cards.select("card_id", F.col("canonical_card_id").alias("to"), F.col("canonical_card_id").alias("least"))
-    now = put(now, "chain-0")
-    for k in range(1, most_rounds + 1):
+    now = put(cards.select("card_id", F.col("canonical_card_id").alias("to"), F.col("canonical_card_id").alias("least")), "chain-0")
+    for k in range(1, max(1, now.count()).bit_length() + 2):
         nxt = now.select(F.col("card_id").alias("c"), F.col("to").alias("t2"), F.col("least").alias("l2"))
         step = now.join(nxt, F.col("to") == F.col("c"), "left")
-        moved = step.select("card_id", F.coalesce("t2", "to").alias("to"), F.least("least", "l2", "t2").alias("least"), (F.col("t2").isNotNull()).alias("moved"))
-        again = put(moved, f"chain-{k}")
-        now = again.drop("moved")
-        if not again.where("moved").limit(1).count() or 2**k > 2**20:
+        moved = put(step.select("card_id", F.coalesce("t2", "to").alias("to"), F.least("least", "l2").alias("least"), F.col("t2").isNotNull().alias("moved")), f"chain-{k}")
+        now = moved.drop("moved")
+        if moved.where("moved").isEmpty():
             break
-        if k >= 12 and again.where("moved and to <> card_id").isEmpty():
-            break
-    ends = now.where("to is null").select(F.col("card_id").alias("e"))
-    out = now.join(ends, F.col("to") == F.col("e"), "left")
-    cyclic = F.col("to").isNotNull() & F.col("e").isNull()
+    # a pointer that still leads on after all rounds is on a cycle
+    on = now.select(F.col("card_id").alias("e"), F.col("to").isNotNull().alias("leads_on"))
+    out = now.join(on, F.col("to") == F.col("e"), "left")
+    cyclic = F.coalesce("leads_on", F.lit(False))
     return out.select("card_id", F.when(~cyclic, F.col("to")).when(F.col("least") < F.col("card_id"), F.col("least")).alias("canonical_card_id"))
 
 
