@@ -80,10 +80,14 @@ def limit_batch(events: DataFrame, windows: tuple[Window, ...], key_col: str, ts
     return dealt.mapInPandas(run, "id long, key string, ts double, allowed boolean, retry double")
 
 
-def limit_stream(events: DataFrame, windows: tuple[Window, ...], key_col: str, ts_col: str, id_col: str, idle: float = 60.0) -> DataFrame:
-    """The same over a stream; state of a key goes when its longest window and ``idle`` seconds have passed."""
-    seconds = (F.unix_micros(F.col(ts_col).cast("timestamp")) / 1_000_000).alias("ts")
-    rows = events.select(F.col(id_col).cast("long").alias("id"), F.col(key_col).cast("string").alias("key"), seconds)
+def limit_stream(events: DataFrame, windows: tuple[Window, ...], key_col: str, ts_col: str, id_col: str, late: str = "10 minutes", idle: float = 60.0) -> DataFrame:
+    """The same over a stream, in event time; events more than ``late`` behind the newest are left out.
+
+    The state of a key is its let-through times within the longest window; it goes when
+    the watermark has passed the last event by that window and ``idle`` seconds.
+    """
+    ts = F.col(ts_col).cast("timestamp")
+    rows = events.select(F.col(id_col).cast("long").alias("id"), F.col(key_col).cast("string").alias("key"), (F.unix_micros(ts) / 1_000_000).alias("ts"), ts.alias("at")).withWatermark("at", late)
     longest = max(w.period for w in windows) + idle
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -92,9 +96,9 @@ def limit_stream(events: DataFrame, windows: tuple[Window, ...], key_col: str, t
             return
         log = Log(windows, list(state.get[0]) if state.exists else None)
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "id"])
-        out = [log.hit(ts) for ts in rows.ts]
+        out = [log.hit(t) for t in rows.ts]
         state.update(([list(map(float, q)) for q in log.kept],))
-        state.setTimeoutDuration(int(longest * 1000))
+        state.setTimeoutTimestamp(max(int((rows.ts.max() + longest) * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows.assign(allowed=[o[0] for o in out], retry=[float(o[1]) for o in out])[["id", "key", "ts", "allowed", "retry"]]
 
-    return rows.groupBy("key").applyInPandasWithState(step, "id long, key string, ts double, allowed boolean, retry double", "kept array<array<double>>", "append", "ProcessingTimeTimeout")
+    return rows.groupBy("key").applyInPandasWithState(step, "id long, key string, ts double, allowed boolean, retry double", "kept array<array<double>>", "append", "EventTimeTimeout")
