@@ -206,3 +206,11 @@ def test_reading_text(spark):
     rows = [("alpha beta gamma", [s(6, 10), s(0, 5), s(0, 16, "underline"), s(3, 3)]), ("alpha", [s(0, 2), s(2, 5)]), ("alpha", None)]
     got = evaluate(spark, rows, f"t string, m {spans.SPANS}", r=spans.reading_text(F.col("t"), F.col("m")), w=spans.reading_words(F.col("t"), F.col("m")))
     assert [tuple(r.values()) for r in got] == [("alpha beta", 2), ("al pha", 2), ("", 0)]
+
+
+@pytest.mark.parametrize("peer,head,want", [("1.1.1.1", "2.2.2.2", "1.1.1.1"), ("10.0.0.1", "2.2.2.2, 3.3.3.3", "2.2.2.2"), ("10.0.0.1", "", "10.0.0.1"), ("10.0.0.1", None, "10.0.0.1"), ("10.0.0.1", "junk", "10.0.0.1"), ("fd00::1", "::5", "::5"), ("junk", "2.2.2.2", "junk"), (None, "2.2.2.2", "0.0.0.0")])
+def test_client_ip(spark, peer, head, want):
+    from marginalia.functions.network import client_ip
+
+    got = evaluate(spark, [(peer, head)], "p string, h string", ip=client_ip(F.col("p"), F.col("h"), ["10.0.0.0/8", "fd00::/8", "nonsense"]))
+    assert got[0]["ip"] == want
