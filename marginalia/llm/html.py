@@ -36,6 +36,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 # Words in a class, id or role that name what isn't main text, or is.
 ASIDE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars side rail widget widgets footer foot header masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion social share sharing related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager tags copyright contentinfo complementary search hidden".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
+HEADS = frozenset("header masthead topbar".split())
 MAIN = frozenset("article main content post entry story body text".split())
 
 TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|$)|<[!?/][^>]*+(?:>|$)""", re.S)
@@ -45,7 +47,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "marks", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "marks", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds")
 
     def __init__(self, tag: str, parent: Node | None, marks: frozenset) -> None:
         self.tag, self.parent, self.marks = tag, parent, marks
@@ -121,19 +123,27 @@ def length(s: str) -> int:
     return len(s) - s.count(" ") - s.count("\n") - s.count("\t") - s.count("\r")
 
 
-def weigh(root: Node) -> list[Node]:
-    """Count characters and tags of every node; nodes in page order."""
+def walk(root: Node) -> list[Node]:
+    """The nodes of a subtree in page order."""
     order, todo = [], [root]
     while todo:
         n = todo.pop()
         order.append(n)
         todo += [k for k in reversed(n.kids) if isinstance(k, Node)]
+    return order
+
+
+def weigh(root: Node) -> list[Node]:
+    """Count characters and tags of every node; nodes in page order."""
+    order = walk(root)
     for n in reversed(order):
         n.chars = n.tags = n.link_chars = n.link_tags = 0
+        n.holds = {"article": 1, "main": 1, "h1": 2}.get(n.tag, 0)
         for k in n.kids:
             if isinstance(k, str):
                 n.chars += length(k)
             else:
+                n.holds |= k.holds
                 n.chars += k.chars
                 n.tags += k.tags + 1
                 n.link_chars += k.chars if k.tag == "a" else k.link_chars
@@ -146,27 +156,19 @@ def prune(root: Node) -> None:
     weigh(root)
     whole = root.chars or 1
 
-    def holds(n: Node) -> bool:
-        """A mark of its own words doesn't count on an element around most of the page, or its article."""
-        todo = [n]
-        while todo:
-            x = todo.pop()
-            if x.tag in ("article", "main", "h1"):
-                return True
-            todo += [k for k in x.kids if isinstance(k, Node)]
-        return n.chars > 0.7 * whole
-
     todo = [(root, False)]
     while todo:
         n, within = todo.pop()
         kept = []
         for k in n.kids:
             if isinstance(k, Node):
-                if k.tag in GONE or "!hidden" in k.marks or k.tag == "header" and not within and not holds(k):
-                    kept.append(" ")
-                    continue
                 named = k.marks & ASIDE
-                if named and k.tag not in ("html", "body", "main") and (not k.marks & MAIN or named & {"comment", "comments"}) and not holds(k):
+                if named and k.marks & MAIN and not named & COMMENTS:
+                    named = frozenset()  # as in "content-header"
+                top = not within and (k.tag == "header" or named & HEADS)
+                frame = 1 if top or named & COMMENTS else 3  # what an element around the text holds
+                inner = k.tag == "header" or named <= HEADS  # a header inside the article holds its title
+                if k.tag in GONE or "!hidden" in k.marks or k.tag not in ("html", "body", "main") and (top or named and not (within and inner)) and not (k.holds & frame or k.chars > 0.95 * whole):
                     kept.append(" ")
                     continue
                 todo.append((k, within or k.tag in ("article", "main")))
@@ -193,20 +195,36 @@ def main_node(root: Node) -> Node:
     body = next((n for n in order if n.tag == "body"), root)
     inside = weigh(body)
     densities(inside, body)
-    best = max(inside, key=lambda n: n.total)
+    # an article that holds a tenth of the text is where to look
+    frames = [n for n in inside if n.tag in ("article", "main") and 10 * n.chars >= body.chars > 0]
+    pool = set(frames)
+    for n in inside:  # parents come before their children
+        if n.parent in pool:
+            pool.add(n)
+    best = max([n for n in inside if n in pool] or inside, key=lambda n: n.total)
     path, up = [], best
     while up is not None and up is not body.parent:
         path.append(up)
         up = up.parent
     threshold = min(n.density for n in path)
-    for n in path[1:]:  # an article around the node is its frame
-        if n.tag in ("article", "main") or n.tag not in ("body", "html") and n.marks & {"article", "post", "story", "entry"}:
+    articles, mains = [n for n in path if n.tag == "article"], [n for n in path if n.tag == "main"]
+    if articles or mains:  # the page says where its text is; headings between the two belong to it
+        best = articles[-1] if articles else mains[-1]
+        inside = path[path.index(best) + 1 : path.index(mains[-1]) + 1] if articles and mains and mains[-1] in path[path.index(best) :] else []
+        for n in inside:
+            heads = [k for k in n.kids if isinstance(k, Node) and k is not best and re.fullmatch("h[1-6]|header|hgroup", k.tag)]
+            if heads:
+                n.kids = [k for k in n.kids if k is best or k in heads]
+                best = n
+        return best
+    for n in path[1:]:
+        if n.tag not in ("body", "html") and n.marks & {"article", "post", "story", "entry"}:
             best = n
     for n in path[path.index(best) + 1 :]:
         # siblings that reach the threshold, and headings, belong to the text; lists of links don't
         others = [k for k in n.kids if isinstance(k, Node) and k is not best and k.chars]
         loose = sum(length(k) for k in n.kids if isinstance(k, str))
-        good = [k for k in others if re.fullmatch("h[1-6]|header|hgroup", k.tag) or k.density >= threshold and k.link_chars <= 0.3 * k.chars]
+        good = [k for k in others if re.fullmatch("h[1-6]|hgroup", k.tag) or k.density >= threshold and k.link_chars <= 0.3 * k.chars]
         if loose or not others or len(good) == len(others):
             best = n
         elif good:
@@ -221,6 +239,7 @@ def linked(n: Node) -> bool:
 
 
 def text_of(n: Node) -> str:
+    framed = n.tag in ("article", "main")
     out: list[str] = []
     todo: list[Node | str] = [n]
     while todo:
@@ -229,7 +248,7 @@ def text_of(n: Node) -> str:
             out.append(k)
         elif k.tag in INLINE:
             todo += reversed(k.kids)
-        elif k is n or not linked(k):
+        elif k is n or framed or not linked(k):
             out.append(" ")
             todo += [" ", *reversed(k.kids)]
         else:

@@ -24,12 +24,21 @@ MENU = "<ul>" + "".join(f"<li><a href=/{k}>Menu entry {k}</a>" for k in range(8)
         f"<body><script>var a = '<p>not text</p>';</script><style>p {{}}</style><div class='ad-banner'><p>Buy now</p></div><h1>Head</h1><div>{BODY}</div><!-- <p>no</p> --><noscript>no</noscript>",
         f"<BODY CLASS='has-sidebar'><DIV><H1>Head</H1>{BODY}</DIV><div style='display: none'>hidden words</div><ul class=comment-list><li>first comment<li>second comment</ul>",
         f"<body><div>{MENU}</div><div><h1>Head</h1>{BODY}</div><div>{MENU}</div>",
+        f"<body><header><h1>Site</h1>{MENU}</header><article><h1>Head</h1>{BODY}</article><section id=comments><h2>Comments</h2>{'<p>I like this text very much, thank you for it.</p>' * 60}</section>",
+        f"<body><div class='site-header'><h1>Site</h1></div><main><h1>Head</h1><article>{BODY}</article></main><div class=related><p>{'Another text to read now. ' * 9}</p></div>",
+        f"<body><div class=post><div class=post-header><h1>Head</h1></div>{BODY}<div class=share>Share this</div></div><div class=comments><p>{'So good. ' * 400}</p></div>",
+        f"<body><article><h1>Head</h1>{BODY}</article><div><h2>What readers say</h2>{'<p>A very long remark of some reader, who had much to say about all this.</p>' * 30}</div>",
+        f"<body><div class=header><h1>Site</h1></div><article class='post no-sidebar'><div class=header><h1>Head</h1></div>{BODY}<div class=notice>Accept our terms</div></article>",
     ],
 )
 def test_article_alone(page):
     assert H.main_text(page) == "Head " + TEXT
 
 
+def test_link_lists_of_an_article_stay():
+    assert H.main_text(f"<article><p>Read on:</p>{MENU}</article>") == "Read on: " + " ".join(f"Menu entry {k}" for k in range(8))
+
+
 def test_text_is_joined_as_it_is_read():
     page = "<article><h1>A&amp;B</h1><p>one\n  two<b>bold</b><br>three&nbsp;four &lt;tag&gt; &#x41;&am &amp</p>tail<div>in<span>line</span></div><li>x<li>y</article>"
     assert H.main_text(page) == "A&B one twobold three four <tag> A&am & tail inline x y"
@@ -43,6 +52,8 @@ def test_awkward_pages(page, text):
 def test_long_and_deep_pages():
     assert H.main_text("<article><p>" + "word " * 200_000 + "</article>") == ("word " * 200_000).strip()
     assert H.main_text("<div>" * 30_000 + "deep text" + "</div>" * 10) == "deep text"
+    assert H.main_text("<article class=header>" * 9_000 + "deep text") == "deep text"
+    assert H.main_text("<div class=menu>" * 9_000 + "x" + "</div>" * 9_000 + "<p>text</p>") == "text"
 
 
 def test_equals_the_article_on_given_pages(spark, sf_dir):
