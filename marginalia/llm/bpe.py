@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marginalia.llm.common import small_batches, table
 
 #: Words of one trie, words and pairs kept between batches; these bound memory only.
-TRIE_WORDS, KEPT_WORDS, KEPT_PAIRS = 50_000, 400_000, 1_000_000
+TRIE_WORDS, KEPT_WORDS, KEPT_PAIRS = 50_000, 600_000, 600_000
 
 # Fixed value: the public pre-tokenisation pattern of byte-level BPE vocabularies,
 # with white space as Unicode has it.
@@ -55,7 +55,10 @@ class TrieBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.longest = max(map(len, self.ids))
+        self.reach: dict[bytes, int] = {}  # the longest token that ends with four bytes
+        for b in self.ids:
+            if len(b) > 3 and self.reach.get(b[-4:], 0) < len(b):
+                self.reach[b[-4:]] = len(b)
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes}
         self.ranks: dict[tuple[int, int], int] = {}
         self.made_of: dict[int, tuple[int, int, int]] = {}
@@ -66,7 +69,8 @@ class TrieBPE:
             self.made_of.setdefault(self.ids[left + right], (self.ids[left], self.ids[right], rank))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES)
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.wide = max(self.bytes) + 1
+        self.stable: dict[int, bool] = {}  # by (last token + 1) * wide + token
         self.kept: dict[str, bytes] = {}
 
     def edge(self, token: int, right: bool) -> list[tuple[int, float]]:
@@ -88,7 +92,7 @@ class TrieBPE:
 
         Of equal ranks the leftmost merge comes first.  -1 stands for the word's start.
         """
-        key = (before, token)
+        key = (before + 1) * self.wide + token
         ok = self.stable.get(key)
         if ok is None:
             if len(self.stable) > KEPT_PAIRS:
@@ -111,7 +115,7 @@ class TrieBPE:
         node where it parts from the one before, and finds the states of the path to it.
         """
         found: dict[str, bytes] = {}
-        ids, longest, stable, fits, packed = self.ids.get, self.longest, self.stable, self.fits, self.packed
+        ids, reach, stable, fits, packed, wide = self.ids.get, self.reach.get, self.stable.get, self.fits, self.packed, self.wide
         last, back, prev = [-1], [0], b""  # last token, and the length before it, of each prefix on the path
         for word, text in sorted((t.encode("utf-8", "surrogatepass"), t) for t in words):
             n, shared = len(word), 0
@@ -123,10 +127,11 @@ class TrieBPE:
                     break
                 shared += 1
             for depth in range(shared + 1, n + 1):
-                for start in range(depth - longest if depth > longest else 0, depth):
+                least = depth - reach(word[depth - 4 : depth], 3) if depth > 3 else 0
+                for start in range(least if least > 0 else 0, depth):
                     token = ids(word[start:depth])
                     if token is not None:
-                        ok = stable.get((last[start], token))
+                        ok = stable((last[start] + 1) * wide + token)
                         if ok or ok is None and fits(last[start], token):
                             last[depth], back[depth] = token, start
                             break
