@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import identifier, url_normal
+from marginalia.functions.text import author_without_year, cleaned_cite, identifier, url_normal
 
 #: Shorter author names say too little.
 LEAST_AUTHOR = 3
@@ -29,6 +29,20 @@ def merge_plan(sources: DataFrame, cards: DataFrame) -> DataFrame:
     return ranked.where("members >= 2").select("norm_author", "year", "match_key", "source_id", "canonical_id", "n_cards", "rk", "members")
 
 
+def cleaned(sources: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``source_id, cite_short, author, reason`` of the sources whose short cite or author changes.
+
+    An override (source_id, new_cite, new_author) wins over the rules.
+    """
+    given = overrides.select(F.col("source_id").alias("_o"), "new_cite", "new_author")
+    out = sources.join(given, F.col("source_id") == F.col("_o"), "left")
+    manual = F.col("_o").isNotNull()
+    cite = F.when(manual, F.col("new_cite")).otherwise(cleaned_cite(F.col("cite_short")))
+    author = F.when(manual, F.col("new_author")).otherwise(author_without_year(cleaned_cite(F.coalesce("author", F.lit("")))))
+    changed = ~cite.eqNullSafe(F.col("cite_short")) | ~author.eqNullSafe(F.col("author"))
+    return out.where(changed).select("source_id", cite.alias("cite_short"), author.alias("author"), F.when(manual, "manual").otherwise("auto").alias("reason"))
+
+
 def merge_groups(plan: DataFrame) -> DataFrame:
     """A row for each group with the cards it would move, the largest first."""
     out = plan.groupBy("norm_author", "year", "match_key", "canonical_id").agg(F.count_if(F.col("rk") > 1).alias("losers"), F.sum(F.when(F.col("rk") > 1, F.col("n_cards")).otherwise(0)).alias("cards_repointed"))

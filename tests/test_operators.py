@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.spans import SPANS
 from marginalia.operators import changes as C
+from marginalia.operators import citations as CI
 from marginalia.operators import dedup as D
 from marginalia.operators import hierarchy as H
 from marginalia.operators import lists as L
@@ -321,6 +322,17 @@ def test_tags_by_keyword(spark):
     assert [r[0] for r in df.select(infer_tags(*(F.col(c) for c in df.columns), rules)).collect()] == [["a", "b", "da-defense"], ["da-defense"], []]
 
 
+def test_default_vocabulary(spark):
+    df = spark.createDataFrame([("Police abolition now", None, None, None, None), ("Justice reform", None, None, None, None)], "t string, h1 string, h2 string, h3 string, f string")
+    assert [r[0] for r in df.select(infer_tags(*(F.col(c) for c in df.columns))).collect()] == [["abolition", "police-abolition", "ice-abolition", "border"], ["border"]]  # inside words too
+
+
+def test_source_cleanup(spark):
+    src = spark.createDataFrame([(1, "Smith and Jones 22,", "Smith 22"), (2, "Lee 21", "Lee"), (3, "odd", "odd")], "source_id long, cite_short string, author string")
+    over = spark.createDataFrame([(3, "Park 20", "Park")], "source_id long, new_cite string, new_author string")
+    assert rows(CI.cleaned(src, over)) == [(1, "Smith & Jones 22", "Smith", "auto"), (3, "Park 20", "Park", "manual")]
+
+
 # Providers ------------------------------------------------------------------------------------
 
 
