@@ -48,7 +48,7 @@ class Setting:
 
     width: int = 5
     percent: int = 80
-    bands: int = 40
+    bands: int = 50
     rows: int = 7
     sample_bits: int = 512
     set_bits: int = 512  # at least; doubled up to 16 times for large sets
