@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marginalia.llm.common import small_batches, table
 
 #: Words of one trie, words and pairs kept between batches; these bound memory only.
-TRIE_WORDS, KEPT_WORDS, KEPT_PAIRS = 50_000, 600_000, 600_000
+TRIE_WORDS, KEPT_WORDS, KEPT_PAIRS = 50_000, 400_000, 400_000
 
 # Fixed value: the public pre-tokenisation pattern of byte-level BPE vocabularies,
 # with white space as Unicode has it.
@@ -182,6 +182,7 @@ def default_path() -> str:
 
 def _mapped(df: DataFrame, fn, out: pa.Schema, schema: str, path: str | None) -> DataFrame:
     def run(batches):
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
         bpe = tokenizer(path or default_path())
         for b in batches:
             if b.num_rows:

@@ -8,14 +8,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python.  Batches of texts stay a few MB on average.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 _SCRATCH: dict[str, list[str]] = {}
 
@@ -81,18 +79,6 @@ class Stage:
             pass
 
 
-def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """Apply ``fn`` (columns in, columns out, as Python lists) to each Arrow batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                out = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def bucket_of(column: str, n: int):
     """``crc32(column as text) mod n``, the fold rule of the contracts; -1 for null."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(-1)).cast("int")
