@@ -94,13 +94,27 @@ def _members(spark, d):
     return T.read(spark, d, "documents").where("doc_id < 400").select(F.col("doc_id").alias("card_id"), (F.col("doc_id") % 40).alias("cluster"), F.expr(_TAGTEXT).alias("tag"))
 
 
-@query("tag_token_jaccard_pairs", f"WITH {_MEMBERS}, t AS (SELECT card_id, cluster, {_CONTENT.format('tag')} AS w FROM mem) SELECT x.card_id AS a, y.card_id AS b, round({_JAC.format(a='x.w', b='y.w')}, 6)::DOUBLE AS j FROM t x JOIN t y ON x.cluster = y.cluster AND x.card_id < y.card_id")
-def _(spark, d):
-    w = _members(spark, d).withColumn("w", TX.content_words(F.col("tag")))
+def _all_members(spark, d):
+    """Every document with its whole text, in clusters of ten neighbouring ids: their number grows with the input, not their size."""
+    return T.read(spark, d, "documents").select(F.col("doc_id").alias("card_id"), F.floor(F.col("doc_id") / 10).alias("cluster"), F.col("text").alias("tag"))
+
+
+def _tag_pairs(members):
+    w = members.withColumn("w", TX.content_words(F.col("tag")))
     x, y = w.select("cluster", F.col("card_id").alias("a"), F.col("w").alias("wa")), w.select("cluster", F.col("card_id").alias("b"), F.col("w").alias("wb"))
     return x.join(y, "cluster").where("a < b").select("a", "b", F.round(TX.jaccard(F.col("wa"), F.col("wb")), 6).alias("j"))
 
 
+@query("tag_token_jaccard_pairs", f"WITH {_MEMBERS}, t AS (SELECT card_id, cluster, {_CONTENT.format('tag')} AS w FROM mem) SELECT x.card_id AS a, y.card_id AS b, round({_JAC.format(a='x.w', b='y.w')}, 6)::DOUBLE AS j FROM t x JOIN t y ON x.cluster = y.cluster AND x.card_id < y.card_id")
+def _(spark, d):
+    return _tag_pairs(_members(spark, d))
+
+
+@query("tag_token_jaccard_pairs_all", None)
+def _(spark, d):
+    return _tag_pairs(_all_members(spark, d))
+
+
 _SUB = f"""{_MEMBERS}, t AS (SELECT card_id, cluster, {_CONTENT.format('tag')} AS w FROM mem),
 pr AS (SELECT x.card_id AS a, y.card_id AS b FROM t x JOIN t y ON x.cluster = y.cluster AND x.card_id < y.card_id WHERE {_JAC.format(a='x.w', b='y.w')} >= 0.3), {_COMP},
 sub AS (SELECT m.cluster, m.card_id, coalesce(component, m.card_id) AS sub FROM mem m LEFT JOIN comp ON node = m.card_id)"""
@@ -111,12 +125,17 @@ def _(spark, d):
     return D.subclusters(_members(spark, d), putter(spark, "subclusters"))
 
 
+@query("subclusters_all", None)
+def _(spark, d):
+    return D.subclusters(_all_members(spark, d), putter(spark, "subclusters"))
+
+
 _SPANSQL = "(SELECT list({'s': (l_partkey % 100)::INTEGER, 'e': (l_partkey % 100 + l_quantity::INTEGER)::INTEGER, 'k': CASE WHEN l_returnflag = 'N' THEN 'underline' ELSE 'highlight' END}) FROM lineitem WHERE l_orderkey = card_id)"
 
 
-def _decided(spark, d):
-    sub = D.subclusters(_members(spark, d), putter(spark, "ladder"))
-    scored = _members(spark, d).withColumn("score", F.bround(0.4 + (F.col("card_id") * 37 % 23) / 100.0, 4)).drop("cluster")
+def _decided(spark, d, members=_members):
+    sub = D.subclusters(members(spark, d), putter(spark, "ladder"))
+    scored = members(spark, d).withColumn("score", F.bround(0.4 + (F.col("card_id") * 37 % 23) / 100.0, 4)).drop("cluster")
     marked = T.span_lists(spark, d).withColumnRenamed("id", "s_id")
     return D.decide(sub.join(scored, "card_id").join(marked, F.col("card_id") == F.col("s_id"), "left").withColumn("markup", SP.or_none(F.col("spans"))))
 
@@ -135,11 +154,21 @@ def _(spark, d):
     return _decided(spark, d).select("cluster", "sub", "size", "winner_id", F.round("winner_score", 4).alias("winner_score"), "winner_covers_all", "decision", "skip_reason")
 
 
+@query("decision_ladder_all", None)
+def _(spark, d):
+    return _decided(spark, d, _all_members).select("cluster", "sub", "size", "winner_id", F.round("winner_score", 4).alias("winner_score"), "winner_covers_all", "decision", "skip_reason")
+
+
 @query("dedup_summary", f"{_LADDER} SELECT count(DISTINCT cluster) AS coarse_clusters, count(*) AS sub_clusters, count(*) FILTER (size = 1) AS singletons, count(*) FILTER (skip_reason IS NULL) AS apply, count(*) FILTER (skip_reason IS NOT NULL) AS skip, coalesce(sum(size - 1) FILTER (skip_reason IS NULL), 0)::BIGINT AS cards_to_hide FROM dd")
 def _(spark, d):
     return D.summary(_decided(spark, d))
 
 
+@query("dedup_summary_all", None)
+def _(spark, d):
+    return D.summary(_decided(spark, d, _all_members))
+
+
 @query("canonical_pick", "SELECT source, doc_id AS winner FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
 def _(spark, d):
     best = T.read(spark, d, "documents").groupBy("source").agg(F.min(F.struct((-F.length("text")).alias("n"), "doc_id")).alias("x"))
