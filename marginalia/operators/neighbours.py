@@ -60,6 +60,59 @@ def top_k(rows: DataFrame, k: int = 8, threshold: float | None = None, id_col: s
     return out if threshold is None else out.where(F.col("distance") < threshold)
 
 
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Row and column of a spanning forest of the links that ``near`` marks between rows and columns."""
+    rows, cols = near.any(axis=1), np.ones(near.shape[1], bool)
+    out: list[tuple[int, int]] = []
+    for start in np.flatnonzero(rows):
+        todo = [start] if rows[start] else []
+        rows[start] = False
+        while todo:
+            r = todo.pop()
+            reached = np.flatnonzero(near[r] & cols)
+            cols[reached] = False
+            out += [(r, c) for c in reached]
+            for c in reached:
+                more = np.flatnonzero(near[:, c] & rows)
+                rows[more] = False
+                out += [(m, c) for m in more]
+                todo += more.tolist()
+    return out
+
+
+def linking_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``a, b``: pairs nearer than ``threshold`` that connect exactly the rows that all such pairs connect.
+
+    Every two different vectors are compared, block by block, and a pair of blocks gives
+    a spanning forest of its links, so a large group of near vectors isn't expanded.  Equal
+    vectors are one class: its smallest id is compared, and linked to its other ids.
+    """
+    kept = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    kept = kept.where((square > 0) & (square < float("inf")))  # others have no distance to any row
+    classes = kept.groupBy("v").agg(F.min("id").alias("id"))
+    base, n = _blocks(classes, "id", "v", block)
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = base.withColumn("other", every).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.block == pdf.i], pdf[pdf.block == pdf.j]
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        x, y = np.stack(a.v.to_numpy()), np.stack(b.v.to_numpy())
+        ids_a, ids_b = a.id.to_numpy(), b.id.to_numpy()
+        near = 1 - (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) < threshold
+        near[ids_a[:, None] == ids_b[None, :]] = False
+        found = _forest(near)
+        return pd.DataFrame({"a": [ids_a[r] for r, _ in found], "b": [ids_b[c] for _, c in found]}).astype("int64")
+
+    between = dealt.groupBy("i", "j").applyInPandas(links, "a long, b long")
+    if threshold <= 0:
+        return between
+    within = kept.join(classes.withColumnRenamed("id", "first"), "v").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return between.union(within)
+
+
 def nearest_to(rows: DataFrame, query: DataFrame, k: int = 8, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """``id, distance`` of the k rows nearest to the one row of ``query`` (id, q), itself left out; one pass, no shuffle of vectors."""
     near = rows.where(F.col(vector_col).isNotNull()).join(F.broadcast(query.limit(1).select(F.col("id").alias("_q"), F.col("q"))), F.col(id_col) != F.col("_q"))

@@ -67,7 +67,7 @@ _COMP = """bi AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), reach(n, m) AS
 
 @query("dup_clusters_knn", f"WITH RECURSIVE {_PAIRS}, {_COMP} SELECT node AS card_id, component AS cluster, count(*) OVER (PARTITION BY component) AS size FROM comp")
 def _(spark, d):
-    pairs = N.top_k(T.read(spark, d, "embeddings"), 600, 0.65, "vec_id").where("a < b").select("a", "b")
+    pairs = N.linking_pairs(T.read(spark, d, "embeddings"), 0.65, "vec_id")
     return D.clusters(pairs, putter(spark, "clusters"))
 
 

@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from marginalia.functions.text import STOP_WORDS
+from marginalia.operators import neighbours as N
 from marginalia.plans.catalog import CATALOG
 
 
@@ -59,3 +61,24 @@ def test_duplicate_queries_take_all_documents_and_whole_texts(spark, small):
     assert (total.coarse_clusters, total.sub_clusters, total.singletons) == (len({i // 10 for i in words}), len(sizes), sum(n == 1 for n in sizes.values()))
     applied = [r["size"] - 1 for r in decided if r["decision"] == "apply"]
     assert (total["apply"], total["cards_to_hide"]) == (len(applied), sum(applied))
+
+
+def test_clusters_keep_every_one_of_many_equal_vectors(spark, tmp_path):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(700)] + [(1000, [-3.0, 0.0, 1.0]), (1001, [-3.0, 0.1, 1.0]), (1002, [0.0, -1.0, 0.0]), (1003, [0.0, 0.0, 0.0]), (1004, [0.0, 0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.card_id: (r.cluster, r["size"]) for r in CATALOG["dup_clusters_knn"][0](spark, str(tmp_path)).collect()}
+    assert got == {i: (0, 700) for i in range(700)} | {1000: (1000, 2), 1001: (1000, 2)}
+
+
+def test_linking_pairs_connect_what_all_pairs_connect(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(150, 4)).round(3)
+    v[100:120] = v[7]
+    v[120:140] = v[8] + rng.normal(size=(20, 4)) * 0.01
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    d = 1 - v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1))
+    for threshold in (0.005, 0.03):
+        want = components((a, b) for a in range(150) for b in range(a) if d[a, b] < threshold)
+        for block in (17, 1000):
+            pairs = [(r.a, r.b) for r in N.linking_pairs(df, threshold, block=block).collect()]
+            assert components(pairs) == want and all(d[p] < threshold for p in pairs)
