@@ -9,6 +9,7 @@ map-side aggregation and never a row per bit.
 ``near_pairs`` finds all pairs of fingerprints within a Hamming radius by permuted
 block tables: the bits are cut into more blocks than the radius; of two fingerprints
 within it, some choice of blocks agrees, and the tables hold one key for each choice.
+``neighbours`` serves a wider radius: fewer, longer parts, of which one nearly agrees.
 
 Edge cases: null texts count as empty; texts without words have the fingerprint of
 zeros; a text of one word is one term; equal texts have equal fingerprints; rows that
@@ -27,6 +28,9 @@ from marginalia.llm.common import Stage, table
 
 #: Ids of one window group, and first ids of groups that a join may broadcast.
 GROUP_IDS, BROADCAST_IDS = 2048, 500_000
+#: Bits within which fingerprints count as near, and parts that they are cut into to find them.  At sf0.1 the pairs
+#: of different texts with five-word similarity 0.8 or more are 4 to 19 bits apart, unlike texts seldom under 40.
+RADIUS, PARTS = 20, 7
 HALF = 0x0000000100000001
 
 
@@ -114,16 +118,46 @@ def near_pairs(prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
     return met.select(as_text(F.col("hi1"), F.col("lo1")).alias("a"), as_text(F.col("hi2"), F.col("lo2")).alias("b"), "distance").distinct()
 
 
-def neighbours(queries: DataFrame, prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
-    """``hi, lo, n``: for each distinct fingerprint of ``queries`` the sum of ``m`` over ``prints`` (hi, lo, m) within ``radius``, itself included."""
-    asked = block_keys(queries.select("hi", "lo").distinct(), radius, spare).select("key", F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"))
-    base = block_keys(prints.select("hi", "lo", "m"), radius, spare)
-    near = asked.join(base, "key").where(apart(F.col("q_hi"), F.col("q_lo"), F.col("hi"), F.col("lo")) <= radius)
-    once = near.select("q_hi", "q_lo", "hi", "lo", "m").distinct()  # a pair can meet in several tables
-    return once.groupBy("q_hi", "q_lo").agg(F.sum("m").alias("n")).select(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo"), "n")
+def part(hi: Column, lo: Column, start: int, end: int) -> Column:
+    """Bits ``start`` to ``end`` of a fingerprint, counted from its lowest."""
+    if start >= 64:
+        bits = F.shiftrightunsigned(hi, start - 64)
+    else:
+        bits = F.shiftrightunsigned(lo, start)
+        bits = bits.bitwiseOR(F.shiftleft(hi, 64 - start)) if end > 64 else bits
+    return bits.bitwiseAND(F.lit((1 << end - start) - 1).cast("long"))
 
 
-def with_neighbours(out: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
+def neighbours(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+    """``hi, lo, n``: for each distinct fingerprint of ``queries`` the sum of ``m`` over ``prints`` (hi, lo, m) within ``radius``, itself included.
+
+    Two fingerprints within the radius differ in at most ``radius // parts`` bits of some
+    part.  The queries ask for every value that near to each of their parts, so ``prints``
+    stand once for each part only; a pair counts in the first part in which it meets.
+    """
+    cuts = [128 * k // parts for k in range(parts + 1)]
+    most = radius // parts
+    asked_keys, base_keys = [], []
+    for k, (start, end) in enumerate(zip(cuts, cuts[1:])):
+        flips = [sum(1 << i for i in chosen) for n in range(most + 1) for chosen in combinations(range(end - start), n)]
+        flips = F.expr(f"array({', '.join(f'{x}L' for x in flips)})")
+        named = lambda v, k=k: F.struct(F.lit(k).alias("part"), v.alias("value"))
+        own = part(F.col("hi"), F.col("lo"), start, end)
+        asked_keys.append(F.transform(flips, lambda x: named(own.bitwiseXOR(x))))  # noqa: B023
+        base_keys.append(named(own))
+    asked = queries.select("hi", "lo").distinct().select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), F.explode(F.concat(*asked_keys)).alias("_k"))
+    base = prints.select("hi", "lo", "m", F.explode(F.array(*base_keys)).alias("_k"))
+    asked, base = (df.select("*", "_k.part", "_k.value").drop("_k") for df in (asked, base))
+    hi, lo = F.col("q_hi").bitwiseXOR(F.col("hi")), F.col("q_lo").bitwiseXOR(F.col("lo"))
+    # the probes outgrow what the planner expects of a table this small, so none is broadcast
+    near = asked.hint("merge").join(base, ["part", "value"]).where(F.bit_count(hi) + F.bit_count(lo) <= radius)
+    first = F.lit(None).cast("int")
+    for k in reversed(range(parts)):
+        first = F.when(F.bit_count(part(hi, lo, cuts[k], cuts[k + 1])) <= most, F.lit(k)).otherwise(first)
+    return near.where(F.col("part") == first).groupBy("q_hi", "q_lo").agg(F.sum("m").alias("n")).select(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo"), "n")
+
+
+def with_neighbours(out: DataFrame, radius: int = RADIUS, every: int = 50) -> DataFrame:
     """``out`` with ``n_near``: how many other rows have a fingerprint within ``radius``, for rows whose doc_id is divisible by ``every``; else null.
 
     Equal fingerprints count as one with a multiplicity, so a group of copies isn't expanded.

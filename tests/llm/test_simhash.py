@@ -67,6 +67,29 @@ def test_neighbour_counts(spark):
     assert {r["doc_id"]: r["n_near"] for r in collected(H.with_neighbours(H.compare_edited(odd)))}[50] == 99
 
 
+def test_edited_copies_are_neighbours(spark):
+    words = prose(3, 150).split()
+    texts = {0: words} | {k: words[: 9 * k] + ["edited"] + words[9 * k + 1 :] for k in range(1, 9)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()] + [(50 + i, prose(90 + i, 150)) for i in range(20)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in collected(H.with_neighbours(H.compare_edited(df)))}
+    assert got[0] == 8 and got[50] == 0
+
+
+def test_neighbours_equal_all_pairs(spark):
+    rng = random.Random(8)
+    prints = [rng.getrandbits(128) for _ in range(30)]
+    prints += [p ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(1, 26))) for p in prints for _ in range(12)]
+    prints += [p ^ sum(1 << (k + s) % 128 for k in range(20)) for p in prints[:9] for s in (0, 50, 60, 120)]
+    weight = {p: rng.randrange(1, 9) for p in prints}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(p >> 64), signed(p & (1 << 64) - 1), m) for p, m in weight.items()], "hi long, lo long, m long")
+    for radius, parts in ((20, 7), (3, 5), (9, 4)):
+        want = {p: sum(m for q, m in weight.items() if (p ^ q).bit_count() <= radius) for p in prints[::3]}
+        asks = spark.createDataFrame([(signed(p >> 64), signed(p & (1 << 64) - 1)) for p in want], "hi long, lo long")
+        got = {(r["hi"] % (1 << 64)) << 64 | r["lo"] % (1 << 64): r["n"] for r in collected(H.neighbours(asks, df, radius, parts))}
+        assert got == want
+
+
 def test_awkward_rows(spark):
     df = documents(spark, extra=True)
     out = collected(H.compare_edited(df))
