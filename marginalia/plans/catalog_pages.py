@@ -98,6 +98,11 @@ def _(spark, d):
     return S.postings(docs, "doc_id", {"source": "A", "text": "B"}).drop("positions")
 
 
+@query("postings_all", f"WITH {_POST} SELECT doc_id, term, weight, tf, doc_len::INTEGER AS doc_len FROM p")
+def _(spark, d):
+    return S.postings(T.read(spark, d, "documents"), "doc_id", {"source": "A", "text": "B"}).drop("positions")
+
+
 # Topics: the five regions, the third is current.
 def _topics(spark, d):
     return T.read(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("slug"), (F.col("r_regionkey") == 2).alias("is_current"))

@@ -82,3 +82,9 @@ def test_linking_pairs_connect_what_all_pairs_connect(spark):
         for block in (17, 1000):
             pairs = [(r.a, r.b) for r in N.linking_pairs(df, threshold, block=block).collect()]
             assert components(pairs) == want and all(d[p] < threshold for p in pairs)
+
+
+def test_every_document_has_postings(spark, small):
+    d, docs = small
+    got = CATALOG["postings_all"][0](spark, d)
+    assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {i for i, _, _ in docs}
