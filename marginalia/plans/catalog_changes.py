@@ -188,6 +188,13 @@ def _(spark, d):
     return connected_components(edges, putter(spark, "components"))
 
 
+@query("components_all", None)
+def _(spark, d):
+    # orders as even nodes and parts as odd ones, which can't meet at any size
+    edges = T.read(spark, d, "lineitem").select((2 * F.col("l_orderkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b"))
+    return connected_components(edges, putter(spark, "components"))
+
+
 # Sources -------------------------------------------------------------------------------------
 
 _MERGEPLAN = r"""s AS (SELECT p_partkey AS source_id, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS norm_author, 1980 + p_size % 8 AS year, p_name AS author_full,
@@ -446,6 +453,11 @@ def _(spark, d):
     return limiter.limit_batch(T.read(spark, d, "events").where("user_id % 5 = 0"), (limiter.Window(3, 43200.0),), "user_id", "ts", "event_id").select("id", "key", "allowed")
 
 
+@query("sliding_limiter_all", None)
+def _(spark, d):
+    return limiter.limit_batch(T.read(spark, d, "events"), (limiter.Window(3, 43200.0),), "user_id", "ts", "event_id").select("id", "key", "allowed")
+
+
 @query("snapshot_merge", "SELECT event_type AS file_sha256, min(ts::DATE)::VARCHAR AS first_seen, max(ts::DATE)::VARCHAR AS last_seen FROM events GROUP BY 1")
 def _(spark, d):
     table = snapshots.SnapshotTable(spark, shared_folder(spark, "snapshots"))

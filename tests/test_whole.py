@@ -88,3 +88,24 @@ def test_every_document_has_postings(spark, small):
     d, docs = small
     got = CATALOG["postings_all"][0](spark, d)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {i for i, _, _ in docs}
+
+
+def test_limiter_decides_on_the_events_of_all_users(spark, tmp_path):
+    rng = random.Random(5)
+    start = 1_700_000_000
+    events = [(k, rng.randrange(7), start + rng.randrange(200_000)) for k in range(300)]
+    spark.createDataFrame(events, "event_id long, user_id long, s long").selectExpr("event_id", "user_id", "timestamp_seconds(s) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    want, log = {}, defaultdict(list)
+    for k, user, s in sorted(events, key=lambda e: (e[2], e[0])):
+        want[k] = sum(x > s - 43200 for x in log[user]) < 3
+        log[user] += [s] * want[k]
+    got = CATALOG["sliding_limiter_all"][0](spark, str(tmp_path)).collect()
+    assert {r.id: r.allowed for r in got} == want and len(got) == 300 and len(set(want.values())) == 2
+
+
+def test_components_take_all_lines(spark, tmp_path):
+    rng = random.Random(6)
+    lines = [(rng.randrange(40), rng.randrange(60), float(rng.randrange(1, 51))) for _ in range(45)] + [(1_000_007, 7, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.node: r.component for r in CATALOG["components_all"][0](spark, str(tmp_path)).collect()}
+    assert got == components((2 * o, 2 * p + 1) for o, p, _ in lines)
