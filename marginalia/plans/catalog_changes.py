@@ -394,6 +394,15 @@ def _(spark, d):
     return T.read(spark, d, "documents").select("doc_id", F.array_join(tags, ",").alias("tags"))
 
 
+@query("infer_tags_whole", "WITH x AS (SELECT doc_id, lower(text || ' ' || source) AS b FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(b, 'capital') THEN 'cap-k' END, CASE WHEN contains(b, 'border') OR contains(b, 'ice ') THEN 'border' END, CASE WHEN contains(b, 'perm') THEN 'perm-debate' END, CASE WHEN contains(b, 'onto') OR contains(b, 'tion') THEN 'ontology' END], lambda t: t IS NOT NULL), ',') AS tags FROM x")
+def _(spark, d):
+    from marginalia.operators.tagging import infer_tags
+
+    none = F.lit(None).cast("string")
+    tags = infer_tags(F.col("text"), none, none, none, F.col("source"), _RULES)
+    return T.read(spark, d, "documents").select("doc_id", F.array_join(tags, ",").alias("tags"))
+
+
 @query("parse_slugs", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE lower(split_part(o_orderpriority, '-', 1)) || CASE WHEN o_orderkey % 3 = 2 THEN ',b' ELSE '' END END AS tags FROM orders")
 def _(spark, d):
     first = F.lower(F.split("o_orderpriority", "-")[0])

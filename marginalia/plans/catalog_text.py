@@ -130,6 +130,11 @@ def _(spark, d):
     return T.read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.content_words(F.substring("text", 1, 300))), " ").alias("tokens"))
 
 
+@query("tag_tokens_whole", rf"SELECT doc_id, array_to_string(list_sort({_CONTENT.format('text')}), ' ') AS tokens FROM documents")
+def _(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.content_words(F.col("text"))), " ").alias("tokens"))
+
+
 _RAW = "CASE p_partkey % 5 WHEN 0 THEN 'Smith et al. ''' || lpad((p_size % 100)::STRING, 2, '0') || ' (professor of ' || p_type || ' at the ' || p_brand || ' school, \"' || p_name || ' on things\", https://x.example/' || p_partkey::STRING || ').' WHEN 1 THEN 'Jones and Clark ' || (1950 + p_size)::STRING || ', “' || p_name || ' again and again”' WHEN 2 THEN 'no author here at all ' || p_name WHEN 3 THEN 'Lee 3/14/' || (10 + p_size)::STRING ELSE 'Brown, 1776 and 2024;' END"
 
 

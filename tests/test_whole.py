@@ -109,3 +109,11 @@ def test_components_take_all_lines(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.node: r.component for r in CATALOG["components_all"][0](spark, str(tmp_path)).collect()}
     assert got == components((2 * o, 2 * p + 1) for o, p, _ in lines)
+
+
+def test_words_late_in_a_text_count(spark, tmp_path):
+    docs = [(1, "x " * 400 + "border capital", "src"), (2, "x " * 400, "src")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    tags = {r.doc_id: r.tags for r in CATALOG["infer_tags_whole"][0](spark, str(tmp_path)).collect()}
+    tokens = {r.doc_id: r.tokens for r in CATALOG["tag_tokens_whole"][0](spark, str(tmp_path)).collect()}
+    assert tags == {1: "cap-k,border", 2: ""} and tokens == {1: "border capital", 2: ""}
