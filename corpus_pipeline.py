@@ -42,11 +42,13 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within its error budget."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    leaks = Stage(spark, "leaks").put(leaks, "ids")
+    """Documents that hold no benchmark item within its error budget, each judged by its own text, whatever its doc_id."""
+    mark = F.xxhash64("text")
+    leaks = decontaminate.find_leaks(docs.select(mark.alias("mark"), "text"), table(spark, sf_dir, "benchmark"), id_col="mark")
+    leaks = Stage(spark, "leaks").put(leaks.select(F.col("doc_id").alias("_mark")).distinct(), "marks")
     leaks = F.broadcast(leaks) if leaks.count() <= minhash.BROADCAST_IDS else leaks
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    marked = docs.withColumn("_mark", F.when(F.col("text").isNotNull(), mark))
+    return marked.join(leaks, "_mark", "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ all documents, so memory doesn't follow the benchmark's size.
 
 Edge cases: null or wordless documents and items match nothing; items of the same text
 are each reported; a doc_id or item_id that stands in several rows is reported once,
-with its least distance; other columns play no part; empty tables give an empty result.
+with its least distance; rows without doc_id can't be named and aren't reported (the
+pipeline judges them by a hash of their text); other columns play no part; empty tables
+give an empty result.
 """
 
 from __future__ import annotations

@@ -47,6 +47,14 @@ def test_leaking_documents_go(spark, docs, sf_dir):
     assert exact <= gone and len(gone) <= len(exact) + 2
 
 
+def test_leaks_are_judged_row_by_row(spark, docs, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(None, f"so {item} it is"), (None, "clean"), (7, f"so {item} it is"), (7, "clean too"), (8, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema)
+    got = collected(P.without_benchmark(spark, df, sf_dir))
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(None, "clean"), (7, "clean too"), (8, None)], key=str)
+
+
 def test_secrets_are_taken_out(spark, docs, sf_dir):
     before = {r["doc_id"]: r["text"] for r in collected(docs)}
     out = collected(P.without_secrets(spark, docs, sf_dir))
