@@ -89,11 +89,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, refers_to``: the rows that repeat the payload of a smaller page_id."""
+    """``page_id, digest, refers_to``: the rows that repeat the payload of a smaller page_id; a page_id can stand in rows of several payloads."""
     named = pages.where("page_id is not null").withColumn("payload", F.coalesce("html", F.lit("")).cast("binary"))
     narrow = named.where(F.octet_length("payload") >= least_bytes).select("page_id", sha1_base32(F.col("payload")).alias("digest"))
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("m")).where("m > 1")
-    return narrow.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return narrow.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, stage: Stage, least_bytes: int = 0) -> None:
@@ -102,7 +102,8 @@ def write(pages: DataFrame, path: str, stage: Stage, least_bytes: int = 0) -> No
     again = stage.put(revisits(pages, least_bytes), "revisits")
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.join(again, "page_id", "left").select("page_id", "url", payload.alias("payload"), sha1_base32(payload).alias("digest"), "refers_to")
+    rows = pages.select("page_id", "url", payload.alias("payload"), sha1_base32(payload).alias("digest"))
+    rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -94,3 +94,9 @@ def test_a_damaged_archive_is_refused():
 
 def test_no_rows(spark, tmp_path):
     assert W.resolve(stored(spark, tmp_path, [])).count() == 0
+
+
+def test_a_page_id_with_several_payloads(spark, tmp_path):
+    rows = [(1, "http://a.example", "A"), (2, "http://b.example", "B"), (3, "http://c.example", "A"), (3, "http://d.example", "B"), (3, "http://e.example", "own"), (4, "http://f.example", "own")]
+    got = collected(W.resolve(stored(spark, tmp_path, rows)))
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == expected(rows)
