@@ -1,25 +1,36 @@
 """Main text of web pages by composite text density.
 
-The page is parsed into a tree.  Subtrees that can't be text (scripts, forms) or that
-say what they are (navigation, footers, adverts, comments) go first.  Every node then
-gets its composite text density: characters per tag, adjusted down where the text sits
-in links.  The densities of its children are summed, and the node with the greatest
-sum holds the main text.  The least density on the path from it to the body is the
-threshold: parts beside it, and wrappers around it, count only if they reach it.
-
+The page is parsed into a tree, and elements that never show text of the page's own
+(scripts, styles, forms, hidden parts) go.  Every node gets its composite text density:
+characters per tag, times a logarithm of its characters per linked character and tags
+per link, whose base grows with the share of linked text.  The node with the greatest
+sum of its children's densities holds the main text.
+
+The least density on the path from it to the body is the threshold.  Walking up that
+path, a part that stands beside it belongs to the text too if its density reaches the
+threshold and its sum a share of the best one; so do headings before it.
+
+A part whose tag, class, id or role says that it is a menu, header, footer, sidebar,
+notice, advert or comment section counts as all linked: its density is nothing.  And a sum inside an ``article`` element counts
+ARTICLE times.  So names settle what densities can't, such as comments longer than the
+article; pages without any such name are judged by density alone.
+
+Formatting elements (``b``, ``br`` and the like) are part of their text, not tags.
 Text is joined as a reader sees it: character references decoded, white space in a
 block one space, blocks joined by one space.
 
-Edge cases: null and empty pages and pages without text give an empty text; unclosed
-and stray tags are repaired as browsers do for the common cases; a comment or tag that
-never ends runs to the page's end; ties in the sum go to the first node of the page;
-repeated rows give repeated results; other columns play no part.
+Edge cases: null and empty pages and pages without text give an empty text; an empty
+table gives an empty one; unclosed and stray tags are repaired as browsers do for the
+common cases; a comment or tag that never ends runs to the page's end; ties in the sum
+go to the first node of the page; repeated rows give repeated results; long and deep
+pages take time in proportion to their length; other columns play no part.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -31,11 +42,13 @@ from marginalia.llm.common import small_batches, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-GONE = frozenset("head script style noscript template iframe svg math canvas object select button textarea nav footer aside form dialog menu title audio video map".split())
+GONE = frozenset("head script style noscript template iframe svg math canvas object select button textarea form dialog title audio video map".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 # Words in a class, id or role that name what isn't main text, or is.
 ASIDE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars side rail widget widgets footer foot header masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion social share sharing related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager tags copyright contentinfo complementary search hidden".split())
+SIDES = frozenset("nav footer aside menu".split())
+FRAMES = frozenset("html body main article".split())
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 HEADS = frozenset("header masthead topbar".split())
 MAIN = frozenset("article main content post entry story body text".split())
@@ -44,14 +57,21 @@ TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
+TITLE = re.compile("h[1-6]|hgroup|header")
+#: A part beside the best subtree has this share of its sum at least, and at most this share of its text in links.
+SHARE, LINKED = 0.2, 0.3
+#: How often a sum inside an ``article`` counts; the share of a page's text that no part beside the main text has.
+ARTICLE, WHOLE = 10, 0.95
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "marks", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds")
+    __slots__ = ("tag", "parent", "kids", "marks", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds", "framed", "aside")
 
     def __init__(self, tag: str, parent: Node | None, marks: frozenset) -> None:
         self.tag, self.parent, self.marks = tag, parent, marks
         self.kids: list[Node | str] = []
+        self.framed: str | None = None  # the article or main element that it is or stands in
+        self.aside = False
 
 
 def marks_of(attributes: str) -> frozenset:
@@ -68,15 +88,52 @@ def marks_of(attributes: str) -> frozenset:
     return frozenset(out)
 
 
+class Open:
+    """The open elements, with their places by tag, so that closing one never walks the tree."""
+
+    def __init__(self, root: Node) -> None:
+        self.path, self.places, self.walls = [root], {}, [0]
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost open element of that tag, 0 if there is none."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        if node.tag not in INLINE and node.tag != "p":
+            self.walls.append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.path) > place > 0:
+            tag = self.path.pop().tag
+            self.places[tag].pop()
+            if self.walls[-1] == len(self.path):
+                self.walls.pop()
+
+    def make_way(self, tag: str) -> None:
+        """Close what can't hold a new element of that tag."""
+        if tag in CLOSES_P and self.last("p") > self.walls[-1]:
+            self.cut(self.last("p"))
+        if tag in SAME:
+            ends, stops = SAME[tag]
+            stop = max(map(self.last, stops))
+            inner = [places[i] for e in ends if (places := self.places.get(e)) and (i := bisect_right(places, stop)) < len(places)]
+            if inner:
+                self.cut(min(inner))
+
+
 def parse(page: str) -> Node:
     """The tree below a root; text nodes are decoded strings."""
     root = Node("#root", None, frozenset())
-    at, here = 0, root
+    at, path = 0, Open(root)
 
     def text(upto: int) -> None:
         if upto > at:
             s = page[at:upto]
-            here.kids.append(unescape(s) if "&" in s else s)
+            path.path[-1].kids.append(unescape(s) if "&" in s else s)
 
     while m := TAG.search(page, at):
         text(m.start())
@@ -85,27 +142,11 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if closing:
-            up = here
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                here = up.parent
+            path.cut(path.last(tag))
             continue
-        if tag in CLOSES_P:
-            up = here
-            while up.parent and (up.tag in INLINE or up.tag == "p"):
-                if up.tag == "p":
-                    here = up.parent
-                    break
-                up = up.parent
-        if tag in SAME:
-            ends, stops = SAME[tag]
-            up = here
-            while up.parent and up.tag not in stops:
-                if up.tag in ends:
-                    here = up.parent
-                up = up.parent
+        path.make_way(tag)
         attributes = m[3] if m[2] else m[6]
+        here = path.path[-1]
         node = Node(tag, here, marks_of(attributes or ""))
         here.kids.append(node)
         if tag in RAW:
@@ -114,7 +155,7 @@ def parse(page: str) -> Node:
             node.kids.append(unescape(s) if tag in ("title", "textarea") else s)
             at = end.end() if end else len(page)
         elif tag not in VOID and not (attributes or "").endswith("/"):
-            here = node
+            path.push(node)
     text(len(page))
     return root
 
@@ -133,104 +174,111 @@ def walk(root: Node) -> list[Node]:
     return order
 
 
-def weigh(root: Node) -> list[Node]:
-    """Count characters and tags of every node; nodes in page order."""
+def prune(root: Node) -> None:
+    """Take out what never is text of the page."""
+    for n in walk(root):
+        n.kids = [" " if isinstance(k, Node) and (k.tag in GONE or "!hidden" in k.marks) else k for k in n.kids]
+
+
+def weigh(root: Node, names: bool = True) -> list[Node]:
+    """Count characters and tags of every node, without those marked aside; nodes in page order."""
     order = walk(root)
+    for n in order:
+        own = n.tag if names and n.tag in ("article", "main") else None
+        n.framed = "article" if own == "article" else n.parent.framed or own if n is not root else own
     for n in reversed(order):
         n.chars = n.tags = n.link_chars = n.link_tags = 0
         n.holds = {"article": 1, "main": 1, "h1": 2}.get(n.tag, 0)
         for k in n.kids:
             if isinstance(k, str):
                 n.chars += length(k)
-            else:
-                n.holds |= k.holds
+                continue
+            n.holds |= k.holds
+            if not k.aside:
                 n.chars += k.chars
-                n.tags += k.tags + 1
+                n.tags += k.tags + (k.tag not in INLINE or k.tag == "a")
                 n.link_chars += k.chars if k.tag == "a" else k.link_chars
                 n.link_tags += k.link_tags + (k.tag == "a")
     return order
 
 
-def prune(root: Node) -> None:
-    """Take out what can't be, or says it isn't, main text."""
-    weigh(root)
-    whole = root.chars or 1
+def beside(order: list[Node], body: Node) -> None:
+    """Mark as ``aside`` the nodes that say they aren't main text, and all in them.
 
-    todo = [(root, False)]
-    while todo:
-        n, within = todo.pop()
-        kept = []
-        for k in n.kids:
-            if isinstance(k, Node):
-                named = k.marks & ASIDE
-                if named and k.marks & MAIN and not named & COMMENTS:
-                    named = frozenset()  # as in "content-header"
-                top = not within and (k.tag == "header" or named & HEADS)
-                frame = 1 if top or named & COMMENTS else 3  # what an element around the text holds
-                inner = k.tag == "header" or named <= HEADS  # a header inside the article holds its title
-                if k.tag in GONE or "!hidden" in k.marks or k.tag not in ("html", "body", "main") and (top or named and not (within and inner)) and not (k.holds & frame or k.chars > 0.95 * whole):
-                    kept.append(" ")
-                    continue
-                todo.append((k, within or k.tag in ("article", "main")))
-            kept.append(k)
-        n.kids = kept
+    A part that holds the article, or WHOLE of the page's text, can't be beside it,
+    whatever its name; a header inside the article holds its title.
+    """
+    for n in order:
+        n.aside = n is not body and n.parent is not None and n.parent.aside
+        if n.aside or n is body or n.tag in FRAMES and not n.marks & COMMENTS:
+            continue
+        named = n.marks & ASIDE
+        if named and n.marks & MAIN and not named & COMMENTS:
+            named = frozenset()  # as in "content-header"
+        within = n.framed is not None
+        top = not within and bool(n.tag == "header" or named & HEADS)
+        title = n.tag == "header" or bool(named) and named <= HEADS
+        told = top or n.tag in SIDES or named and not (within and title)
+        frame = 1 if top or n.tag in SIDES or named & COMMENTS else 3
+        n.aside = bool(told) and not (n.holds & frame or n.chars > WHOLE * body.chars)
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density; ``share`` is that of linked characters in the body.
+
+    The logarithm takes one more than the ratio, so that a single letter has a density,
+    and the base's logarithm is 1 at least: with next to no links on a page the density
+    of long and short texts would else be alike.
+    """
+    if not chars:
+        return 0.0
+    tags, links, linked, plain = max(1, tags), max(1, link_tags), max(1, link_chars), max(1, chars - link_chars)
+    base = math.log(math.log(chars / plain * link_chars + share * chars + math.e))
+    return chars / tags * math.log(1 + chars / linked * tags / links) / max(1.0, base)
 
 
 def densities(order: list[Node], body: Node) -> None:
-    """Composite text density of each node, and the sum over its children."""
+    """Density of each node, and the sum over its children; a node without children is its own sum."""
     share = body.link_chars / max(1, body.chars)
     for n in reversed(order):
-        tags, plain = max(1, n.tags), max(1, n.chars - n.link_chars)
-        base = math.log(n.chars / plain * n.link_chars + share * n.chars + math.e)
-        ratio = n.chars / max(1, n.link_chars) * tags / max(1, n.link_tags)
-        n.density = n.chars / tags * max(0.0, math.log(max(ratio, 1e-9)) / max(1e-9, math.log(base))) if base > 1.0000001 else n.chars / tags
-        n.total = sum(k.density for k in n.kids if isinstance(k, Node))
-        if not n.total:
-            n.total = n.density if n.tag not in INLINE else 0.0
-
-
-def main_node(root: Node) -> Node:
-    """The subtree of the greatest density sum, widened to what belongs to it."""
-    order = weigh(root)
-    body = next((n for n in order if n.tag == "body"), root)
-    inside = weigh(body)
+        n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, share)
+        kids = [k for k in n.kids if isinstance(k, Node) and k.tag not in INLINE and not k.aside]
+        n.total = (sum(k.density for k in kids) if kids else n.density) * (ARTICLE if n.framed == "article" else 1)
+
+
+def main_node(root: Node, names: bool = True) -> Node | None:
+    """The subtree of the greatest density sum, widened along its path to what belongs to it; none without text."""
+    body = next((n for n in walk(root) if n.tag == "body"), root)
+    inside = weigh(body, names)
+    if names:
+        beside(inside, body)
+        inside = [n for n in weigh(body) if not n.aside]
     densities(inside, body)
-    # an article that holds a tenth of the text is where to look
-    frames = [n for n in inside if n.tag in ("article", "main") and 10 * n.chars >= body.chars > 0]
-    pool = set(frames)
-    for n in inside:  # parents come before their children
-        if n.parent in pool:
-            pool.add(n)
-    best = max([n for n in inside if n in pool] or inside, key=lambda n: n.total)
-    path, up = [], best
-    while up is not None and up is not body.parent:
-        path.append(up)
-        up = up.parent
-    threshold = min(n.density for n in path)
-    articles, mains = [n for n in path if n.tag == "article"], [n for n in path if n.tag == "main"]
-    if articles or mains:  # the page says where its text is; headings between the two belong to it
-        best = articles[-1] if articles else mains[-1]
-        inside = path[path.index(best) + 1 : path.index(mains[-1]) + 1] if articles and mains and mains[-1] in path[path.index(best) :] else []
-        for n in inside:
-            heads = [k for k in n.kids if isinstance(k, Node) and k is not best and re.fullmatch("h[1-6]|header|hgroup", k.tag)]
-            if heads:
-                n.kids = [k for k in n.kids if k is best or k in heads]
-                best = n
-        return best
-    for n in path[1:]:
-        if n.tag not in ("body", "html") and n.marks & {"article", "post", "story", "entry"}:
-            best = n
-    for n in path[path.index(best) + 1 :]:
-        # siblings that reach the threshold, and headings, belong to the text; lists of links don't
-        others = [k for k in n.kids if isinstance(k, Node) and k is not best and k.chars]
-        loose = sum(length(k) for k in n.kids if isinstance(k, str))
-        good = [k for k in others if re.fullmatch("h[1-6]|hgroup", k.tag) or k.density >= threshold and k.link_chars <= 0.3 * k.chars]
-        if loose or not others or len(good) == len(others):
-            best = n
-        elif good:
-            n.kids = [k for k in n.kids if isinstance(k, str) or k is best or k in good or not k.chars]
-            best = n
-    return best
+    blocks = [n for n in inside if n.tag not in INLINE and n.total > 0]
+    if not blocks:
+        return None
+    best = max(blocks, key=lambda n: n.total)
+    path = [best]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    threshold, least = min(n.density for n in path), SHARE * best.total
+    articles = best.framed == "article"  # then only another article can belong to it
+    share = body.link_chars / max(1, body.chars)
+    for child, up in zip(path, path[1:]):
+        framed, seen, kept = up.framed == "article", False, []
+        for k in up.kids:
+            seen |= k is child
+            if isinstance(k, str):
+                n = length(k)
+                d = density(n, 1, 0, 0, share)
+                good = not n or d >= threshold and d >= least and not articles
+            else:
+                reaches = not k.aside and (k.framed == "article" or not articles) and k.density >= threshold and k.total >= least and k.link_chars <= LINKED * k.chars
+                good = reaches or not (k.aside or seen) and TITLE.fullmatch(k.tag) is not None
+            if k is child or good or framed:
+                kept.append(k)
+        up.kids = kept
+    return path[-1]
 
 
 def linked(n: Node) -> bool:
@@ -238,17 +286,18 @@ def linked(n: Node) -> bool:
     return n.link_tags >= 3 and n.link_chars > 0.7 * n.chars and n.tag not in INLINE
 
 
-def text_of(n: Node) -> str:
-    framed = n.tag in ("article", "main")
+def text_of(top: Node) -> str:
     out: list[str] = []
-    todo: list[Node | str] = [n]
+    todo: list[Node | str] = [top]
     while todo:
         k = todo.pop()
         if isinstance(k, str):
             out.append(k)
+        elif k.aside:
+            out.append(" ")
         elif k.tag in INLINE:
             todo += reversed(k.kids)
-        elif k is n or framed or not linked(k):
+        elif k is top or k.framed or k.tag == "body" or not linked(k):
             out.append(" ")
             todo += [" ", *reversed(k.kids)]
         else:
@@ -256,12 +305,14 @@ def text_of(n: Node) -> str:
     return SPACE.sub(" ", "".join(out)).strip()
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, names: bool = True) -> str:
+    """The main text; without ``names`` tags, classes, ids and roles tell nothing and density alone decides."""
     if not page:
         return ""
     root = parse(page)
     prune(root)
-    return text_of(main_node(root))
+    best = main_node(root, names)
+    return "" if best is None else text_of(best)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

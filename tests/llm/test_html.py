@@ -1,7 +1,9 @@
 """Main text of whole pages."""
 
 import html
+import math
 import re
+import time
 
 import pytest
 
@@ -56,15 +58,90 @@ def test_long_and_deep_pages():
     assert H.main_text("<div class=menu>" * 9_000 + "x" + "</div>" * 9_000 + "<p>text</p>") == "text"
 
 
+@pytest.mark.parametrize("part,end", [("<div>", "</x>"), ("<div>", "<td>"), ("<b>", "<p></p>"), ("<span>", "<div>x"), ("<ul><li>x", "</b>"), ('<a "', "<p>"), ("<p><b>x", "</i>")])
+def test_stray_tags_take_linear_time(part, end):
+    began = time.process_time()
+    H.main_text(part * 100_000 + end * 100_000)
+    assert time.process_time() - began < 20  # a walk to the root for each tag would take many minutes
+
+
+def plain_density(node, share):
+    """The density of one node from scratch, by walking its whole subtree."""
+    chars = tags = link_chars = link_tags = 0
+    todo = [(node, False)]
+    while todo:
+        n, in_link = todo.pop()
+        for k in n.kids:
+            if isinstance(k, str):
+                n_chars = len(re.sub(r"[ \n\t\r]", "", k))
+                chars += n_chars
+                link_chars += n_chars * in_link
+            else:
+                tags += k.tag == "a" or k.tag not in H.INLINE
+                link_tags += k.tag == "a"
+                todo.append((k, in_link or k.tag == "a"))
+    if not chars:
+        return 0.0, 0, 0
+    inner = chars / max(1, chars - link_chars) * link_chars + share * chars + math.e
+    d = chars / max(1, tags) * math.log(1 + chars * max(1, tags) / max(1, link_chars) / max(1, link_tags)) / max(1, math.log(math.log(inner)))
+    return d, chars, link_chars
+
+
+def test_densities_equal_a_plain_version_and_choose_the_node(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        root = H.parse(r["html"])
+        H.prune(root)
+        body = next(n for n in H.walk(root) if n.tag == "body")
+        _, chars, linked = plain_density(body, 0)
+        inside = H.weigh(body, names=False)
+        H.densities(inside, body)
+        blocks = [n for n in inside if n.tag not in H.INLINE]
+        want = {id(n): plain_density(n, linked / chars)[0] for n in inside}
+        sums = {id(n): sum(want[id(k)] for k in n.kids if not isinstance(k, str) and k.tag not in H.INLINE) or want[id(n)] for n in blocks}
+        for n in blocks:
+            assert n.density == pytest.approx(want[id(n)]) and n.total == pytest.approx(sums[id(n)])
+        best = max(blocks, key=lambda n: sums[id(n)])
+        text = H.text_of(best)
+        assert text and text in H.main_text(r["html"], names=False)
+
+
+def want_of(page):
+    part = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    part = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)[^>]*>", " ", part))
+    return re.sub(r"\s+", " ", html.unescape(part)).strip()
+
+
+def test_density_decides_without_names(spark, sf_dir, monkeypatch):
+    """Tags, classes and ids tell nothing here; all but a few pages of very short text give the same result."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet").collect()]
+    bare = [re.sub(r"(</?)(?:article|nav|footer)", r"\1div", re.sub(' class="ad"', "", p)) for p in pages]
+    assert sum(H.main_text(b) == want_of(p) for b, p in zip(bare, pages)) >= 0.92 * len(pages)
+    true = H.density
+    monkeypatch.setattr(H, "density", lambda *a: -true(*a))
+    assert not any(H.main_text(p) == want_of(p) for p in pages)
+    monkeypatch.setattr(H, "density", lambda *a: 1 / true(*a) if a[0] else 0.0)
+    assert sum(H.main_text(b) == want_of(p) for b, p in zip(bare, pages)) < 0.5 * len(pages)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div>{MENU}</div><div><h2>Head</h2>{BODY}</div><div>All rights are ours.</div>",
+        f"<body><div><div>{MENU}</div><div><div><h2>Head</h2>{BODY}</div></div></div><div><p>Buy now</p></div>",
+        f"<body><section>{MENU}</section><h2>Head</h2><section>{BODY}</section><section>{MENU}<p>us</p></section>",
+    ],
+)
+def test_pages_without_telling_names(page):
+    assert H.main_text(page) == H.main_text(page, names=False) == "Head " + TEXT
+
+
 def test_equals_the_article_on_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     raw = {r.page_id: r.html for r in pages.collect()}
     got = collected(H.extract(pages))
     assert len(got) == len(raw)
     for r in got:
-        part = re.search(r"<article>(.*)</article>", raw[r["page_id"]], re.S)[1]
-        part = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)[^>]*>", " ", part))
-        want = re.sub(r"\s+", " ", html.unescape(part)).strip()
+        want = want_of(raw[r["page_id"]])
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
