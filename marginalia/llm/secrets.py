@@ -5,9 +5,16 @@ starts an anchored pattern at its own place, so patterns never scan the text.  K
 that carry a checksum keep a match only if the checksum holds.  Bare hexadecimal runs
 have no keyword; one class pattern finds them.
 
+No pattern reads a stretch of text more than a fixed number of times: a match ends
+where the next may begin, patterns of fixed length stop there, and a web token starts
+only where no token character stands before it.  So time follows a text's length,
+whatever is in it.
+
 Edge cases: null and empty texts have no spans (the digest is that of an empty
-string); offsets are code points; ties keep the listed order of kinds; repeated rows
-give repeated results; other columns pass by untouched.
+string); an empty table gives an empty result; texts of many MB are scanned whole, one
+batch at a time; offsets are code points; ties keep the listed order of kinds; repeated
+rows give repeated results; other columns, also of the names used here, pass by
+untouched.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ KINDS: dict[str, tuple[tuple[str, ...], bool, bytes]] = {
     "slack": (("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"), True, rb"(xox[bpars]-[0-9]{6,}-[A-Za-z0-9-]{10,})"),
     "google": (("aiza",), True, rb"(AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])"),
     "stripe": (("sk_live_", "rk_live_"), True, rb"([sr]k_live_[A-Za-z0-9]{20,})"),
-    "jwt": (("eyj",), True, rb"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})"),
+    "jwt": (("eyj",), True, rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})"),
     "pem": (("-----begin",), True, rb"(-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ ){0,2}PRIVATE KEY-----)"),
 }
 BASE = ("assign", "access", "hex")
@@ -61,7 +68,7 @@ def jwt_holds(token: bytes) -> bool:
     head = token.split(b".")[0]
     try:
         return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
