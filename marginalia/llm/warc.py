@@ -3,23 +3,32 @@
 Writing.  Each page becomes one WARC/1.1 record, compressed as a gzip member of its
 own, so that an index entry (file, offset, length) is enough to read it.  Of records
 with equal payloads of at least ``least_bytes`` bytes the one with the smallest
-page_id is a response; the others are revisits, which name it and carry no payload.
-Spark's own text writer stores the members, with its commit protocol and on any file
-system it knows.  The separator it puts after each is an empty gzip member, which
-decompresses to nothing.
+page_id is a response; the others are revisits, which name it and carry the response's
+HTTP headers (so the payload's length is known) but no payload.  Spark's own text
+writer stores the members, with its commit protocol and on any file system it knows.
+The separator it puts after each is an empty gzip member, which decompresses to
+nothing.  A file is closed at FILE_BYTES.
 
 Reading.  Each file is walked member by member; a response's payload is hashed again,
-and a file's captures are sorted by URL key and time into a run.
+and a file's captures are sorted by URL key and time into a run, whose order is kept
+as a number beside each capture.
 
-Merging.  Runs are dealt by ranges of (URL key, time, page_id), and each range is
-merged from its k pieces of runs by a loser tree, so the ranges one after another are
-the ordered capture history of all pages.
+Merging.  Ranges of (URL key, time, page_id) are cut so that each holds some
+RANGE_ENTRIES captures.  A range receives its piece of every run, in the run's order,
+and a loser tree merges the k pieces as they are; nothing is sorted by key again, and a
+piece out of order is an error.  The ranges one after another, and the rows in each,
+are the ordered capture history of all pages, which is also the order of ``op2_warc``.
+
+Hot payloads.  Minima are combined before the shuffle; digests of more than HOT_ROWS
+rows are few (rows / HOT_ROWS) and joined apart by a checked broadcast, so no task gets
+more than HOT_ROWS rows of one digest.
 
 Edge cases: a null html is an empty payload; payloads of any size, the empty one too,
 can be revisited; rows that repeat the smallest page_id of a payload are all
 responses; a null url is archived as an empty one; rows without page_id are responses
-and never referred to; other columns aren't archived; an empty table gives an empty
-archive and index.
+and never referred to; captures of equal key, time and page_id stand in the order of
+their runs; very long pages are records of their own size; other columns, also of the
+names used here, aren't archived; an empty table gives an empty archive and index.
 """
 
 from __future__ import annotations
@@ -32,27 +41,20 @@ from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import Stage, small_batches, table
 
 # Fixed value: an empty gzip member.
 EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
-#: Records of one file, which one task reads whole; index entries of one range.
-FILE_RECORDS, RANGE_ENTRIES = 2000, 50_000
-#: Revisit entries that a join may broadcast (16 bytes each).
-BROADCAST_ROWS = 500_000
+#: Bytes at which a file, which one task reads whole, is closed; index entries of one range.
+FILE_BYTES, RANGE_ENTRIES = 32 << 20, 50_000
+#: Revisit entries or hot digests that a join may broadcast (some 50 bytes each), and rows that make a digest hot.
+BROADCAST_ROWS, HOT_ROWS = 500_000, 100_000
 START = datetime(2024, 1, 1, tzinfo=UTC)
 
 
-def sha1_base32(data: Column) -> Column:
-    """The SHA-1 of a binary column in bare upper-case base 32, by built-in functions."""
-    digits = F.sha1(data)
-    parts = [F.lpad(F.conv(F.substring(digits, 1 + 5 * k, 5), 16, 32), 4, "0") for k in range(8)]
-    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-
-
 def url_key(url: str) -> str:
     """The host's labels from the last to the first, then path and query, in lower case, without scheme, ``www`` or fragment."""
     rest = re.sub(r"^[a-z][a-z0-9+.-]*://", "", url.strip().lower()).split("#")[0]
@@ -78,7 +80,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Date: {capture_time(page_id)}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers is not None:
         head += [f"WARC-Refers-To: {urn(refers)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
         payload = b""
@@ -88,30 +90,46 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + pack.flush()
 
 
-def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, digest, refers_to``: the rows that repeat the payload of a smaller page_id; a page_id can stand in rows of several payloads."""
-    named = pages.where("page_id is not null").withColumn("payload", F.coalesce("html", F.lit("")).cast("binary"))
-    narrow = named.where(F.octet_length("payload") >= least_bytes).select("page_id", sha1_base32(F.col("payload")).alias("digest"))
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("m")).where("m > 1")
-    return narrow.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+def revisits(pages: DataFrame, stage: Stage, least_bytes: int = 0) -> DataFrame:
+    """``page_id, sha1, refers_to``: the rows that repeat the payload of a smaller page_id; a page_id can stand in rows of several payloads."""
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    narrow = stage.put(pages.where("page_id is not null").where(F.octet_length(payload) >= least_bytes).select("page_id", F.sha1(payload).alias("sha1")), "digests")
+    first = stage.put(narrow.groupBy("sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("m")).where("m > 1"), "first")
+    hot = first.where(F.col("m") > HOT_ROWS).select("sha1", "refers_to")
+    met = narrow.join(first.where(F.col("m") <= HOT_ROWS).select("sha1", "refers_to"), "sha1")
+    n = hot.count()
+    if n > BROADCAST_ROWS:  # of at least BROADCAST_ROWS * HOT_ROWS rows
+        met = narrow.join(first.select("sha1", "refers_to"), "sha1")
+    elif n:
+        met = narrow.join(F.broadcast(hot.select("sha1")), "sha1", "left_anti").join(first.where(F.col("m") <= HOT_ROWS).select("sha1", "refers_to"), "sha1").union(narrow.join(F.broadcast(hot), "sha1"))
+    return met.where("page_id <> refers_to").select("page_id", "sha1", "refers_to").distinct()
 
 
 def write(pages: DataFrame, path: str, stage: Stage, least_bytes: int = 0) -> None:
     """Archive ``page_id, url, html`` under ``path``, a folder of ``.gz``-compatible WARC files."""
     small_batches(pages.sparkSession)
-    again = stage.put(revisits(pages, least_bytes), "revisits")
+    again = stage.put(revisits(pages, stage, least_bytes), "revisits")
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload"), sha1_base32(payload).alias("digest"))
-    rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload"))
+    named = rows.where("page_id is not null").join(again, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "sha1", "refers_to")
+    rows = named.union(rows.where("page_id is null").select("page_id", "url", "payload", "sha1", F.lit(None).cast("long")))
+    full = FILE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = size = 0
         for b in batches:
-            made = [record(*r) for r in zip(*(b.column(i).to_pylist() for i in range(5)))]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
+            made, parts = [], []
+            for page_id, url, data, sha1, refers in zip(*(b.column(i).to_pylist() for i in range(5))):
+                made.append(record(page_id, url, data, base64.b32encode(bytes.fromhex(sha1)).decode(), refers))
+                if size and size + len(made[-1]) > full:
+                    part, size = part + 1, 0
+                size += len(made[-1])
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(parts, pa.int32())], names=["member", "part"])
 
-    members = rows.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    members = rows.mapInArrow(run, "member binary, part int").select(F.col("member").cast("string").alias("value"), "part")
+    members.write.partitionBy("part").option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -142,8 +160,8 @@ def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = end
 
 
-ENTRY = pa.schema([("run", pa.string()), ("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
-ENTRY_SQL = "run string, url_key string, captured string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, offset long, length long"
+ENTRY = pa.schema([("run", pa.string()), ("nth", pa.int64()), ("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
+ENTRY_SQL = "run string, nth long, url_key string, captured string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, offset long, length long"
 
 
 def _page(urn: str) -> int | None:
@@ -152,27 +170,35 @@ def _page(urn: str) -> int | None:
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of each archive file, sorted by URL key, time and page_id within the file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """The captures of each archive file, sorted by URL key, time and page_id within the file; ``nth`` is the place in that order."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 rows = []
                 for offset, size, f, content in parse(b.column(1)[i].as_py()):
-                    kind, payload = f["warc-type"], content.partition(b"\r\n\r\n")[2]
-                    seen = kind == "response"
+                    kind, (head, _, payload) = f["warc-type"], content.partition(b"\r\n\r\n")
+                    seen, told = kind == "response", payload_length(head)
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if seen else f["warc-payload-digest"].partition(":")[2]
-                    if seen and f["warc-payload-digest"] != f"sha1:{digest}":
-                        raise ValueError(f"the payload at {offset} doesn't have its digest")
+                    if seen and (f["warc-payload-digest"] != f"sha1:{digest}" or told != len(payload)):
+                        raise ValueError(f"the payload at {offset} doesn't have its digest or length")
                     url = f["warc-target-uri"]
-                    rows.append((b.column(0)[i].as_py(), url_key(url), f["warc-date"], _page(f["warc-record-id"]), url, kind, None if seen else _page(f["warc-refers-to"]), digest, len(payload) if seen else None, offset, size))
-                rows.sort(key=lambda r: sort_key(r[1], r[2], r[3]))
+                    rows.append((url_key(url), f["warc-date"], _page(f["warc-record-id"]), url, kind, None if seen else _page(f["warc-refers-to"]), digest, told, offset, size))
+                rows.sort(key=lambda r: sort_key(*r[:3]))
+                run_id = b.column(0)[i].as_py()
+                rows = [(run_id, n, *r) for n, r in enumerate(rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), ENTRY)] if rows else [pa.array([], t.type) for t in ENTRY], schema=ENTRY)
 
     return files.mapInArrow(run, ENTRY_SQL)
 
 
+def payload_length(head: bytes) -> int | None:
+    """The Content-Length of an HTTP header block."""
+    told = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", head, re.I)
+    return int(told[1]) if told else None
+
+
 def sort_key(key: str, captured: str, page_id: int | None) -> tuple:
     """URL keys in byte order as Spark sorts them; rows without page_id first."""
     return key.encode(), captured, page_id is not None, page_id or 0
@@ -226,17 +252,19 @@ def merge(entries: DataFrame, ranges: int) -> DataFrame:
 
     A range holds some RANGE_ENTRIES entries of a few hundred bytes, whatever the input's size.
     """
+    key = lambda r: (*sort_key(r[2], r[3], r[4]), r[0], r[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[tuple]] = {}
+        pieces: list[list[tuple]] = []  # of each run its part of this range, in the run's order
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                pieces.setdefault(r[0], []).append(r)
-        key = lambda r: sort_key(r[1], r[2], r[3])
-        for run_id in pieces:  # a run's rows keep their order through a shuffle, but for parts fetched out of turn
-            pieces[run_id].sort(key=key)
+                if not pieces or pieces[-1][-1][0] != r[0]:
+                    pieces.append([])
+                elif key(r) < key(pieces[-1][-1]):
+                    raise ValueError(f"the run {r[0]} isn't in order at {r[1]}")
+                pieces[-1].append(r)
         block = []
-        for r in LoserTree([pieces[p] for p in sorted(pieces)], key):
+        for r in LoserTree(pieces, key):
             block.append(r)
             if len(block) == 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*block), ENTRY)], schema=ENTRY)
@@ -244,7 +272,8 @@ def merge(entries: DataFrame, ranges: int) -> DataFrame:
         if block:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*block), ENTRY)], schema=ENTRY)
 
-    return entries.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(run, ENTRY_SQL)
+    dealt = entries.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "nth")
+    return dealt.sortWithinPartitions("run", "nth").mapInArrow(run, ENTRY_SQL)
 
 
 def archive(pages: DataFrame, path: str, stage: Stage, least_bytes: int = 0) -> DataFrame:
@@ -255,17 +284,7 @@ def archive(pages: DataFrame, path: str, stage: Stage, least_bytes: int = 0) ->
     return merge(entries, 1 + entries.count() // RANGE_ENTRIES)
 
 
-def resolve(index: DataFrame) -> DataFrame:
-    """The index with the payload's size filled in for revisits, from the response that they name."""
-    named = index.where("record_type = 'revisit'").select(F.col("refers_to").alias("r")).distinct()
-    told = index.where("record_type = 'response' and page_id is not null").join(named, F.col("page_id") == F.col("r"), "left_semi")
-    told = told.groupBy(F.col("page_id").alias("r"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("full"))
-    same = (F.col("refers_to") == F.col("r")) & (F.col("payload_digest") == F.col("d"))
-    return index.join(told, same, "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "full")).drop("r", "d", "full")
-
-
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "warc")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html")
-    index = stage.put(archive(pages, f"{stage.path}/archive", stage), "index")
-    return resolve(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "offset", "length")
+    return archive(pages, f"{stage.path}/archive", stage).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "offset", "length")
