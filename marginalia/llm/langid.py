@@ -5,11 +5,16 @@ Sparse multinomial logistic regression, trained with follow-the-regularised-lead
 one to three characters of the lower-cased whole text are hashed to ``2 ** bits``
 features.  Document frequencies are counted over every document one may learn from;
 the model is fitted on a bounded sample of them, about ``per_lang`` for each language,
-a documented parameter.
+a documented parameter.  A language is learned if at least ``least_docs`` documents
+have it; of more than ``most_langs`` the most frequent are, which bounds the model.
+
+The weights that aren't nothing go to the executors as one broadcast variable.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0; rows with
 null lang aren't learned from; with no language to learn, all are ``und``; ties go to
-the first language by name; repeated rows give repeated results.
+the first language by name; repeated rows give repeated results; very long texts are
+counted whole, a batch at a time; an empty table gives an empty result; other columns,
+also of the names used here, play no part.
 """
 
 from __future__ import annotations
@@ -70,6 +75,18 @@ class Model:
         return self.langs[k], float(p[k])
 
 
+class Slim(Model):
+    """A model that keeps only the rows of weights that aren't nothing."""
+
+    def __init__(self, langs: list[str], idf: np.ndarray, place: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float) -> None:
+        super().__init__(langs, idf, weights, bias, temperature)
+        self.place = place
+
+    def logits(self, c: np.ndarray) -> np.ndarray:
+        at, x = self.vector(c)
+        return x @ self.weights[self.place[at]] + self.bias
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max())
     return e / e.sum()
@@ -131,20 +148,20 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
-def train(docs: DataFrame, per_lang: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, per_lang: int = 800, least_docs: int = 5, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``docs`` that have a text and a language."""
     small_batches(docs.sparkSession)
     known = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    often = known.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).orderBy(F.desc("n"), "lang").limit(most_langs)
+    sizes = {r["lang"]: r["n"] for r in often.collect()}  # most_langs rows at most
+    known = known.where(F.col("lang").isin(*sizes)) if sizes else known.limit(0)
     langs = sorted(sizes)
     df, n = document_frequencies(known.select("text"))
     model = Model(langs, np.log((1 + n) / (1 + df)) + 1, np.zeros((SIZE, max(1, len(langs)))), np.zeros(max(1, len(langs))))
     if not langs:
         return model
-    share = F.lit(0.0)
-    for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / size))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, per_lang / size)) for lang, size in sizes.items()], "lang string, share double")
+    drawn = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < F.col("share") * 1_000_000
     out = pa.schema([("lang", pa.string()), ("held", pa.bool_()), ("at", pa.binary()), ("n", pa.binary())])
 
     def run(batches):
@@ -154,7 +171,7 @@ def train(docs: DataFrame, per_lang: int = 800, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.int32).tobytes() for a, c in zip(at, cs)], pa.binary())], schema=out)
 
     held = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(5)) == 0
-    rows = known.where(drawn).select("lang", held.alias("held"), "text").mapInArrow(run, "lang string, held boolean, at binary, n binary").toArrow().to_pylist()
+    rows = known.join(F.broadcast(shares), "lang").where(drawn).select("lang", held.alias("held"), "text").mapInArrow(run, "lang string, held boolean, at binary, n binary").toArrow().to_pylist()
     fold: dict[bool, list] = {True: [], False: []}
     for r in sorted(rows, key=lambda r: (r["lang"], r["at"], r["n"])):
         c = np.zeros(SIZE, np.int64)
@@ -170,10 +187,15 @@ def train(docs: DataFrame, per_lang: int = 800, id_col: str = "doc_id", text_col
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text."""
     small_batches(docs.sparkSession)
-    slim = Model(model.langs, model.idf.astype(np.float32), model.weights.astype(np.float32), model.bias.astype(np.float32), model.temperature)
+    used = np.flatnonzero(model.weights.any(1))
+    place = np.full(SIZE, len(used), np.int32)  # the last row of the weights is nothing
+    place[used] = np.arange(len(used))
+    weights = np.vstack([model.weights[used], np.zeros((1, model.weights.shape[1]))]).astype(np.float32)
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.idf.astype(np.float32), place, weights, model.bias, model.temperature))
     out = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
+        slim = Slim(*sent.value)
         for b in batches:
             found = [slim.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema=out)

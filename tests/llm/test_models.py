@@ -1,9 +1,12 @@
 """Language and toxicity models: held-out accuracy, calibration, counterfactual penalty, folds."""
 
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from marginalia.llm import langid, toxicity
 from marginalia.llm.common import bucket_of
@@ -43,6 +46,85 @@ def test_document_frequencies_cover_all(spark):
     assert np.array_equal(df_, sum((langid.counts(t) > 0).astype(int) for t in ("ab", "ab", "zz", "")))
 
 
+def plain_counts(text):
+    """The hashed n-grams of a text one by one, in whole numbers."""
+    out, points, m32 = Counter(), [ord(c) for c in text.lower()], 2**32 - 1
+    for i in range(len(points)):
+        h = 0
+        for n in range(min(langid.ORDERS, len(points) - i)):
+            h = (h ^ (points[i + n] + n + 1)) * int(langid.MIX[n]) & m32
+            h ^= h >> 15
+            out[(h * int(langid.MIX[0]) & m32) >> (32 - langid.BITS)] += 1
+    return out
+
+
+def test_counts_equal_a_plain_loop():
+    for text in ("", "a", "Ab", "naïve café 🙂 Ω", "the of and to " * 20):
+        got = langid.counts(text)
+        assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == plain_counts(text)
+
+
+def plain_ftrl(rows, classes, alpha=0.5, beta=1.0, l1=0.02, l2=0.5, epochs=4, seed=7):
+    """Follow-the-regularised-leader, a coordinate at a time."""
+    z, n, bias = defaultdict(float), defaultdict(float), langid.SIZE
+
+    def weight(i, c):
+        pull = 0.0 if i == bias else l1
+        if abs(z[i, c]) <= pull:
+            return 0.0
+        return -(z[i, c] - math.copysign(pull, z[i, c])) / ((beta + math.sqrt(n[i, c])) / alpha + l2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            y, at, x = rows[k]
+            given = [*zip(at.tolist(), x.tolist()), (bias, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in given for c in range(classes)}
+            e = [math.exp(sum(v * w[i, c] for i, v in given)) for c in range(classes)]
+            for c in range(classes):
+                for i, v in given:
+                    g = v * (e[c] / sum(e) - (c == y))
+                    step = (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / alpha
+                    z[i, c] += g - step * w[i, c]
+                    n[i, c] += g * g
+    return weight
+
+
+def test_ftrl_equals_a_plain_version():
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(60):
+        at = np.unique(rng.integers(0, 25, rng.integers(1, 7)))
+        rows.append((int(rng.integers(0, 3)), at, rng.random(len(at))))
+    weights, bias = langid.ftrl(rows, 3)
+    plain = plain_ftrl(rows, 3)
+    for c in range(3):
+        assert bias[c] == pytest.approx(plain(langid.SIZE, c))
+        assert [weights[i, c] for i in range(25)] == pytest.approx([plain(i, c) for i in range(25)])
+    assert 0 < np.count_nonzero(weights) < weights.size
+
+
+def test_predictions_equal_a_plain_softmax(spark):
+    rng = random.Random(5)
+    rows = [(i, speech(lang, rng.randrange(1, 50), rng), lang) for i in range(120) for lang in [rng.choice(list(WORDS))]] + [(500, "x" * 300_000 + " the of and", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    got = {r["doc_id"]: r for r in collected(langid.predict(df, model))}
+    for i, text, _ in rows:
+        x = {k: math.log(1 + n) * model.idf[k] for k, n in plain_counts(text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        logit = [(sum(v / norm * model.weights[k, c] for k, v in x.items()) + model.bias[c]) / model.temperature for c in range(3)]
+        p = [math.exp(v - max(logit)) for v in logit]
+        best = max(range(3), key=lambda c: p[c])
+        assert got[i]["lang_pred"] == model.langs[best] and got[i]["score"] == pytest.approx(p[best] / sum(p), abs=1e-4)
+
+
+def test_rare_languages_are_not_learned(spark):
+    rows = [(i, f"some words {i}", "en" if i < 30 else f"junk{i}" if i < 60 else "de") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(df).langs == ["de", "en"] and langid.train(df, most_langs=1).langs == ["en"] and langid.train(df, least_docs=100).langs == []
+
+
 def test_temperature_lowers_the_loss():
     rng = np.random.default_rng(3)
     y = rng.integers(0, 3, 400)
