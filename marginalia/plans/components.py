@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al. 2014).
 
 Each step is two shuffles of the edge list.  Per-node minima are combined on the map
-side first, and the joins are plain equi-joins, so adaptive execution can split a node
-with very many edges.  Nothing is collected: the driver sees one checksum row a round.
+side first.  A node with very many edges makes one key of the join hot: both sides of
+that join come straight from an exchange (``splittable_join``), the shape that adaptive
+execution can split.  Nothing is collected: the driver sees one checksum row a round.
 """
 
 from __future__ import annotations
@@ -13,15 +14,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def splittable_join(rows: DataFrame, totals: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``totals``, an aggregate by ``key`` (a long), so that adaptive execution can split a hot key.
+
+    An aggregate already lies partitioned by its key, and the planner would join it as it
+    is; but it splits a skewed partition only where both sides of the join are exchanges.
+    A second key, a function of the first, makes it put one there.
+    """
+    also = f"_{key}_again"
+    return rows.withColumn(also, F.bitwise_not(F.col(key))).join(totals.withColumn(also, F.bitwise_not(F.col(key))), [key, also], how).drop(also)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return splittable_join(both, least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = splittable_join(edges, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 

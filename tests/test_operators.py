@@ -16,7 +16,7 @@ from marginalia.operators import providers as P
 from marginalia.operators import search as S
 from marginalia.operators import segment as G
 from marginalia.operators.tagging import infer_tags
-from marginalia.plans.components import connected_components
+from marginalia.plans.components import connected_components, splittable_join
 
 
 def rows(df):
@@ -112,6 +112,22 @@ def test_components_equal_union_find(spark, put):
         assert got == {x: root(x) for x in up}
 
 
+def test_a_node_of_very_many_edges_is_split(spark, put):
+    """Adaptive execution must find the join of a hot key in the shape that it can split."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        edges = put(spark.range(1, 60_000).selectExpr("if(id % 3 = 0, id, 0) AS a", "id + 100000 AS b").repartition(8), "hot")
+        joined = splittable_join(edges, edges.groupBy("a").agg(F.min("b").alias("m")), "a")
+        assert len(joined.collect()) == 59_999
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 # Neighbours -----------------------------------------------------------------------------------
 
 
