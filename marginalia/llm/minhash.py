@@ -10,16 +10,18 @@ link.  What is left is compared on full sets.
 Only the components matter, so the pairs of a bucket aren't all formed.  First each
 class of a bucket is compared with the bucket's smallest class; linked classes become
 one component.  Then only classes of one bucket that are still in different components
-are compared, in blocks of bounded size, and pairs that pass both sketches are
-confirmed.  Every candidate pair thus ends in one component or was compared.
+are compared, in blocks of bounded size: those outside the bucket's largest component
+with each other and with it.  Pairs that pass both sketches are confirmed.  Every
+candidate pair thus ends in one component or was compared.
 
 With 36 bands of 8 rows a link of similarity 0.85 fails to be a candidate with a
 chance of about 1 in 100,000, one of 0.9 with 1 in 10**9.
 
 Edge cases: null and empty texts, and texts without words, have the empty set and are
 linked with nothing; a row whose doc_id stands in other rows too is placed by its own
-text; rows without doc_id have no component and aren't kept; an empty table gives an empty
-result; other columns of the input play no part.
+text; rows without doc_id have no component and aren't kept; very long texts are
+shingled whole, a batch at a time; an empty table gives an empty result; other columns,
+also of the names used here, play no part.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import Stage, small_batches, table
 from marginalia.llm.shingles import Shingler, mix
-from marginalia.plans.components import connected_components
+from marginalia.plans.components import connected_components, splittable_join
 
 #: Ids that a semi-join may broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -246,8 +248,8 @@ def near_duplicates(docs: DataFrame, s: Setting = Setting(), id_col: str = "doc_
     entries = classes.select("rep", F.posexplode("bands").alias("band", "key"))
 
     # 1. each class against the smallest of its buckets
-    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    star = entries.join(hubs.select("key", "hub"), "key").where("rep <> hub").select(F.col("rep").alias("b"), F.col("hub").alias("a")).distinct()
+    hubs = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
+    star = splittable_join(entries, hubs, "key").where("rep <> hub").select(F.col("rep").alias("b"), F.col("hub").alias("a")).distinct()
     words = s.set_bits // 64
     slim = classes.select("rep", "n_shingles", "sample", F.when(F.size("whole") == words, F.col("whole")).otherwise(_fold("whole", words)).alias("whole"))
     sides = [slim.select(F.col("rep").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("n_shingles", "sample", "whole"))) for c in "ab"]
@@ -260,12 +262,16 @@ def near_duplicates(docs: DataFrame, s: Setting = Setting(), id_col: str = "doc_
 
     # 2. what is left between different components of one bucket
     placed = entries.join(one.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "band", "key", F.coalesce("component", "rep").alias("comp"))
-    placed = stage.put(placed.join(hubs.select("key"), "key", "left_semi"), "placed")
-    mixed = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    split = mixed.select("key", n_blocks.alias("nb"))
-    member = placed.join(split, "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("nb")).cast("int"))
-    spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "band", "rep", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    placed = stage.put(splittable_join(placed, hubs.select("key"), "key", "left_semi"), "placed")
+    # pairs inside the largest component of a bucket needn't be compared, so its members (blocks from ``na`` on) meet
+    # only blocks of the others (0 to ``na`` - 1), which meet each other too
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("top"))
+    n_blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    mixed = sizes.where("comps > 1").select("key", F.col("top.comp").alias("big"), n_blocks(F.col("m") - F.col("top.m")).alias("na"), n_blocks(F.col("top.m")).alias("nb"))
+    member = splittable_join(placed, mixed, "key").withColumn("h", F.xxhash64("rep", F.lit(5)))
+    member = member.withColumn("own", F.when(F.col("comp") == F.col("big"), F.col("na") + F.pmod("h", "nb")).otherwise(F.pmod("h", "na")).cast("int"))
+    last = F.when(F.col("own") < F.col("na"), F.col("na") + F.col("nb")).otherwise(F.col("na")) - 1
+    spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("key", "band", "rep", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     full = spread.join(classes.select("rep", F.col("n_shingles").alias("n"), "bands", "sample", "whole"), "rep")
     dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     pairs = dealt.mapInArrow(lambda batches: _compare(batches, s), "a long, b long").distinct()
