@@ -201,29 +201,38 @@ def cite_quality(cite: Column, year: Column) -> Column:
     return F.when(F.coalesce(cite, F.lit("")) == "", 0.0).otherwise(within_unit(score))
 
 
+# Fixed value: a block label in front of a tag.
+BLOCK_LABEL = r"^[A-Z0-9 ]{3,15}---"
+
+
 def noisy_tag(tag: Column, phrase: str = "insert") -> Column:
     """Tags that a rewrite should look at: leaked markers, a placeholder phrase, or a block label in front."""
-    return F.contains(tag, F.lit("<<")) | F.contains(F.lower(tag), F.lit(phrase)) | tag.rlike(r"^[A-Z0-9 ]{3,15}---")
+    return F.contains(tag, F.lit("<<")) | F.contains(F.lower(tag), F.lit(phrase)) | tag.rlike(BLOCK_LABEL)
 
 
-# First names that go whatever their length; others go if shorter than eight letters.
+# First names that go whatever their length (others go if shorter than eight letters), and the patterns of short cites.
 FIRST_NAMES = ("Steve", "Lauren", "Jordan", "Chris", "Mark", "Anna", "Pete", "Tony")
+COMMA_SPACE = r"(?U),\s+"
+ET_AL = r"(?iU)\bet\.\s+al\b"
+TRAILING = r"(?U)[,;\s]+$"
+TWO_AUTHORS = r"(?U)\b(\w+)\s+and\s+(\w+)\s*,?\s*(\d)"
+FIRST_AND_LAST = r"(?U)^([A-Z][a-z]+)\s+([A-Z][\w'’\-]+(?:\s+(?:&|and|et\s+al\.?)\s+[A-Z][\w'’\-]+)?)\s*[,\s]\s*(\S.*)$"
+YEAR_OR_DATE = r"(?U)\s*['’]?\d{1,4}(?:[/\-]\d{1,2}(?:[/\-]\d{2,4})?)?$"
 
 
 def cleaned_cite(c: Column) -> Column:
-    """A short cite in one form: spaces, ``et al.``, no trailing marks, an ampersand between two authors, no first name."""
-    c = F.regexp_replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), r"\bet\.? al\b\.?", "et al.")
-    c = strip(squeeze(F.regexp_replace(c, r"[\s,;:]+$", "")))
-    c = F.regexp_replace(c, r"(?U)\b(\w+)\s+and\s+(\w+)\s*,?\s*(\d)", "$1 & $2 $3")
-    named = r"(?U)^([A-Z][a-z]+)\s+([A-Z][\w'’\-]+(?:\s+(?:&|and|et\s+al\.?)\s+[A-Z][\w'’\-]+)?)\s*[,\s]\s*(\S.*)$"
-    first = F.regexp_extract(c, named, 1)
+    """A short cite in one form: plain spaces, no comma before a space, ``et al.``, no trailing marks, an ampersand between two authors, no first name."""
+    c = F.regexp_replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), COMMA_SPACE, " ")
+    c = strip(squeeze(F.regexp_replace(F.regexp_replace(c, ET_AL, "et al."), TRAILING, "")))
+    c = F.regexp_replace(c, TWO_AUTHORS, "$1 & $2 $3")
+    first = F.regexp_extract(c, FIRST_AND_LAST, 1)
     short = (first != "") & (first.isin(*FIRST_NAMES) | (F.length(first) < 8))
-    return F.when(short, F.concat_ws(" ", F.regexp_extract(c, named, 2), F.regexp_extract(c, named, 3))).otherwise(c)
+    return F.when(short, strip(F.concat_ws(" ", F.regexp_extract(c, FIRST_AND_LAST, 2), F.regexp_extract(c, FIRST_AND_LAST, 3)))).otherwise(c)
 
 
 def author_without_year(c: Column) -> Column:
-    """The author part of a short cite: a year at its end goes."""
-    return strip(F.regexp_replace(c, r"[,\s]*['’]?\d{2,4}\s*$", ""))
+    """The author part of a short cite: a year or a date at its end goes."""
+    return strip(F.regexp_replace(c, YEAR_OR_DATE, ""))
 
 
 def valid_nickname(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import spans as S
 from marginalia.functions import text as T
-from marginalia.plans.components import connected_components
+from marginalia.plans.components import connected_components, splittable_join
 
 # Limits of the decision rules.
 MARGIN, SCORE_FLOOR, GOOD_ENOUGH = 1.10, 0.50, 0.55
+CLUSTER_PAGE = 25
 MARKUP_FLOOR, TIGHT_MARKUP_FLOOR, TAG_SAME, TAG_FLOOR = 0.80, 0.50, 0.85, 0.30
 
 
@@ -30,9 +32,18 @@ def card_score(tag: Column, source_file: Column, cite: Column, year: Column, wik
 
 def clusters(pairs: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """``card_id, cluster, size`` of the components of a pair list (a, b), of two cards at least."""
-    found = connected_components(pairs, put)
-    size = F.count("*").over(Window.partitionBy("component"))
-    return found.select(F.col("node").alias("card_id"), F.col("component").alias("cluster"), size.alias("size"))
+    found = connected_components(pairs, put).select(F.col("node").alias("card_id"), F.col("component").alias("cluster"))
+    return splittable_join(found, found.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("card_id", "cluster", "size")
+
+
+def cluster_page(clustered: DataFrame, number: int = 1, size: int = CLUSTER_PAGE) -> DataFrame:
+    """``page, pages, place, cluster, size``: one page of clusters, the largest first, then the smallest id; pages beyond the last show it."""
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("size"))
+    pages = max(1, math.ceil(sizes.count() / size))
+    page = min(max(1, number), pages)
+    shown = sizes.orderBy(F.col("size").desc(), "cluster").offset((page - 1) * size).limit(size)
+    place = F.row_number().over(Window.orderBy(F.col("size").desc(), "cluster")) + (page - 1) * size  # of one page's rows
+    return shown.select(F.lit(page).alias("page"), F.lit(pages).alias("pages"), place.alias("place"), "cluster", "size")
 
 
 def source_clusters(cards: DataFrame, least: int = 2) -> DataFrame:
@@ -53,7 +64,8 @@ def subclusters(members: DataFrame, put: Callable[[DataFrame, str], DataFrame],
     left, right = (words.select("cluster", "word", F.col("card_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     met = left.join(right, ["cluster", "word"]).where("a < b").groupBy("cluster", "a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     alike = met.where(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")) >= floor).select("a", "b")
-    bare = sized.where("n = 0").withColumn("b", F.min("card_id").over(Window.partitionBy("cluster"))).where("card_id <> b").select(F.col("card_id").alias("a"), "b")
+    empty = sized.where("n = 0").select("cluster", "card_id")
+    bare = empty.join(empty.groupBy("cluster").agg(F.min("card_id").alias("b")), "cluster").where("card_id <> b").select(F.col("card_id").alias("a"), "b")
     parts = connected_components(alike.union(bare), put)
     return members.select("cluster", "card_id").join(parts, F.col("card_id") == F.col("node"), "left").select("cluster", "card_id", F.coalesce("component", "card_id").alias("sub"))
 

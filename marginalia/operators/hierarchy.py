@@ -1,12 +1,14 @@
 """A forest of tags: closure, subtree totals, sidebar.
 
 The closure is built by doubling: each round joins paths to paths, so a tree of depth d
-takes log2(d) rounds.  Nodes on a cycle have no root and vanish; a node whose parent is
-missing is a root.
+takes log2(d) rounds.  Nodes on a cycle have no root and vanish, with what hangs on them;
+a node whose parent is missing is a root.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,27 +20,51 @@ def roots(tags: DataFrame) -> DataFrame:
     return t.join(known, t["parent_id"] == known["p"], "left").select("tag_id", F.col("p").alias("parent_id"))
 
 
-def closure(tags: DataFrame, most_depth: int = 64) -> DataFrame:
-    """``ancestor, descendant, depth``, each node below itself at depth 0; nodes on cycles and below them have only that row or none from the cycle."""
-    edges = roots(tags)
-    level = edges.where("parent_id is null").select(F.col("tag_id").alias("root"), F.col("tag_id").alias("node"), F.array("tag_id").alias("path"))
-    every = level
-    for _ in range(most_depth):
-        level = level.join(edges.withColumnRenamed("tag_id", "child"), F.col("node") == F.col("parent_id")).select("root", F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path"))
-        if level.isEmpty():
+def closure(tags: DataFrame, put: Callable[[DataFrame, str], DataFrame] | None = None, most_rounds: int = 40) -> DataFrame:
+    """``ancestor, descendant, depth``, each node below itself at depth 0; nodes on cycles and below them have no row.
+
+    ``put(df, name)`` stores a round's table where all executors see it; without it rounds
+    are checkpointed in ``spark.checkpoint.dir``.  Depths beyond 2 ** most_rounds can only
+    come from an endless input and raise.
+    """
+    put = put or checkpointed(tags)
+    edges = put(roots(tags), "edges")
+    parents = edges.where("parent_id is not null").select(F.col("parent_id").alias("ancestor"), F.col("tag_id").alias("descendant"), F.lit(1).alias("depth"))
+    n = edges.count()
+    # steps: pairs exactly 2 ** k apart; every: pairs up to that
+    every = put(edges.select(F.col("tag_id").alias("ancestor"), F.col("tag_id").alias("descendant"), F.lit(0).alias("depth")).union(parents), "every-0")
+    steps = put(parents, "steps-0")
+    for k in range(1, most_rounds + 1):
+        if steps.isEmpty() or 2 ** (k - 1) > n:  # chains longer than the number of nodes run in a cycle
             break
-        every = every.union(level)
-    up = every.select("node", F.posexplode("path").alias("k", "ancestor"), F.size("path").alias("n"))
-    return up.select("ancestor", F.col("node").alias("descendant"), (F.col("n") - 1 - F.col("k")).alias("depth"))
+        up = steps.select(F.col("descendant").alias("_m"), F.col("ancestor").alias("_a"), F.col("depth").alias("_d"))
+        further = every.where("depth > 0").join(up, F.col("ancestor") == F.col("_m")).select(F.col("_a").alias("ancestor"), "descendant", (F.col("depth") + F.col("_d")).alias("depth"))
+        next_steps = steps.join(up, F.col("ancestor") == F.col("_m")).select(F.col("_a").alias("ancestor"), "descendant", (F.col("depth") + F.col("_d")).alias("depth"))
+        every, steps = put(every.union(further), f"every-{k}"), put(next_steps, f"steps-{k}")
+    else:
+        raise ValueError(f"the hierarchy is deeper than 2 ** {most_rounds}")
+    # what still has an ancestor as many steps away as there are nodes hangs on a cycle
+    endless = steps.select(F.col("descendant").alias("_e")).distinct()
+    return every.join(endless, F.col("descendant") == F.col("_e"), "left_anti")
+
+
+def checkpointed(df: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """A ``put`` by reliable checkpoints; a session without a folder for them (a local one) keeps the lineage."""
+    known = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return lambda rows, name: rows.checkpoint() if known else rows
 
 
 def descendants(spark: SparkSession, view: str, root: int) -> DataFrame:
-    """The subtree of one node by a recursive query over a view of (tag_id, parent_id); duplicates end a cycle."""
+    """The subtree of one node by a recursive query over a view of (tag_id, parent_id); duplicates end a cycle.
+
+    No path without a repeat has more steps than the view has rows, so that is the limit.
+    """
+    n = spark.table(view).count()
     return spark.sql(f"""
-        WITH RECURSIVE sub(tag_id, depth) AS (
+        WITH RECURSIVE sub(tag_id, depth) MAX RECURSION LEVEL {n + 2} AS (
             SELECT tag_id, 0 FROM {view} WHERE tag_id = {int(root)}
             UNION ALL
-            SELECT t.tag_id, s.depth + 1 FROM {view} t JOIN sub s ON t.parent_id = s.tag_id WHERE s.depth < 64
+            SELECT t.tag_id, s.depth + 1 FROM {view} t JOIN sub s ON t.parent_id = s.tag_id WHERE s.depth < {n}
         ) SELECT tag_id, min(depth) AS depth FROM sub GROUP BY tag_id""")
 
 

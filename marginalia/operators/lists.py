@@ -1,10 +1,16 @@
-"""Ordered lists: grouping by header, headings from path differences, moves and appends."""
+"""Ordered lists: grouping by header, headings from path differences, moves, appends, and commands on whole lists."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import strip
+from marginalia.operators.changes import number_from
+
+#: The name of a list that nobody named.
+DEFAULT_NAME = "My Workspace"
+
 
 def islands(entries: DataFrame, list_col: str, position_col: str, path_col: str) -> DataFrame:
     """``entries`` with ``island``, counted from 1: successive entries of one path share a number."""
@@ -56,6 +62,63 @@ def remove(entries: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     return entries.join(gone.select(F.col(id_col).alias("_g")), F.col(id_col) == F.col("_g"), "left_anti")
 
 
+def clear(entries: DataFrame, lists: DataFrame, list_col: str = "workspace_id") -> DataFrame:
+    """Without any entry of the named lists; the lists themselves stay."""
+    return entries.join(lists.select(F.col(list_col).alias("_g")).distinct(), F.col(list_col) == F.col("_g"), "left_anti")
+
+
+def create(lists: DataFrame, new: DataFrame) -> DataFrame:
+    """``lists`` (workspace_id, user_id, name) and those of ``new`` (user_id, name); a blank name becomes the default."""
+    top = lists.agg(F.max("workspace_id")).first()[0] or 0
+    named = new.select(named_or(F.col("name"), DEFAULT_NAME).alias("name"), "user_id")
+    return lists.select("workspace_id", "user_id", "name").unionByName(number_from(named, top, ["name", "user_id"], "workspace_id").select("workspace_id", "user_id", "name"))
+
+
+def rename(lists: DataFrame, wishes: DataFrame) -> DataFrame:
+    """``wishes``: workspace_id, user_id, name.  Only an owner's wish counts; a blank name becomes Untitled."""
+    told = wishes.select(F.col("workspace_id").alias("_w"), F.col("user_id").alias("_u"), named_or(F.col("name"), "Untitled").alias("_n"))
+    mine = (F.col("workspace_id") == F.col("_w")) & (F.col("user_id") == F.col("_u"))
+    return lists.join(told, mine, "left").withColumn("name", F.coalesce("_n", "name")).drop("_w", "_u", "_n")
+
+
+def delete(lists: DataFrame, users: DataFrame, wishes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists and users (user_id, current_workspace_id) after ``wishes`` (workspace_id, user_id), of which only an owner's count.
+
+    A user who is left without a list gets a new one; one whose current list went, or who
+    had none, gets the first of those left.
+    """
+    gone = lists.join(wishes.select("workspace_id", "user_id").distinct(), ["workspace_id", "user_id"], "left_semi")
+    left = lists.select("workspace_id", "user_id", "name").join(gone.select("workspace_id"), "workspace_id", "left_anti")
+    asked = gone.select("user_id").distinct()
+    bare = asked.join(left, "user_id", "left_anti").select("user_id", F.lit(DEFAULT_NAME).alias("name"))
+    top = lists.agg(F.max("workspace_id")).first()[0] or 0
+    kept = left.unionByName(number_from(bare, top, ["name", "user_id"], "workspace_id").select("workspace_id", "user_id", "name"))
+    first = kept.join(asked, "user_id", "left_semi").groupBy("user_id").agg(F.min("workspace_id").alias("_first"))
+    out = users.join(first, "user_id", "left").join(gone.select(F.col("workspace_id").alias("_g")), F.col("current_workspace_id") == F.col("_g"), "left")
+    lost = F.col("_g").isNotNull() | F.col("current_workspace_id").isNull()
+    return kept, out.withColumn("current_workspace_id", F.when(lost & F.col("_first").isNotNull(), F.col("_first")).otherwise(F.col("current_workspace_id"))).select(users.columns)
+
+
+def select_list(users: DataFrame, lists: DataFrame, wishes: DataFrame) -> DataFrame:
+    """Users with the list of their wish (user_id, workspace_id) as the current one, if it is theirs."""
+    own = wishes.join(lists.select("workspace_id", "user_id"), ["workspace_id", "user_id"], "left_semi").groupBy("user_id").agg(F.max("workspace_id").alias("_wish"))
+    return users.join(own, "user_id", "left").withColumn("current_workspace_id", F.coalesce("_wish", "current_workspace_id")).select(users.columns)
+
+
+def named_or(name: Column, otherwise: str) -> Column:
+    bare = strip(F.coalesce(name, F.lit("")))
+    return F.when(bare == "", F.lit(otherwise)).otherwise(bare)
+
+
+def revert(entries: DataFrame, variants: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries and variants after the chosen entries (entry_id) went back to their card's own mark-up; their variants go."""
+    hit = entries.join(chosen.select("entry_id").distinct(), "entry_id", "left_semi")
+    gone = hit.where("variant_id is not null").select(F.col("variant_id").alias("_v")).distinct()
+    mark = chosen.select(F.col("entry_id").alias("_e")).distinct()
+    out = entries.join(mark, F.col("entry_id") == F.col("_e"), "left").withColumn("variant_id", F.when(F.col("_e").isNull(), F.col("variant_id"))).drop("_e")
+    return out, variants.join(gone, F.col("variant_id") == F.col("_v"), "left_anti")
+
+
 def effective_markup(entries: DataFrame, variants: DataFrame, cards: DataFrame) -> DataFrame:
     """``entry_id, card_id, card_text, markup``: a list's own mark-up where it has one, else the card's."""
     v = variants.select(F.col("variant_id").alias("_v"), F.col("markup").alias("_vm"))

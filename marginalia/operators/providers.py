@@ -6,6 +6,10 @@ on executors in batches; a failed batch gives nulls or empty lists, never an err
 
 from __future__ import annotations
 
+import functools
+import inspect
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,8 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.operators.neighbours import blocks_of, nearest_to
+
 DIMENSIONS = 512
-BATCH = 128
+BATCH, PER_CALL = 128, 15
 MOST_TAGS = 4
 # How much of a text each kind of request may show.
 CUT = {"tagging": 1500, "review": 1000, "sample": 800, "rewrite": 1100, "batch": 1200, "tag": 200}
@@ -54,6 +60,16 @@ def embed(rows: DataFrame, text_col: str, provider: Callable[[list[str]], list]
     return rows.withColumn(vector_col, fill(F.col(text_col), F.col(vector_col).cast("array<double>")))
 
 
+def as_kind(kind: str, provider: Callable[..., list] = hashed_embedding) -> Callable[[list[str]], list]:
+    """A provider that tells documents and queries apart, fixed to one of them; one that doesn't is used as it is.
+
+    Documents are embedded for storage and queries for the search; models may do the two differently.
+    """
+    if kind not in ("document", "query"):
+        raise ValueError(f"no kind of embedding: {kind}")
+    return functools.partial(provider, kind=kind) if "kind" in inspect.signature(provider).parameters else provider
+
+
 def query_vector(text: str, provider: Callable[[list[str]], list] = hashed_embedding) -> list[float] | None:
     """The query's vector, or None if the provider fails: the search then goes by words alone."""
     try:
@@ -96,6 +112,59 @@ def propose(rows: DataFrame, prompt: Column, provider: Callable[[list[str]], lis
     return rows.withColumn("tags", F.coalesce(parse_slugs(ask(prompt), vocabulary), F.array().cast("array<string>")))
 
 
+def batch_prompt(cards: list[dict]) -> str:
+    """What one call about several cards asks: id, tag and the first part of the body of each."""
+    return "\n\n".join(f"card {c['id']}\ntag: {(c['tag'] or '')[: CUT['tag']]}\nbody: {(c['body'] or '')[: CUT['batch']]}" for c in cards)
+
+
+def propose_batched(cards: DataFrame, provider: Callable[[str], str | None], vocabulary: list[str], per_call: int = PER_CALL, most: int = MOST_TAGS) -> DataFrame:
+    """``id, tags`` of cards (id, tag, body), ``per_call`` of them a call; a failed call, or a card that the reply leaves out, has null tags and can be asked again."""
+    known = set(vocabulary)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in blocks_of(pdfs, per_call):
+            rows = part.to_dict("records")
+            try:
+                told = read_batch(provider(batch_prompt(rows)), known, most)
+            except Exception:  # by contract
+                told = {}
+            yield pd.DataFrame({"id": [r["id"] for r in rows], "tags": [told.get(int(r["id"])) for r in rows]})
+
+    return cards.select(F.col("id").cast("long").alias("id"), "tag", "body").mapInPandas(run, "id long, tags array<string>")
+
+
+def read_batch(reply: str | None, known: set[str], most: int = MOST_TAGS) -> dict[int, list[str]]:
+    """The tags of each card in a reply: known ones, in order, each once, ``most`` at most."""
+    found = re.search(r"\{.*\}", reply or "", re.S)
+    told = json.loads(found[0]) if found else {}
+    out = {}
+    for k, v in told.items():
+        if re.fullmatch(r"\s*[+-]?\d+\s*", k) and isinstance(v, list):
+            tags = dict.fromkeys(t for t in (x.strip().lower() for x in v if isinstance(x, str)) if t in known)
+            out[int(k)] = list(tags)[:most]
+    return out
+
+
+def opposed(tag: str) -> str:
+    """The offline inverse claim: the tag denied."""
+    return f"It is not true that {tag.strip().rstrip('.').strip()}."
+
+
+def answers(cards: DataFrame, card_id: int, inverse: Callable[[str], str] = opposed, provider: Callable[..., list] = hashed_embedding, k: int = 8, id_col: str = "card_id", tag_col: str = "tag", vector_col: str = "embedding") -> DataFrame:
+    """``id, distance`` of the k visible cards nearest to the inverse of a card's claim, itself left out; empty if the claim can't be had or embedded."""
+    visible = cards.where("canonical_card_id is null") if "canonical_card_id" in cards.columns else cards
+    row = cards.where(F.col(id_col) == card_id).select(tag_col).first()
+    try:
+        claim = inverse(row[0]) if row and row[0] else None
+    except Exception:  # by contract
+        claim = None
+    vector = query_vector(claim, as_kind("query", provider)) if claim else None
+    if vector is None:
+        return cards.select(F.col(id_col).alias("id"), F.lit(None).cast("double").alias("distance")).limit(0)
+    q = cards.sparkSession.createDataFrame([(card_id, [float(x) for x in vector])], "id long, q array<double>")
+    return nearest_to(visible, q, k, id_col, vector_col)
+
+
 def needs_tiebreak(decisions: DataFrame, low: float = 0.50, high: float = 0.55) -> DataFrame:
     """Parts skipped for a tight margin whose winner is nearly good enough."""
     return decisions.where((F.col("skip_reason") == "margin too tight") & (F.col("winner_score") >= low) & (F.col("winner_score") < high))

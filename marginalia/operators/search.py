@@ -161,7 +161,7 @@ def tagged(cards: DataFrame, links: DataFrame, closure: DataFrame, tags: DataFra
     if root is None:
         return cards
     below = closure.where(F.col("ancestor") == root["tag_id"]).select(F.col("descendant").alias("tag_id"))
-    ids = links.join(F.broadcast(below), "tag_id", "left_semi").select(F.col("card_id").alias("_c"))
+    ids = links.join(below, "tag_id", "left_semi").select(F.col("card_id").alias("_c"))
     return cards.join(ids, cards[id_col] == F.col("_c"), "left_semi")
 
 

@@ -1,4 +1,4 @@
-"""Document segmentation: paragraphs to items, by windows over each file.
+"""Document segmentation: paragraphs to items, by a walk over each file.
 
 A fourth-level heading opens an item.  Items with a cite paragraph are cards, those
 whose next paragraph is a heading of a higher level are analyticals.
@@ -6,6 +6,7 @@ whose next paragraph is a heading of a higher level are analyticals.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,10 @@ HEADINGS = tuple(f"Heading {k}" for k in range(1, 5))
 
 
 def carry_headings(paragraphs: DataFrame, file_col: str = "file") -> DataFrame:
-    """With ``h1, h2, h3``: the headings in force; a new one ends those below it."""
+    """With ``h1, h2, h3``: the headings above each paragraph; a new one ends those below it.
+
+    ``items`` differs in one point: a heading that it passes over as part of an item isn't in force.
+    """
     w = Window.partitionBy(file_col).orderBy("idx")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     level = lambda k: F.col("style") == f"Heading {k}"
@@ -30,27 +34,57 @@ def carry_headings(paragraphs: DataFrame, file_col: str = "file") -> DataFrame:
     return out.drop("_n1", "_n2")
 
 
+ITEM = "kind string, tag_idx int, cite_idx int, body_start int, body_end int, h1 string, h2 string, h3 string"
+
+
+def _walk(rows: pd.DataFrame) -> list[tuple]:
+    """Items of one file.  An item takes all up to the next heading, so what it passes over opens and titles nothing."""
+    rows = rows.sort_values("idx", kind="stable")
+    idx, level, filled, title = rows.idx.tolist(), rows.level.tolist(), rows.filled.tolist(), rows.title.tolist()
+    n = len(idx)
+    content, stop = [n] * (n + 1), [n] * (n + 1)  # from each place on: the next filled paragraph, the next heading
+    for i in range(n - 1, -1, -1):
+        content[i] = i if filled[i] else content[i + 1]
+        stop[i] = i if level[i] else stop[i + 1]
+    force: dict[int, str | None] = {1: None, 2: None, 3: None}
+    out, i = [], 0
+    while i < n:
+        k = level[i]
+        if k in force:
+            force.update({j: title[i] if j == k else None for j in force if j >= k})
+        elif k == 4:
+            j, tag = content[i + 1], title[i]
+            hollow = tag.startswith("(") and tag.endswith(")") and "INSERT" in tag.upper()
+            plan = (force[3] or "").strip().lower() in PLAN_HEADERS
+            if not (hollow or plan or j == n or level[j] == 4):
+                end = stop[j + 1]
+                card = not level[j]
+                last = idx[end] - 1 if end < n else idx[-1]
+                out.append(("card" if card else "analytical", idx[i], *((idx[j], idx[j] + 1, last) if card else (None, None, None)), force[1], force[2], force[3]))
+                i = end
+                continue
+        i += 1
+    return out
+
+
 def items(paragraphs: DataFrame, file_col: str = "file") -> DataFrame:
-    """``file, kind, tag_idx, cite_idx, body_start, body_end, h1, h2, h3``; paragraphs: file, idx, style, text, has_runs."""
-    filled = (strip(F.coalesce("text", F.lit(""))) != "") | F.coalesce("has_runs", F.lit(False))
-    head = F.coalesce(F.col("style").isin(*HEADINGS), F.lit(False))
-    after = Window.partitionBy(file_col).orderBy("idx").rowsBetween(1, Window.unboundedFollowing)
-    seen = carry_headings(paragraphs, file_col)
-    seen = seen.withColumn("_next", F.min(F.when(filled, F.struct("idx", "style"))).over(after)).withColumn("_last", F.max("idx").over(Window.partitionBy(file_col)))
-    # the first heading behind the next filled paragraph
-    seen = seen.withColumn("_heads", F.min(F.when(head, F.col("idx"))).over(after))
-    tag = strip(F.coalesce("text", F.lit("")))
-    placeholder = F.startswith(tag, F.lit("(")) & F.endswith(tag, F.lit(")")) & F.contains(F.upper(tag), F.lit("INSERT"))
-    kept = seen.where((F.col("style") == "Heading 4") & ~placeholder & F.col("_next").isNotNull() & ~F.coalesce(F.col("_next.style") == "Heading 4", F.lit(False)))
-    kept = kept.where(~F.coalesce(F.lower(strip(F.col("h3"))).isin(*PLAN_HEADERS), F.lit(False)))
-    card = ~F.coalesce(F.col("_next.style").isin(*HEADINGS), F.lit(False))
-    # blank paragraphs before the cite can carry a heading style; the body ends at the first heading after the cite
-    stops = paragraphs.where(head).select(F.col(file_col).alias("_f"), F.col("idx").alias("_stop"))
-    ends = kept.join(stops, (F.col(file_col) == F.col("_f")) & (F.col("_stop") > F.col("_next.idx")), "left").groupBy(F.col(file_col).alias("_f2"), F.col("idx").alias("_i")).agg(F.min("_stop").alias("_stop"))
-    out = kept.join(ends, (F.col(file_col) == F.col("_f2")) & (F.col("idx") == F.col("_i")))
-    cite = F.col("_next.idx")
-    only = lambda c: F.when(card, c)
-    return out.select(file_col, F.when(card, "card").otherwise("analytical").alias("kind"), F.col("idx").alias("tag_idx"), only(cite).alias("cite_idx"), only(cite + 1).alias("body_start"), only(F.coalesce(F.col("_stop") - 1, F.col("_last"))).alias("body_end"), "h1", "h2", "h3")
+    """``file, kind, tag_idx, cite_idx, body_start, body_end, h1, h2, h3``; paragraphs: file, idx, style, text, has_runs.
+
+    Whether a heading counts depends on the items before it, and those on the headings, so
+    each file is walked once, in one task; only the headings' titles go there.
+    """
+    bare = strip(F.coalesce("text", F.lit("")))
+    level = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for k, h in enumerate(HEADINGS, 1) for x in (h, k))), F.coalesce("style", F.lit(""))), F.lit(0))
+    narrow = paragraphs.select(F.col(file_col).alias("file"), F.col("idx").cast("int").alias("idx"), level.alias("level"), ((bare != "") | F.coalesce("has_runs", F.lit(False))).alias("filled"), F.when(level > 0, bare).otherwise("").alias("title"))
+    kind = dict(paragraphs.dtypes)[file_col]
+    names = [c.split()[0] for c in ITEM.split(", ")]
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(_walk(rows), columns=names).astype({c: "Int32" for c in ("tag_idx", "cite_idx", "body_start", "body_end")})
+        found.insert(0, "file", key[0])
+        return found
+
+    return narrow.groupBy("file").applyInPandas(one, f"file {kind}, {ITEM}").withColumnRenamed("file", file_col)
 
 
 def run_spans(runs: Column, base: Column) -> Column:

@@ -85,17 +85,12 @@ def _(spark, d):
     return D.source_clusters(cards)
 
 
-_TAGTEXT = "substr(text, 1, 60)"
-_MEMBERS = f"mem AS (SELECT doc_id AS card_id, doc_id % 40 AS cluster, {_TAGTEXT} AS tag FROM documents WHERE doc_id < 400)"
+# Every document with its whole text, in clusters of ten neighbouring ids: their number grows with the input, not their size.
+_MEMBERS = "mem AS (SELECT doc_id AS card_id, doc_id // 10 AS cluster, text AS tag FROM documents)"
 _JAC = "CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
 
 
 def _members(spark, d):
-    return T.read(spark, d, "documents").where("doc_id < 400").select(F.col("doc_id").alias("card_id"), (F.col("doc_id") % 40).alias("cluster"), F.expr(_TAGTEXT).alias("tag"))
-
-
-def _all_members(spark, d):
-    """Every document with its whole text, in clusters of ten neighbouring ids: their number grows with the input, not their size."""
     return T.read(spark, d, "documents").select(F.col("doc_id").alias("card_id"), F.floor(F.col("doc_id") / 10).alias("cluster"), F.col("text").alias("tag"))
 
 
@@ -110,11 +105,6 @@ def _(spark, d):
     return _tag_pairs(_members(spark, d))
 
 
-@query("tag_token_jaccard_pairs_all", None)
-def _(spark, d):
-    return _tag_pairs(_all_members(spark, d))
-
-
 _SUB = f"""{_MEMBERS}, t AS (SELECT card_id, cluster, {_CONTENT.format('tag')} AS w FROM mem),
 pr AS (SELECT x.card_id AS a, y.card_id AS b FROM t x JOIN t y ON x.cluster = y.cluster AND x.card_id < y.card_id WHERE {_JAC.format(a='x.w', b='y.w')} >= 0.3), {_COMP},
 sub AS (SELECT m.cluster, m.card_id, coalesce(component, m.card_id) AS sub FROM mem m LEFT JOIN comp ON node = m.card_id)"""
@@ -125,17 +115,12 @@ def _(spark, d):
     return D.subclusters(_members(spark, d), putter(spark, "subclusters"))
 
 
-@query("subclusters_all", None)
-def _(spark, d):
-    return D.subclusters(_all_members(spark, d), putter(spark, "subclusters"))
-
-
 _SPANSQL = "(SELECT list({'s': (l_partkey % 100)::INTEGER, 'e': (l_partkey % 100 + l_quantity::INTEGER)::INTEGER, 'k': CASE WHEN l_returnflag = 'N' THEN 'underline' ELSE 'highlight' END}) FROM lineitem WHERE l_orderkey = card_id)"
 
 
-def _decided(spark, d, members=_members):
-    sub = D.subclusters(members(spark, d), putter(spark, "ladder"))
-    scored = members(spark, d).withColumn("score", F.bround(0.4 + (F.col("card_id") * 37 % 23) / 100.0, 4)).drop("cluster")
+def _decided(spark, d):
+    sub = D.subclusters(_members(spark, d), putter(spark, "ladder"))
+    scored = _members(spark, d).withColumn("score", F.bround(0.4 + (F.col("card_id") * 37 % 23) / 100.0, 4)).drop("cluster")
     marked = T.span_lists(spark, d).withColumnRenamed("id", "s_id")
     return D.decide(sub.join(scored, "card_id").join(marked, F.col("card_id") == F.col("s_id"), "left").withColumn("markup", SP.or_none(F.col("spans"))))
 
@@ -149,14 +134,10 @@ f AS (SELECT x.cluster, x.sub, x.size, x.card_id AS winner_id, x.score, x.nx, co
 dd AS (SELECT *, CASE WHEN size < 2 THEN 'singleton' WHEN score < 0.5 THEN 'winner below floor' WHEN nx > 0 AND score / nx < 1.10 AND score < 0.55 THEN 'margin too tight' WHEN mj < CASE WHEN tmax >= 0.85 THEN 0.5 ELSE 0.8 END AND NOT cov THEN 'markup differs' WHEN tmin < 0.3 THEN 'tags differ' END AS skip_reason FROM f)"""
 
 
-@query("decision_ladder", f"{_LADDER} SELECT cluster, sub, size, winner_id, round(score, 4)::DOUBLE AS winner_score, cov AS winner_covers_all, CASE WHEN skip_reason IS NULL THEN 'apply' ELSE 'skip' END AS decision, skip_reason FROM dd")
+@query("decision_ladder", f"{_LADDER} SELECT cluster, sub, size, winner_id, round(score, 4)::DOUBLE AS winner_score, round(CASE WHEN nx > 0 THEN score / nx END, 2)::DOUBLE AS margin, round(mj, 2)::DOUBLE AS min_markup_jaccard, round(tmin, 2)::DOUBLE AS min_tag_jaccard, round(tmax, 2)::DOUBLE AS max_tag_jaccard, cov AS winner_covers_all, CASE WHEN skip_reason IS NULL THEN 'apply' ELSE 'skip' END AS decision, skip_reason FROM dd")
 def _(spark, d):
-    return _decided(spark, d).select("cluster", "sub", "size", "winner_id", F.round("winner_score", 4).alias("winner_score"), "winner_covers_all", "decision", "skip_reason")
-
-
-@query("decision_ladder_all", None)
-def _(spark, d):
-    return _decided(spark, d, _all_members).select("cluster", "sub", "size", "winner_id", F.round("winner_score", 4).alias("winner_score"), "winner_covers_all", "decision", "skip_reason")
+    figures = [F.round(c, 2).alias(c) for c in ("margin", "min_markup_jaccard", "min_tag_jaccard", "max_tag_jaccard")]
+    return _decided(spark, d).select("cluster", "sub", "size", "winner_id", F.round("winner_score", 4).alias("winner_score"), *figures, "winner_covers_all", "decision", "skip_reason")
 
 
 @query("dedup_summary", f"{_LADDER} SELECT count(DISTINCT cluster) AS coarse_clusters, count(*) AS sub_clusters, count(*) FILTER (size = 1) AS singletons, count(*) FILTER (skip_reason IS NULL) AS apply, count(*) FILTER (skip_reason IS NOT NULL) AS skip, coalesce(sum(size - 1) FILTER (skip_reason IS NULL), 0)::BIGINT AS cards_to_hide FROM dd")
@@ -164,11 +145,6 @@ def _(spark, d):
     return D.summary(_decided(spark, d))
 
 
-@query("dedup_summary_all", None)
-def _(spark, d):
-    return D.summary(_decided(spark, d, _all_members))
-
-
 @query("canonical_pick", "SELECT source, doc_id AS winner FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
 def _(spark, d):
     best = T.read(spark, d, "documents").groupBy("source").agg(F.min(F.struct((-F.length("text")).alias("n"), "doc_id")).alias("x"))
@@ -182,15 +158,12 @@ def _(spark, d):
     return D.flatten_chains(c, putter(spark, "chains"))
 
 
-@query("components", "WITH RECURSIVE pr AS (SELECT l_orderkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_orderkey % 3 = 0), bi AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), reach(n, m) AS (SELECT DISTINCT a, a FROM bi UNION SELECT r.n, bi.b FROM reach r JOIN bi ON bi.a = r.m) SELECT n AS node, min(m) AS component FROM reach GROUP BY n")
-def _(spark, d):
-    edges = T.read(spark, d, "lineitem").where("l_quantity >= 50 and l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("a"), (1000000 + F.col("l_partkey")).alias("b"))
-    return connected_components(edges, putter(spark, "components"))
-
-
-@query("components_all", None)
+# Orders are even nodes and parts odd ones, which can't meet at any size.
+@query("components", """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 2 * l_orderkey AS a, 2 * l_partkey + 1 AS b FROM lineitem), bi AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM bi GROUP BY a
+  UNION SELECT bi.a, min(f.component) FROM cc f JOIN bi ON bi.b = f.node JOIN recurring.cc r ON r.node = bi.a WHERE f.component < r.component GROUP BY bi.a)
+SELECT node, component FROM cc""")
 def _(spark, d):
-    # orders as even nodes and parts as odd ones, which can't meet at any size
     edges = T.read(spark, d, "lineitem").select((2 * F.col("l_orderkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b"))
     return connected_components(edges, putter(spark, "components"))
 
@@ -238,6 +211,7 @@ def _(spark, d):
     return _as_text(C.upsert_seen(old, o.where("o_orderkey % 2 = 1")), "first_seen", "last_seen")
 
 
+# The first twenty parts play the rows that exist already; all parts are looked up.
 @query("get_or_create", "WITH old AS (SELECT p_brand, min(p_partkey) AS id FROM part WHERE p_partkey <= 20 GROUP BY 1), new AS (SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM old)) SELECT p_brand, id FROM old UNION ALL SELECT p_brand, 20 + row_number() OVER (ORDER BY p_brand) FROM new")
 def _(spark, d):
     p = T.read(spark, d, "part")
@@ -355,7 +329,7 @@ def _(spark, d):
 # Segmentation --------------------------------------------------------------------------------
 
 _STYLE = "CASE (turn * 7 + conv_id) % 9 WHEN 0 THEN 'Heading 1' WHEN 1 THEN 'Heading 2' WHEN 2 THEN 'Heading 3' WHEN 3 THEN 'Heading 4' WHEN 4 THEN 'Heading 4' ELSE 'Normal' END"
-_TEXT = "CASE WHEN (turn + conv_id) % 6 = 0 THEN '' WHEN (turn * 5 + conv_id) % 11 = 0 THEN 'Perm' WHEN (turn + conv_id) % 13 = 0 THEN '(insert here)' ELSE substr(text, 1, 40) END"
+_TEXT = "CASE WHEN (turn + conv_id) % 6 = 0 THEN '' WHEN (turn * 5 + conv_id) % 11 = 0 THEN 'Perm' WHEN (turn + conv_id) % 13 = 0 THEN '(insert here)' ELSE text END"
 _PARA = f"par AS (SELECT conv_id AS file, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INTEGER AS idx, {_STYLE} AS style, {_TEXT} AS text FROM conversations)"
 
 
@@ -374,10 +348,17 @@ def _(spark, d):
     return G.carry_headings(_paragraphs(spark, d)).select("file", "idx", "h1", "h2", "h3")
 
 
-@query("segment_items", f"""WITH {_HEADS}, nx AS (SELECT a.*, (SELECT min(b.idx) FROM h b WHERE b.file = a.file AND b.idx > a.idx AND b.tx <> '') AS j FROM h a WHERE style = 'Heading 4'),
-it AS (SELECT nx.*, s.style AS js, (SELECT min(b.idx) FROM h b WHERE b.file = nx.file AND b.idx > nx.j AND b.style <> 'Normal') AS k, (SELECT max(b.idx) FROM h b WHERE b.file = nx.file) AS last FROM nx JOIN h s ON s.file = nx.file AND s.idx = nx.j
-  WHERE s.style <> 'Heading 4' AND NOT (tx_is(nx.tx)) AND coalesce(lower(trim(nx.h3)) NOT IN ('plan text', 'plan', 'advocacy text', 'cp text', 'perm', 'alt text', 'advocacy statement'), true))
-SELECT file, CASE WHEN js = 'Normal' THEN 'card' ELSE 'analytical' END AS kind, idx AS tag_idx, CASE WHEN js = 'Normal' THEN j END AS cite_idx, CASE WHEN js = 'Normal' THEN j + 1 END AS body_start, (CASE WHEN js = 'Normal' THEN coalesce(k - 1, last) END)::INTEGER AS body_end, h1, h2, h3 FROM it""".replace("NOT (tx_is(nx.tx))", "NOT (starts_with(nx.tx, '(') AND ends_with(nx.tx, ')') AND contains(upper(nx.tx), 'INSERT'))"))
+# The walk in SQL: a row for each place that it stops at, with the headings in force before it.
+_WALK = rf"""{_PARA}, n AS MATERIALIZED (SELECT file, idx, style, trim(text, E' \t\n\r\x0b\x0c') AS tx, style <> 'Normal' AS head FROM par),
+s AS MATERIALIZED (SELECT n.*, count(*) OVER (PARTITION BY file) AS total, min(CASE WHEN tx <> '' THEN idx END) OVER after AS j, (style = 'Heading 4' AND starts_with(tx, '(') AND ends_with(tx, ')') AND contains(upper(tx), 'INSERT')) AS hollow FROM n WINDOW after AS (PARTITION BY file ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+p AS MATERIALIZED (SELECT s.*, f.style AS js, coalesce((SELECT min(h.idx) FROM n h WHERE h.file = s.file AND h.idx > s.j AND h.head), s.total) AS k FROM s LEFT JOIN n f ON f.file = s.file AND f.idx = s.j),
+r(file, i, h1, h2, h3) AS (SELECT DISTINCT file, 0, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM p
+  UNION ALL SELECT p.file, (CASE WHEN {{0}} THEN p.k ELSE p.idx + 1 END)::INTEGER, CASE WHEN p.style = 'Heading 1' THEN p.tx ELSE r.h1 END, CASE WHEN p.style = 'Heading 2' THEN p.tx WHEN p.style <> 'Heading 1' THEN r.h2 END, CASE WHEN p.style = 'Heading 3' THEN p.tx WHEN p.style NOT IN ('Heading 1', 'Heading 2') THEN r.h3 END FROM r JOIN p ON p.file = r.file AND p.idx = r.i)""".replace("{{0}}", "{0}")
+_OPENS = "(p.style = 'Heading 4' AND NOT p.hollow AND p.j IS NOT NULL AND p.js <> 'Heading 4' AND coalesce(lower(trim(r.h3)) NOT IN ('plan text', 'plan', 'advocacy text', 'cp text', 'perm', 'alt text', 'advocacy statement'), true))"
+
+
+@query("segment_items", f"""WITH RECURSIVE {_WALK.replace('{0}', _OPENS)}
+SELECT p.file, CASE WHEN js = 'Normal' THEN 'card' ELSE 'analytical' END AS kind, idx AS tag_idx, CASE WHEN js = 'Normal' THEN j END AS cite_idx, CASE WHEN js = 'Normal' THEN j + 1 END AS body_start, (CASE WHEN js = 'Normal' THEN k - 1 END)::INTEGER AS body_end, h1, h2, h3 FROM r JOIN p ON p.file = r.file AND p.idx = r.i WHERE {_OPENS}""")
 def _(spark, d):
     return G.items(_paragraphs(spark, d))
 
@@ -385,16 +366,7 @@ def _(spark, d):
 _RULES = (("cap-k", ("capital",)), ("border", ("border", "ice ")), ("perm-debate", ("perm",)), ("ontology", ("onto", "tion")))
 
 
-@query("infer_tags", "WITH x AS (SELECT doc_id, lower(substr(text, 1, 120) || ' ' || source) AS b FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(b, 'capital') THEN 'cap-k' END, CASE WHEN contains(b, 'border') OR contains(b, 'ice ') THEN 'border' END, CASE WHEN contains(b, 'perm') THEN 'perm-debate' END, CASE WHEN contains(b, 'onto') OR contains(b, 'tion') THEN 'ontology' END], lambda t: t IS NOT NULL), ',') AS tags FROM x")
-def _(spark, d):
-    from marginalia.operators.tagging import infer_tags
-
-    none = F.lit(None).cast("string")
-    tags = infer_tags(F.substring("text", 1, 120), none, none, none, F.col("source"), _RULES)
-    return T.read(spark, d, "documents").select("doc_id", F.array_join(tags, ",").alias("tags"))
-
-
-@query("infer_tags_whole", "WITH x AS (SELECT doc_id, lower(text || ' ' || source) AS b FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(b, 'capital') THEN 'cap-k' END, CASE WHEN contains(b, 'border') OR contains(b, 'ice ') THEN 'border' END, CASE WHEN contains(b, 'perm') THEN 'perm-debate' END, CASE WHEN contains(b, 'onto') OR contains(b, 'tion') THEN 'ontology' END], lambda t: t IS NOT NULL), ',') AS tags FROM x")
+@query("infer_tags", "WITH x AS (SELECT doc_id, lower(text || ' ' || source) AS b FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(b, 'capital') THEN 'cap-k' END, CASE WHEN contains(b, 'border') OR contains(b, 'ice ') THEN 'border' END, CASE WHEN contains(b, 'perm') THEN 'perm-debate' END, CASE WHEN contains(b, 'onto') OR contains(b, 'tion') THEN 'ontology' END], lambda t: t IS NOT NULL), ',') AS tags FROM x")
 def _(spark, d):
     from marginalia.operators.tagging import infer_tags
 
@@ -454,15 +426,10 @@ def _(spark, d):
     return reports.alive(spark)
 
 
-@query("sliding_limiter", """WITH RECURSIVE e AS (SELECT event_id AS id, user_id::VARCHAR AS key, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id % 5 = 0),
+@query("sliding_limiter", """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id AS id, user_id::VARCHAR AS key, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r(id, key, n, allowed, log) AS (SELECT id, key, n, true, [t] FROM e WHERE n = 1
   UNION ALL SELECT e.id, e.key, e.n, len(list_filter(r.log, lambda x: x > e.t - 43200)) < 3, CASE WHEN len(list_filter(r.log, lambda x: x > e.t - 43200)) < 3 THEN list_append(list_filter(r.log, lambda x: x > e.t - 43200), e.t) ELSE list_filter(r.log, lambda x: x > e.t - 43200) END FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
 SELECT id, key, allowed FROM r""")
-def _(spark, d):
-    return limiter.limit_batch(T.read(spark, d, "events").where("user_id % 5 = 0"), (limiter.Window(3, 43200.0),), "user_id", "ts", "event_id").select("id", "key", "allowed")
-
-
-@query("sliding_limiter_all", None)
 def _(spark, d):
     return limiter.limit_batch(T.read(spark, d, "events"), (limiter.Window(3, 43200.0),), "user_id", "ts", "event_id").select("id", "key", "allowed")
 

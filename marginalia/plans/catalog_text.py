@@ -101,7 +101,7 @@ def _(spark, d):
     return c.where("m is not null").select("c_custkey", "m.*")
 
 
-_TAG = "CASE doc_id % 6 WHEN 0 THEN 'BLOCK---' || substr(text, 1, 30) WHEN 1 THEN '[a] ' || substr(text, 1, 60) WHEN 2 THEN '2. ' || substr(text, 1, 20) WHEN 3 THEN source WHEN 4 THEN 'SCREAMING CAPITALS ' || substr(text, 1, 90) || '.' ELSE '' END"
+_TAG = "CASE doc_id % 6 WHEN 0 THEN 'BLOCK---' || text WHEN 1 THEN '[a] ' || text WHEN 2 THEN '2. ' || source || ' and three words' WHEN 3 THEN source WHEN 4 THEN 'SCREAMING CAPITALS ' || text || '.' ELSE '' END"
 _SCORE = rf"""CASE WHEN coalesce(tag, '') = '' THEN 0.0 ELSE greatest(0.0, least(1.0, 0.5::DOUBLE + CASE WHEN contains(tag, '---') THEN -0.4::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(tag, '^\s*\[[^\]]{{0,4}}\]\s') THEN -0.25::DOUBLE ELSE 0 END
   + CASE WHEN regexp_matches(tag, '^\s*\d{{1,2}}[.)\-]\s') THEN -0.15::DOUBLE ELSE 0 END + CASE WHEN trim(tag) = source THEN -0.3::DOUBLE ELSE 0 END
   + CASE WHEN n BETWEEN 6 AND 30 THEN 0.2::DOUBLE WHEN n < 4 THEN -0.15::DOUBLE WHEN n > 50 THEN -0.1::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(tag, '^\p{{Lu}}') THEN 0.05::DOUBLE ELSE 0 END
@@ -125,12 +125,7 @@ def _(spark, d):
     return T.read(spark, d, "part").select("p_partkey", F.round(text.cite_quality(F.expr(_CITE), 1900 + F.col("p_size")), 6).alias("score"))
 
 
-@query("tag_tokens", rf"SELECT doc_id, array_to_string(list_sort({_CONTENT.format('substr(text, 1, 300)')}), ' ') AS tokens FROM documents")
-def _(spark, d):
-    return T.read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.content_words(F.substring("text", 1, 300))), " ").alias("tokens"))
-
-
-@query("tag_tokens_whole", rf"SELECT doc_id, array_to_string(list_sort({_CONTENT.format('text')}), ' ') AS tokens FROM documents")
+@query("tag_tokens", rf"SELECT doc_id, array_to_string(list_sort({_CONTENT.format('text')}), ' ') AS tokens FROM documents")
 def _(spark, d):
     return T.read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.content_words(F.col("text"))), " ").alias("tokens"))
 

@@ -7,6 +7,7 @@ styles are resolved within a file.
 from __future__ import annotations
 
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -125,6 +126,38 @@ def paragraphs(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PARAGRAPH)
 
 
+def as_jsonl(rows: DataFrame) -> DataFrame:
+    """``path, jsonl``: the paragraphs of each file as JSON lines, in order; null fields are written."""
+    line = F.to_json(F.struct(F.col("idx").alias("index"), "style", "text", "runs"), {"ignoreNullFields": "false"})
+    return rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))), lambda x: x["line"]), "\n").alias("jsonl"))
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """``path, error`` of the files that are no documents."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            bad = []
+            for path, content in zip(pdf.path, pdf.content):
+                try:
+                    ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+                except (zipfile.BadZipFile, KeyError, ET.ParseError) as e:
+                    bad.append((path, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(bad, columns=["path", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, error string")
+
+
+def manifest(files: DataFrame, rows: DataFrame, root: str, done: str) -> DataFrame:
+    """``path, target, state``: files that gave rows (source_file) are to move below ``done`` with their sub-path; those that gave none stay."""
+    name = F.element_at(F.split("path", "/"), -1)
+    below = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(root.removeprefix("file:").rstrip("/")) + "/*", "")
+    got = rows.select(F.col("source_file").alias("_s")).distinct()
+    out = files.select("path").join(got, name == F.col("_s"), "left")
+    ok = F.col("_s").isNotNull()
+    return out.select("path", F.when(ok, F.concat(F.lit(done.rstrip("/") + "/"), below)).alias("target"), F.when(ok, "parsed").otherwise("left").alias("state"))
+
+
 def style_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("style").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "style")
 

@@ -15,7 +15,7 @@ from marginalia.operators import neighbours as N
 from marginalia.operators import providers as P
 from marginalia.operators import search as S
 from marginalia.operators import segment as G
-from marginalia.operators.tagging import infer_tags
+from marginalia.operators.tagging import infer_tags, rules_of
 from marginalia.plans.components import connected_components, splittable_join
 
 
@@ -306,7 +306,7 @@ def reference_items(paras):
                 stop = next((k for k in range(j + 1, len(paras)) if paras[k][0].startswith("Heading")), len(paras))
                 card = not paras[j][0].startswith("Heading")
                 out.append(("card" if card else "analytical", i, j if card else None, j + 1 if card else None, stop - 1 if card else None, *h))
-                nxt = stop if card else j
+                nxt = stop
         i = nxt if nxt is not None else i + 1
     return out
 
@@ -316,8 +316,6 @@ def test_segmentation_equals_a_walk(spark):
     styles, texts = ["Normal"] * 6 + [f"Heading {k}" for k in (1, 2, 3, 4, 4, 4)], ["", "text", " Perm ", "plan text", "(insert cards)", "more words"]
     for _ in range(6):
         files = {f: [(rng.choice(styles), rng.choice(texts), rng.random() < 0.05) for _ in range(rng.randrange(1, 40))] for f in range(20)}
-        # a blank heading between a tag and its cite would end the body of one item and begin the state of the next
-        files = {f: [(s if t.strip() or r else "Normal", t, r) for s, t, r in p] for f, p in files.items()}
         df = spark.createDataFrame([(f, i, *p) for f, ps in files.items() for i, p in enumerate(ps)], "file long, idx int, style string, text string, has_runs boolean")
         got = sorted((tuple(r) for r in G.items(df).collect()), key=str)
         assert got == sorted(((f, *i) for f, ps in files.items() for i in reference_items(ps)), key=str)
@@ -338,9 +336,35 @@ def test_tags_by_keyword(spark):
     assert [r[0] for r in df.select(infer_tags(*(F.col(c) for c in df.columns), rules)).collect()] == [["a", "b", "da-defense"], ["da-defense"], []]
 
 
-def test_default_vocabulary(spark):
-    df = spark.createDataFrame([("Police abolition now", None, None, None, None), ("Justice reform", None, None, None, None)], "t string, h1 string, h2 string, h3 string, f string")
-    assert [r[0] for r in df.select(infer_tags(*(F.col(c) for c in df.columns))).collect()] == [["abolition", "police-abolition", "ice-abolition", "border"], ["border"]]  # inside words too
+def test_rules_come_from_a_table(spark):
+    table = spark.createDataFrame([(2, "b", ["ice "]), (1, "a", ["solar", "wind"]), (3, "c", None), (4, None, ["x"])], "position int, slug string, words array<string>")
+    rules = rules_of(table)
+    assert rules == (("a", ("solar", "wind")), ("b", ("ice ",)), ("c", ()))
+    df = spark.createDataFrame([("Justice now, SOLAR", None, None, None, None)], "t string, h1 string, h2 string, h3 string, f string")
+    assert df.select(infer_tags(*(F.col(c) for c in df.columns), rules)).first()[0] == ["a", "b"]  # inside words too
+
+
+def test_a_heading_that_an_item_passes_over_is_not_in_force(spark):
+    paras = [("Heading 1", "Old"), ("Heading 4", "an argument"), ("Heading 1", "New"), ("Heading 4", "a tag"), ("Normal", "Smith 22"), ("Normal", "body")]
+    df = spark.createDataFrame([("f", i, *p, False) for i, p in enumerate(paras)], "file string, idx int, style string, text string, has_runs boolean")
+    assert [(r.kind, r.tag_idx, r.h1) for r in G.items(df).orderBy("tag_idx").collect()] == [("analytical", 1, "Old"), ("card", 3, "Old")]
+
+
+def test_cluster_pages_are_clamped(spark):
+    rows_ = [(10 * c + k, c) for c in range(60) for k in range(1 + c % 3)]
+    df = spark.createDataFrame(rows_, "card_id long, cluster long")
+    order = sorted(range(60), key=lambda c: (-(1 + c % 3), c))
+    for asked, page in ((1, 1), (3, 3), (9, 3), (0, 1)):
+        got = [(r.page, r.pages, r.place, r.cluster) for r in D.cluster_page(df, asked).orderBy("place").collect()]
+        assert got == [(page, 3, 25 * (page - 1) + k + 1, c) for k, c in enumerate(order[25 * (page - 1) : 25 * page])]
+    assert D.cluster_page(df.limit(0)).count() == 0
+
+
+def test_deep_chains_close(spark, put):
+    n = 80
+    tags = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)] + [(200, 201), (201, 200), (202, 201)], "tag_id long, parent_id long")
+    got = H.closure(tags, put)
+    assert rows(got) == sorted([(a, b, b - a) for a in range(n) for b in range(a, n)], key=str)
 
 
 def test_source_cleanup(spark):

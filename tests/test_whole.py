@@ -47,17 +47,17 @@ def test_duplicate_queries_take_all_documents_and_whole_texts(spark, small):
     d, docs = small
     words = {i: content(t) for i, t, _ in docs}
     like = {(a, b): len(words[a] & words[b]) / len(words[a] | words[b]) for a, b in itertools.combinations(sorted(words), 2) if a // 10 == b // 10}
-    got = {(r.a, r.b): r.j for r in CATALOG["tag_token_jaccard_pairs_all"][0](spark, d).collect()}
+    got = {(r.a, r.b): r.j for r in CATALOG["tag_token_jaccard_pairs"][0](spark, d).collect()}
     assert got == {p: round(j, 6) for p, j in like.items()} and any(j < 0.9 for j in got.values())
     part = components(p for p, j in like.items() if j >= 0.3)
-    sub = {(r.cluster, r.card_id): r.sub for r in CATALOG["subclusters_all"][0](spark, d).collect()}
+    sub = {(r.cluster, r.card_id): r.sub for r in CATALOG["subclusters"][0](spark, d).collect()}
     assert sub == {(i // 10, i): part.get(i, i) for i in words}
     sizes = Counter(sub.values())
-    decided = CATALOG["decision_ladder_all"][0](spark, d).collect()
+    decided = CATALOG["decision_ladder"][0](spark, d).collect()
     score = {i: round(0.4 + (i * 37 % 23) / 100, 4) for i in words}
     best = {s: min((i for (_, i), t in sub.items() if t == s), key=lambda i: (-score[i], i)) for s in sizes}
     assert {r["sub"]: (r["size"], r["winner_id"]) for r in decided} == {s: (n, best[s]) for s, n in sizes.items()}
-    total = CATALOG["dedup_summary_all"][0](spark, d).first()
+    total = CATALOG["dedup_summary"][0](spark, d).first()
     assert (total.coarse_clusters, total.sub_clusters, total.singletons) == (len({i // 10 for i in words}), len(sizes), sum(n == 1 for n in sizes.values()))
     applied = [r["size"] - 1 for r in decided if r["decision"] == "apply"]
     assert (total["apply"], total["cards_to_hide"]) == (len(applied), sum(applied))
@@ -86,7 +86,7 @@ def test_linking_pairs_connect_what_all_pairs_connect(spark):
 
 def test_every_document_has_postings(spark, small):
     d, docs = small
-    got = CATALOG["postings_all"][0](spark, d)
+    got = CATALOG["postings"][0](spark, d)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {i for i, _, _ in docs}
 
 
@@ -99,7 +99,7 @@ def test_limiter_decides_on_the_events_of_all_users(spark, tmp_path):
     for k, user, s in sorted(events, key=lambda e: (e[2], e[0])):
         want[k] = sum(x > s - 43200 for x in log[user]) < 3
         log[user] += [s] * want[k]
-    got = CATALOG["sliding_limiter_all"][0](spark, str(tmp_path)).collect()
+    got = CATALOG["sliding_limiter"][0](spark, str(tmp_path)).collect()
     assert {r.id: r.allowed for r in got} == want and len(got) == 300 and len(set(want.values())) == 2
 
 
@@ -107,13 +107,13 @@ def test_components_take_all_lines(spark, tmp_path):
     rng = random.Random(6)
     lines = [(rng.randrange(40), rng.randrange(60), float(rng.randrange(1, 51))) for _ in range(45)] + [(1_000_007, 7, 1.0)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r.node: r.component for r in CATALOG["components_all"][0](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in CATALOG["components"][0](spark, str(tmp_path)).collect()}
     assert got == components((2 * o, 2 * p + 1) for o, p, _ in lines)
 
 
 def test_words_late_in_a_text_count(spark, tmp_path):
     docs = [(1, "x " * 400 + "border capital", "src"), (2, "x " * 400, "src")]
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    tags = {r.doc_id: r.tags for r in CATALOG["infer_tags_whole"][0](spark, str(tmp_path)).collect()}
-    tokens = {r.doc_id: r.tokens for r in CATALOG["tag_tokens_whole"][0](spark, str(tmp_path)).collect()}
+    tags = {r.doc_id: r.tags for r in CATALOG["infer_tags"][0](spark, str(tmp_path)).collect()}
+    tokens = {r.doc_id: r.tokens for r in CATALOG["tag_tokens"][0](spark, str(tmp_path)).collect()}
     assert tags == {1: "cap-k,border", 2: ""} and tokens == {1: "border capital", 2: ""}
