@@ -12,6 +12,7 @@ from marginalia.functions import text as TX
 from marginalia.operators import changes as C
 from marginalia.operators import citations as CI
 from marginalia.operators import dedup as D
+from marginalia.operators import lists as L
 from marginalia.operators import neighbours as N
 from marginalia.operators import providers as P
 from marginalia.operators import segment as G
@@ -293,8 +294,6 @@ def _(spark, d):
 
 @query("effective_markup", f"""WITH r AS ({_RAWSPANS}) SELECT o_orderkey AS entry_id, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE (SELECT count(*) FROM r WHERE r.id = o_orderkey) END::BIGINT AS n FROM orders""")
 def _(spark, d):
-    from marginalia.operators import lists as L
-
     cards = _marked(spark, d)
     entries = cards.select(F.col("card_id").alias("entry_id"), "card_id", F.when(F.col("card_id") % 3 == 0, F.col("card_id")).alias("variant_id"))
     variants = entries.where("variant_id is not null").select("variant_id", F.array(SP.span(0, 1, "underline")).alias("markup"))
@@ -320,10 +319,12 @@ def _(spark, d):
     return T.read(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha"))
 
 
-@query("sample_seeded", None)
+# Customers stand in for uploads; the limit is the feature.
+@query("sample_seeded", "SELECT doc_id, substr(text, 1, 800) AS body, c_mktsegment AS side, c_name AS tournament FROM documents JOIN customer ON c_custkey = doc_id ORDER BY md5(doc_id || ':5'), doc_id LIMIT 20")
 def _(spark, d):
-    """A fixed sample: the smallest hashes, with bodies cut; the limit is the feature."""
-    return T.read(spark, d, "documents").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(20).select("doc_id", F.substring("text", 1, P.CUT["sample"]).alias("body"))
+    uploads = T.read(spark, d, "customer").select(F.col("c_custkey").alias("upload_id"), F.col("c_mktsegment").alias("side"), F.col("c_name").alias("tournament"))
+    cards = T.read(spark, d, "documents").withColumn("wiki_upload_id", F.col("doc_id"))
+    return P.sample(cards, uploads, 20, 5, "doc_id", "text").select("doc_id", "body", "side", "tournament")
 
 
 # Segmentation --------------------------------------------------------------------------------
@@ -383,19 +384,105 @@ def _(spark, d):
     return T.read(spark, d, "orders").select("o_orderkey", F.array_join(P.parse_slugs(reply, vocabulary), ",").alias("tags"))
 
 
-@query("embed_missing", None)
+@query("embed_missing", r"SELECT doc_id, (CASE WHEN vec_id IS NOT NULL THEN 64 WHEN regexp_matches(text, '\\S') THEN 512 END)::INTEGER AS dimensions FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def _(spark, d):
     cards = T.cards(spark, d)
     return P.embed(cards, "text").select("doc_id", F.size("embedding").alias("dimensions"))
 
 
+_SLUGS = [f"src{k}" for k in range(10)]
+
+
+def _offline_tagger(prompt: str) -> str:
+    """Stands in for a model: answers each card with its own tag line and an unknown word; fails on calls that name card 13."""
+    import json
+    import re
+
+    told = dict(re.findall(r"card (-?\d+)\ntag: (.*)", prompt))
+    if "13" in told:
+        raise RuntimeError("no answer")
+    return "Here you are: " + json.dumps({k: [f" {v.upper()} ", "unknown", v] for k, v in told.items()})
+
+
+@query("propose_batched", f"SELECT id, CASE WHEN s IN ({', '.join(repr(x) for x in _SLUGS)}) THEN s ELSE '' END AS tags FROM (SELECT doc_id AS id, source AS s FROM documents) WHERE id <> 13")
+def _(spark, d):
+    cards = T.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("tag"), F.col("text").alias("body"))
+    first = P.propose_batched(cards, _offline_tagger, _SLUGS)
+    # the call that failed is asked again card by card, and card 13 never gets an answer
+    path = shared_folder(spark, "tags")
+    first.write.parquet(path)
+    told = spark.read.parquet(path)
+    again = P.propose_batched(cards.join(told.where("tags is null").select("id"), "id", "left_semi"), _offline_tagger, _SLUGS, per_call=1)
+    return told.union(again).where("tags is not null").select("id", F.array_join("tags", ",").alias("tags"))
+
+
+_LISTS = "w AS (SELECT o_orderkey AS workspace_id, o_custkey AS user_id, o_orderpriority AS name FROM orders), gone AS (SELECT * FROM w WHERE workspace_id % 3 = 0 OR user_id % 10 = 0), lft AS (SELECT * FROM w WHERE NOT (workspace_id % 3 = 0 OR user_id % 10 = 0)), bare AS (SELECT DISTINCT user_id FROM gone WHERE user_id NOT IN (SELECT user_id FROM lft)), kept AS (SELECT * FROM lft UNION ALL SELECT (SELECT max(workspace_id) FROM w) + row_number() OVER (ORDER BY user_id), user_id, 'My Workspace' FROM bare)"
+
+
+def _lists(spark, d):
+    """Orders as lists of their customer; the first is a customer's current one."""
+    lists = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("workspace_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("name"))
+    first = lists.groupBy(F.col("user_id").alias("u")).agg(F.min("workspace_id").alias("current_workspace_id"))
+    users = T.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).join(first, F.col("user_id") == F.col("u"), "left").select("user_id", "current_workspace_id")
+    return lists, users
+
+
+@query("lists_deleted", f"WITH {_LISTS} SELECT workspace_id, user_id, name FROM kept")
+def _(spark, d):
+    lists, users = _lists(spark, d)
+    return L.delete(lists, users, lists.where("workspace_id % 3 = 0 or user_id % 10 = 0"))[0]
+
+
+@query("lists_current", f"WITH {_LISTS}, u AS (SELECT c_custkey AS user_id, (SELECT min(workspace_id) FROM w WHERE w.user_id = c_custkey) AS c FROM customer) SELECT user_id, CASE WHEN (c IS NULL OR c IN (SELECT workspace_id FROM gone)) AND user_id IN (SELECT user_id FROM gone) THEN (SELECT min(workspace_id) FROM kept WHERE kept.user_id = u.user_id) ELSE c END AS current_workspace_id FROM u")
+def _(spark, d):
+    lists, users = _lists(spark, d)
+    return L.delete(lists, users, lists.where("workspace_id % 3 = 0 or user_id % 10 = 0"))[1]
+
+
+@query("lists_renamed", "SELECT o_orderkey AS workspace_id, o_custkey AS user_id, CASE WHEN o_orderkey % 4 = 0 THEN 'Untitled' WHEN o_orderkey % 4 = 1 THEN 'new ' || o_orderkey ELSE o_orderpriority END AS name FROM orders UNION ALL SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY CASE WHEN c_custkey % 2 = 0 THEN 'My Workspace' ELSE c_mktsegment END, c_custkey), c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'My Workspace' ELSE c_mktsegment END FROM customer WHERE c_nationkey = 3")
+def _(spark, d):
+    lists, _ = _lists(spark, d)
+    name = F.when(F.col("workspace_id") % 4 == 0, "  ").otherwise(F.concat(F.lit(" new "), F.col("workspace_id")))
+    stranger = F.when(F.col("workspace_id") % 4 == 2, F.col("user_id") + 1).otherwise(F.col("user_id"))
+    wishes = lists.where("workspace_id % 4 < 3").select("workspace_id", stranger.alias("user_id"), name.alias("name"))
+    new = T.read(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 2 == 1, F.col("c_mktsegment")).alias("name"))
+    return L.create(L.rename(lists, wishes), new)
+
+
+@query("lists_cleared", "SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1")
+def _(spark, d):
+    conv = T.read(spark, d, "conversations")
+    return L.clear(conv, conv.where("conv_id % 3 = 0"), "conv_id").groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@query("variants_reverted", "SELECT o_orderkey AS entry_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0 THEN o_orderkey END AS variant_id, o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0 AS stored FROM orders")
+def _(spark, d):
+    entries = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("entry_id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("variant_id"))
+    variants = entries.where("variant_id is not null").select("variant_id")
+    left, kept = L.revert(entries, variants, entries.where("entry_id % 2 = 0"))
+    return left.join(kept.select(F.col("variant_id").alias("v")), F.col("entry_id") == F.col("v"), "left").select("entry_id", "variant_id", F.col("v").isNotNull().alias("stored"))
+
+
+@query("cluster_page", "WITH c AS (SELECT text, min(doc_id) AS cluster, count(*) AS size FROM documents GROUP BY text HAVING count(*) > 1), n AS (SELECT greatest(1, ceil(count(*) / 25.0))::INTEGER AS pages FROM c), r AS (SELECT cluster, size, row_number() OVER (ORDER BY size DESC, cluster) AS place FROM c) SELECT least(2, pages)::INTEGER AS page, pages, place::INTEGER AS place, cluster, size FROM r, n WHERE place > 25 * (least(2, pages) - 1) AND place <= 25 * least(2, pages)")
+def _(spark, d):
+    return D.cluster_page(CATALOG["dup_clusters_exact"][0](spark, d), 2)
+
+
+@query("source_detail", "SELECT p_partkey AS source_id, l_orderkey * 10 + l_linenumber AS card_id FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey = 7 ORDER BY 2")
+def _(spark, d):
+    return CI.detail(T.sources(spark, d), T.source_cards(spark, d), 7).select("source_id", "card_id")
+
+
+@query("arguments_by_id", "SELECT s_suppkey AS analytical_id, s_name AS argument FROM supplier ORDER BY 1")
+def _(spark, d):
+    return CI.in_id_order(T.read(spark, d, "supplier").select(F.col("s_suppkey").alias("analytical_id"), F.col("s_name").alias("argument")), "analytical_id")
+
+
 # Sources, sinks and streams ------------------------------------------------------------------
 
 
 @query("docx_round_trip", "SELECT conv_id AS workspace, count(*) AS n FROM conversations GROUP BY 1")
 def _(spark, d):
-    from marginalia.operators import lists as L
-
     conv = T.read(spark, d, "conversations").withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).withColumn("path", F.array("role"))
     heads = L.new_headings(conv, "conv_id", "position", "path").groupBy("conv_id", "position").agg(F.array_sort(F.collect_list(F.struct("level", "heading"))).alias("headings"))
     spans = F.array(SP.span(0, 3, "underline"), SP.span(1, 2, "highlight"))
@@ -408,6 +495,44 @@ def _(spark, d):
     return back.groupBy(F.col("path").cast("long").alias("workspace")).agg(F.count("*").alias("n"))
 
 
+# Conversations as Word files of one item each turn: every fifth turn has no body and goes, every turn after such a
+# one is an argument, since the next heading follows its tag (at a file's end nothing does, and it goes too).
+_ITEMS = "c AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), it AS (SELECT *, conv_id || '.docx' AS source_file, role || ' part ' || pos AS tag, CASE WHEN pos % 5 = 1 THEN 'analytical' ELSE 'card' END AS kind FROM c WHERE pos % 5 > 1 OR pos % 5 = 1 AND pos < n)"
+_FILE_RULES = (("asked", ("user part",)), ("first-ten", tuple(f"part {k}" for k in range(10))))
+
+
+def _extracted(spark, d):
+    from marginalia.operators import ingest as I
+
+    conv = T.read(spark, d, "conversations").withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    none, k = F.lit(None).cast("string"), F.col("position") % 5
+    heads = F.array(F.struct(F.lit(1).alias("level"), F.lit("AFF").alias("heading")), F.struct(F.lit(4).alias("level"), F.concat("role", F.lit(" part "), "position").alias("heading")))
+    rows = conv.select(
+        F.col("conv_id").alias("workspace"), "position", heads.alias("headings"), none.alias("tag"), F.array().cast(SP.SPANS).alias("tag_markup"), F.lit("Smith 22").alias("cite_short"), none.alias("raw_cite"),
+        F.when(k == 0, " ").otherwise(F.concat(F.lit("text "), "position")).alias("card_text"), F.when(k == 1, "").alias("argument"), none.alias("answer_to"),
+        F.when(k > 1, F.array(SP.span(0, 3, "underline"), SP.span(1, 2, "highlight"))).otherwise(F.array().cast(SP.SPANS)).alias("markup"),
+    )
+    files = docx.export_lists(rows).select(F.concat(F.col("workspace").cast("string"), F.lit(".docx")).alias("path"), "content")
+    return I.extract(files, _FILE_RULES)
+
+
+@query("ingest_items", f"""WITH {_ITEMS} SELECT source_file, kind, tag, CASE WHEN kind = 'card' THEN 'Smith 22' END AS cite_short, CASE WHEN kind = 'card' THEN 'text ' || pos END AS card_text, CASE WHEN kind = 'card' THEN 'underline:0-3,highlight:1-2' ELSE '' END AS markup, 'Aff' AS path,
+array_to_string(list_filter([CASE WHEN contains(tag, 'user part') THEN 'asked' END, CASE WHEN regexp_matches(tag, 'part [0-9]') THEN 'first-ten' END], lambda x: x IS NOT NULL), ',') AS tags FROM it""")
+def _(spark, d):
+    told = F.array_join(F.transform("markup", lambda s: F.concat(s["kind"], F.lit(":"), s["start"], F.lit("-"), s["end"])), ",")
+    return _extracted(spark, d).items.select("source_file", "kind", "tag", "source.cite_short", "card_text", told.alias("markup"), F.array_join("block_path", " > ").alias("path"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("ingest_insert", f"WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY source_file, pos) AS id FROM it) SELECT id + 100 AS card_id, 8 AS source_id, source_file, tag, 3::BIGINT AS topic_id, 1 + (tag LIKE 'user%')::BIGINT AS links FROM r WHERE kind = 'card'")
+def _(spark, d):
+    from marginalia.operators import ingest as I
+
+    old = spark.createDataFrame([(7, "Old 99", "Old 99")], "source_id long, cite_short string, raw_cite string")
+    made = I.insert(_extracted(spark, d).items, old, top_card=100, topic_id=3, now=F.lit("2024-03-01").cast("timestamp"))
+    n = made.links.where("card_id is not null").groupBy("card_id").agg(F.count("*").alias("links"))
+    return made.cards.join(n, "card_id").select("card_id", F.col("source_id").cast("int").alias("source_id"), "source_file", "tag", "topic_id", "links")
+
+
 @query("json_report", "SELECT source, count(*) AS n FROM documents GROUP BY 1")
 def _(spark, d):
     path = shared_folder(spark, "report")

@@ -31,7 +31,7 @@ def query(name: str, sql: str | None):
 def _(spark, d):
     slug = T.read(spark, d, "nation").agg(F.min("n_name")).first()[0]
     tag = T.tags(spark, d).where(F.col("label") == slug)
-    return T.card_links(spark, d).join(F.broadcast(tag), "tag_id").where("card_id % 4 <> 0").select("card_id", F.lit(slug).alias("slug"))
+    return T.card_links(spark, d).join(tag, "tag_id").where("card_id % 4 <> 0").select("card_id", F.lit(slug).alias("slug"))
 
 
 @query("missing_embedding", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -76,7 +76,7 @@ def _(spark, d):
 @query("eager_loads", "SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0 LEFT JOIN nation ON c_nationkey = n_nationkey")
 def _(spark, d):
     c, n = T.read(spark, d, "customer").where("c_custkey % 2 = 0"), T.read(spark, d, "nation")
-    out = T.read(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    out = T.read(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return out.select("o_orderkey", "c_name", "n_name")
 
 

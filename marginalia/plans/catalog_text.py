@@ -141,14 +141,34 @@ def _(spark, d):
     return T.read(spark, d, "part").select("p_partkey", cites.parse_cite(F.expr(_RAW)).alias("c")).select("p_partkey", "c.year", "c.url")
 
 
-@query("cite_parse", None)
+# The cite patterns as DuckDB writes them: its word characters are ASCII, as these cites are.
+_SHORT = cites.SHORT.replace("(?U)", "").replace("'", "''")
+_NAMES = cites.NAMES.replace("'", "''")
+
+
+@query("cite_parse", rf"""WITH c AS (SELECT p_partkey, trim({_RAW.replace("STRING", "VARCHAR")}) AS raw, 0 AS z FROM part),
+m AS (SELECT *, regexp_extract(raw, '{_SHORT}', 1) AS hit, array_to_string(list_filter(string_split(regexp_replace(raw, '\s+', ' ', 'g'), ' '), lambda w: w <> '')[1:4], ' ') AS few, regexp_replace(regexp_extract(raw, '^({_NAMES})', 1), '^[ ,]+|[ ,]+$', '', 'g') AS names,
+  regexp_replace(regexp_extract(raw, 'https?://[^\s)\]\\"<>]+'), '[.,;)\\\]]+$', '') AS url, regexp_extract_all(raw, '[“"]([^“”"]{{8,300}})[”"]', 1) AS titles, regexp_extract(raw, '[(\[]([^()\[\]]{{20,1000}}[^()\[\]]{{0,500}})[)\]]', 1) AS inside,
+  list_filter(list_transform(regexp_extract_all(raw, '(?:^|[^0-9])(\d{{4}})(?:[^0-9]|$)', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 1900 AND 2030) AS four, regexp_extract(raw, '[''’](\d{{2}})', 1) AS two, regexp_extract(raw, '\b(\d{{1,2}})[/\-](\d{{1,2}})[/\-]?(\d{{2,4}})?', 3) AS day FROM c),
+s AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN hit <> '' THEN hit ELSE few END, '\s+', ' ', 'g'), '^[ ,;]+|[ ,;]+$', '', 'g') AS short, coalesce(titles[list_position(list_transform(titles, lambda t: length(t)), list_max(list_transform(titles, lambda t: length(t))))], '') AS title FROM m)
+SELECT p_partkey, CASE WHEN short = '' THEN '(unknown)' ELSE short END AS cite_short, coalesce(nullif(regexp_replace(CASE WHEN names <> '' THEN names ELSE string_split(short, ' ')[1] END, '\s+and\s+', ' & ', 'g'), ''), '(unknown)') AS author,
+  (CASE WHEN len(four) > 0 THEN four[1] WHEN two <> '' THEN CASE WHEN two::INTEGER < 50 THEN 2000 + two::INTEGER ELSE 1900 + two::INTEGER END WHEN day <> '' THEN CASE WHEN length(day) = 4 THEN day::INTEGER ELSE 2000 + day::INTEGER END END)::INTEGER AS year, nullif(url, '') AS url, nullif(title, '') AS title,
+  nullif(regexp_replace(regexp_replace(replace(replace(CASE WHEN url <> '' THEN replace(inside, url, '') ELSE inside END, CASE WHEN title <> '' THEN '"' || title || '"' ELSE '§none§' END, ''), CASE WHEN title <> '' THEN '“' || title || '”' ELSE '§none§' END, ''), '\s+', ' ', 'g'), '^[ ,.;]+|[ ,.;]+$', '', 'g'), '') AS qualifications, raw AS raw_cite FROM s""")
 def _(spark, d):
     return T.read(spark, d, "part").select("p_partkey", cites.parse_cite(F.expr(_RAW)).alias("c")).select("p_partkey", "c.*")
 
 
-@query("clean_cite", None)
+_LOOSE = "CASE p_partkey % 8 WHEN 0 THEN 'Smith,  ' || (p_size % 100)::STRING WHEN 1 THEN 'Jones ET. AL 0' || (p_size % 10)::STRING || ' ,; ' WHEN 2 THEN 'Clark and Park, 19' WHEN 3 THEN 'Mark  Smith 22' WHEN 4 THEN 'Bartholomew Lee, ' || p_size::STRING WHEN 5 THEN 'Lee et al 7' WHEN 6 THEN 'Brown 3/14/' || (10 + p_size)::STRING ELSE p_name || ', ' END"
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, ',\s+', ' ', 'g'), '(?i)\bet\.\s+al\b', 'et al.', 'g'), '[,;\s]+$', ''), '\s+', ' ', 'g'))"""
+
+
+@query("clean_cite", rf"""WITH c AS (SELECT p_partkey, regexp_replace({_CLEAN.format(_LOOSE.replace("STRING", "VARCHAR"))}, '\b(\w+)\s+and\s+(\w+)\s*,?\s*(\d)', '\1 & \2 \3', 'g') AS c FROM part),
+f AS (SELECT p_partkey, c, regexp_extract(c, '^([A-Z][a-z]+)\s+[A-Z][\w''’\-]+(?:\s+(?:&|and|et\s+al\.?)\s+[A-Z][\w''’\-]+)?\s*[,\s]\s*\S.*$', 1) AS first, regexp_replace(c, '^[A-Z][a-z]+\s+([A-Z][\w''’\-]+(?:\s+(?:&|and|et\s+al\.?)\s+[A-Z][\w''’\-]+)?)\s*[,\s]\s*(\S.*)$', '\1 \2') AS rest FROM c),
+o AS (SELECT p_partkey, CASE WHEN first <> '' AND (first IN ({", ".join(f"'{n}'" for n in text.FIRST_NAMES)}) OR length(first) < 8) THEN trim(rest) ELSE c END AS cite FROM f)
+SELECT p_partkey, cite, trim(regexp_replace(cite, '\s*[''’]?\d{{1,4}}(?:[/\-]\d{{1,2}}(?:[/\-]\d{{2,4}})?)?$', '')) AS author FROM o""")
 def _(spark, d):
-    return T.read(spark, d, "part").select("p_partkey", text.cleaned_cite(F.expr(_RAW)).alias("cite"), text.author_without_year(text.cleaned_cite(F.expr(_RAW))).alias("author"))
+    cite = text.cleaned_cite(F.expr(_LOOSE))
+    return T.read(spark, d, "part").select("p_partkey", cite.alias("cite"), text.author_without_year(cite).alias("author"))
 
 
 @query("noisy_tags", rf"SELECT doc_id, tag FROM (SELECT doc_id, {_TAG} AS tag FROM documents) WHERE contains(tag, '<<') OR contains(lower(tag), 'insert') OR regexp_matches(tag, '^[A-Z0-9 ]{{3,15}}---')")
@@ -226,7 +246,21 @@ def _(spark, d):
     return rows.select("id", F.col("words").cast("int"), spans.reading_seconds(F.col("words")).alias("seconds"))
 
 
-@query("render_modes", None)
+_ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+_DOTS = "' <span class=\"ellipsis\">…</span> '"
+
+
+@query("render_modes", f"""WITH x AS ({_SPANS}), b AS ({_BODY}), t AS (SELECT x.*, body, length(body) AS n, row_number() OVER (PARTITION BY x.id ORDER BY line, s, e, k) AS rn FROM x JOIN b USING (id)),
+areas AS (SELECT DISTINCT id, 0 AS area, 0 AS lo, n AS hi, body FROM t UNION ALL SELECT id, rn, s, e, substr(body, s + 1, e - s) FROM t WHERE k = 'underline'),
+inner_spans AS (SELECT a.id, a.area, t.s, t.e, t.k FROM areas a JOIN t ON t.id = a.id WHERE a.area = 0 UNION ALL SELECT id, area, 0, hi - lo, 'underline' FROM areas WHERE area > 0
+  UNION ALL SELECT a.id, a.area, greatest(t.s, a.lo) - a.lo, least(t.e, a.hi) - a.lo, t.k FROM areas a JOIN t ON t.id = a.id AND t.k = 'highlight' WHERE a.area > 0 AND greatest(t.s, a.lo) < least(t.e, a.hi)),
+ends AS (SELECT id, area, 0 AS p FROM areas UNION SELECT id, area, length(body) FROM areas UNION SELECT id, area, s FROM inner_spans UNION SELECT id, area, e FROM inner_spans),
+cuts AS (SELECT id, area, p AS u, lead(p) OVER (PARTITION BY id, area ORDER BY p) AS v FROM ends),
+parts AS (SELECT c.id, c.area, u, v, substr(any_value(a.body), u + 1, v - u) AS chunk, coalesce(bool_or(i.k = 'highlight'), false) AS hl, coalesce(bool_or(i.k = 'underline'), false) AS ul FROM cuts c JOIN areas a ON a.id = c.id AND a.area = c.area LEFT JOIN inner_spans i ON i.id = c.id AND i.area = c.area AND i.s <= u AND i.e >= v WHERE v IS NOT NULL GROUP BY c.id, c.area, u, v),
+html AS (SELECT id, area, string_agg(CASE WHEN hl THEN '<mark class="hl">' || {_ESC.format('chunk')} || '</mark>' WHEN ul THEN '<u class="ul">' || {_ESC.format('chunk')} || '</u>' ELSE {_ESC.format('chunk')} END, '' ORDER BY u) AS h FROM parts GROUP BY id, area),
+full_ AS (SELECT id, h FROM html WHERE area = 0), lines AS (SELECT h.id, string_agg(coalesce(h.h, ''), {_DOTS} ORDER BY t.s, t.rn) AS h FROM html h JOIN t ON t.id = h.id AND t.rn = h.area GROUP BY h.id),
+lights AS (SELECT id, string_agg('<mark class="hl">' || {_ESC.format('substr(body, s + 1, e - s)')} || '</mark>', {_DOTS} ORDER BY s, rn) AS h FROM t WHERE k = 'highlight' GROUP BY id)
+SELECT b.id, f.h AS "full", coalesce(g.h, '') AS highlight_only, coalesce(l.h, '') AS underline_only, {_ESC.format('body')} AS plain FROM b JOIN full_ f ON f.id = b.id LEFT JOIN lights g ON g.id = b.id LEFT JOIN lines l ON l.id = b.id""")
 def _(spark, d):
     body = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr("repeat('word ' || o_orderstatus || ' & more <of> it ', 8)").alias("body"))
     rows = T.span_lists(spark, d).join(body, "id")
