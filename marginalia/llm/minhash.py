@@ -267,10 +267,13 @@ def near_duplicates(docs: DataFrame, s: Setting = Setting(), id_col: str = "doc_
     # only blocks of the others (0 to ``na`` - 1), which meet each other too
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("m").alias("m"), F.max(F.struct("m", "comp")).alias("top"))
     n_blocks = lambda m: F.ceil(m / BLOCK).cast("int")
-    mixed = sizes.where("comps > 1").select("key", F.col("top.comp").alias("big"), n_blocks(F.col("m") - F.col("top.m")).alias("na"), n_blocks(F.col("top.m")).alias("nb"))
+    # a bucket of one block's size is one block, which leaves out the pairs inside the largest component itself
+    one_block = F.col("m") <= BLOCK
+    mixed = sizes.where("comps > 1").select("key", F.col("top.comp").alias("big"), F.when(one_block, 1).otherwise(n_blocks(F.col("m") - F.col("top.m"))).alias("na"), F.when(one_block, 0).otherwise(n_blocks(F.col("top.m"))).alias("nb"))
     member = splittable_join(placed, mixed, "key").withColumn("h", F.xxhash64("rep", F.lit(5)))
-    member = member.withColumn("own", F.when(F.col("comp") == F.col("big"), F.col("na") + F.pmod("h", "nb")).otherwise(F.pmod("h", "na")).cast("int"))
-    last = F.when(F.col("own") < F.col("na"), F.col("na") + F.col("nb")).otherwise(F.col("na")) - 1
+    in_big = (F.col("comp") == F.col("big")) & (F.col("nb") > 0)
+    member = member.withColumn("own", F.when(in_big, F.col("na") + F.pmod("h", F.greatest("nb", F.lit(1)))).otherwise(F.pmod("h", "na")).cast("int"))
+    last = F.when(in_big, F.col("na")).otherwise(F.col("na") + F.col("nb")) - 1
     spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("key", "band", "rep", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     full = spread.join(classes.select("rep", F.col("n_shingles").alias("n"), "bands", "sample", "whole"), "rep")
     dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
