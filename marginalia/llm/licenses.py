@@ -9,9 +9,14 @@ if enough of the template's k-grams voted and it isn't much longer than the temp
 Words are runs of ASCII letters and digits and of other non-ASCII characters, A-Z in
 lower case.  The templates are a fixed list of a few kB, so their side is broadcast.
 
+Texts are read once: a marker in front of each text's k-grams meets a marker template,
+so that every text has a vote, which carries its number of words and of copies.
+
 Edge cases: null and empty texts have no words and no places; phrases that overlap are
 counted each; rows of the same doc_id and text get the same result; rows without
-doc_id are scanned too; other columns play no part.
+doc_id are scanned too; very long texts are scanned whole, and only their hits leave a
+task; an empty table gives an empty result; other columns, also of the names used
+here, play no part.
 """
 
 from __future__ import annotations
@@ -46,6 +51,18 @@ NOTICES = {
     "cc by nd": "cc-by-nd",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "cc0 1 0 universal": "cc0",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-2",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl-1",
+    "this work is licensed under the creative commons attribution 4 0 international license to view a copy of this license visit": "cc-by",
+    "this work is licensed under the creative commons attribution sharealike 4 0 international license to view a copy of this license visit": "cc-by-sa",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": "epl",
 }
 #: Templates of up to so many words must match whole; of longer ones this share of k-grams must vote.
 SHORT, SHARE = 8, 0.6
@@ -72,19 +89,36 @@ def templates(spark: SparkSession, base: dict[str, str], notices: dict[str, str]
     return given.select("template", "label", "is_base", "size", F.posexplode(gram_hashes(F.col("words"))).alias("at", "hash"))
 
 
-def spans(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, mark, label, is_base, first_word, n_words, score`` of each place found; ``mark`` is a hash of the text.
+def votes(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, mark, template, label, is_base, size, diagonal, ats``: the template places that voted for each diagonal.
 
-    Base phrases appear once for each place at which they stand whole.
+    ``mark`` is a hash of the text.  Template -1 marks the text itself: ``n_words``, and ``copies`` of the row.
     """
     spark = docs.sparkSession
     told = templates(spark, base, notices)
+    none = F.lit(None)
+    marker = spark.range(1).select(F.lit(-1).alias("template"), none.cast("string").alias("label"), none.cast("boolean").alias("is_base"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash"))
     text = F.coalesce(docs[text_col], F.lit(""))
     words = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("mark"), words_of(docs[text_col]).alias("words"))
-    grams = words.select("doc_id", "mark", F.posexplode(gram_hashes(F.col("words"))).alias("pos", "hash"))
-    hits = grams.join(F.broadcast(told), "hash")
-    voted = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy("doc_id", "mark", "template", "label", "is_base", "size", "diagonal").agg(F.collect_set("at").alias("ats"))
-    voted = Stage(spark, "licenses").put(voted, "voted")  # few rows, from one pass over the texts
+    hashes = F.concat(F.array(F.lit(0).cast("long")), F.coalesce(gram_hashes(F.col("words")), F.array().cast("array<long>")))
+    grams = words.select("doc_id", "mark", F.size("words").cast("long").alias("n_words"), F.posexplode(hashes).alias("pos", "hash"))
+    hits = grams.join(F.broadcast(told.unionByName(marker)), "hash").withColumn("pos", F.col("pos") - 1)
+    hits = hits.where((F.col("template") < 0) == (F.col("pos") < 0))
+    voted = hits.groupBy("doc_id", "mark", "template", "label", "is_base", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
+    return Stage(spark, "licenses").put(voted, "voted")  # few rows, from one pass over the texts
+
+
+def spans(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, mark, label, is_base, first_word, n_words, score`` of each place found; ``mark`` is a hash of the text.
+
+    Base phrases appear once for each place at which they stand whole.
+    """
+    return places(votes(docs, base, notices, id_col, text_col))
+
+
+def places(voted: DataFrame) -> DataFrame:
+    """The spans that the votes make."""
+    voted = voted.where("template >= 0")
     whole = F.size("ats") == F.col("size") - (K - 1)
     exact = voted.where(F.col("is_base") & whole).select("doc_id", "mark", "label", "is_base", F.col("diagonal").alias("first_word"), F.col("size").alias("n_words"), F.lit(1.0).alias("score"))
     line = Window.partitionBy("doc_id", "mark", "template").orderBy("diagonal")
@@ -103,10 +137,10 @@ def spans(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str]
     return exact.union(near)
 
 
-def digest(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The contract's columns for every row of ``docs``."""
+def digest(voted: DataFrame) -> DataFrame:
+    """The contract's columns for every row that voted."""
     base = F.col("is_base")
-    per = found.groupBy("doc_id", "mark").agg(
+    per = places(voted).groupBy("doc_id", "mark").agg(
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("first_word"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("first_word"))).cast("long").alias("last_word"),
@@ -114,13 +148,11 @@ def digest(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("score").alias("score"),
     )
-    text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("mark"), F.size(words_of(docs[text_col])).cast("long").alias("n_words"))
+    rows = voted.where("template < 0").select("doc_id", "mark", "n_words", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     same = rows["doc_id"].eqNullSafe(per["doc_id"]) & (rows["mark"] == per["mark"])
     none = lambda c, v: F.coalesce(per[c], F.lit(v)).alias(c)
     return rows.join(per, same, "left").select(rows["doc_id"], "n_words", none("n_base", 0), per["first_word"], per["last_word"], none("base_labels", ""), none("labels", ""), none("score", 0.0))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return digest(docs, spans(docs))
+    return digest(votes(table(spark, sf_dir, "documents")))

@@ -287,4 +287,4 @@ def archive(pages: DataFrame, path: str, stage: Stage, least_bytes: int = 0) ->
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "warc")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html")
-    return archive(pages, f"{stage.path}/archive", stage).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "offset", "length")
+    return archive(pages, f"{stage.path}/archive", stage).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
