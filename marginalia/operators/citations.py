@@ -64,3 +64,12 @@ def repoint(cards: DataFrame, plan: DataFrame) -> DataFrame:
 def surviving(sources: DataFrame, plan: DataFrame) -> DataFrame:
     gone = plan.where("rk > 1").select(F.col("source_id").alias("_gone"))
     return sources.join(gone, F.col("source_id") == F.col("_gone"), "left_anti")
+
+
+def detail(sources: DataFrame, cards: DataFrame, source_id: int) -> DataFrame:
+    """A source with its cards, hidden duplicates too, in the order of their ids."""
+    return in_id_order(sources.where(F.col("source_id") == source_id).join(cards.withColumnRenamed("source_id", "_s"), F.col("source_id") == F.col("_s")).drop("_s"), "card_id")
+
+
+def in_id_order(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.orderBy(id_col)

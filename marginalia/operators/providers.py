@@ -112,6 +112,14 @@ def propose(rows: DataFrame, prompt: Column, provider: Callable[[list[str]], lis
     return rows.withColumn("tags", F.coalesce(parse_slugs(ask(prompt), vocabulary), F.array().cast("array<string>")))
 
 
+def sample(cards: DataFrame, uploads: DataFrame, n: int, seed: int = 0, id_col: str = "card_id", text_col: str = "card_text") -> DataFrame:
+    """``n`` visible cards of some upload (upload_id, side, tournament), drawn by a seeded hash of their ids, bodies cut for a request."""
+    visible = cards.where("canonical_card_id is null") if "canonical_card_id" in cards.columns else cards
+    drawn = visible.join(uploads.select(F.col("upload_id").alias("wiki_upload_id"), "side", "tournament"), "wiki_upload_id")
+    order = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return drawn.orderBy(order, id_col).limit(n).withColumn("body", F.substring(text_col, 1, CUT["sample"]))
+
+
 def batch_prompt(cards: list[dict]) -> str:
     """What one call about several cards asks: id, tag and the first part of the body of each."""
     return "\n\n".join(f"card {c['id']}\ntag: {(c['tag'] or '')[: CUT['tag']]}\nbody: {(c['body'] or '')[: CUT['batch']]}" for c in cards)
