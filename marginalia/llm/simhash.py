@@ -1,7 +1,7 @@
 """Document fingerprints: SimHash of 128 bits, in DataFrame functions only.
 
-Each pair of successive words is a term; its hash votes on every bit, once for each
-time it stands in the text, so a term's weight is its frequency.  A bit is set if more
+Each pair of successive words is a term; its hash of 64 bits, and a hash of that, vote
+on every bit, once for each time it stands in the text, so a term's weight is its frequency.  A bit is set if more
 than half of the weight votes for it.  Votes are counted two bits to a 64-bit sum (the
 halves can't overflow below 2**31 terms), so a text is one row of 64 sums after the
 map-side aggregation and never a row per bit.
@@ -14,7 +14,9 @@ within it, some choice of blocks agrees, and the tables hold one key for each ch
 Edge cases: null texts count as empty; texts without words have the fingerprint of
 zeros; a text of one word is one term; equal texts have equal fingerprints; rows that
 share a doc_id follow each other by a hash of their text; rows without doc_id come
-first; a single document is its own next one; other columns play no part.
+first, by that hash; a single document is its own next one; very long texts are counted
+whole, a term at a time; an empty table gives an empty result; other columns, also of
+the names used here, play no part.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import Stage, table
 
-#: Ids of one window group, and first ids of groups that a join may broadcast.
-GROUP_IDS, BROADCAST_IDS = 2048, 500_000
+#: Ids of one window group, rows that make a group hot, and narrow rows that a join may broadcast.
+GROUP_IDS, HOT_ROWS, BROADCAST_IDS = 2048, 20_000, 500_000
 #: Bits within which fingerprints count as near, and parts that they are cut into to find them.  At sf0.1 the pairs
 #: of different texts with five-word similarity 0.8 or more are 4 to 19 bits apart, unlike texts seldom under 40.
 RADIUS, PARTS = 20, 7
@@ -35,20 +37,20 @@ HALF = 0x0000000100000001
 
 
 def terms(text: Column) -> Column:
-    """Words and then a hash for each pair of successive words; null if there is no word."""
+    """The words of a text, which part at ASCII white space."""
     return F.array_remove(F.split(text, r"[\t-\r ]+"), "")
 
 
 def pair_hashes(words: Column) -> Column:
-    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.struct(F.xxhash64(words[i], words[i + 1]).alias("x"), F.xxhash64(words[i + 1], F.lit(7), words[i]).alias("y")))
-    one = F.array(F.struct(F.xxhash64(words[0]).alias("x"), F.xxhash64(F.lit(7), words[0]).alias("y")))
-    return F.when(F.size(words) > 1, pairs).when(F.size(words) == 1, one)
+    """A hash for each pair of successive words; of one word, its own."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.xxhash64(words[i], words[i + 1]))
+    return F.when(F.size(words) > 1, pairs).when(F.size(words) == 1, F.array(F.xxhash64(words[0])))
 
 
 def fingerprints(rows: DataFrame, text: str, keep: list[str], prefix: str = "") -> DataFrame:
     """``keep`` and the two halves ``{prefix}hi``, ``{prefix}lo`` of each row's fingerprint; rows equal in ``keep`` are one."""
     worded = rows.select(*keep, terms(F.col(text)).alias("_w")).select(*keep, pair_hashes(F.col("_w")).alias("_p"))
-    votes = worded.select(*keep, F.explode_outer("_p").alias("_t")).select(*keep, F.col("_t.x").alias("_x"), F.col("_t.y").alias("_y"))
+    votes = worded.select(*keep, F.explode_outer("_p").alias("_x")).withColumn("_y", F.when(F.col("_x").isNotNull(), F.xxhash64("_x", F.lit(7))))
     sums = [F.sum(F.shiftright(f"_{h}", k).bitwiseAND(F.lit(HALF))).alias(f"_{h}{k}") for h in "xy" for k in range(32)]
     counted = votes.groupBy(*keep).agg(F.count("_x").alias("_n"), *sums)
 
@@ -72,28 +74,46 @@ def apart(hi: Column, lo: Column, hi2: Column, lo2: Column) -> Column:
     return F.bit_count(hi.bitwiseXOR(hi2)) + F.bit_count(lo.bitwiseXOR(lo2))
 
 
+def groups(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, mark) with ``grp, sub``, by which the order by doc_id and mark can be cut into parts.
+
+    A group is a range of GROUP_IDS ids, or all rows without one.  Groups of more than
+    HOT_ROWS rows, such as many rows of one id or of none, are cut further by id and by
+    the first bits of the mark, which spread evenly and keep the order.
+    """
+    rows = docs.withColumn("grp", F.coalesce(F.floor(F.col("doc_id") / GROUP_IDS), F.lit(-(1 << 62))))
+    hot = rows.groupBy("grp").agg(F.count("*").alias("m")).where(F.col("m") > HOT_ROWS).select("grp", F.lit(True).alias("hot"))
+    n = hot.count()
+    if not n:
+        return rows.withColumn("sub", F.lit(0).cast("long"))
+    hot = F.broadcast(hot) if n <= BROADCAST_IDS else hot  # a row for HOT_ROWS rows at least
+    place = F.coalesce(F.pmod("doc_id", F.lit(GROUP_IDS)), F.lit(0))
+    fine = F.shiftleft(place.cast("long"), 20) + F.shiftright("mark", 44) + (1 << 19)  # a signed mark's first 20 bits
+    return rows.join(hot, "grp", "left").withColumn("sub", F.when(F.col("hot"), fine).otherwise(F.lit(0).cast("long"))).drop("hot")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, mark, text`` and ``next_id, next_mark, next_text`` of the next row by doc_id, after the last the first.
 
-    Rows are grouped by ranges of ids of fixed width.  The first row of each group is
-    also sent to the group before, so that one exchange of the texts is enough.
+    The first row of each part is also sent to the part before, so that one exchange of
+    the texts is enough.  Of the next text only the beginning that the edit takes goes on.
     """
-    group = F.coalesce(F.floor(F.col("doc_id") / GROUP_IDS), F.lit(-(1 << 62)))
-    rows = docs.withColumn("grp", group)
+    rows = groups(docs)
     key = F.struct("doc_id", "mark")
-    firsts = rows.groupBy("grp").agg(F.min(key).alias("f"))
-    order = Window.orderBy("grp")  # one narrow row for each group of ids
-    last = F.last("grp").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    firsts = firsts.withColumn("to", F.coalesce(F.lag("grp").over(order), last)).select(F.col("grp").alias("g"), "f.doc_id", F.col("f.mark").alias("m"), "to").withColumnRenamed("doc_id", "d")
+    firsts = rows.groupBy("grp", "sub").agg(F.min(key).alias("f"))
+    order = Window.orderBy("grp", "sub")  # one narrow row for each part
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    to = F.coalesce(F.lag(F.struct("grp", "sub")).over(order), F.last(F.struct("grp", "sub")).over(every))
+    firsts = firsts.withColumn("to", to).select(F.col("grp").alias("g"), F.col("sub").alias("s"), F.col("f.doc_id").alias("d"), F.col("f.mark").alias("m"), "to")
     firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts
-    moved = rows.join(firsts, (rows["grp"] == firsts["g"]) & rows["doc_id"].eqNullSafe(firsts["d"]) & (rows["mark"] == firsts["m"]), "inner")
+    moved = rows.join(firsts, (rows["grp"] == firsts["g"]) & (rows["sub"] == firsts["s"]) & rows["doc_id"].eqNullSafe(firsts["d"]) & (rows["mark"] == firsts["m"]), "inner")
     # of rows equal in id and text any one will do; only the first is used
-    moved = moved.select("doc_id", "mark", "text", F.col("to").alias("grp"), F.lit(1).alias("extra"))
-    both = rows.select("doc_id", "mark", "text", "grp", F.lit(0).alias("extra")).union(moved)
-    w = Window.partitionBy("grp").orderBy("extra", F.col("doc_id").asc_nulls_first(), "mark")
+    moved = moved.select("doc_id", "mark", "text", F.col("to.grp").alias("grp"), F.col("to.sub").alias("sub"), F.lit(1).alias("extra"))
+    both = rows.select("doc_id", "mark", "text", "grp", "sub", F.lit(0).alias("extra")).union(moved)
+    w = Window.partitionBy("grp", "sub").orderBy("extra", F.col("doc_id").asc_nulls_first(), "mark")
     nxt = F.lead(F.struct("doc_id", "mark", "text")).over(w)
     led = both.withColumn("nxt", nxt).withColumn("nth", F.row_number().over(w)).where("extra = 0")
-    return led.select("doc_id", "mark", "text", "grp", "nth", F.col("nxt.doc_id").alias("next_id"), F.col("nxt.mark").alias("next_mark"), F.col("nxt.text").alias("next_text"))
+    return led.select("doc_id", "mark", "text", "grp", "sub", "nth", F.col("nxt.doc_id").alias("next_id"), F.col("nxt.mark").alias("next_mark"), F.col("nxt.text").alias("next_text"))
 
 
 def block_keys(prints: DataFrame, radius: int, spare: int) -> DataFrame:
@@ -182,7 +202,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edited = F.concat(F.col("text").substr(F.lit(1), n - quarter), F.col("next_text").substr(F.lit(1), quarter))
     led = with_next(rows).withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
     led = led.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    keep = ["doc_id", "mark", "grp", "nth", "next_id", "next_mark", "n_chars", "edited_sha256"]
+    keep = ["doc_id", "mark", "grp", "sub", "nth", "next_id", "next_mark", "n_chars", "edited_sha256"]
     seen = fingerprints(led, "edited", keep, "e_")
     nxt = own.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("hi").alias("n_hi"), F.col("lo").alias("n_lo"))
     mine = own.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "hi", "lo")

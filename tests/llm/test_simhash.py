@@ -35,7 +35,7 @@ def test_bits_are_the_majority_of_term_hashes(spark):
     df = spark.createDataFrame([(1, "a b c a b d a b")], "doc_id long, text string")
     got = collected(H.fingerprints(df, "text", ["doc_id"]))[0]
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "b"), ("b", "d"), ("d", "a"), ("a", "b")]
-    hashes = [r for x, y in pairs for r in [spark.sql(f"SELECT xxhash64('{x}', '{y}') AS h, xxhash64('{y}', 7, '{x}') AS l").first()]]
+    hashes = [r for x, y in pairs for r in [spark.sql(f"SELECT xxhash64('{x}', '{y}') AS h, xxhash64(xxhash64('{x}', '{y}'), 7) AS l").first()]]
     for name, column in (("hi", "h"), ("lo", "l")):
         want = sum(1 << k for k in range(64) if 2 * sum((h[column] >> k) & 1 for h in hashes) > len(hashes))
         assert got[name] % (1 << 64) == want
@@ -90,6 +90,32 @@ def test_neighbours_equal_all_pairs(spark):
         assert got == want
 
 
+def test_counts_of_the_query_equal_all_pairs(spark, sf_dir):
+    rows = collected(H.op6_simhash(spark, sf_dir))
+    prints = [int(r["fingerprint"], 16) for r in rows]
+    assert len(rows) == 200 and any(r["n_near"] for r in rows)
+    for r, p in zip(rows, prints):
+        want = sum((p ^ q).bit_count() <= H.RADIUS for q in prints) - 1 if r["doc_id"] % 50 == 0 else None
+        assert r["n_near"] == want
+
+
+def test_many_rows_of_one_id_or_of_none_are_cut_into_parts(spark, monkeypatch):
+    """Groups beyond HOT_ROWS are cut by id and mark; the rows stay in one order, each with its next."""
+    monkeypatch.setattr(H, "HOT_ROWS", 10)
+    rng = random.Random(7)
+    rows = [(None, prose(i, 9)) for i in range(120)] + [(77, prose(500 + i, 9)) for i in range(90)] + [(70 + i % 15, prose(900 + i, 9)) for i in range(60)] + [(10**7 + i, prose(2000 + i, 9)) for i in range(8)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.xxhash64("text")).repartition(3)
+    assert H.groups(df).groupBy("grp", "sub").count().count() > 200
+    led = collected(H.with_next(df))
+    order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["mark"]), r["text"]) for r in led)
+    assert len(led) == len(rows)
+    after = {a[0]: b for a, b in zip(order, order[1:] + order[:1])}
+    for r in led:
+        k, text = after[r["doc_id"] is not None, r["doc_id"] or 0, r["mark"]]
+        assert (r["next_id"] is not None, r["next_id"] or 0, r["next_mark"], r["next_text"]) == (*k, text)
+
+
 def test_awkward_rows(spark):
     df = documents(spark, extra=True)
     out = collected(H.compare_edited(df))
