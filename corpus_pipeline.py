@@ -2,8 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs.  All but the last return the columns
-of ``documents``.  Rows with null text are kept by every filter: nothing can be held
-against them.  An empty table passes through as an empty one.
+of ``documents``, and keep columns beyond those too.
+
+Edge cases, the same in every stage:
+
+* null texts are kept by every filter, for nothing can be held against them, and become
+  no tokens; empty texts likewise;
+* rows without doc_id are judged by their text, and kept where a stage needs an id;
+* of rows that repeat a doc_id and its text one stays; rows of one doc_id with different
+  texts are judged each by its own;
+* ties: of a group of copies the smallest doc_id stays; a toxicity of exactly 0.5 goes;
+* very long texts are read whole, a batch of bounded bytes at a time;
+* an empty table passes through as an empty one, also through the model's training;
+* columns whose names the stages use inside don't clash with theirs.
+
+Near-duplicates are texts whose sets of five-word shingles have a similarity of 0.8 or
+more; copies with more changes than that are other texts to it, and stay.
 """
 
 from __future__ import annotations
