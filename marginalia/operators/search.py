@@ -1,9 +1,13 @@
 """Hybrid search: postings, a web-style query language, ranking, filters and pages.
 
-A corpus is indexed once into postings (doc_id, term, tf, positions, doc_len, weight);
-stored sorted by term, a query reads only its terms' row groups.  A query is parsed on
-the driver into groups of required alternatives and excluded ones, each a phrase; every
-step after that is a join or an aggregation over postings.
+A corpus is indexed once into postings (doc_id, term, weight, tf, positions, doc_len);
+``save`` stores them by a hash of the term, so that a query reads only the folders and
+row groups of its terms.  A query is parsed on the driver into groups of required
+alternatives and excluded ones, each a phrase.  The postings of all its terms meet once,
+in one row for each document, on which the whole query is decided and ranked.
+
+With ``language="english"`` stop words go and words are stemmed, in the index as in the
+query; positions still count every word, so phrases keep their distances.
 
 Rank is the sum over matched query terms of weight * (1 + ln tf) / (1 + ln doc_len).
 """
@@ -15,15 +19,19 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import vectors
+from marginalia.functions.stemmer import STOP, stem
 
 PAGE = 50
 #: Cosine distance below which a vector match counts.
 RADIUS = 0.5
 WEIGHTS = {"A": 1.0, "B": 0.4}
+#: Folders of a stored index.
+BUCKETS = 64
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -32,37 +40,91 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, fields: dict[str, str], language: str | None = None) -> DataFrame:
     """``doc_id, term, weight, tf, positions, doc_len`` of each term; ``fields`` maps text columns to weight classes."""
     parts = []
     for name, cls in fields.items():
         worded = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(name)).alias("t"))
         parts.append(worded.select("doc_id", F.size("t").alias("n"), F.lit(WEIGHTS[cls]).alias("weight"), F.posexplode("t").alias("pos", "term")))
     every = reduce(DataFrame.union, parts)
-    found = every.groupBy("doc_id", "term", "weight").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("n").alias("doc_len"))
-    return found.select("doc_id", "term", "weight", "tf", "positions", "doc_len")
+    found = every.groupBy("doc_id", "term", "weight").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("n").alias("doc_len"))
+    if language:
+        stems = stemmed(found, language)
+        found = found.join(stems, "term").groupBy("doc_id", F.col("stem").alias("term"), "weight").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("doc_len").alias("doc_len"))
+    return found.select("doc_id", "term", "weight", F.size("positions").cast("long").alias("tf"), "positions", "doc_len")
+
+
+def stemmed(words: DataFrame, language: str) -> DataFrame:
+    """``term, stem`` of the distinct terms that aren't stop words: each is stemmed once, not each time it stands in a text."""
+    known(language)
+
+    @F.pandas_udf("string")
+    def stems(terms: pd.Series) -> pd.Series:
+        return terms.map(stem)
+
+    return words.select("term").distinct().where(~F.col("term").isin(*sorted(STOP))).withColumn("stem", stems("term"))
+
+
+def known(language: str) -> None:
+    if language != "english":
+        raise ValueError(f"no stems for {language!r}")
+
+
+def save(index: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Store postings in folders by a hash of the term, sorted by term in each file."""
+    marked = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    marked.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("errorifexists").partitionBy("bucket").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Stored postings; ``of_terms`` then reads only the folders of a query's terms."""
+    return spark.read.parquet(path)
+
+
+def of_terms(index: DataFrame, terms: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The postings of some terms."""
+    out = index.where(F.col("term").isin(terms)) if terms else index.limit(0)
+    if "bucket" in index.columns and terms:
+        folders = index.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets))).distinct().collect()  # one for each term
+        out = out.where(F.col("bucket").isin([r[0] for r in folders]))
+    return out
+
+
+#: Terms with their places from the phrase's first word on.
+Phrase = tuple[tuple[int, str], ...]
 
 
 @dataclass
 class Query:
     """``required``: all groups must match, a group if one of its phrases does; ``excluded``: no phrase may."""
 
-    required: list[list[tuple[str, ...]]] = field(default_factory=list)
-    excluded: list[tuple[str, ...]] = field(default_factory=list)
+    required: list[list[Phrase]] = field(default_factory=list)
+    excluded: list[Phrase] = field(default_factory=list)
 
     @property
     def terms(self) -> list[str]:
-        return sorted({t for g in self.required for p in g for t in p})
+        """The terms that count for the rank."""
+        return sorted({t for g in self.required for p in g for _, t in p})
+
+    @property
+    def all_terms(self) -> list[str]:
+        return sorted({*self.terms, *(t for p in self.excluded for _, t in p)})
 
 
-def parse_query(text: str) -> Query:
-    """Quotes make phrases, ``or`` joins neighbours to alternatives, ``-`` excludes; words are required otherwise."""
+def parse_query(text: str, language: str | None = None) -> Query:
+    """Quotes make phrases, ``or`` joins neighbours to alternatives, ``-`` excludes; words are required otherwise.
+
+    In a language stop words say nothing: a phrase of such words only is left out.
+    """
+    if language:
+        known(language)
     out, joined = Query(), False
     for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text):
         if not minus and word.lower() == "or":
             joined = bool(out.required)
             continue
-        phrase = tuple(re.findall(r"[^\W_]+", (quoted or word).lower()))
+        found = re.findall(r"[^\W_]+", (quoted or word).lower())
+        phrase = tuple((k, stem(w) if language else w) for k, w in enumerate(found) if not (language and w in STOP))
         if not phrase:
             continue
         if minus:
@@ -75,35 +137,47 @@ def parse_query(text: str) -> Query:
     return out
 
 
-def _phrase(index: DataFrame, phrase: tuple[str, ...]) -> DataFrame:
-    """Ids of documents in which the phrase's words follow each other."""
+def _holds(phrase: Phrase) -> Column:
+    """Whether the postings ``p`` of a document have the phrase's terms at its distances, in one field."""
     if len(phrase) == 1:
-        return index.where(F.col("term") == phrase[0]).select("doc_id").distinct()
-    starts = None
-    for k, term in enumerate(phrase):
-        at = index.where(F.col("term") == term).select("doc_id", "weight", F.expr(f"transform(positions, p -> p - {k})").alias(f"p{k}"))
-        starts = at if starts is None else starts.join(at, ["doc_id", "weight"])
-    meet = reduce(F.array_intersect, [F.col(f"p{k}") for k in range(len(phrase))])
-    return starts.where(F.size(meet) > 0).select("doc_id").distinct()
+        return F.exists("p", lambda x: x["term"] == phrase[0][1])
+    fields = [F.size(reduce(F.array_intersect, [_starts(k, t, weight) for k, t in phrase])) > 0 for weight in sorted(set(WEIGHTS.values()))]
+    return reduce(Column.__or__, fields)
+
+
+def _starts(place: int, term: str, weight: float) -> Column:
+    """Where a phrase would have to begin for a term's positions in one field."""
+    mine = F.filter("p", lambda x: (x["term"] == term) & (x["weight"] == weight))
+    return F.transform(F.flatten(F.transform(mine, lambda x: x["positions"])), lambda at: at - place)
+
+
+def evaluate(index: DataFrame, query: Query) -> DataFrame:
+    """``doc_id, by_words, rank`` of the documents that have some of the query's terms (all documents if it only excludes):
+    whether its words select them, and their rank; from one pass over its terms' postings.
+    """
+    met = of_terms(index, query.all_terms).groupBy("doc_id").agg(F.collect_list(F.struct("term", "weight", "tf", "positions", "doc_len")).alias("p"))
+    if not query.required:
+        every = index.select("doc_id").distinct() if query.excluded else index.select("doc_id").limit(0)
+        met = every.join(met, "doc_id", "left").withColumn("p", F.coalesce("p", F.filter(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("tf"), F.array().cast("array<int>").alias("positions"), F.lit(0).alias("doc_len"))), lambda x: F.lit(False))))
+    wanted = F.lit(True)
+    for group in query.required:
+        wanted = wanted & reduce(Column.__or__, map(_holds, group))
+    for phrase in query.excluded:
+        wanted = wanted & ~_holds(phrase)
+    ranked = F.filter("p", lambda x: x["term"].isin(query.terms)) if query.terms else F.filter("p", lambda x: F.lit(False))
+    score = F.aggregate(ranked, F.lit(0.0), lambda s, x: s + x["weight"] * (1 + F.log(x["tf"])) / (1 + F.log(x["doc_len"])))
+    return met.select("doc_id", wanted.alias("by_words"), score.alias("rank"))
 
 
 def matches(index: DataFrame, query: Query) -> DataFrame:
     """``doc_id`` of the documents that the query's words select."""
-    found = None
-    for group in query.required:
-        hit = reduce(DataFrame.union, [_phrase(index, p) for p in group]).distinct()
-        found = hit if found is None else found.join(hit, "doc_id", "left_semi")
-    if found is None:
-        found = index.select("doc_id").distinct() if query.excluded else index.select("doc_id").limit(0)
-    for p in query.excluded:
-        found = found.join(_phrase(index, p), "doc_id", "left_anti")
-    return found
+    return evaluate(index, query).where("by_words").select("doc_id")
 
 
 def rank(index: DataFrame, query: Query) -> DataFrame:
-    """``doc_id, rank`` over the query's terms."""
+    """``doc_id, rank`` of every document that has some of the query's terms."""
     score = F.col("weight") * (1 + F.log("tf")) / (1 + F.log("doc_len"))
-    return index.where(F.col("term").isin(query.terms)).groupBy("doc_id").agg(F.sum(score).alias("rank"))
+    return of_terms(index, query.terms).groupBy("doc_id").agg(F.sum(score).alias("rank"))
 
 
 def near_vector(docs: DataFrame, query_vector: list[float], vector_col: str = "embedding") -> DataFrame:
@@ -112,27 +186,31 @@ def near_vector(docs: DataFrame, query_vector: list[float], vector_col: str = "e
     return docs.withColumn("distance", vectors.cosine_distance(F.col(vector_col), q))
 
 
-def hybrid(docs: DataFrame, index: DataFrame, text: str, query_vector: list[float] | None = None, id_col: str = "doc_id", substring_cols: tuple[str, ...] = (), radius: float = RADIUS) -> DataFrame:
+def hybrid(docs: DataFrame, index: DataFrame, text: str, query_vector: list[float] | None = None, id_col: str = "doc_id", substring_cols: tuple[str, ...] = (), radius: float = RADIUS, language: str | None = None) -> DataFrame:
     """Documents that match by words, by substring of a column or by vector, with ``rank, distance, score``.
 
     Documents with a vector score half their rank and half their nearness; those without score their rank.
     Without a query vector (also when the provider failed) the words alone decide.
     ``%`` and ``_`` of the text are wildcards in the substring match.
     """
-    query = parse_query(text)
-    hit = matches(index, query).withColumn("by_words", F.lit(True)).withColumnRenamed("doc_id", "_id")
-    ranked = rank(index, query).withColumnRenamed("doc_id", "_rid")
-    out = docs.join(hit, docs[id_col] == hit["_id"], "left").join(ranked, docs[id_col] == ranked["_rid"], "left").drop("_id", "_rid")
+    found = evaluate(index, parse_query(text, language)).select(F.col("doc_id").alias("_id"), "by_words", F.col("rank").alias("_rank"))
+    if query_vector is None and not substring_cols:  # the words alone decide: only their documents are read
+        found = found.where("by_words").drop("by_words")
+        out = docs.join(found, docs[id_col] == found["_id"]).withColumn("rank", F.col("_rank")).drop("_id", "_rank")
+        return out.withColumn("distance", F.lit(None).cast("double")).withColumn("score", F.col("rank"))
+    # rows that match by something else have a rank too, as far as they have the query's terms
+    out = docs.join(found, docs[id_col] == found["_id"], "left")
     wanted = F.coalesce("by_words", F.lit(False))
     for c in substring_cols:
         wanted = wanted | F.coalesce(F.ilike(F.col(c), F.lit(f"%{text}%")), F.lit(False))
-    words = F.coalesce("rank", F.lit(0.0))
+    words = F.coalesce("_rank", F.lit(0.0))
     if query_vector is None:
-        return out.where(wanted).drop("by_words").withColumn("distance", F.lit(None).cast("double")).withColumn("rank", words).withColumn("score", F.col("rank"))
+        return out.where(wanted).withColumn("rank", words).drop("by_words", "_id", "_rank").withColumn("distance", F.lit(None).cast("double")).withColumn("score", F.col("rank"))
     out = near_vector(out, query_vector)
     wanted = wanted | F.coalesce(F.col("distance") < radius, F.lit(False))
-    score = F.when(F.col("distance").isNotNull(), 0.5 * words + 0.5 * (1 - F.col("distance"))).otherwise(words)
-    return out.where(wanted).drop("by_words").withColumn("rank", words).withColumn("score", score)
+    out = out.where(wanted).withColumn("rank", words).drop("by_words", "_id", "_rank")
+    score = F.when(F.col("distance").isNotNull(), 0.5 * F.col("rank") + 0.5 * (1 - F.col("distance"))).otherwise(F.col("rank"))
+    return out.withColumn("score", score)
 
 
 def page(found: DataFrame, number: int = 1, order: tuple[str, ...] = ("score",), id_col: str = "doc_id", size: int = PAGE) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions.stemmer import stem
 from marginalia.functions import cites, spans, text
 
 KINDS = ("underline", "highlight")
@@ -108,10 +109,20 @@ def test_tag_and_cite_quality(spark):
 
 
 def test_clean_cite(spark):
-    cases = {"Smith 22,": "Smith 22", "Smith et al 22": "Smith et al. 22", "Smith and Jones 22": "Smith & Jones 22", "Mark Smith 22": "Smith 22", "Bartholomew Smith 22": "Bartholomew Smith 22"}
+    cases = {
+        "Smith 22,": "Smith 22", "Smith et. al 22": "Smith et al. 22", "Smith ET. AL 22": "Smith et al. 22", "Smith et al 22": "Smith et al 22", "Smith et. al. 22": "Smith et al.. 22", "Smith, 22": "Smith 22", "Smith,\u00a0 22 ; ": "Smith 22",
+        "Smith and Jones 22": "Smith & Jones 22", "Mark Smith 22": "Smith 22", "Bartholomew Smith 22": "Bartholomew Smith 22", "Mark Smith and Jones, 22": "Smith & Jones 22",
+    }
     for raw, want in cases.items():
-        assert one(spark, raw, text.cleaned_cite) == want
-    assert one(spark, "Smith '22", text.author_without_year) == "Smith"
+        assert one(spark, raw, text.cleaned_cite) == want, raw
+    for raw, want in {"Smith '22": "Smith", "Smith 6": "Smith", "Lee 6/9": "Lee", "Lee 3/14/2022": "Lee", "Lee 3-14-22": "Lee", "Smith": "Smith", "Smith 20221": "Smith 2"}.items():
+        assert one(spark, raw, text.author_without_year) == want, raw
+
+
+def test_stems_of_the_published_sample():
+    words = "consigned consistency consolatory consolidating conspicuously conspiracy constables knackeries knavish kneeled knights knives knocker generously hoping hopping happy flies died policies relational skies dying news proceed"
+    stems = "consign consist consolatori consolid conspicu conspiraci constabl knackeri knavish kneel knight knive knocker generous hope hop happi fli die polici relat sky die news proceed"
+    assert [stem(w) for w in words.split()] == stems.split()
 
 
 def test_snippet(spark):

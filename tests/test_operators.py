@@ -54,6 +54,28 @@ def test_query_language(corpus, query, want):
     assert {r[0] for r in S.matches(corpus[1], S.parse_query(query)).collect()} == want
 
 
+def test_stored_index_reads_its_terms_only(spark, corpus, tmp_path):
+    path = f"file://{tmp_path}/index"
+    S.save(corpus[1], path)
+    stored = S.load(spark, path)
+    for query in ('"quick brown" or slow', "fox -dog", "-dog", "zzz"):
+        assert {r[0] for r in S.matches(stored, S.parse_query(query)).collect()} == {r[0] for r in S.matches(corpus[1], S.parse_query(query)).collect()}
+    plan = S.of_terms(stored, ["fox"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "PushedFilters" in plan and "term" in plan.split("PushedFilters: [")[1].split("]")[0]
+
+
+def test_english_words_meet_by_their_stems(spark):
+    docs = spark.createDataFrame([(1, "The foxes were jumping over it"), (2, "A fox jumped"), (3, "jump, the fox"), (4, "over and under")], "doc_id long, text string")
+    index = S.postings(docs, "doc_id", {"text": "B"}, "english")
+    find = lambda q: {r[0] for r in S.matches(index, S.parse_query(q, "english")).collect()}
+    assert find("foxes jumps") == {1, 2, 3} and find("the") == set() and find('"fox jumping"') == {2}
+    assert find('"jump the fox"') == {3} and find("fox -jumped") == set() and find("the foxes") == {1, 2, 3}
+    ranked = {r.doc_id: r.score for r in S.hybrid(docs, index, "jumping fox", language="english").collect()}
+    assert set(ranked) == {1, 2, 3} and ranked[2] > ranked[1]  # the shorter text ranks higher
+    with pytest.raises(ValueError, match="no stems"):
+        S.postings(docs, "doc_id", {"text": "B"}, "klingon")
+
+
 def test_wildcards_and_vectors_widen_the_match(spark, corpus):
     docs, index = corpus
     hit = S.hybrid(docs, index, "s_ow%dog", substring_cols=("text",))
