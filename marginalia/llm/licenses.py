@@ -9,8 +9,8 @@ if enough of the template's k-grams voted and it isn't much longer than the temp
 Words are runs of ASCII letters and digits and of other non-ASCII characters, A-Z in
 lower case.  The templates are a fixed list of a few kB, so their side is broadcast.
 
-Texts are read once: a marker in front of each text's k-grams meets a marker template,
-so that every text has a vote, which carries its number of words and of copies.
+Texts are read once: a marker behind each text's k-grams meets a marker template, so
+that every text has a vote, whose place tells its number of words.
 
 Edge cases: null and empty texts have no words and no places; phrases that overlap are
 counted each; rows of the same doc_id and text get the same result; rows without
@@ -66,6 +66,8 @@ NOTICES = {
 }
 #: Templates of up to so many words must match whole; of longer ones this share of k-grams must vote.
 SHORT, SHARE = 8, 0.6
+#: Templates that mark a text of k words or more, and a shorter one.
+WORDED, SHORT_TEXT = -1, -2
 #: Neighbouring diagonals at most so far apart are merged.
 NEIGHBOUR = 2
 
@@ -92,19 +94,21 @@ def templates(spark: SparkSession, base: dict[str, str], notices: dict[str, str]
 def votes(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, mark, template, label, is_base, size, diagonal, ats``: the template places that voted for each diagonal.
 
-    ``mark`` is a hash of the text.  Template -1 marks the text itself: ``n_words``, and ``copies`` of the row.
+    ``mark`` is a hash of the text.  Templates below 0 mark the text itself: ``n_words``, and ``copies`` of the row.
     """
     spark = docs.sparkSession
     told = templates(spark, base, notices)
-    none = F.lit(None)
-    marker = spark.range(1).select(F.lit(-1).alias("template"), none.cast("string").alias("label"), none.cast("boolean").alias("is_base"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash"))
+    marks = spark.createDataFrame([(WORDED, None, None, 0, 0, 0), (SHORT_TEXT, None, None, 0, 0, 1)], "template int, label string, is_base boolean, size int, at int, hash long")
     text = F.coalesce(docs[text_col], F.lit(""))
     words = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("mark"), words_of(docs[text_col]).alias("words"))
-    hashes = F.concat(F.array(F.lit(0).cast("long")), F.coalesce(gram_hashes(F.col("words")), F.array().cast("array<long>")))
-    grams = words.select("doc_id", "mark", F.size("words").cast("long").alias("n_words"), F.posexplode(hashes).alias("pos", "hash"))
-    hits = grams.join(F.broadcast(told.unionByName(marker)), "hash").withColumn("pos", F.col("pos") - 1)
-    hits = hits.where((F.col("template") < 0) == (F.col("pos") < 0))
-    voted = hits.groupBy("doc_id", "mark", "template", "label", "is_base", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.max("n_words").alias("n_words"), F.count("*").alias("copies"))
+    # the marker stands behind the k-grams, so that its place tells the number of words, and no row carries the words along
+    few = F.concat(F.array_repeat(F.lit(None).cast("long"), F.size("words")), F.array(F.lit(1).cast("long")))
+    hashes = F.when(F.size("words") >= K, F.concat(gram_hashes(F.col("words")), F.array(F.lit(0).cast("long")))).otherwise(few)
+    grams = words.select("doc_id", "mark", F.posexplode(hashes).alias("pos", "hash"))
+    hits = grams.join(F.broadcast(told.unionByName(marks)), "hash")
+    n_words = F.when(F.col("template") == WORDED, F.col("pos") + (K - 1)).when(F.col("template") == SHORT_TEXT, F.col("pos")).cast("long")
+    diagonal = F.when(F.col("template") >= 0, F.col("pos") - F.col("at")).otherwise(0)
+    voted = hits.groupBy("doc_id", "mark", "template", "label", "is_base", "size", diagonal.alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.max(n_words).alias("n_words"), F.count("*").alias("copies"))
     return Stage(spark, "licenses").put(voted, "voted")  # few rows, from one pass over the texts
 
 
