@@ -10,8 +10,10 @@ crosses the border between the last token of what is left and ``t``.  Exactly on
 token does.
 
 Edge cases: null text counts as empty and gives no ids; strings of special tokens
-inside a text become that special token; repeated rows give repeated results; an
-empty table gives an empty result; other columns of the input play no part.
+inside a text become that special token; very long texts, also those of one word, are
+encoded whole, a batch at a time, in time that follows their length; repeated rows give
+repeated results; an empty table gives an empty result; other columns of the input,
+also of the names used here, play no part.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from marginalia.llm.common import small_batches, table
 
 #: Words of one trie, words and pairs kept between batches; these bound memory only.
 TRIE_WORDS, KEPT_WORDS, KEPT_PAIRS = 50_000, 400_000, 400_000
+#: Longer words aren't kept between batches, so that the words kept are bounded in bytes too.
+KEPT_CHARS = 64
 
 # Fixed value: the public pre-tokenisation pattern of byte-level BPE vocabularies,
 # with white space as Unicode has it.
@@ -161,7 +165,11 @@ class TrieBPE:
         for i in range(0, len(new), TRIE_WORDS):
             self.kept.update(self.encode_words(new[i : i + TRIE_WORDS]))
         get = self.kept.__getitem__
-        return [b"".join(map(get, c)) for c in cuts]
+        out = [b"".join(map(get, c)) for c in cuts]
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                del self.kept[w]
+        return out
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
