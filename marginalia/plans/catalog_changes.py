@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,13 +36,23 @@ def query(name: str, sql: str | None):
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see; only a local master may go without a set one."""
+    """A fresh folder that all executors see, deleted when the driver ends; only a local master may go without a set one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not (spark.sparkContext.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file:///tmp/marginalia-plans"
-    return f"{root}/plans/{name}-{uuid.uuid4().hex}"
+        root = "file://" + tempfile.gettempdir()
+    path = f"{root}/marginalia-plans/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone at exit; the folder is scratch
+        pass
 
 
 def _as_text(df: DataFrame, *columns: str) -> DataFrame:

@@ -110,7 +110,7 @@ def parse_docx(content: bytes) -> list[dict]:
 
 def read_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = ("garbage",), skip_names: tuple[str, ...] = ()) -> DataFrame:
     """The .docx files below a folder, as binaryFile rows; whole files, so keep them small."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[dD][oO][cC][xX]").load(root)
     parts = F.split("path", "/")
     return files.where(~F.arrays_overlap(parts, F.array(*map(F.lit, skip_dirs))) & ~F.element_at(parts, -1).isin(*skip_names, ""))
 

@@ -1,6 +1,8 @@
 """Operators on small tables: search, hierarchies, components, dedup, lists, changes, segmentation."""
 
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -433,3 +435,47 @@ def test_tiebreaks(spark):
     assert [r.winner_id for r in P.needs_tiebreak(d).collect()] == [5]
     out = P.promote(d, spark.createDataFrame([(1, 1, 55)], "cluster long, sub long, pick long"))
     assert {(r.winner_id, r.decision, r.decided_by) for r in out.collect()} == {(55, "apply", "model"), (6, "skip", "rules"), (7, "apply", "rules")}
+
+
+def told(texts, kind="document"):
+    return [[1.0, 0.0] if kind == "document" else [0.0, 1.0] for _ in texts]
+
+
+def test_kinds_of_embeddings(spark):
+    df = spark.createDataFrame([(1, "a", None)], "id long, t string, embedding array<double>")
+    assert P.embed(df, "t", P.as_kind("document", told)).first().embedding == [1.0, 0.0]
+    assert P.query_vector("a", P.as_kind("query", told)) == [0.0, 1.0] and len(P.query_vector("a", P.as_kind("query"))) == P.DIMENSIONS
+    with pytest.raises(ValueError, match="no kind"):
+        P.as_kind("other")
+
+
+def test_answers_to_the_inverse_claim(spark):
+    cards = spark.createDataFrame([(k, f"tag {k}", None if k < 9 else 1) for k in range(10)], "card_id long, tag string, canonical_card_id long")
+    vectors = P.embed(cards.withColumn("embedding", F.lit(None).cast("array<double>")), "tag")
+    claims = lambda tag: "tag 4"
+    got = [(r.id, round(r.distance, 6)) for r in P.answers(vectors, 2, claims, k=3).collect()]
+    assert got[0] == (4, 0.0) and len(got) == 3 and 2 not in [i for i, _ in got] and 9 not in [i for i, _ in got]
+    assert P.answers(vectors, 2, broken).count() == 0 and P.answers(vectors, 99, claims).count() == 0 and P.answers(vectors, 2, claims, broken).count() == 0
+    assert P.opposed(" Growth is good. ") == "It is not true that Growth is good."
+
+
+def test_batches_of_cards(spark):
+    cards = spark.createDataFrame([(k, f"t{k}", "b" * 5000) for k in range(40)], "id long, tag string, body string").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(prompt):
+        seen.add(1)
+        ids = [int(x) for x in re.findall(r"card (\d+)\n", prompt)]
+        assert len(ids) <= 15 and len(prompt) < 15 * (P.CUT["batch"] + 300)
+        return "x " + json.dumps({str(i): ["T1", "t1", "zz", 3, f"t{i}"] for i in ids if i != 7}) + " y" if 20 not in ids else "no json"
+
+    got = {r.id: r.tags for r in P.propose_batched(cards, model, ["t1", "t2", "t39"]).collect()}
+    assert seen.value == 3 and got[7] is None and got[2] == ["t1", "t2"] and got[39] == ["t1", "t39"]
+    assert all(got[k] is None for k in range(15, 30))
+
+
+def test_random_projections_find_nine_of_ten_pairs(spark):
+    rows_ = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    exact = {(r.a, r.b) for r in N.top_k(rows_, 499, 0.6, "vec_id").where("a < b").select("a", "b").collect()}
+    found = {(r.a, r.b) for r in N.lsh_pairs(rows_, 0.6, "vec_id").collect()}
+    assert found <= exact and len(found) >= 0.9 * len(exact) > 40

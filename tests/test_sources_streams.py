@@ -1,6 +1,7 @@
 """Word files, reports, snapshots and the limiter, over batches and streams."""
 
 import io
+import json
 import random
 import zipfile
 from datetime import date, datetime, timedelta
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions.spans import SPANS
+from marginalia.operators import ingest
 from marginalia.operators import lists as L
 from marginalia.operators import segment as G
 from marginalia.sources import docx, reports
@@ -74,6 +76,49 @@ def test_export_reads_back(spark):
     assert all(r.bold for r in paras[2].runs)
 
 
+def heading(text, level):
+    return f'<w:p><w:pPr><w:pStyle w:val="H{level}"/></w:pPr>{run(text)}</w:p>'
+
+
+HEADS = "".join(f'<w:style w:type="paragraph" w:styleId="H{k}"><w:name w:val="heading {k}"/></w:style>' for k in range(1, 5))
+
+
+def test_a_folder_is_ingested_with_its_errors(spark, tmp_path):
+    light, line = '<w:highlight w:val="yellow"/>', '<w:u w:val="single"/>'
+    body = (
+        heading("The Negative", 1) + heading("AT: Growth", 2) + heading("Growth is bad", 4) + "<w:p/>" + f'<w:p>{run("Smith and Jones 22, a title, https://x.org/a.")}</w:p>'
+        + f'<w:p>{run("It ")}{run("kills", line)}{run(" us", line + light)}</w:p><w:p/><w:p>{run("all.")}</w:p>'
+        + heading("No body here", 4) + f'<w:p>{run("Lee 21")}</w:p>' + heading("An argument", 4) + heading("Next", 3) + heading("Last tag", 4) + f'<w:p>{run("Lee 21")}</w:p><w:p>{run("words")}</w:p>'
+    )
+    folder = tmp_path / "in" / "sub"
+    folder.mkdir(parents=True)
+    (folder / "Case.DOCX").write_bytes(word_file(body, HEADS))
+    (folder / "empty.docx").write_bytes(word_file("<w:p/>", HEADS))
+    (folder / "broken.docx").write_bytes(b"no zip")
+    files = docx.read_files(spark, f"file://{tmp_path}/in")
+    got = ingest.extract(files, (("growth", ("growth",)), ("none", ("zzz",))))
+    assert [r.path.rpartition("/")[2] for r in got.errors.collect()] == ["broken.docx"] and "BadZipFile" in got.errors.first().error
+    first, argument, last = got.items.orderBy("tag_idx").collect()
+    assert (first.kind, first.tag, first.card_text, first.block_path, first.tags) == ("card", "Growth is bad", "It kills us all.", ["Neg", "AT: Growth"], ["growth", "da-defense"])
+    assert [tuple(m) for m in first.markup] == [(3, 11, "underline"), (8, 11, "highlight")] and first.source.cite_short == "Smith and Jones 22" and first.source.url == "https://x.org/a"
+    assert (argument.kind, argument.tag, argument.answer_to, argument.card_text, argument.source) == ("analytical", "An argument", "AT: Growth", None, None)
+    assert (last.tag, last.card_text, last.block_path) == ("Last tag", "words", ["Neg", "AT: Growth"])  # "Next" went with the argument
+    old = spark.createDataFrame([(4, "Lee 21", "Lee 21")], "source_id long, cite_short string, raw_cite string")
+    made = ingest.insert(got.items, old, top_card=10, topic_id=2, upload_id=5, status="proposed", now=F.lit("2024-03-01").cast("timestamp"))
+    assert [(r.card_id, r.source_id, r.tag, r.topic_id, r.wiki_upload_id, str(r.created_at)) for r in made.cards.orderBy("card_id").collect()] == [(11, 5, "Growth is bad", 2, 5, "2024-03-01 00:00:00"), (12, 4, "Last tag", 2, 5, "2024-03-01 00:00:00")]
+    assert {r.source_id for r in made.sources.collect()} == {4, 5} and [r.argument for r in made.analyticals.collect()] == ["An argument"]
+    assert sorted((r.card_id or 0, r.analytical_id or 0, r.slug, r.status) for r in made.links.collect()) == [(c, a, s, "proposed") for c, a in ((0, 1), (11, 0), (12, 0)) for s in ("da-defense", "growth")]
+    plan = {r.path.rpartition("/")[2]: (r.state, r.target) for r in docx.manifest(files, got.items, f"file:{tmp_path}/in", "/done").collect()}
+    assert plan == {"Case.DOCX": ("parsed", "/done/sub/Case.DOCX"), "empty.docx": ("left", None), "broken.docx": ("left", None)}
+
+
+def test_paragraphs_as_json_lines(spark):
+    files = spark.createDataFrame([("f", word_file(f'{heading("T", 4)}<w:p>{run("a", "<w:b/>")}</w:p>', HEADS))], "path string, content binary")
+    lines = [json.loads(x) for x in docx.as_jsonl(docx.paragraphs(files)).first().jsonl.split("\n")]
+    assert [(x["index"], x["style"], x["text"]) for x in lines] == [(0, "Heading 4", "T"), (1, "Normal", "a")]
+    assert lines[1]["runs"][0]["bold"] is True and lines[1]["runs"][0]["highlight"] is None
+
+
 def test_reports(spark, tmp_path):
     plan = spark.createDataFrame([(1, [1, 2], {"a": "b"})], "winner long, losers array<long>, why map<string,string>")
     reports.save(plan, f"file://{tmp_path}/plan")
