@@ -2,9 +2,9 @@
 
 Each pair of successive words is a term; its hash of 64 bits, and a hash of that, vote
 on every bit, once for each time it stands in the text, so a term's weight is its frequency.  A bit is set if more
-than half of the weight votes for it.  Votes are counted two bits to a 64-bit sum (the
-halves can't overflow below 2**31 terms), so a text is one row of 64 sums after the
-map-side aggregation and never a row per bit.
+than half of the weight votes for it.  Votes are counted four bits to a 64-bit sum, two for
+long texts (the parts can't overflow below 2**15 and 2**31 terms), so a text is one row
+of 32 or 64 sums after the map-side aggregation and never a row per bit.
 
 ``near_pairs`` finds all pairs of fingerprints within a Hamming radius by permuted
 block tables: the bits are cut into more blocks than the radius; of two fingerprints
@@ -33,7 +33,8 @@ GROUP_IDS, HOT_ROWS, BROADCAST_IDS = 2048, 20_000, 500_000
 #: Bits within which fingerprints count as near, and parts that they are cut into to find them.  At sf0.1 the pairs
 #: of different texts with five-word similarity 0.8 or more are 4 to 19 bits apart, unlike texts seldom under 40.
 RADIUS, PARTS = 20, 7
-HALF = 0x0000000100000001
+#: Texts of so many bytes have less than 2 ** 15 words.
+SHORT_BYTES = 65_000
 
 
 def terms(text: Column) -> Column:
@@ -48,22 +49,31 @@ def pair_hashes(words: Column) -> Column:
 
 
 def fingerprints(rows: DataFrame, text: str, keep: list[str], prefix: str = "") -> DataFrame:
-    """``keep`` and the two halves ``{prefix}hi``, ``{prefix}lo`` of each row's fingerprint; rows equal in ``keep`` are one."""
+    """``keep`` and the two halves ``{prefix}hi``, ``{prefix}lo`` of each row's fingerprint; rows equal in ``keep`` are one.
+
+    Texts that can't have more terms than a quarter of a sum can count are counted four bits to a sum, longer ones two.
+    """
+    short = F.octet_length(F.coalesce(text, F.lit(""))) <= SHORT_BYTES
+    return counted(rows.where(short), text, keep, prefix, 4).union(counted(rows.where(~short), text, keep, prefix, 2))
+
+
+def counted(rows: DataFrame, text: str, keep: list[str], prefix: str, lanes: int) -> DataFrame:
+    """Fingerprints by votes of ``lanes`` bits to a 64-bit sum."""
+    width = 64 // lanes
+    ones = F.lit(sum(1 << width * j for j in range(lanes)))
     worded = rows.select(*keep, terms(F.col(text)).alias("_w")).select(*keep, pair_hashes(F.col("_w")).alias("_p"))
     votes = worded.select(*keep, F.explode_outer("_p").alias("_x")).withColumn("_y", F.when(F.col("_x").isNotNull(), F.xxhash64("_x", F.lit(7))))
-    sums = [F.sum(F.shiftright(f"_{h}", k).bitwiseAND(F.lit(HALF))).alias(f"_{h}{k}") for h in "xy" for k in range(32)]
-    counted = votes.groupBy(*keep).agg(F.count("_x").alias("_n"), *sums)
+    sums = [F.sum(F.shiftright(f"_{h}", k).bitwiseAND(ones)).alias(f"_{h}{k}") for h in "xy" for k in range(width)]
+    total = votes.groupBy(*keep).agg(F.count("_x").alias("_n"), *sums)
 
     def half(h: str) -> Column:
         out = F.lit(0).cast("long")
-        for k in range(32):
-            low = F.col(f"_{h}{k}").bitwiseAND(F.lit(0xFFFFFFFF))
-            high = F.shiftrightunsigned(f"_{h}{k}", 32)
-            for count, bit in ((low, k), (high, k + 32)):
-                out = out.bitwiseOR(F.when(2 * count > F.col("_n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+        for bit in range(64):
+            votes_for = F.shiftrightunsigned(f"_{h}{bit % width}", bit // width * width).bitwiseAND(F.lit((1 << width) - 1))
+            out = out.bitwiseOR(F.when(2 * votes_for > F.col("_n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
         return out
 
-    return counted.select(*keep, half("x").alias(f"{prefix}hi"), half("y").alias(f"{prefix}lo"))
+    return total.select(*keep, half("x").alias(f"{prefix}hi"), half("y").alias(f"{prefix}lo"))
 
 
 def as_text(hi: Column, lo: Column) -> Column:
