@@ -127,7 +127,7 @@ class Model:
         return float(self.weights[x].sum()) + self.bias
 
 
-def fit(rows: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray, float]] = (), least: int = 5, noise: float = 2.0, l2: float = 3e-4, swap_weight: float = 1.0, steps: int = 120) -> Model:
+def fit(rows: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray, np.ndarray, float]] = (), least: int = 5, noise: float = 2.5, l2: float = 3e-4, swap_weight: float = 1.0, steps: int = 120) -> Model:
     """Fit on label and features; ``pairs``: features that a swap takes out and puts in, and how often.
 
     First an L1 fit by accelerated proximal gradient over features of equal variance:
