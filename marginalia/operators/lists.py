@@ -90,9 +90,9 @@ def delete(lists: DataFrame, users: DataFrame, wishes: DataFrame) -> tuple[DataF
     gone = lists.join(wishes.select("workspace_id", "user_id").distinct(), ["workspace_id", "user_id"], "left_semi")
     left = lists.select("workspace_id", "user_id", "name").join(gone.select("workspace_id"), "workspace_id", "left_anti")
     asked = gone.select("user_id").distinct()
-    bare = asked.join(left, "user_id", "left_anti").select("user_id", F.lit(DEFAULT_NAME).alias("name"))
+    bare = asked.join(left, "user_id", "left_anti").select("user_id", F.lit(DEFAULT_NAME).alias("name"), F.lpad(F.col("user_id").cast("string"), 20, "0").alias("_key"))
     top = lists.agg(F.max("workspace_id")).first()[0] or 0
-    kept = left.unionByName(number_from(bare, top, ["name", "user_id"], "workspace_id").select("workspace_id", "user_id", "name"))
+    kept = left.unionByName(number_from(bare, top, ["_key"], "workspace_id", prefix=17).select("workspace_id", "user_id", "name"))
     first = kept.join(asked, "user_id", "left_semi").groupBy("user_id").agg(F.min("workspace_id").alias("_first"))
     out = users.join(first, "user_id", "left").join(gone.select(F.col("workspace_id").alias("_g")), F.col("current_workspace_id") == F.col("_g"), "left")
     lost = F.col("_g").isNotNull() | F.col("current_workspace_id").isNull()

@@ -96,20 +96,8 @@ def parse_batch(reply: Column, vocabulary: list[str], most: int = MOST_TAGS) ->
 
 def propose(rows: DataFrame, prompt: Column, provider: Callable[[list[str]], list[str | None]], vocabulary: list[str], per_call: int = 15) -> DataFrame:
     """``rows`` with ``tags``: a provider's replies to ``per_call`` prompts at a time, parsed; any failure gives none."""
-
-    def run(pdfs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in pdfs:
-            out: list[str | None] = []
-            for k in range(0, len(s), per_call):
-                part = s.iloc[k : k + per_call].tolist()
-                try:
-                    out += provider(part)
-                except Exception:  # by contract
-                    out += [None] * len(part)
-            yield pd.Series(out, dtype=object)
-
-    ask = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)
-    return rows.withColumn("tags", F.coalesce(parse_slugs(ask(prompt), vocabulary), F.array().cast("array<string>")))
+    asked = ask(rows, prompt, provider, per_call, "_reply")
+    return asked.withColumn("tags", F.coalesce(parse_slugs(F.col("_reply"), vocabulary), F.array().cast("array<string>"))).drop("_reply")
 
 
 def sample(cards: DataFrame, uploads: DataFrame, n: int, seed: int = 0, id_col: str = "card_id", text_col: str = "card_text") -> DataFrame:
@@ -173,6 +161,45 @@ def answers(cards: DataFrame, card_id: int, inverse: Callable[[str], str] = oppo
     return nearest_to(visible, q, k, id_col, vector_col)
 
 
+def ask(rows: DataFrame, prompt: Column, provider: Callable[[list[str]], list[str | None]], per_call: int = PER_CALL, reply_col: str = "reply") -> DataFrame:
+    """``rows`` with a provider's reply to each prompt, ``per_call`` of them a call; null where a call fails."""
+
+    def run(pdfs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in pdfs:
+            out: list[str | None] = []
+            for k in range(0, len(s), per_call):
+                part = s.iloc[k : k + per_call].tolist()
+                try:
+                    out += provider(part)
+                except Exception:  # by contract
+                    out += [None] * len(part)
+            yield pd.Series(out, dtype=object)
+
+    return rows.withColumn(reply_col, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(prompt))
+
+
+def parse_vocabulary(reply: Column) -> Column:
+    """The proposals of the first JSON array in a reply: slug, label, description, rationale; those without slug and label go, slugs in lower case."""
+    told = F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), "array<struct<slug:string,label:string,description:string,rationale:string>>")
+    clean = F.transform(told, lambda p: F.struct(F.lower(F.trim(p["slug"])).alias("slug"), F.trim(p["label"]).alias("label"), p["description"].alias("description"), p["rationale"].alias("rationale")))
+    return F.coalesce(F.filter(clean, lambda p: (F.coalesce(p["slug"], F.lit("")) != "") & (F.coalesce(p["label"], F.lit("")) != "")), F.array().cast("array<struct<slug:string,label:string,description:string,rationale:string>>"))
+
+
+def parse_audit(reply: Column, vocabulary: list[str]) -> Column:
+    """What a reply says about one doubtful tag: a struct of action (keep, retag, remove or error) and the new tag of a retag, which must be known."""
+    told = F.from_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0), "action string, slug string")
+    action, slug = F.lower(F.trim(told["action"])), F.lower(F.trim(told["slug"]))
+    fits = action.isin("keep", "remove") | (action == "retag") & slug.isin(*vocabulary)
+    said = F.when(F.coalesce(fits, F.lit(False)), action).otherwise("error")
+    return F.struct(said.alias("action"), F.when(said == "retag", slug).alias("slug"))
+
+
+def rewritten(old: Column, reply: Column) -> Column:
+    """A reply as a new tag: its first line without quotes; the old tag where there is no reply or an empty one."""
+    line = F.regexp_replace(F.split(F.trim(reply), r"\n")[0], '^[\\s"“”]+|[\\s"“”]+$', "")
+    return F.coalesce(F.nullif(line, F.lit("")), old)
+
+
 def needs_tiebreak(decisions: DataFrame, low: float = 0.50, high: float = 0.55) -> DataFrame:
     """Parts skipped for a tight margin whose winner is nearly good enough."""
     return decisions.where((F.col("skip_reason") == "margin too tight") & (F.col("winner_score") >= low) & (F.col("winner_score") < high))

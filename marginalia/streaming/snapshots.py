@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.changes import upsert_seen
+from marginalia.sources.store import Versions
 
 SCHEMA = "file_sha256 string, first_seen date, last_seen date"
 
@@ -29,29 +31,38 @@ def hashed_files(files: DataFrame) -> DataFrame:
 
 
 class SnapshotTable:
-    """Versions of the merged table under one folder; a pointer file names the current one.
-
-    A version is written whole to a fresh folder first, so readers never see half of one, and
-    the same batch merged twice gives the same table.
-    """
+    """The merged table as committed versions; the same batch merged twice gives the same table."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.versions = Versions(spark, path, SCHEMA)
 
     def read(self) -> DataFrame:
-        try:
-            at = self.spark.read.schema("version string").json(f"{self.path}/current").first()
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            at = None
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{at['version']}") if at else self.spark.createDataFrame([], SCHEMA)
+        return self.versions.read()
 
     def merge(self, batch: DataFrame, batch_id: int | None = None) -> None:
         """For ``foreachBatch``: batch has file_sha256 and seen."""
-        version = f"v-{uuid.uuid4().hex}"
-        upsert_seen(self.read(), batch).write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{self.path}/current")
+        self.versions.commit(upsert_seen(self.read(), batch))
+
+
+def found_dumps(days: DataFrame, address: str, probe: Callable[[str], int]) -> DataFrame:
+    """``day, url, found`` of the days of ``dump_dates``: whether ``probe``, a request that returns a status, finds that day's dump.
+
+    ``address`` has ``{day}`` where the date stands; a probe that fails finds nothing.  Probes run on executors.
+    """
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            urls = [address.replace("{day}", str(d)) for d in pdf.day]
+            yield pd.DataFrame({"day": pdf.day, "url": urls, "found": [_status(probe, u) == 200 for u in urls]})
+
+    return days.select("day").mapInPandas(run, "day date, url string, found boolean")
+
+
+def _status(probe: Callable[[str], int], url: str) -> int:
+    try:
+        return probe(url)
+    except Exception:  # by contract
+        return 0
 
 
 def event_windows(events: DataFrame, ts_col: str = "ts", width: str = "1 day", late: str = "10 minutes") -> DataFrame:

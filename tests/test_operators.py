@@ -479,3 +479,17 @@ def test_random_projections_find_nine_of_ten_pairs(spark):
     exact = {(r.a, r.b) for r in N.top_k(rows_, 499, 0.6, "vec_id").where("a < b").select("a", "b").collect()}
     found = {(r.a, r.b) for r in N.lsh_pairs(rows_, 0.6, "vec_id").collect()}
     assert found <= exact and len(found) >= 0.9 * len(exact) > 40
+
+
+def test_replies_are_read(spark):
+    df = spark.createDataFrame([(1, 'Sure: [{"slug": " New-One ", "label": "New one", "rationale": "r"}, {"slug": "", "label": "x"}, {"label": "y"}]'), (2, "no"), (3, None)], "id long, reply string")
+    got = {r.id: r.v for r in df.select("id", P.parse_vocabulary(F.col("reply")).alias("v")).collect()}
+    assert [tuple(x) for x in got[1]] == [("new-one", "New one", None, "r")] and got[2] == [] and got[3] == []
+    audits = {"keep": '{"action": "KEEP"}', "retag": 'x {"action": "retag", "slug": "A "} y', "error": '{"action": "retag", "slug": "zz"}', "remove": '{"action": "remove", "slug": "a"}'}
+    df = spark.createDataFrame(list(audits.items()) + [("error2", "no json"), ("error3", None)], "want string, reply string")
+    for r in df.select("want", P.parse_audit(F.col("reply"), ["a"]).alias("a")).collect():
+        assert r.a.action == r.want.rstrip("23") and r.a.slug == ("a" if r.want == "retag" else None)
+    df = spark.createDataFrame([("old", ' "A new tag." \nbecause'), ("old", ""), ("old", None)], "t string, reply string")
+    assert [r[0] for r in df.select(P.rewritten(F.col("t"), F.col("reply"))).collect()] == ["A new tag.", "old", "old"]
+    asked = P.ask(spark.range(7), F.col("id").cast("string"), lambda texts: [t + "!" for t in texts] if "3" not in texts else 1 / 0, per_call=2)
+    assert asked.count() == 7 and {r.reply for r in asked.collect()} <= {None, *(f"{k}!" for k in range(7))}

@@ -14,6 +14,7 @@ from marginalia.operators import ingest
 from marginalia.operators import lists as L
 from marginalia.operators import segment as G
 from marginalia.sources import docx, reports
+from marginalia.sources.store import Versions
 from marginalia.streaming import limiter, snapshots
 
 NS = f'xmlns:w="{docx.W[1:-1]}"'
@@ -200,3 +201,26 @@ def test_snapshots_of_a_file_stream(spark, tmp_path):
 def test_snapshot_dates(spark, path, want):
     df = spark.createDataFrame([(path,)], "p string")
     assert df.select(snapshots.snapshot_date(F.col("p"), F.lit(date(2020, 1, 1)))).first()[0] == want
+
+
+def test_commits_are_whole_or_nothing(spark, tmp_path):
+    store = Versions(spark, f"file://{tmp_path}/t", "a long, b string")
+    assert store.read().count() == 0 and store.version() is None
+    store.commit(spark.createDataFrame([(1, "x")], "a long, b string"))
+    store.commit(store.read().unionByName(spark.createDataFrame([(2, "y")], "a long, b string")))
+    assert sorted(map(tuple, store.read().collect())) == [(1, "x"), (2, "y")]
+    before = store.version()
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        store.commit(store.read().withColumn("a", (F.col("a") / (F.col("a") - 2)).cast("long")))
+    assert store.version() == before and Versions(spark, f"file://{tmp_path}/t", "a long, b string").read().count() == 2
+
+
+def test_dumps_are_probed(spark):
+    def probe(url):
+        if url.endswith("03-03"):
+            raise OSError("no route")
+        return 200 if url.endswith(("03-02", "03-03", "02-26")) else 404
+
+    days = snapshots.dump_dates(spark, "2024-03-04", 1)
+    got = {str(r.day): r.found for r in snapshots.found_dumps(days, "https://dumps.example/{day}", probe).collect()}
+    assert len(got) == 8 and {d for d, f in got.items() if f} == {"2024-03-02", "2024-02-26"}
