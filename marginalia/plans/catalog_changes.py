@@ -402,6 +402,23 @@ def _(spark, d):
     return P.embed(cards, "text").select("doc_id", F.size("embedding").alias("dimensions"))
 
 
+def _echo(prompts):
+    """Stands in for a model: replies with the prompt's words as tags; fails on a prompt that asks it to."""
+    import json
+
+    if any("fail" in p for p in prompts):
+        raise RuntimeError("no answer")
+    return [f"Tags: {json.dumps([w.upper() for w in p.split()])}." for p in prompts]
+
+
+@query("propose_tags", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat_ws(',', CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') THEN lower(split_part(o_orderpriority, '-', 2)) END, CASE WHEN o_orderstatus IN ('F', 'O') THEN lower(o_orderstatus) END) END AS tags FROM orders")
+def _(spark, d):
+    word = F.lower(F.split("o_orderpriority", "-")[1])
+    prompt = F.when(F.col("o_orderkey") % 7 == 0, "fail").otherwise(F.concat_ws(" ", word, F.when(F.lower("o_orderstatus").isin("f", "o"), F.lower("o_orderstatus")), F.lit("unknown"), word))
+    told = P.propose(T.read(spark, d, "orders"), prompt, _echo, ["urgent", "high", "low", "f", "o"], per_call=1)
+    return told.select("o_orderkey", F.array_join("tags", ",").alias("tags"))
+
+
 _SLUGS = [f"src{k}" for k in range(10)]
 
 
@@ -545,6 +562,29 @@ def _(spark, d):
     return made.cards.join(n, "card_id").select("card_id", F.col("source_id").cast("int").alias("source_id"), "source_file", "tag", "topic_id", "links")
 
 
+def _marked_file(key: int) -> bytes:
+    """A document of one run in a character style that underlines and highlights; the run itself may say otherwise."""
+    import io
+    import zipfile
+
+    own = ("", '<w:u w:val="none"/>', '<w:highlight w:val="none"/>', '<w:shd w:fill="FFFF00"/><w:sz w:val="23"/><w:b/>')[key % 4]
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document {ns}><w:body><w:p/><w:p><w:r><w:rPr><w:rStyle w:val="S"/>{own}</w:rPr><w:t>x{key}</w:t></w:r></w:p></w:body></w:document>')
+        z.writestr("word/styles.xml", f'<w:styles {ns}><w:style w:type="character" w:styleId="S"><w:name w:val="s"/><w:rPr><w:u w:val="single"/><w:highlight w:val="yellow"/></w:rPr></w:style></w:styles>')
+    return out.getvalue()
+
+
+@query("docx_marks", "SELECT n_nationkey AS file, 2 AS paragraphs, 'x' || n_nationkey AS text, CASE WHEN n_nationkey % 4 <> 1 THEN 'single' END AS underline, 'yellow' AS highlight, CASE WHEN n_nationkey % 4 = 3 THEN 'FFFF00' END AS shading, CASE WHEN n_nationkey % 4 = 3 THEN 11.5 END::DOUBLE AS size, n_nationkey % 4 = 3 AS bold FROM nation")
+def _(spark, d):
+    make = F.udf(_marked_file, "binary")
+    files = T.read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("path"), make("n_nationkey").alias("content"))
+    r = F.col("runs")[0]
+    one = docx.paragraphs(files).groupBy("path").agg(F.count("*").cast("int").alias("paragraphs"), F.max_by(F.when(F.size("runs") > 0, F.struct(*(r[c].alias(c) for c in ("text", "underline", "highlight", "shading", "font_size_pt", "bold")))), "idx").alias("r"))
+    return one.select(F.col("path").cast("int").alias("file"), "paragraphs", "r.text", "r.underline", "r.highlight", "r.shading", F.col("r.font_size_pt").alias("size"), "r.bold")
+
+
 @query("json_report", "SELECT source, count(*) AS n FROM documents GROUP BY 1")
 def _(spark, d):
     path = shared_folder(spark, "report")

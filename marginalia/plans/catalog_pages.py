@@ -79,6 +79,20 @@ def _(spark, d):
     return S.page(found.withColumn("rank", F.round("rank", 6)), order=("rank",)).select("doc_id", "rank")
 
 
+def _no_provider(texts):
+    raise RuntimeError("no network")
+
+
+# The provider of query vectors fails, so the words alone decide.
+@query("search_fallback", f"""WITH {_POST}, {_RANK.format("'the', 'ther'")}, hit AS (SELECT DISTINCT doc_id FROM p WHERE term = 'ther' INTERSECT SELECT DISTINCT doc_id FROM p WHERE term = 'the')
+SELECT doc_id, round(rank, 6)::DOUBLE AS rank, NULL::DOUBLE AS distance, round(rank, 6)::DOUBLE AS score FROM hit JOIN r USING (doc_id) ORDER BY score DESC, doc_id DESC LIMIT 50""")
+def _(spark, d):
+    from marginalia.operators.providers import query_vector
+
+    found = S.hybrid(T.cards(spark, d), _index(spark, d), "the ther", query_vector("the ther", _no_provider), radius=0.6)
+    return _show(S.page(found.withColumn("score", F.round("score", 6))))
+
+
 @query("search_substring_wildcard", "SELECT p_partkey FROM part WHERE p_type ILIKE '%a%n_%' OR p_name ILIKE '%a%n_%'")
 def _(spark, d):
     return S.matching_any(T.read(spark, d, "part"), "a%n_", ["p_type", "p_name"]).select("p_partkey")
