@@ -8,8 +8,28 @@ from pyspark.sql import functions as F
 from marginalia.functions.spans import span
 
 
+#: Bytes between which a table in fewer files than cores is dealt out anew.
+SPREAD_LEAST, SPREAD_MOST = 1 << 20, 256 << 20
+TEXTS = ("documents", "pages", "conversations")
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """The same rows, dealt over all cores if they come from fewer files than there are cores.
+
+    A file of one row group is one task, however many cores wait.  Only tables of a checked
+    size are dealt out, for which that costs next to nothing; large ones have files enough.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if len(table.inputFiles()) >= cores:
+        return table
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if SPREAD_LEAST <= size <= SPREAD_MOST else table
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table; those of texts, whose work lies in the map stage, are dealt over all cores if they are small."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in TEXTS else table
 
 
 def cards(spark: SparkSession, d: str) -> DataFrame:

@@ -18,6 +18,7 @@ from marginalia.operators import providers as P
 from marginalia.operators import search as S
 from marginalia.operators import segment as G
 from marginalia.operators.tagging import infer_tags, rules_of
+from marginalia.plans import tables as T
 from marginalia.plans.components import connected_components, splittable_join
 
 
@@ -152,6 +153,25 @@ def test_a_node_of_very_many_edges_is_split(spark, put):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_components_join_alike_for_few_and_many_edges(spark, put, monkeypatch):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 50)] + [(60 + i, 61 + i) for i in range(20)], "a long, b long")
+    few = rows(connected_components(edges, put))
+    monkeypatch.setattr("marginalia.plans.components.MANY_EDGES", 5)
+    assert rows(connected_components(edges, put)) == few and len(few) == 71
+
+
+def test_small_tables_are_dealt_over_all_cores(spark, tmp_path, monkeypatch):
+    spark.range(20_000).selectExpr("id", "repeat(uuid(), 2) AS text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(T, "SPREAD_LEAST", 1000)
+    dealt = T.spread(table)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > table.rdd.getNumPartitions()
+    assert rows(dealt.select("id")) == rows(table.select("id"))
+    assert "ReadSchema: struct<id:bigint>" in dealt.select("id")._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(T, "SPREAD_MOST", 1000)  # a table that isn't small stays as it lies
+    assert T.spread(table).rdd.getNumPartitions() == table.rdd.getNumPartitions()
+
+
 # Neighbours -----------------------------------------------------------------------------------
 
 
