@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.plans.tables import spread
+
 #: Rows and bytes of an Arrow batch handed to Python, whichever is reached first.  A text longer than that is a batch.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
@@ -20,8 +22,8 @@ _SCRATCH: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named input table, read only through Spark's own readers."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The named input table, read only through Spark's own readers, small ones dealt over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small_batches(spark: SparkSession) -> None:
