@@ -396,7 +396,7 @@ def _(spark, d):
     return T.read(spark, d, "orders").select("o_orderkey", F.array_join(P.parse_slugs(reply, vocabulary), ",").alias("tags"))
 
 
-@query("embed_missing", r"SELECT doc_id, (CASE WHEN vec_id IS NOT NULL THEN 64 WHEN regexp_matches(text, '\\S') THEN 512 END)::INTEGER AS dimensions FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+@query("embed_missing", r"SELECT doc_id, (CASE WHEN vec_id IS NOT NULL THEN 64 WHEN regexp_matches(text, '\S') THEN 512 END)::INTEGER AS dimensions FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
 def _(spark, d):
     cards = T.cards(spark, d)
     return P.embed(cards, "text").select("doc_id", F.size("embedding").alias("dimensions"))
