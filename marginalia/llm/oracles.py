@@ -54,4 +54,39 @@ p AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(?:p|h1|br)[^>]*
 t AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM p)
 SELECT page_id, url, text, length(text) AS n_chars FROM t"""
 
-ORACLES = {"op1_minhash": OP1, "op2_warc": OP2, "op7_licenses": OP7, "op10_html": OP10}
+#: Every run of words counted by its words; a phrase's contiguous parts from its list of words.
+OP11 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_lower("text")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, (len(w) - k + 2)::BIGINT), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k AS size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, size, f AS a, unnest(range(1, size)) AS k, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+s AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a) // (x.f + y.f) AS score FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s),
+i AS (SELECT lang, f, unnest(list_concat([array_to_string(w[j:j + 1], ' ') for j in range(1, size)], [array_to_string(w[j:j + 2], ' ') for j in range(1, size - 1) if size = 4])) AS phrase FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size >= 3)),
+m AS (SELECT lang, phrase, max(f) AS longer FROM i GROUP BY ALL),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 80 * a))
+SELECT k.lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM k JOIN t ON t.lang = k.lang WHERE rank <= 2000"""
+
+#: Every kept term in every group, without grouping by vectors.
+OP12 = f"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_lower("text")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+k AS MATERIALIZED (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+o AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+e AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(o.n, 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) g JOIN k ON k.lang = g.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+t AS (SELECT lang, source, sum(n) AS t FROM e GROUP BY ALL),
+p AS MATERIALIZED (SELECT e.lang, e.source, e.term, e.n, (1 + (1000000000::HUGEINT * (e.n + 5)::HUGEINT) // (t.t + 5 * v.v)::HUGEINT)::BIGINT AS p FROM e JOIN t ON t.lang = e.lang AND t.source = e.source JOIN v ON v.lang = e.lang),
+q AS (SELECT x.lang, x.term, (1 + (1000000000::HUGEINT * (x.n + 5)::HUGEINT) // (y.t + 5 * v.v)::HUGEINT)::BIGINT AS q FROM (SELECT lang, term, sum(n) AS n FROM e GROUP BY ALL) x JOIN (SELECT lang, sum(t) AS t FROM t GROUP BY lang) y ON y.lang = x.lang JOIN v ON v.lang = x.lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+r AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM r UNION ALL SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u) WHERE part = 'pair' OR rank <= 50"""
+
+#: Every window by its words, with the first document in which it starts.
+OP13 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, unnest(range(1, (len(w) - 11)::BIGINT)) AS i, unnest(list_transform(range(1, (len(w) - 11)::BIGINT), lambda i: md5(array_to_string(w[i:i + 12], ' ')))) AS s FROM d WHERE len(w) >= 13),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+c AS (SELECT g.doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone FROM g JOIN f ON f.s = g.s WHERE first < g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(coalesce(gone, []))::BIGINT AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE [w[i] for i in range(1, (len(w) + 1)::BIGINT) if NOT list_contains(gone, i)] END, ' ')) AS kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id"""
+
+ORACLES = {"op1_minhash": OP1, "op2_warc": OP2, "op7_licenses": OP7, "op10_html": OP10, "op11_phrases": OP11, "op12_divergence": OP12, "op13_repeats": OP13}

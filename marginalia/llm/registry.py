@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, decontaminate, html, langid, licenses, minhash, secrets, simhash, toxicity, warc
+from marginalia.llm import bpe, decontaminate, divergence, html, langid, licenses, minhash, phrases, repeats, secrets, simhash, toxicity, warc
 from marginalia.llm.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.op8_secrets,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html": html.op10_html,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_divergence": divergence.op12_divergence,
+    "op13_repeats": repeats.op13_repeats,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
