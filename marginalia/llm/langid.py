@@ -4,14 +4,16 @@ Sparse multinomial logistic regression, trained with follow-the-regularised-lead
 (per-coordinate rates, elastic net), then calibrated with one temperature.  N-grams of
 one to three characters of the lower-cased whole text are hashed to ``2 ** bits``
 features.  Document frequencies are counted over every document one may learn from;
-the model is fitted on a bounded sample of them, about ``per_lang`` for each language,
-a documented parameter.  A language is learned if at least ``least_docs`` documents
-have it; of more than ``most_langs`` the most frequent are, which bounds the model.
+the model is fitted on a bounded sample of them, about ``per_lang`` for each language
+and at most a quarter more, drawn by a hash of doc_id and text.  A language is learned
+if at least ``least_docs`` documents have it; of more than ``most_langs`` the most
+frequent are, which bounds the model.  All three are parameters.
 
 The weights that aren't nothing go to the executors as one broadcast variable.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0; rows with
-null lang aren't learned from; with no language to learn, all are ``und``; ties go to
+null lang aren't learned from; rows without doc_id, or of one doc_id, are drawn each by
+its text, and of many equal rows no more than the bound; with no language to learn, all are ``und``; ties go to
 the first language by name; repeated rows give repeated results; very long texts are
 counted whole, a batch at a time; an empty table gives an empty result; other columns,
 also of the names used here, play no part.
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import bucket_of, small_batches, table
@@ -148,7 +150,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
-def train(docs: DataFrame, per_lang: int = 800, least_docs: int = 5, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, per_lang: int = 800, least_docs: int = 1, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``docs`` that have a text and a language."""
     small_batches(docs.sparkSession)
     known = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("text is not null and lang is not null")
@@ -161,7 +163,8 @@ def train(docs: DataFrame, per_lang: int = 800, least_docs: int = 5, most_langs:
     if not langs:
         return model
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, per_lang / size)) for lang, size in sizes.items()], "lang string, share double")
-    drawn = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    drawn = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", "text", F.lit(11))))
     out = pa.schema([("lang", pa.string()), ("held", pa.bool_()), ("at", pa.binary()), ("n", pa.binary())])
 
     def run(batches):
@@ -170,8 +173,9 @@ def train(docs: DataFrame, per_lang: int = 800, least_docs: int = 5, most_langs:
             at = [np.flatnonzero(c).astype(np.int32) for c in cs]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.int32).tobytes() for a, c in zip(at, cs)], pa.binary())], schema=out)
 
-    held = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(5)) == 0
-    rows = known.join(F.broadcast(shares), "lang").where(drawn).select("lang", held.alias("held"), "text").mapInArrow(run, "lang string, held boolean, at binary, n binary").toArrow().to_pylist()
+    held = F.pmod(F.xxhash64("id", "text", F.lit(12)), F.lit(5)) == 0
+    chosen = known.join(F.broadcast(shares), "lang").where(drawn).withColumn("nth", nth).where(F.col("nth") <= per_lang + per_lang // 4)
+    rows = chosen.select("lang", held.alias("held"), "text").mapInArrow(run, "lang string, held boolean, at binary, n binary").toArrow().to_pylist()
     fold: dict[bool, list] = {True: [], False: []}
     for r in sorted(rows, key=lambda r: (r["lang"], r["at"], r["n"])):
         c = np.zeros(SIZE, np.int64)

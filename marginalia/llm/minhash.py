@@ -104,9 +104,9 @@ def sign(found: np.ndarray, s: Setting) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def signatures(docs: DataFrame, s: Setting, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, fa, fb, bands, sample, whole`` of each row; the last three null for the empty set."""
+    """``doc_id, mark, n_shingles, fa, fb, bands, sample, whole`` of each row; the last three null for the empty set; ``mark`` is a hash of the text."""
     longs = pa.list_(pa.int64())
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("bands", longs), ("sample", longs), ("whole", longs)])
+    out = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("bands", longs), ("sample", longs), ("whole", longs)])
 
     def run(batches):
         shingler = _tables(s.samples, s.width)[2]
@@ -116,10 +116,10 @@ def signatures(docs: DataFrame, s: Setting, id_col: str = "doc_id", text_col: st
                 found = shingler.shingles(t)
                 fa, fb = (int(mix(found + np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (1, 2))
                 rows.append((len(found), fa, fb, *(x.view(np.int64) for x in sign(found, s))) if len(found) else (0, 0, 0, None, None, None))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(out)[1:]))], schema=out) if rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in out], schema=out)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(out)[2:]))], schema=out) if rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in out], schema=out)
 
     small_batches(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_shingles long, fa long, fb long, bands array<long>, sample array<long>, whole array<long>")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("mark")).mapInArrow(run, "doc_id long, mark long, n_shingles long, fa long, fb long, bands array<long>, sample array<long>, whole array<long>")
 
 
 def shingle_sets(docs: DataFrame, s: Setting, id_col: str, text_col: str) -> DataFrame:
@@ -237,8 +237,8 @@ def _compare(batches, s: Setting):
         yield emit({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
 
-def near_duplicates(docs: DataFrame, s: Setting = Setting(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row; see the module's text."""
+def near_duplicates(docs: DataFrame, s: Setting = Setting(), id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row, and ``mark``, its text's hash, if asked for; see the module's text."""
     spark = docs.sparkSession
     stage = Stage(spark, "minhash")
     signed = stage.put(signatures(docs, s, id_col, text_col), "signed")
@@ -287,10 +287,10 @@ def near_duplicates(docs: DataFrame, s: Setting = Setting(), id_col: str = "doc_
     rep_one = classes.select("fa", "fb", "rep", "size").join(one.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c1", F.coalesce("component", "rep")).drop("component")
     rep_two = rep_one.join(two.withColumnRenamed("node", "c1"), "c1", "left").withColumn("c", F.coalesce("component", "c1"))
     moved = rep_two.where("size > 1 or c <> rep").select("fa", "fb", "c")
-    out = signed.select("doc_id", "n_shingles", "fa", "fb").join(moved, ["fa", "fb"], "left")
+    out = signed.select("doc_id", "mark", "n_shingles", "fa", "fb").join(moved, ["fa", "fb"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     comp = F.when(F.col("doc_id").isNotNull(), comp)
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"), *(["mark"] if marked else []))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

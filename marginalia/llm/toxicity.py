@@ -248,12 +248,15 @@ def refit(y: np.ndarray, sets: list[np.ndarray], pairs: list, times: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, groups: Groups = IDENTITY, id_col: str = "doc_id", text_col: str = "text", **how) -> Model:
-    """Fit on at most ``sample`` rows of ``labels`` (doc_id, toxic), chosen by hash of doc_id."""
+    """Fit on at most ``sample`` rows of ``labels`` (doc_id, toxic), chosen by hash of doc_id.
+
+    A labelled doc_id gives one text, whatever its rows in ``docs``: the smallest.
+    """
     small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # the sample's size is a parameter
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")  # the sample's size is a parameter
     counted = pa.list_(pa.struct([("term", pa.string()), ("sibling", pa.string()), ("there", pa.bool_()), ("n", pa.int64())]))
     out = pa.schema([("toxic", pa.int32()), ("x", pa.binary()), ("swaps", counted)])
 

@@ -236,3 +236,24 @@ def test_labels_missing_repeated_or_null(spark):
     empty = toxicity.train(docs, labels.limit(0))
     assert all(r.s < 0.01 for r in docs.select(toxicity.scorer(empty)("text").alias("s")).collect())
     assert toxicity.train(nothing(spark), labels).bias < 0
+
+
+def test_the_sample_of_labels_bounds_the_rows(spark, monkeypatch):
+    """One labelled doc_id in thousands of rows gives one text."""
+    rows = [(1, f"row {k}", "en", "s", 0) for k in range(3000)] + [(k, "fine words" if k % 2 else "idiot words", "en", "s", 0) for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(1, 30)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *a, **k: seen.append(len(rows)))
+    toxicity.train(docs, labels, sample=29)
+    assert seen == [29]
+
+
+def test_languages_are_learned_without_ids(spark):
+    """Rows without doc_id are drawn by their text, and no more than the bound."""
+    words = {"en": "the and with from that", "fr": "le une avec dans pour"}
+    rows = [(None, f"{w} {k} {w[::-1]}", lang, None, None) for lang, w in words.items() for k in range(2000)] + [(None, "the same text", "en", None, None)] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.train(docs, per_lang=100)
+    assert model.langs == ["en", "fr"] and model.weights.any()
+    assert model.predict("le une avec")[0] == "fr" and model.predict("and with that")[0] == "en"

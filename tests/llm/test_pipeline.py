@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from marginalia.llm import bpe, decontaminate, secrets, toxicity
-from tests.llm.fixtures import collected, documents, nothing
+from tests.llm.fixtures import collected, documents, nothing, prose
 from tests.llm.test_minhash import brute
 from marginalia.llm.minhash import Setting
 
@@ -108,4 +108,21 @@ def test_awkward_rows_pass_every_stage(spark, sf_dir):
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in tokens if r["doc_id"] in (None, 4, 5))[:2] == [("4", 0), ("5", 0)] and len(tokens) == df.count()
     assert P.tokenized(spark, nothing(spark), sf_dir).count() == 0
     kept = [r["doc_id"] for r in collected(P.without_copies(spark, df, sf_dir))]
-    assert sorted(kept, key=str) == sorted([0, 3, 4, 5, 6, 7, 9, 10, 12, 13, 14, 15, None], key=str)
+    assert sorted(kept, key=str) == sorted([0, 3, 4, 5, 6, 7, 9, 10, 12, 13, 14, 15], key=str)  # the row without id copies 3
+
+
+def test_copies_are_judged_by_id_and_text(spark, docs):
+    """A row that copies another document goes, whatever else stands under its id; equal texts without id leave one."""
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    near = " ".join([*a.split()[:79], "changed"])
+    rows = [(1, a), (2, near), (2, b), (2, b), (None, c), (None, c), (None, " ".join([*c.split()[:79], "other"])), (None, b), (None, None), (None, None), (None, ""), (3, None), (3, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema)
+    df = df.selectExpr("*", *(f"'x' as {n}" for n in ("_mark", "mark", "n", "stays", "id", "anonymous", "kept")))
+    out = P.without_copies(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in collected(out)), key=str)
+    others = [r for r in got if r[0] is None and r[1] and r[1].startswith(c[:30])]
+    assert len(others) == 1 and sorted(set(got) - set(others), key=str) == sorted({(1, a), (2, b), (None, None), (None, ""), (3, None)}, key=str)
+    assert got.count((None, None)) == 2 and got.count((3, None)) == 1 and got.count((2, b)) == 1
+    assert P.without_benchmark(spark, df, "/root/testdata/sf0.001").columns == df.columns
+    assert {r["_mark"] for r in collected(P.without_benchmark(spark, df, "/root/testdata/sf0.001"))} == {"x"}
