@@ -8,7 +8,7 @@ Edge cases, the same in every stage:
 
 * null texts are kept by every filter, for nothing can be held against them, and become
   no tokens; empty texts likewise;
-* rows without doc_id are judged by their text, and kept where a stage needs an id;
+* rows without doc_id are judged by their text;
 * of rows that repeat a doc_id and its text one stays; rows of one doc_id with different
   texts are judged each by its own;
 * ties: of a group of copies the smallest doc_id stays; a toxicity of exactly 0.5 goes;
@@ -22,6 +22,8 @@ more; copies with more changes than that are other texts to it, and stay.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ from marginalia.llm import bpe, decontaminate, minhash, secrets, toxicity
 from marginalia.llm.common import Stage, small_batches, table
 
 
+def _own(name: str) -> str:
+    """A column name that no input has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.5; fitted on the labels' training fold."""
     model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
@@ -36,33 +43,44 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, similarity 0.8): the one of the smallest doc_id.
+    """One row of each near-duplicate group (five words, similarity 0.8): the one of the smallest doc_id.
 
-    Of rows that repeat a doc_id with the same text one stays; rows without doc_id
-    can't be told apart and all stay.
+    Rows are judged by doc_id and text.  Rows without doc_id, and further texts of a
+    doc_id, come after all others of their group, by a hash; of rows equal in doc_id and
+    text one stays.  Rows without doc_id and without words all stay.
     """
-    found = minhash.near_duplicates(docs)
-    stage = Stage(spark, "copies")
-    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("stays"))
-    ids = stage.put(ids.where("n > 1 or not stays"), "ids")
-    gone, repeated = ids.where("not stays").select("doc_id"), ids.where("stays").select("doc_id")
+    key, mark, first = _own("id"), _own("mark"), _own("first")
     few = lambda df: F.broadcast(df) if df.count() <= minhash.BROADCAST_IDS else df
-    left = docs.join(few(gone), "doc_id", "left_anti")
+    stage = Stage(spark, "copies")
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    texts = rows.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(key)).agg(F.min(mark).alias(first), F.max(mark).alias("last"))
+    several = stage.put(texts.where(F.col(first) < F.col("last")).drop("last"), "several")
+    # one bit less than a long, above the ids in use; a row that meets an id there is still told apart by its text
+    later = F.shiftrightunsigned(F.xxhash64("doc_id", mark), 2) + (1 << 62)
+    rows = rows.withColumn(key, F.col("doc_id").cast("long")).join(few(several), key, "left")
+    rows = rows.withColumn(key, F.when(F.col(key).isNull() | (F.col(mark) != F.col(first)), later).otherwise(F.col(key))).drop(first)
+    found = minhash.near_duplicates(rows.select(key, "text"), id_col=key, marked=True)
+    found = found.select(F.col("doc_id").alias(key), F.col("mark").alias(mark), "kept")
+    bare = rows.where(F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(key, mark).distinct()
+    ids = found.groupBy(key, mark).agg(F.count("*").alias("n"), F.max("kept").alias("stays")).where("n > 1 or not stays").join(bare, [key, mark], "left_anti")
+    ids = stage.put(ids, "ids")
+    gone, repeated = ids.where("not stays").select(key, mark), ids.where("stays").select(key, mark)
+    left = rows.join(few(gone), [key, mark], "left_anti")
     if repeated.isEmpty():
         return left.select(docs.columns)
     repeated = few(repeated)
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    once = left.join(repeated, [key, mark], "left_semi").dropDuplicates([key, "text"])
+    return left.join(repeated, [key, mark], "left_anti").select(docs.columns).union(once.select(docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its error budget, each judged by its own text, whatever its doc_id."""
-    mark = F.xxhash64("text")
-    leaks = decontaminate.find_leaks(docs.select(mark.alias("mark"), "text"), table(spark, sf_dir, "benchmark"), id_col="mark")
-    leaks = Stage(spark, "leaks").put(leaks.select(F.col("doc_id").alias("_mark")).distinct(), "marks")
+    mark, hashed = _own("mark"), F.xxhash64("text")
+    leaks = decontaminate.find_leaks(docs.select(hashed.alias("mark"), "text"), table(spark, sf_dir, "benchmark"), id_col="mark")
+    leaks = Stage(spark, "leaks").put(leaks.select(F.col("doc_id").alias(mark)).distinct(), "marks")
     leaks = F.broadcast(leaks) if leaks.count() <= minhash.BROADCAST_IDS else leaks
-    marked = docs.withColumn("_mark", F.when(F.col("text").isNotNull(), mark))
-    return marked.join(leaks, "_mark", "left_anti").select(docs.columns)
+    marked = docs.withColumn(mark, F.when(F.col("text").isNotNull(), hashed))
+    return marked.join(leaks, mark, "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
