@@ -9,7 +9,7 @@
 3. The lowest of the scores of a phrase's cuts counts; phrases that stand almost always
    inside a longer one are dropped; the best of each language are ranked.
 
-The sketch has about one cell for sixteen runs, up to ``MOST_CELLS``, so that the bits (an
+The sketch has one cell for twelve to twenty-four runs, up to ``MOST_CELLS``, so that the bits (an
 eighth of the cells, twice) have a fixed bound and may go to every executor.  Beyond that
 bound it lets more through and the second pass counts more; the result is the same.
 
@@ -47,8 +47,8 @@ _BETWEEN[[0x20, 0x09]] = True
 
 
 def cells_for(words: int, longest: int = LONGEST) -> int:
-    """Cells of a row: a power of two, about a sixteenth of the runs."""
-    return min(MOST_CELLS, max(FEWEST_CELLS, 1 << max(0, words * longest // 16).bit_length()))
+    """Cells of a row: a power of two, between a twelfth and a twenty-fourth of the runs."""
+    return min(MOST_CELLS, max(FEWEST_CELLS, 1 << (words * longest // 24).bit_length()))
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words, np.ndarray]]:
@@ -68,7 +68,15 @@ def _runs(lang: str, marks: np.ndarray, piece: np.ndarray, k: int) -> tuple[np.n
 
 
 def _cells(found: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return (found & np.uint64(width - 1)).astype(np.int64), ((found >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64)
+    return found.astype(np.uint32) & np.uint32(width - 1), (found >> np.uint64(32)).astype(np.uint32) & np.uint32(width - 1)
+
+
+def _add(row: np.ndarray, cells: np.ndarray, least: int) -> None:
+    """Count each cell's hits, up to ``least``."""
+    cells = np.sort(cells)
+    last = np.flatnonzero(np.append(cells[1:] != cells[:-1], True))
+    at, n = cells[last], np.diff(last, prepend=-1)
+    row[at] = np.minimum(row[at] + n, least)
 
 
 def sketch(rows: DataFrame, width: int, least: int, longest: int) -> np.ndarray:
@@ -80,19 +88,17 @@ def sketch(rows: DataFrame, width: int, least: int, longest: int) -> np.ndarray:
     size = min(SLICE, width)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, one = np.zeros((2, width), np.uint16), np.uint16(1)
+        seen = np.zeros((2, width), kind)
         for lang, words, piece in _by_language(batches):
             marks = words.marks()
             for k in range(1, longest + 1):
                 ok, found = _runs(lang, marks, piece, k)
-                found = found[ok]
-                for at in range(0, len(found), 1 << 15):  # so few that no counter overflows before it is cut to the limit
-                    for row, cells in zip(seen, _cells(found[at : at + (1 << 15)], width)):
-                        np.add.at(row, cells, one)
-                        row[cells] = np.minimum(row[cells], least)
+                if ok.any():
+                    for row, cells in zip(seen, _cells(found[ok], width)):
+                        _add(row, cells, least)
         for k, part in enumerate(seen.reshape(-1, size)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(kind).tobytes()])], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], schema=out)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, None
@@ -121,7 +127,7 @@ def _has(bits: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Whether both cells of each hash have their bit."""
     out = np.ones(len(found), bool)
     for row, cells in zip(bits, _cells(found, 8 * bits.shape[1])):
-        out &= (row[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
+        out &= (row[cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8)) & 1 == 1
     return out
 
 

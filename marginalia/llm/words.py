@@ -15,7 +15,7 @@ import pyarrow as pa
 from marginalia.llm.shingles import _BACK, _BASE, _LETTER, _powers, mix
 
 #: Bytes of texts laid together; a longer text stands alone.
-CHUNK = 4 << 20
+CHUNK = (2 << 20) - 64
 
 _TABLES = [_powers(_BASE, 1), _powers(_BACK, 1)]
 
@@ -45,7 +45,8 @@ def gathered(batches: Iterable[pa.RecordBatch], text: int, most: int = CHUNK) ->
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, below ``n`` at least."""
     if len(_TABLES[0]) < n:
-        _TABLES[:] = [_powers(_BASE, 2 * n), _powers(_BACK, 2 * n)]
+        size = 1 << (n - 1).bit_length()
+        _TABLES[:] = [_powers(_BASE, size), _powers(_BACK, size)]
     return _TABLES[0], _TABLES[1]
 
 
