@@ -19,6 +19,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def unit(vector: Column) -> Column:
+    """The vector at length 1; null if it is null, has no length or isn't finite."""
+    v = vector.cast("array<double>")
+    size = norm(v)
+    return F.when((size > 0) & (size < float("inf")), F.transform(v, lambda x: x / size))
+
+
 def rendered(a: Column, digits: int = 6) -> Column:
     """A query vector as it is after being written out with so many decimals."""
     return F.transform(a.cast("array<double>"), lambda x: F.round(x, digits))

@@ -5,10 +5,13 @@ Nothing is updated in place; callers write the result to a fresh path and swap.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import spans as S
+from marginalia.operators.dedup import repointed
 
 
 def number_from(rows: DataFrame, top: int, order: list[str], id_col: str, prefix: int = 3) -> DataFrame:
@@ -82,8 +85,8 @@ def retag(links: DataFrame, told: DataFrame, card: str = "card_id", tag: str = "
 
 
 def rewrite_tags(cards: DataFrame, told: DataFrame) -> DataFrame:
-    """New tags for the cards of ``told`` (card_id, new_tag); their mark-up is cleared."""
-    t = told.select(F.col("card_id").alias("_c"), "new_tag")
+    """New tags for the cards of ``told`` (card_id, new_tag); their mark-up is cleared.  Of several tags for a card the first in order counts."""
+    t = told.groupBy(F.col("card_id").alias("_c")).agg(F.min("new_tag").alias("new_tag"))
     out = cards.join(t, F.col("card_id") == F.col("_c"), "left")
     changed = F.col("new_tag").isNotNull()
     return out.withColumn("tag", F.coalesce("new_tag", "tag")).withColumn("tag_markup", F.when(~changed, F.col("tag_markup"))).drop("_c", "new_tag")
@@ -102,14 +105,17 @@ def adopt_markup(cards: DataFrame, wishes: DataFrame) -> DataFrame:
     return out.withColumn("markup", F.when(F.col("_all").isNotNull(), S.union(F.col("markup"), F.col("_all"))).otherwise(F.col("markup"))).drop("_id", "_all")
 
 
-def set_canonical(cards: DataFrame, wish: DataFrame) -> DataFrame:
-    """``wish``: card_id, target (null makes it visible).  Cards that pointed at a demoted card follow it; the target becomes visible."""
-    w = wish.select(F.col("card_id").alias("_c"), F.col("target").alias("_t"), F.lit(True).alias("_said"))
-    follow = wish.where("target is not null").select(F.col("card_id").alias("_f"), F.col("target").alias("_ft"))
-    tops = wish.where("target is not null").select(F.col("target").alias("_top")).distinct()
-    out = cards.join(w, F.col("card_id") == F.col("_c"), "left").join(follow, F.col("canonical_card_id") == F.col("_f"), "left").join(tops, F.col("card_id") == F.col("_top"), "left")
-    new = F.when(F.col("_said"), F.col("_t")).when(F.col("_top").isNotNull(), F.lit(None)).otherwise(F.coalesce("_ft", "canonical_card_id"))
-    return out.withColumn("canonical_card_id", new).drop("_c", "_t", "_said", "_f", "_ft", "_top")
+def set_canonical(cards: DataFrame, wish: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``wish``: card_id, target (null makes it visible).  Cards that pointed at a demoted card follow it; the target becomes visible.
+
+    Of several wishes for a card the smallest target counts.  A target that is demoted
+    itself leads on: every pointer goes to the end of its chain.
+    """
+    w = wish.groupBy(F.col("card_id").alias("_c")).agg(F.min("target").alias("_t")).withColumn("_said", F.lit(True))
+    tops = w.where("_t is not null").select(F.col("_t").alias("_top")).distinct()
+    out = cards.join(w, F.col("card_id") == F.col("_c"), "left").join(tops, F.col("card_id") == F.col("_top"), "left")
+    new = F.when(F.col("_said"), F.col("_t")).when(F.col("_top").isNotNull(), F.lit(None)).otherwise(F.col("canonical_card_id"))
+    return repointed(out.withColumn("canonical_card_id", new).drop("_c", "_t", "_said", "_top"), put)
 
 
 def exclude_from_dedup(cards: DataFrame, ids: DataFrame) -> DataFrame:
@@ -133,8 +139,8 @@ def edit_variant(variants: DataFrame, edits: DataFrame, cards: DataFrame) -> Dat
 
 
 def last_proposals(rows: DataFrame, existing: DataFrame, slug: str = "slug", batch: str = "batch") -> DataFrame:
-    """Vocabulary proposals: the last batch wins for each slug; known slugs go."""
-    w = Window.partitionBy(slug).orderBy(F.col(batch).desc())
+    """Vocabulary proposals: the last batch wins for each slug, within it the first by its other columns; known slugs go."""
+    w = Window.partitionBy(slug).orderBy(F.col(batch).desc(), *(c for c in rows.columns if c not in (slug, batch)))
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").join(existing.select(slug).distinct(), slug, "left_anti")
 
 

@@ -107,13 +107,24 @@ def summary(decisions: DataFrame) -> DataFrame:
     )
 
 
-def apply_plan(cards: DataFrame, plan: DataFrame) -> DataFrame:
-    """``cards`` with losers pointed at winners and winners visible; ``plan``: loser_id, winner_id.  Chains come out flat."""
-    told = plan.select(F.col("loser_id").alias("_l"), F.col("winner_id").alias("_w"))
+def apply_plan(cards: DataFrame, plan: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``cards`` with losers pointed at winners and winners visible; ``plan``: loser_id, winner_id.
+
+    A loser of several rows goes to the smallest winner; who wins one row and loses
+    another is a loser.  Every pointer then goes to the end of its chain, those of cards
+    that pointed at a loser too.
+    """
+    told = plan.where("loser_id <> winner_id").groupBy(F.col("loser_id").alias("_l")).agg(F.min("winner_id").alias("_w"))
     wins = plan.select(F.col("winner_id").alias("_win")).distinct()
     out = cards.join(told, F.col("card_id") == F.col("_l"), "left").join(wins, F.col("card_id") == F.col("_win"), "left")
     new = F.when(F.col("_win").isNotNull() & F.col("_l").isNull(), F.lit(None)).otherwise(F.coalesce("_w", "canonical_card_id"))
-    return out.withColumn("canonical_card_id", new).drop("_l", "_w", "_win")
+    return repointed(out.withColumn("canonical_card_id", new).drop("_l", "_w", "_win"), put)
+
+
+def repointed(cards: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``cards`` with every pointer at the end of its chain."""
+    flat = flatten_chains(cards.select("card_id", "canonical_card_id"), put).select(F.col("card_id").alias("_id"), F.col("canonical_card_id").alias("_end"))
+    return cards.join(flat, F.col("card_id") == F.col("_id"), "left").withColumn("canonical_card_id", F.col("_end")).select(cards.columns)
 
 
 def flatten_chains(cards: DataFrame, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -75,8 +75,8 @@ def create(lists: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def rename(lists: DataFrame, wishes: DataFrame) -> DataFrame:
-    """``wishes``: workspace_id, user_id, name.  Only an owner's wish counts; a blank name becomes Untitled."""
-    told = wishes.select(F.col("workspace_id").alias("_w"), F.col("user_id").alias("_u"), named_or(F.col("name"), "Untitled").alias("_n"))
+    """``wishes``: workspace_id, user_id, name.  Only an owner's wish counts, of several the first name in order; a blank name becomes Untitled."""
+    told = wishes.groupBy(F.col("workspace_id").alias("_w"), F.col("user_id").alias("_u")).agg(F.min(named_or(F.col("name"), "Untitled")).alias("_n"))
     mine = (F.col("workspace_id") == F.col("_w")) & (F.col("user_id") == F.col("_u"))
     return lists.join(told, mine, "left").withColumn("name", F.coalesce("_n", "name")).drop("_w", "_u", "_n")
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.vectors import cosine_distance
+from marginalia.functions.vectors import cosine_distance, unit
 
 BLOCK = 2048
 
@@ -49,7 +49,7 @@ def top_k(rows: DataFrame, k: int = 8, threshold: float | None = None, id_col: s
             d = 1 - (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
         ids_a, ids_b = a.id.to_numpy(), b.id.to_numpy()
         d[ids_a[:, None] == ids_b[None, :]] = np.inf
-        d = np.where(np.isnan(d), np.inf, d)
+        d = np.round(np.where(np.isnan(d), np.inf, d), 9)
         best = np.argsort(d, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"a": np.repeat(ids_a, best.shape[1]), "b": ids_b[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
         return out[np.isfinite(out.distance)]
@@ -121,13 +121,18 @@ def nearest_to(rows: DataFrame, query: DataFrame, k: int = 8, id_col: str = "id"
 
 
 def lsh_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector_col: str = "embedding", tables: int = 8, bucket: float = 1.0, seed: int = 3) -> DataFrame:
-    """An approximate variant: ``a < b, distance`` of pairs below ``threshold`` that random projections bring together."""
+    """An approximate variant: ``a < b, distance`` of pairs below ``threshold`` that random projections bring together.
+
+    Vectors are brought to unit length first; those without a length have no distance to any.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    unit = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
-    met = model.approxSimilarityJoin(unit, unit, (2 * threshold) ** 0.5, distCol="l2")
+    # where the hash function runs before the filter it needs a vector of the same size
+    v, none = unit(F.col(vector_col)), F.array_repeat(F.lit(0.0), F.size(vector_col))
+    kept = rows.where(F.col(vector_col).isNotNull()).where(v.isNotNull()).select(F.col(id_col).alias("id"), array_to_vector(F.coalesce(v, none)).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(kept)
+    met = model.approxSimilarityJoin(kept, kept, (2 * threshold) ** 0.5, distCol="l2")
     return met.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (F.col("l2") * F.col("l2") / 2).alias("distance")).where(f"a < b and distance < {float(threshold)}")
 
 

@@ -297,11 +297,16 @@ def _(spark, d):
     return out.join(took, F.col("card_id") == F.col("target_id"), "left_semi").select("card_id", F.inline("markup"))
 
 
-@query("set_canonical", "SELECT c_custkey AS card_id, CASE WHEN c_custkey = 8 THEN NULL WHEN c_custkey IN (4, 16) THEN 8 WHEN c_custkey // 2 = 4 AND c_custkey >= 4 THEN 8 WHEN c_custkey // 2 = 16 THEN 8 WHEN c_custkey >= 4 THEN c_custkey // 2 END AS canonical_card_id FROM customer")
+# Each customer points at half its key; every seventh wants a third of its key, every eleventh wants to be visible.
+_WISHED = "w AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey // 3 END AS t FROM customer WHERE c_custkey >= 4 AND (c_custkey % 7 = 0 OR c_custkey % 11 = 0))"
+
+
+@query("set_canonical", f"""WITH RECURSIVE {_WISHED}, p AS (SELECT c_custkey AS id, CASE WHEN w.id IS NOT NULL THEN t WHEN c_custkey IN (SELECT t FROM w) THEN NULL WHEN c_custkey >= 4 THEN c_custkey // 2 END AS up FROM customer LEFT JOIN w ON w.id = c_custkey),
+r(id, top) AS (SELECT id, up FROM p UNION ALL SELECT r.id, p.up FROM r JOIN p ON p.id = r.top WHERE p.up IS NOT NULL) SELECT id AS card_id, min(top) AS canonical_card_id FROM r GROUP BY id""")
 def _(spark, d):
     c = T.read(spark, d, "customer").select(F.col("c_custkey").alias("card_id"), F.when(F.col("c_custkey") >= 4, F.floor(F.col("c_custkey") / 2)).alias("canonical_card_id"))
-    wish = spark.createDataFrame([(4, 8), (16, 8)], "card_id long, target long")
-    return C.set_canonical(c, wish)
+    wish = c.where("card_id >= 4 and (card_id % 7 = 0 or card_id % 11 = 0)").select("card_id", F.when(F.col("card_id") % 11 != 0, F.floor(F.col("card_id") / 3)).alias("target"))
+    return C.set_canonical(c, wish, putter(spark, "wishes"))
 
 
 @query("effective_markup", f"""WITH r AS ({_RAWSPANS}) SELECT o_orderkey AS entry_id, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE (SELECT count(*) FROM r WHERE r.id = o_orderkey) END::BIGINT AS n FROM orders""")

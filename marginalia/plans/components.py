@@ -65,3 +65,29 @@ def connected_components(edges: DataFrame, put: Callable[[DataFrame, str], DataF
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def merge_components(labels: DataFrame, edges: DataFrame, put: Callable[[DataFrame, str], DataFrame], drop: Callable[[str], None] = lambda name: None) -> DataFrame:
+    """``node, component`` of the nodes whose component changes when ``edges`` (a, b) join a graph with ``labels`` (node, component).
+
+    The ends of the new edges take their stored component, so that only components that
+    a new edge touches are looked at, as single nodes of a contracted graph.  Nodes
+    without a stored label are components of their own, and are always returned.  Only
+    the labels of contracted components that aren't the smallest of theirs change; the
+    caller keeps the other stored labels as they are.
+    """
+    new = put(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "new")
+    ends = new.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    placed = put(ends.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("at"), F.col("component").isNull().alias("fresh")), "ends")
+    a, b = (placed.select(F.col("node").alias(c), F.col("at").alias(f"at_{c}")) for c in "ab")
+    contracted = new.join(a, "a").join(b, "b").select(F.col("at_a").alias("a"), F.col("at_b").alias("b"))
+    merged = put(connected_components(contracted, lambda df, name: put(df, f"merge-{name}"), lambda name: drop(f"merge-{name}")), "merged")
+    moved = merged.where("node <> component").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    old = splittable_join(labels.withColumnRenamed("component", "was"), moved, "was").select("node", F.col("now").alias("component"))
+    fresh = placed.where("fresh").join(merged.withColumnRenamed("node", "at"), "at", "left").select("node", F.coalesce("component", "at").alias("component"))
+    return old.union(fresh)
+
+
+def updated_components(labels: DataFrame, changed: DataFrame) -> DataFrame:
+    """``labels`` with the changed ones in place of theirs, and the new ones."""
+    return labels.join(changed.select("node"), "node", "left_anti").select("node", "component").union(changed.select("node", "component"))

@@ -234,10 +234,12 @@ def test_chains_come_out_flat(spark, put, n):
     assert (got[100], got[101], got[102]) == (None, 100, 100) and got[103] == 100
 
 
-def test_apply_plan(spark):
+def test_apply_plan(spark, put):
     cards = spark.createDataFrame([(1, None), (2, None), (3, 9), (4, 2)], "card_id long, canonical_card_id long")
     plan = spark.createDataFrame([(2, 3)], "loser_id long, winner_id long")
-    assert dict(rows(D.apply_plan(cards, plan))) == {1: None, 2: 3, 3: None, 4: 2}
+    assert dict(rows(D.apply_plan(cards, plan, put))) == {1: None, 2: 3, 3: None, 4: 3}
+    chained = spark.createDataFrame([(2, 3), (3, 1), (3, 1), (4, 3), (4, 4)], "loser_id long, winner_id long")
+    assert dict(rows(D.apply_plan(cards, chained, put))) == {1: None, 2: 1, 3: 1, 4: 1}
     assert {(r.card_id, r.relation) for r in D.alternates(cards, 2).collect()} == {(4, "alternate")}
 
 
@@ -300,7 +302,7 @@ def test_retag_and_rewrite(spark):
     told = spark.createDataFrame([(1, 1, "keep", None), (2, 1, "retag", 5), (3, 1, "remove", None)], "card_id long, tag_id long, action string, new_tag long")
     assert rows(C.retag(links, told)) == [(1, 1, "approved"), (2, 5, "approved")]
     cards = spark.createDataFrame([(1, "old", [1]), (2, "keep", [2])], "card_id long, tag string, tag_markup array<int>")
-    assert rows(C.rewrite_tags(cards, spark.createDataFrame([(1, "new")], "card_id long, new_tag string"))) == [(1, "new", None), (2, "keep", [2])]
+    assert rows(C.rewrite_tags(cards, spark.createDataFrame([(1, "newer"), (1, "new")], "card_id long, new_tag string"))) == [(1, "new", None), (2, "keep", [2])]
 
 
 def test_adoption_has_three_guards(spark):
@@ -319,10 +321,13 @@ def test_variants(spark):
     assert got == {7: [(0, 5, "underline"), (2, 5, "highlight")], 9: [(0, 1, "underline"), (2, 3, "underline")]}
 
 
-def test_canonical_and_accounts(spark):
+def test_canonical_and_accounts(spark, put):
     cards = spark.createDataFrame([(1, None), (2, 1), (3, None), (4, 3)], "card_id long, canonical_card_id long")
-    assert dict(rows(C.set_canonical(cards, spark.createDataFrame([(1, 3)], "card_id long, target long")))) == {1: 3, 2: 3, 3: None, 4: 3}
-    assert dict(rows(C.set_canonical(cards, spark.createDataFrame([(2, None)], "card_id long, target long")))) == {1: None, 2: None, 3: None, 4: 3}
+    wished = lambda *w: dict(rows(C.set_canonical(cards, spark.createDataFrame(w, "card_id long, target long"), put)))
+    assert wished((1, 3)) == {1: 3, 2: 3, 3: None, 4: 3}
+    assert wished((2, None)) == {1: None, 2: None, 3: None, 4: 3}
+    assert wished((1, 4), (4, 3)) == {1: 3, 2: 3, 3: None, 4: 3}  # a target that is demoted itself leads on
+    assert wished((1, 3), (1, 4), (1, 3)) == {1: 3, 2: 3, 3: None, 4: 3}
     users = spark.createDataFrame([(1, "placeholder", None)], "id long, nickname string, pw_hash string")
     one = C.register(users, " Ann ", "h1")
     assert rows(one) == [(1, "Ann", "h1")]
