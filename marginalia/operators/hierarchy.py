@@ -7,6 +7,9 @@ a node whose parent is missing is a root.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,9 +52,20 @@ def closure(tags: DataFrame, put: Callable[[DataFrame, str], DataFrame] | None =
 
 
 def checkpointed(df: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
-    """A ``put`` by reliable checkpoints; a session without a folder for them (a local one) keeps the lineage."""
-    known = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return lambda rows, name: rows.checkpoint() if known else rows
+    """A ``put`` by reliable checkpoints; only a local master may go without a folder for them, and then stores tables in a temporary one."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return lambda rows, name: rows.checkpoint()
+    if not (spark.sparkContext.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="marginalia-closure-")
+    atexit.register(shutil.rmtree, folder, True)
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"file://{folder}/{name}")
+        return spark.read.parquet(f"file://{folder}/{name}")
+
+    return put
 
 
 def descendants(spark: SparkSession, view: str, root: int) -> DataFrame:

@@ -12,15 +12,18 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators.neighbours import blocks_of, nearest_to
 
 DIMENSIONS = 512
+#: Deviations by which the bound of a stratum's hashes exceeds what its sample needs.
+MARGIN = 6
 BATCH, PER_CALL = 128, 15
 MOST_TAGS = 4
 # How much of a text each kind of request may show.
@@ -108,6 +111,34 @@ def sample(cards: DataFrame, uploads: DataFrame, n: int, seed: int = 0, id_col:
     return drawn.orderBy(order, id_col).limit(n).withColumn("body", F.substring(text_col, 1, CUT["sample"]))
 
 
+def stratified(rows: DataFrame, strata: list[str], per: int, id_col: str = "card_id", seed: int = 0) -> DataFrame:
+    """``rows`` with ``n`` and ``place``: of each stratum the ``per`` rows with the smallest seeded hash of their id, and the stratum's exact size.
+
+    A hash is an even number in [0, 1), so the smallest of a stratum lie below a bound that
+    follows its size; only rows below it are ranked, whatever the stratum's size.  A
+    stratum that has too few below its bound, by chance or for many equal ids, is ranked
+    whole.  Equal hashes go by id; null strata are strata of their own.
+    """
+    order = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    sizes = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in strata)).agg(F.count("*").alias("n"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata])
+    marked = rows.withColumn("_order", order).join(sizes, same)
+    below = F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / 2.0**32 < (per + MARGIN * per**0.5 + MARGIN) / F.col("n")
+    by = Window.partitionBy(*(f"_{c}" for c in strata)).orderBy("_order", id_col)
+
+    def best(some: DataFrame) -> DataFrame:
+        return some.withColumn("place", F.row_number().over(by)).where(F.col("place") <= per)
+
+    few = best(marked.where(below))
+    met = few.groupBy(*(f"_{c}" for c in strata)).agg(F.count("*").alias("_m"))
+    short = sizes.join(met.select(*(F.col(f"_{c}").alias(f"_{c}_m") for c in strata), "_m"), reduce(Column.__and__, [F.col(f"_{c}").eqNullSafe(F.col(f"_{c}_m")) for c in strata]), "left")
+    short = short.where(F.coalesce("_m", F.lit(0)) < F.least("n", F.lit(per))).select(*(F.col(f"_{c}").alias(f"_{c}_s") for c in strata))
+    missed = reduce(Column.__and__, [F.col(f"_{c}").eqNullSafe(F.col(f"_{c}_s")) for c in strata])
+    again = best(marked.join(short, missed, "left_semi"))
+    kept = few.join(short, missed, "left_anti").unionByName(again)
+    return kept.select(*rows.columns, "n", "place")
+
+
 def batch_prompt(cards: list[dict]) -> str:
     """What one call about several cards asks: id, tag and the first part of the body of each."""
     return "\n\n".join(f"card {c['id']}\ntag: {(c['tag'] or '')[: CUT['tag']]}\nbody: {(c['body'] or '')[: CUT['batch']]}" for c in cards)

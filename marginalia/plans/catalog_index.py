@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import gram_index as G
 from marginalia.operators import intervals as I
+from marginalia.operators import providers as P
 from marginalia.operators import ranked_index as R
 from marginalia.operators import vector_index as V
 from marginalia.plans import catalog_changes as CC
@@ -166,3 +167,12 @@ def _(spark, d):
         changed = step(merge_components(labels, edges.where(f"batch = {k}").drop("batch"), step), "changed")
         labels = step(updated_components(labels, changed), "labels")
     return labels.select("node", "component")
+
+
+# Samples -------------------------------------------------------------------------------------
+
+
+@query("sample_stratified", "SELECT doc_id, lang, source, count(*) OVER (PARTITION BY lang, source) AS n, row_number() OVER (PARTITION BY lang, source ORDER BY md5(doc_id || ':3'), doc_id)::INTEGER AS place FROM documents QUALIFY place <= 5")
+def _(spark, d):
+    docs = T.read(spark, d, "documents").select("doc_id", "lang", "source")
+    return P.stratified(docs, ["lang", "source"], 5, "doc_id", 3)

@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import gram_index as G
 from marginalia.operators import intervals as I
+from marginalia.functions import spans as SP
 from marginalia.operators import neighbours as N
+from marginalia.operators import providers as P
 from marginalia.operators import ranked_index as R
 from marginalia.operators import search as S
 from marginalia.operators import vector_index as V
 from marginalia.plans.components import connected_components, merge_components, updated_components
+from marginalia.sources import docx
 from marginalia.streaming import limiter, timed
+from marginalia.streaming.inbox import Inbox
 from marginalia.streaming.touched import BucketedSeen
 from tests.test_operators import put  # noqa: F401
 
@@ -285,6 +289,73 @@ def test_a_failed_batch_leaves_the_table(spark, tmp_path):
     assert files_of(tmp_path / "t") == before and rows(table.read()) == same
 
 
+# Samples -------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("margin", [6, -100])
+def test_stratified_samples(spark, monkeypatch, margin):
+    """Also when the bound lets nothing through, and every stratum is ranked whole."""
+    import hashlib
+
+    monkeypatch.setattr(P, "MARGIN", margin)
+    rng = random.Random(1)
+    data = [(k, rng.choice(["hot"] * 20 + ["a", "b", None])) for k in range(3000)] + [(9000 + k, "three") for k in range(3)] + [(7, "same")] * 9
+    df = spark.createDataFrame(data, "id long, s string").repartition(3)
+    key = lambda i: (hashlib.md5(f"{i}:4".encode()).hexdigest(), i)
+    want = []
+    for s in {x for _, x in data}:
+        ids = sorted((i for i, x in data if x == s), key=key)
+        want += [(i, s, len(ids), n) for n, i in enumerate(ids[:6], 1)]
+    assert rows(P.stratified(df, ["s"], 6, "id", 4)) == sorted(want, key=str)
+    assert P.stratified(df.limit(0), ["s"], 6, "id").collect() == []
+
+
+# Inbox ---------------------------------------------------------------------------------------
+
+
+def word_file(spark, texts):
+    """The bytes of a Word file with a card for each text."""
+    none = F.lit(None).cast("string")
+    heads = F.array(F.struct(F.lit(1).alias("level"), F.lit("AFF").alias("heading")), F.struct(F.lit(4).alias("level"), F.col("tag").alias("heading")))
+    given = spark.createDataFrame([(1, k, f"claim {k}", t) for k, t in enumerate(texts, 1)], "workspace long, position int, tag string, card_text string")
+    made = given.select("workspace", "position", heads.alias("headings"), none.alias("tag"), F.array().cast(SP.SPANS).alias("tag_markup"), F.lit("Smith 22").alias("cite_short"), none.alias("raw_cite"), "card_text", none.alias("argument"), none.alias("answer_to"), F.array().cast(SP.SPANS).alias("markup"))
+    return bytes(docx.export_lists(made).first()["content"])
+
+
+def test_inbox_stores_each_file_once_and_moves_it(spark, tmp_path, monkeypatch):
+    root, done = tmp_path / "in", tmp_path / "done"
+    for folder in ("2024/a b", "garbage", "."):
+        (root / folder).mkdir(parents=True, exist_ok=True)
+    (root / "2024/a b/one.docx").write_bytes(word_file(spark, ["first body", "second body"]))
+    (root / "two.DOCX").write_bytes(word_file(spark, ["third body"]))
+    (root / "bad.docx").write_bytes(b"no document")
+    (root / "empty.docx").write_bytes(word_file(spark, [" "]))
+    (root / "garbage/three.docx").write_bytes(word_file(spark, ["never"]))
+    inbox = Inbox(spark, f"file://{root}", f"file://{done}", f"file://{tmp_path}/table")
+    real, calls = Inbox.move, []
+
+    def broken(self, path):
+        calls.append(path)
+        if len(calls) == 2:
+            raise OSError("power cut")
+        real(self, path)
+
+    monkeypatch.setattr(Inbox, "move", broken)
+    with pytest.raises(Exception, match="power cut"):
+        inbox.start().awaitTermination()
+    assert len([p for p in done.rglob("*") if p.is_file()]) == 1  # cut off between two moves
+    monkeypatch.setattr(Inbox, "move", real)
+    (root / "late.docx").write_bytes(word_file(spark, ["late body"]))
+    inbox.start().awaitTermination()  # takes the batch up again, then the new file
+    inbox.start().awaitTermination()  # nothing new
+    moved = sorted(str(p.relative_to(done)) for p in done.rglob("*") if p.is_file() and not p.name.startswith("."))
+    assert moved == ["2024/a b/one.docx", "late.docx", "two.DOCX"]
+    assert sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file() and not p.name.startswith(".")) == ["bad.docx", "empty.docx", "garbage/three.docx"]
+    assert sorted(r.card_text for r in inbox.items().collect()) == ["first body", "late body", "second body", "third body"]
+    left = {r.path.rsplit("/", 1)[1]: r.error for r in inbox.left().collect()}
+    assert set(left) == {"bad.docx", "empty.docx"} and left["bad.docx"].startswith("BadZipFile") and left["empty.docx"] == "no items"
+
+
 # Components ----------------------------------------------------------------------------------
 
 
