@@ -1,28 +1,39 @@
-"""The queries of this subpackage, and the SQL of those that SQL can express."""
+"""The queries of this subpackage by the module that has them, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, decontaminate, divergence, html, langid, licenses, minhash, phrases, repeats, secrets, simhash, toxicity, warc
 from marginalia.llm.oracles import ORACLES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash": minhash.op1_minhash,
-    "op2_warc": warc.op2_warc,
-    "op3_langid": langid.op3_langid,
-    "op4_decontaminate": decontaminate.op4_decontaminate,
-    "op5_bpe": bpe.op5_bpe,
-    "op6_simhash": simhash.op6_simhash,
-    "op7_licenses": licenses.op7_licenses,
-    "op8_secrets": secrets.op8_secrets,
-    "op9_toxicity": toxicity.op9_toxicity,
-    "op10_html": html.op10_html,
-    "op11_phrases": phrases.op11_phrases,
-    "op12_divergence": divergence.op12_divergence,
-    "op13_repeats": repeats.op13_repeats,
+#: Each query's module, in which a function has the query's name.
+MODULES = {
+    "op1_minhash": "minhash",
+    "op2_warc": "warc",
+    "op3_langid": "langid",
+    "op4_decontaminate": "decontaminate",
+    "op5_bpe": "bpe",
+    "op6_simhash": "simhash",
+    "op7_licenses": "licenses",
+    "op8_secrets": "secrets",
+    "op9_toxicity": "toxicity",
+    "op10_html": "html",
+    "op11_phrases": "phrases",
+    "op12_divergence": "divergence",
+    "op13_repeats": "repeats",
 }
 
-__all__ = ["ORACLES", "QUERIES"]
+
+def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The query of that name; raises ImportError if a library that its module needs is missing."""
+    return getattr(import_module(f"marginalia.llm.{MODULES[name]}"), name)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query(name) for name in MODULES}
+
+
+__all__ = ["MODULES", "ORACLES", "queries", "query"]

@@ -2,7 +2,7 @@
 
 import pytest
 
-from marginalia.llm.registry import ORACLES, QUERIES
+from marginalia.llm.registry import ORACLES, query
 from tests.test_oracle import TYPES, canonical, oracle  # noqa: F401
 
 
@@ -13,7 +13,7 @@ def sf_dir():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, sf_dir, oracle, name):  # noqa: F811
-    got = QUERIES[name](spark, sf_dir)
+    got = query(name)(spark, sf_dir)
     rows = [tuple(r) for r in got.collect()]
     want = oracle.execute(ORACLES[name])
     names = [d[0] for d in want.description]

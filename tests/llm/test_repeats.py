@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import common, repeats
-from marginalia.llm.registry import QUERIES
+from marginalia.llm.registry import query
 from marginalia.llm.words import CHUNK, Words, gathered, windows
 from tests.llm.fixtures import SCHEMA, documents, nothing, prose
 
@@ -130,7 +130,7 @@ def test_query_against_plain(spark, sf_dir):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = [(i, n, g, hashlib.sha256(t.encode()).hexdigest()) for i, n, g, t in plain([(r.doc_id, r.text) for r in docs.collect()], 13)]
-    assert sorted((tuple(r) for r in QUERIES["op13_repeats"](spark, sf_dir).collect()), key=str) == sorted(want, key=str)
+    assert sorted((tuple(r) for r in query("op13_repeats")(spark, sf_dir).collect()), key=str) == sorted(want, key=str)
     assert sum(x[2] for x in want) > 0
 
 
