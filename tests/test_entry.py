@@ -29,7 +29,9 @@ def test_imports_without_the_subpackage(tmp_path):
 
 
 def test_a_missing_library_takes_only_its_queries(tmp_path):
-    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; assert len(e.queries()) > 80 and not any(k.startswith('op') for k in e.queries())"
+    if not (ROOT / "marginalia" / "llm").exists():
+        return
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and {'op1_minhash', 'op10_html'} <= set(q) and not {'op4_decontaminate', 'op8_secrets', 'pipeline'} & set(q) and set(e.oracle_sql()) <= set(q), list(q)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
