@@ -37,6 +37,8 @@ from marginalia.llm.words import Words, gathered
 
 #: Documents that a kept term needs; terms reported for a source; what is added to each count.
 LEAST, TOP, ADDED = 30, 50, 5
+#: Bytes of texts counted together: the more, the fewer rows go on.
+CHUNK = 3 << 20
 #: Cells (vectors times sources) of one block.
 BLOCK_CELLS = 1 << 20
 
@@ -51,7 +53,7 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     out = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("df", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for langs, sources, texts in gathered(batches, 2):
+        for langs, sources, texts in gathered(batches, 2, CHUNK):
             words = Words([t.lower() for t in texts], _BETWEEN)
             groups = sorted(set(zip(langs, sources)))
             number = {g: k for k, g in enumerate(groups)}
@@ -61,11 +63,11 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             pairs, n = np.unique(group[words.owner] * many + term, return_counts=True)
             held = np.unique(words.owner * many + term)
             df = np.bincount(np.searchsorted(pairs, group[held // many] * many + held % many), minlength=len(pairs))
-            names = [words.word(k) for k in first.tolist()]
-            of = [groups[k] for k in (pairs // many).tolist()] + groups
-            terms = [names[k] for k in (pairs % many).tolist()] + [None] * len(groups)
-            none = np.zeros(len(groups), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in of], pa.string()), pa.array([g[1] for g in of], pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(np.concatenate([n, none])), pa.array(np.concatenate([df, none]).astype(np.int64))], schema=out)
+            own, none = np.arange(len(groups)), np.zeros(len(groups), np.int64)  # a row without a term for each group
+            of = np.concatenate([pairs // many, own])
+            at = pa.array(np.concatenate([pairs % many, none]), mask=np.concatenate([np.zeros(len(pairs), bool), np.ones(len(groups), bool)]))
+            names = pa.array([words.word(k) for k in first.tolist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*(pa.array([g[c] for g in groups], pa.string()).take(pa.array(of)) for c in (0, 1)), names.take(at), pa.array(np.concatenate([n, none])), pa.array(np.concatenate([df, none]).astype(np.int64))], schema=out)
 
     return rows.mapInArrow(count, "lang string, source string, term string, n long, df long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
