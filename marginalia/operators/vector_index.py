@@ -21,6 +21,7 @@ Rows whose vector is null, without length or not finite have no distance and are
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -96,7 +97,8 @@ def _nearest(centres: np.ndarray, probes: int, reach: np.ndarray | None = None,
             return pd.Series([np.flatnonzero(x).astype(np.int32) for x in np.arccos(cos) - reach[None, :] <= within + 1e-9])
         few = min(probes, len(centres))
         best = np.argpartition(-cos, few - 1, axis=1)[:, :few]
-        return pd.Series(list(np.sort(best, axis=1).astype(np.int32))) if few > 1 else pd.Series([np.array([c], np.int32) for c in cos.argmax(1)])
+        order = np.argsort(-np.take_along_axis(cos, best, 1), axis=1, kind="stable")  # the nearest first
+        return pd.Series(list(np.take_along_axis(best, order, 1).astype(np.int32)))
 
     return near
 
@@ -153,19 +155,48 @@ def _probes(lists: DataFrame, centres: np.ndarray) -> int:
     return int(places[math.ceil(RECALL * len(places)) - 1]) + 1 if len(places) else 1
 
 
+def _packs(index: VectorIndex) -> dict[int, list[int]]:
+    """Each list's packs of about BLOCK vectors: small lists that lie along one direction share one, a large list has several."""
+    middle = index.centres - index.centres.mean(axis=0)
+    along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
+    out, pack, room = {}, 0, BLOCK
+    for c in np.argsort(along, kind="stable").tolist():
+        n = index.sizes[c]
+        if n > room and room < BLOCK:
+            pack, room = pack + 1, BLOCK
+        parts = max(1, math.ceil(n / BLOCK))
+        out[c] = list(range(pack, pack + parts))
+        pack, room = (pack + parts, BLOCK) if parts > 1 else (pack, room - n)
+    return out
+
+
 def _dealt(index: VectorIndex, asked: DataFrame, least_probed: int = 256) -> DataFrame:
-    """``list, i, j, id, v, asks``: queries (id, v, list) and the vectors of their lists, as pairs of blocks of bounded size."""
-    counts = asked.groupBy("list").agg(F.count("*").alias("m"))
-    wanted = [r[0] for r in counts.select("list").limit(least_probed + 1).collect()]
+    """``i, j, id, v, asks``: queries (id, v, lists) and indexed vectors, as pairs of packs of bounded size.
+
+    Queries are packed by their first list, vectors by theirs.  Two packs meet if some
+    query of the one probes a list of the other, and then whole: a query may see more
+    lists than it probes, never fewer.  So a vector is sent once for each pack that asks
+    for its list, not once for each query.
+    """
+    spark = index.spark
+    told = spark.createDataFrame([(c, p) for c, p in _packs(index).items()], "list int, packs array<int>")  # a row for each list
+    told = F.broadcast(told)
+    own = lambda c: F.col("packs")[F.pmod(F.xxhash64(c), F.size("packs")).cast("int")]
+    left = asked.withColumn("list", F.col("lists")[0]).join(told, "list").select("id", "v", "lists", own("id").alias("i"))
+    at = f"{index.path}/asked-{uuid.uuid4().hex}"
+    left.write.parquet(at)  # the centres are compared once
+    left = spark.read.parquet(at)
+    probed = left.select("i", F.explode("lists").alias("list")).distinct()
+    wanted = [r[0] for r in probed.select("list").distinct().limit(least_probed + 1).collect()]
     base = index.lists()
     if len(wanted) <= least_probed:
         base = base.where(F.col("list").isin(wanted))  # only their folders are read
-    n = F.create_map(*(F.lit(x) for k, v in index.sizes.items() for x in (k, v)))[F.col("list")] if index.sizes else F.lit(0)
-    blocks = counts.select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("na"), F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int").alias("nb"))
-    own = lambda c, total: F.pmod(F.xxhash64(c), F.col(total)).cast("int")
-    left = asked.join(F.broadcast(blocks), "list").select("list", own("id", "na").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "id", "v", F.lit(True).alias("asks"))
-    right = base.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), own("rep", "nb").alias("j"), F.col("rep").alias("id"), "v", F.lit(False).alias("asks"))
-    return left.union(right)
+    meet = probed.join(told, "list").select("i", F.explode("packs").alias("j")).distinct()
+    to_j, to_i = (meet.groupBy(x).agg(F.sort_array(F.collect_set(y)).alias("to")) for x, y in (("i", "j"), ("j", "i")))  # a number for each pack
+    right = base.join(told, "list").select("rep", "v", own("rep").alias("j"))
+    sent = splittable_join(left.withColumn("i", F.col("i").cast("long")), to_j.withColumn("i", F.col("i").cast("long")), "i").select(F.col("i").cast("int").alias("i"), F.explode("to").alias("j"), "id", "v", F.lit(True).alias("asks"))
+    given = splittable_join(right.withColumn("j", F.col("j").cast("long")), to_i.withColumn("j", F.col("j").cast("long")), "j").select(F.explode("to").alias("i"), F.col("j").cast("int").alias("j"), F.col("rep").alias("id"), "v", F.lit(False).alias("asks"))
+    return sent.union(given)
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int = 8, probes: int | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -175,7 +206,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 8, probes: int | Non
         return index.spark.createDataFrame([], empty)
     asked = queries.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vector_col)).alias("v")).where("v is not null and id is not null")
     classes = asked.groupBy("v").agg(F.min("id").alias("id"))
-    probed = classes.select("id", "v", F.explode(_nearest(index.centres, probes or index.probes)("v")).alias("list"))
+    probed = classes.select("id", "v", _nearest(index.centres, probes or index.probes)("v").alias("lists"))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.asks], pdf[~pdf.asks].sort_values("id")
@@ -186,7 +217,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 8, probes: int | Non
         best = np.argsort(d, axis=1, kind="stable")[:, :few]
         return pd.DataFrame({"q": np.repeat(a.id.to_numpy(), few), "rep": b.id.to_numpy()[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
 
-    found = _dealt(index, probed).groupBy("list", "i", "j").applyInPandas(nearest, "q long, rep long, distance double")
+    found = _dealt(index, probed).groupBy("i", "j").applyInPandas(nearest, "q long, rep long, distance double")
     order = Window.partitionBy("q").orderBy("distance", "rep")
     found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth")
     # of a class of equal vectors the k + 1 smallest ids are enough for any query
@@ -205,7 +236,8 @@ def pairs_within(index: VectorIndex, threshold: float) -> DataFrame:
     if not index.sizes:
         return index.spark.createDataFrame([], "a long, b long, distance double")
     angle = math.acos(max(-1.0, min(1.0, 1 - threshold)))
-    probed = index.lists().select(F.col("rep").alias("id"), "v", F.explode(_nearest(index.centres, 0, index.reach, angle)("v")).alias("list"))
+    probed = index.lists().select(F.col("rep").alias("id"), "v", "list", _nearest(index.centres, 0, index.reach, angle)("v").alias("lists"))
+    probed = probed.select("id", "v", F.concat(F.array("list"), F.array_remove("lists", F.col("list"))).alias("lists"))  # its own list first
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.asks], pdf[~pdf.asks]
@@ -216,6 +248,6 @@ def pairs_within(index: VectorIndex, threshold: float) -> DataFrame:
         x, y = np.nonzero((d < threshold) & (ids_a[:, None] < ids_b[None, :]))
         return pd.DataFrame({"a": ids_a[x], "b": ids_b[y], "distance": d[x, y]})
 
-    found = _dealt(index, probed).groupBy("list", "i", "j").applyInPandas(near, "a long, b long, distance double")
+    found = _dealt(index, probed).groupBy("i", "j").applyInPandas(near, "a long, b long, distance double")
     copies = index.members().where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance"))
     return found.union(copies) if threshold > 0 else found
