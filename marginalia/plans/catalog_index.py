@@ -68,15 +68,14 @@ def _(spark, d):
 # Substrings ----------------------------------------------------------------------------------
 
 # Wildcards between and inside pieces, a piece in any case, one that nothing holds, and two that are too short for a gram.
-_PATTERNS = ("RING", "sma%giz", "b_ue bol", "brand#1", "no such thing", "%in", "t g")
-_COLUMNS = ("p_name", "p_type", "p_brand")
+_PATTERNS = ("EXAMPLE.net", "th%.org/en/", "page=_&ref", "#top", "no such thing", "%fr", "/d")
 
 
-@query("substring_index", " UNION ALL ".join(f"SELECT '{p}' AS pattern, p_partkey FROM part WHERE {' OR '.join(f'{c} ILIKE {chr(39)}%{p}%{chr(39)}' for c in _COLUMNS)}" for p in _PATTERNS))
+@query("substring_index", " UNION ALL ".join(f"SELECT '{p}' AS pattern, page_id FROM pages WHERE url ILIKE '%{p}%'" for p in _PATTERNS))
 def _(spark, d):
-    part = T.read(spark, d, "part")
-    index = G.GramIndex(spark, stored(spark, d, "grams", lambda path: G.build(part, path, "p_partkey", list(_COLUMNS))))
-    return reduce(DataFrame.union, [G.matching(part, index, p, "p_partkey").select(F.lit(p).alias("pattern"), "p_partkey") for p in _PATTERNS])
+    pages = T.read(spark, d, "pages").select("page_id", "url")
+    index = G.GramIndex(spark, stored(spark, d, "grams", lambda path: G.build(pages, path, "page_id", ["url"])))
+    return reduce(DataFrame.union, [G.matching(pages, index, p, "page_id").select(F.lit(p).alias("pattern"), "page_id") for p in _PATTERNS])
 
 
 # Ranked search -------------------------------------------------------------------------------
