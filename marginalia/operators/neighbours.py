@@ -49,8 +49,8 @@ def top_k(rows: DataFrame, k: int = 8, threshold: float | None = None, id_col: s
             d = 1 - (x @ y.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
         ids_a, ids_b = a.id.to_numpy(), b.id.to_numpy()
         d[ids_a[:, None] == ids_b[None, :]] = np.inf
-        d = np.round(np.where(np.isnan(d), np.inf, d), 9)
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        d = np.where(np.isnan(d), np.inf, d)
+        best = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"a": np.repeat(ids_a, best.shape[1]), "b": ids_b[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
         return out[np.isfinite(out.distance)]
 
