@@ -117,3 +117,14 @@ def test_words_late_in_a_text_count(spark, tmp_path):
     tags = {r.doc_id: r.tags for r in CATALOG["infer_tags"][0](spark, str(tmp_path)).collect()}
     tokens = {r.doc_id: r.tokens for r in CATALOG["tag_tokens"][0](spark, str(tmp_path)).collect()}
     assert tags == {1: "cap-k,border", 2: ""} and tokens == {1: "border capital", 2: ""}
+
+
+def test_equal_spans_of_an_order_merge_into_one(spark, tmp_path):
+    """Equal spans, for which the SQL's order leaves open which comes first, after one that ends before them."""
+    lines = [(1, 1, 10.0), (1, 20, 30.0), (1, 20, 30.0), (1, 20, 30.0), (1, 80, 10.0), (1, 80, 10.0)]
+    spark.createDataFrame([(o, p, k, q, "A") for k, (o, p, q) in enumerate(lines)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {n: [tuple(r) for r in CATALOG[n][0](spark, str(tmp_path)).select("start", "end").orderBy("start", "end").collect()] for n in ("span_normalize", "span_subtract")}
+    assert got == {"span_normalize": [(1, 11), (20, 50), (80, 90)], "span_subtract": [(1, 11), (20, 30), (80, 90)]}
+    added = {n: {(r.kind, r.start, r.end) for r in CATALOG[n][0](spark, str(tmp_path)).collect()} for n in ("span_union", "span_add_highlight")}
+    held = {("highlight", 1, 11), ("highlight", 20, 50)}
+    assert added == {"span_union": held | {("underline", 10, 40), ("highlight", 80, 95)}, "span_add_highlight": held | {("underline", 20, 50), ("highlight", 80, 90)}}
