@@ -128,3 +128,47 @@ def test_equal_spans_of_an_order_merge_into_one(spark, tmp_path):
     added = {n: {(r.kind, r.start, r.end) for r in CATALOG[n][0](spark, str(tmp_path)).collect()} for n in ("span_union", "span_add_highlight")}
     held = {("highlight", 1, 11), ("highlight", 20, 50)}
     assert added == {"span_union": held | {("underline", 10, 40), ("highlight", 80, 95)}, "span_add_highlight": held | {("underline", 20, 50), ("highlight", 80, 90)}}
+
+
+def test_neighbours_of_crowded_and_sparse_tiles(spark, monkeypatch):
+    """Blocks of several tiles, one of them with far more near pairs than rows, and a group of equal vectors."""
+    from marginalia.operators import tiles
+
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(700, 8)).astype(np.float32)
+    v[100:240] = v[7] + 0.001 * rng.normal(size=(140, 8))
+    v[300:420] = v[8]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<float>").cache()
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, np.inf)
+    monkeypatch.setattr(tiles, "CROWDED", 8)
+    for x, y, k in ((u, u[:90], 4), (u, u, 6)):
+        monkeypatch.setattr(tiles, "TILE", 64)
+        r, c, e = tiles.nearest(x, y, k)
+        want = np.argsort(np.round(1 - x @ y.T, 9), axis=1, kind="stable")[:, :k]
+        assert (c.reshape(-1, k) == want).all() and np.allclose(e, (1 - x @ y.T)[r, c])
+    monkeypatch.undo()
+    got = {(r.a, r.rn): r.b for r in N.top_k(df, 6).collect()}
+    best = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :6]
+    assert got == {(a, n + 1): best[a, n] for a in range(700) for n in range(6)}
+    for block in (150, 2048):
+        pairs = [(r.a, r.b) for r in N.linking_pairs(df, 0.01, block=block).collect()]
+        assert components(pairs) == components(zip(*np.nonzero(d < 0.01))) and len(pairs) < 3000
+
+
+def test_random_projections_pair_rows_once_and_copies_with_their_first(spark):
+    """Before, every shared bucket of two rows was a row of a join: 8 for most of all pairs, and all pairs of 400 copies."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(900, 8))
+    v[500:] = v[3]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>").cache()
+    u = v[:500] / np.linalg.norm(v[:500], axis=1, keepdims=True)
+    want = {(a, b) for a, b in zip(*np.nonzero(1 - u @ u.T < 0.2)) if a < b}
+    for block in (130, 2048):
+        got = [(r.a, r.b) for r in N.lsh_pairs(df, 0.2, block=block).collect()]
+        assert len(got) == len(set(got)) and {p for p in got if p[1] >= 500} == {(3, i) for i in range(500, 900)}
+        found = {p for p in got if p[1] < 500}
+        assert found <= want and len(found) >= 0.9 * len(want) > 100
+    plan = N.lsh_pairs(df, 0.2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "hashValue" not in plan and "entry" not in plan
