@@ -29,15 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.vectors import unit
+from marginalia.operators import tiles
 from marginalia.plans.components import splittable_join
 
-MOST_LISTS, BLOCK = 4096, 2048
+MOST_LISTS = 4096
 #: Rows of the sample for each list, and times the mean at which a list is split.
 SAMPLE, OVERFULL = 64, 4
 #: Vectors that measure the probes, neighbours of each, and the share of these to find, a little above the 0.95 promised.
 MEASURED, NEAREST, RECALL = 256, 8, 0.97
-#: Digits of a distance that count for the order.
-DIGITS = 9
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
@@ -156,17 +155,22 @@ def _probes(lists: DataFrame, centres: np.ndarray) -> int:
 
 
 def _packs(index: VectorIndex) -> dict[int, list[int]]:
-    """Each list's packs of about BLOCK vectors: small lists that lie along one direction share one, a large list has several."""
+    """Each list's packs: small lists that lie along one direction share one, a large list has several.
+
+    There are so few packs that a vector is sent a fixed number of times, unless a pack would grow too large for a task.
+    """
+    n = sum(index.sizes.values())
+    full = math.ceil(n / tiles.blocks(n, index.centres.shape[1]))
     middle = index.centres - index.centres.mean(axis=0)
     along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]
-    out, pack, room = {}, 0, BLOCK
+    out, pack, room = {}, 0, full
     for c in np.argsort(along, kind="stable").tolist():
         n = index.sizes[c]
-        if n > room and room < BLOCK:
-            pack, room = pack + 1, BLOCK
-        parts = max(1, math.ceil(n / BLOCK))
+        if n > room and room < full:
+            pack, room = pack + 1, full
+        parts = max(1, math.ceil(n / full))
         out[c] = list(range(pack, pack + parts))
-        pack, room = (pack + parts, BLOCK) if parts > 1 else (pack, room - n)
+        pack, room = (pack + parts, full) if parts > 1 else (pack, room - n)
     return out
 
 
@@ -212,10 +216,8 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 8, probes: int | Non
         a, b = pdf[pdf.asks], pdf[~pdf.asks].sort_values("id")
         if a.empty or b.empty:
             return pd.DataFrame({"q": [], "rep": [], "distance": []}).astype({"q": "int64", "rep": "int64", "distance": "float64"})
-        d = np.round(1 - _stack(a.v) @ _stack(b.v).T, DIGITS)
-        few = min(k + 1, d.shape[1])  # a query's own class may be among them
-        best = np.argsort(d, axis=1, kind="stable")[:, :few]
-        return pd.DataFrame({"q": np.repeat(a.id.to_numpy(), few), "rep": b.id.to_numpy()[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
+        r, c, d = tiles.nearest(_stack(a.v), _stack(b.v), k + 1)  # a query's own class may be among them
+        return pd.DataFrame({"q": a.id.to_numpy()[r], "rep": b.id.to_numpy()[c], "distance": np.round(d, tiles.DIGITS)})
 
     found = _dealt(index, probed).groupBy("i", "j").applyInPandas(nearest, "q long, rep long, distance double")
     order = Window.partitionBy("q").orderBy("distance", "rep")
@@ -239,14 +241,18 @@ def pairs_within(index: VectorIndex, threshold: float) -> DataFrame:
     probed = index.lists().select(F.col("rep").alias("id"), "v", "list", _nearest(index.centres, 0, index.reach, angle)("v").alias("lists"))
     probed = probed.select("id", "v", F.concat(F.array("list"), F.array_remove("lists", F.col("list"))).alias("lists"))  # its own list first
 
+    none = pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": "int64", "b": "int64", "distance": "float64"})
+
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.asks], pdf[~pdf.asks]
         if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": "int64", "b": "int64", "distance": "float64"})
+            return none
         ids_a, ids_b = a.id.to_numpy(), b.id.to_numpy()
-        d = 1 - _stack(a.v) @ _stack(b.v).T
-        x, y = np.nonzero((d < threshold) & (ids_a[:, None] < ids_b[None, :]))
-        return pd.DataFrame({"a": ids_a[x], "b": ids_b[y], "distance": d[x, y]})
+        out = [none]
+        for lo, at, r, c, d in tiles.near(_stack(a.v), _stack(b.v), threshold):
+            s, t = ids_a[lo + r], ids_b[at + c]
+            out.append(pd.DataFrame({"a": s[s < t], "b": t[s < t], "distance": d[s < t]}))
+        return pd.concat(out, ignore_index=True)
 
     found = _dealt(index, probed).groupBy("i", "j").applyInPandas(near, "a long, b long, distance double")
     copies = index.members().where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance"))
