@@ -6,18 +6,15 @@ Nothing in the rest of the library imports this subpackage.
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions.batches import BATCH_BYTES, BATCH_ROWS, small_batches  # noqa: F401
 from marginalia.plans.tables import spread
 
-#: Rows and bytes of an Arrow batch handed to Python, whichever is reached first.  A text longer than that is a batch.
-BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
-
 _SCRATCH: dict[str, list[str]] = {}
 
 
@@ -26,18 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches, so that a Python worker's memory follows neither a partition's size nor its texts'.
-
-    Plans read these settings when they run, which is after an operator returns; so they
-    stay set, but are only ever lowered.
-    """
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = re.fullmatch(r"(\d+)([kmgt]?)b?", (spark.conf.get(name, None) or "").strip().lower())
-        if not now or not 0 < int(now[1]) << 10 * " kmgt".index(now[2] or " ") <= most:
-            spark.conf.set(name, str(most))
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -13,6 +13,8 @@ folder is written by ranges of (term, block), so a common term is spread over se
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,17 +67,20 @@ class RankedIndex:
 def save(docs: DataFrame, path: str, id_col: str, fields: dict[str, str], language: str | None = None) -> RankedIndex:
     """Index ``fields`` (columns to weight classes) of ``docs`` under ``path``."""
     spark = docs.sparkSession
-    S.postings(docs, id_col, fields, language).write.parquet(f"{path}/rows")
+    S.every_posting(docs, id_col, fields, language).write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
-    lengths = rows.groupBy("doc_id").agg(F.floor(2 * F.log2(F.max("doc_len"))).cast("long").alias("size"))
+    size = lambda longest: F.floor(2 * F.log2(longest)).cast("long")
+    lengths = rows.groupBy("doc_id").agg(size(F.max("longest")).alias("size"))
     parts = lengths.groupBy("size").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("parts"))  # a row for each order of length
     block = F.col("size") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    placed = lengths.join(F.broadcast(parts), "size").select("doc_id", block.alias("block"))
     folders = max(FEWEST_FOLDERS, min(MOST_FOLDERS, rows.count() // FOLDER_ROWS))
-    rows = rows.join(placed, "doc_id").withColumn("bucket", _folder(folders))
-    rows.repartitionByRange("bucket", "term", "block", "doc_id").sortWithinPartitions("bucket", "term", "block", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    held = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term", "block", "doc_id").agg(F.sum(score()).alias("s"))
-    bounds = held.groupBy("bucket", "term", "block").agg(F.max("s").alias("most"))
+    # each row knows its document's length, so its block needs no shuffle; the count of positions is left out of the one that sorts
+    rows = rows.withColumn("size", size(F.col("longest"))).join(F.broadcast(parts), "size").select("doc_id", "term", "weight", "positions", "doc_len", block.alias("block"), _folder(folders))
+    dealt = rows.repartitionByRange("bucket", "term", "block", "doc_id").sortWithinPartitions("bucket", "term", "block", "doc_id")
+    dealt.withColumn("tf", F.size("positions").cast("long")).write.partitionBy("bucket").parquet(f"{path}/postings")
+    # the largest of each field, added up, is no less than any document's sum; rows lie in order, so they meet before the shuffle
+    held = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term", "block").agg(*(F.max(F.when(F.col("weight") == w, score())).alias(f"s{k}") for k, w in enumerate(sorted(set(S.WEIGHTS.values())))))
+    bounds = held.select("bucket", "term", "block", reduce(Column.__add__, [F.coalesce(f"s{k}", F.lit(0.0)) for k in range(len(set(S.WEIGHTS.values())))]).alias("most"))
     bounds.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/bounds")
     spark.createDataFrame([(int(folders), language)], "folders int, language string").write.parquet(f"{path}/shape")
     return RankedIndex(spark, path)

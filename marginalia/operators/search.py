@@ -16,14 +16,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import vectors
+from marginalia.functions.batches import small_batches
 from marginalia.functions.stemmer import STOP, stem
 
 PAGE = 50
@@ -54,6 +58,56 @@ def postings(docs: DataFrame, id_col: str, fields: dict[str, str], language: str
     return found.select("doc_id", "term", "weight", F.size("positions").cast("long").alias("tf"), "positions", "doc_len")
 
 
+#: Postings of an Arrow batch that comes back, and repeated ids from which on they aren't broadcast.
+ROWS, REPEATED = 65_536, 500_000
+POSTING = "term string, weight double, positions array<int>, doc_len int, longest int"
+
+
+def every_posting(docs: DataFrame, id_col: str, fields: dict[str, str], language: str | None = None) -> DataFrame:
+    """``postings`` with ``longest`` (the most words of a field of the document), for an index of all terms.
+
+    A document's words are grouped where it lies, without a shuffle; only rows of an id that
+    stands in several rows, which are one document, go the way of ``postings``.  That
+    one takes up a filter of terms, so a search that stores no index uses it.
+    """
+    small_batches(docs.sparkSession)
+    repeated = docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1 or _id is null").select("_id")
+    n = repeated.count()
+    held = F.broadcast(repeated) if n <= REPEATED else repeated
+    alone = docs.join(held, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti") if n else docs
+    weights = [WEIGHTS[c] for c in fields.values()]
+    worded = alone.select(F.col(id_col).alias("doc_id"), *(tokens(F.col(name)).alias(f"t{k}") for k, name in enumerate(fields)))
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [batch.column(k + 1).value_lengths().to_numpy() for k in range(len(weights))]
+            longest = np.max(counts, axis=0)
+            for k, weight in enumerate(weights):
+                words = batch.column(k + 1).flatten().dictionary_encode()
+                n = counts[k]
+                row = np.repeat(np.arange(len(n)), n)
+                place = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+                key = row * max(1, len(words.dictionary)) + words.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                ends = np.append(first[1:], len(order))
+                for lo in range(0, len(first), ROWS):
+                    at, to = first[lo : lo + ROWS], ends[lo : lo + ROWS]
+                    own, rows = order[at], row[order[at]]
+                    places = pa.ListArray.from_arrays(pa.array(np.append(at, to[-1:]) - at[0], pa.int32()), pa.array(place[order[at[0] : to[-1]]]))
+                    columns = [batch.column(0).take(pa.array(rows)), words.dictionary.take(words.indices.take(pa.array(own))), pa.array(np.full(len(at), weight)), places, pa.array(n[rows].astype(np.int32)), pa.array(longest[rows].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(c.split()[0] for c in POSTING.split(", "))])
+
+    found = worded.mapInArrow(grouped, f"doc_id {dict(worded.dtypes)['doc_id']}, {POSTING}")
+    if n:
+        rest = postings(docs.join(held, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi"), id_col, fields).drop("tf")
+        rest = rest.withColumn("longest", F.max("doc_len").over(Window.partitionBy("doc_id")))
+        found = found.union(rest.select(*found.columns))
+    if language:
+        found = found.join(stemmed(found, language), "term").groupBy("doc_id", F.col("stem").alias("term"), "weight").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("doc_len").alias("doc_len"), F.max("longest").alias("longest"))
+    return found.select("doc_id", "term", "weight", F.size("positions").cast("long").alias("tf"), "positions", "doc_len", "longest")
+
+
 def stemmed(words: DataFrame, language: str) -> DataFrame:
     """``term, stem`` of the distinct terms that aren't stop words: each is stemmed once, not each time it stands in a text."""
     known(language)

@@ -372,3 +372,19 @@ def test_components_kept_up_to_date(spark, put, seed):  # noqa: F811
         assert all(old.get(r.node) != r.component for r in changed.collect())  # nothing else is rewritten
         labels = put(updated_components(labels, changed), "labels")
     assert rows(labels) == rows(connected_components(frame(edges), put))
+
+
+def test_every_posting_takes_no_shuffle_of_words(spark, monkeypatch):
+    """Equal to the shuffled postings, also for ids of several rows and of none, and with nothing but ids dealt out."""
+    docs = [(1, "a b", "one two one"), (2, None, ""), (3, "", "x"), (4, "B b", "two Zwölf two two"), (4, "b c", "two"), (None, "n", "m m"), (None, "n", None), (5, "same", "same same")]
+    docs += [(k, "src", " ".join(f"w{j * k % 23}" for j in range(k))) for k in range(10, 60)]
+    df = spark.createDataFrame(docs, "doc_id long, a string, b string").repartition(3).cache()
+    monkeypatch.setattr(S, "ROWS", 5)
+    for fields in ({"a": "A", "b": "B"}, {"b": "A"}):
+        for language in (None, "english"):
+            got, want = S.every_posting(df, "doc_id", fields, language), S.postings(df, "doc_id", fields, language)
+            assert sorted(map(str, rows(got.drop("longest")))) == sorted(map(str, rows(want)))
+    longest = {r.doc_id: r.longest for r in S.every_posting(df, "doc_id", {"a": "A", "b": "B"}).collect()}
+    assert longest[1] == 3 and longest[4] == 4 and longest[59] == 59
+    once = S.every_posting(df.where("doc_id <> 4"), "doc_id", {"a": "A", "b": "B"})
+    assert "Repartition" not in (plan := once._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan and "Generate" not in plan
