@@ -225,3 +225,30 @@ def test_client_ip(spark, peer, head, want):
 
     got = evaluate(spark, [(peer, head)], "p string, h string", ip=client_ip(F.col("p"), F.col("h"), ["10.0.0.0/8", "fd00::/8", "nonsense"]))
     assert got[0]["ip"] == want
+
+
+def test_tag_quality_works_its_parts_out_once(spark):
+    """Before, the tag and its words were worked out again for each rule that looks at them."""
+    import re
+
+    odd = ["", " ", "a", " one two　three  four ", "ABCDEF GHIJKL x", "ABCDEF_ GHIJKL", "xABCDEF GHIJKLm", "ABCDEFG\nHIJKLMN", "ABCDEF-GHIJKL.", "ÄABCDEF GHIJKL", "ABCDEF1 ABCDEFG, ABCDEFGH", "[a] x y z w q r.", "12. a b c d e f\n", "Ends?\n", "src", "src ", "A---b", "w " * 51, "x\x0by\x85z", 'Said "so"', None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "id int, t string").coalesce(1)
+
+    def quality(t):
+        words = len(re.findall(r"\S+", t))  # Python's blanks are those of the pattern, but for four that aren't here
+        caps = sum(bool(re.fullmatch("[A-Z]{6,}", w)) for w in re.split(r"[^\w]+", t))
+        s = 0.5 - 0.4 * ("---" in t) - 0.25 * bool(re.match(r"\s*\[[^\]]{0,4}\]\s", t)) - 0.15 * bool(re.match(r"\s*\d{1,2}[.)\-]\s", t)) - 0.3 * (t.strip() == "src")
+        s += 0.2 if 6 <= words <= 30 else -0.15 if words < 4 else -0.1 if words > 50 else 0
+        return max(0.0, min(1.0, s + 0.05 * t[:1].isupper() + 0.05 * (t[-1:] in tuple('.?!”"')) - 0.15 * (caps >= 2))) if t else 0.0
+
+    got = df.select("id", text.tag_quality(F.col("t"), F.lit("src.docx")).alias("q"), text.word_count(F.col("t")).alias("n")).collect()
+    assert [round(r.q, 6) for r in got] == [round(quality(t or ""), 6) for t in odd] and [r.n for r in got] == [len((t or "").split()) for t in odd]
+    plan = df.select(text.tag_quality(F.concat("t", F.lit("#")), F.lit("src.docx")).alias("q"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(") == 1
+
+
+def test_blanks_are_the_same_characters_everywhere(spark):
+    df = spark.createDataFrame([(k, f"{chr(k)}a{chr(k)}b{chr(k)}{chr(k)}") for k in [*range(0x3100), 0x1D7D8, 0x1F600, 0xFEFF] if not 0xD800 <= k < 0xE000], "k int, t string")
+    old = F.regexp_replace("t", rf"^{text.BLANK}+|{text.BLANK}+$", "")
+    told = df.select("k", text.strip(F.col("t")).alias("s"), old.alias("old"), text.word_count(F.col("t")).alias("n"), F.size(F.split(old, rf"{text.BLANK}+")).alias("m"))
+    assert told.where("s <> old or n <> m").count() == 0 and told.where("n = 2").count() == 25
