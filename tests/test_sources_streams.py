@@ -242,3 +242,11 @@ def test_batches_to_and_from_python_are_bounded(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     P.embed(spark.createDataFrame([("a b", None)], "t string, embedding array<double>"), "t")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
+
+
+def test_lists_are_built_in_many_tasks(spark):
+    """Before, adaptive execution put the few bytes of all lists into a few tasks, which build for long."""
+    spans = "array<struct<start int, end int, kind string>>"
+    entries = spark.range(200).select(F.col("id").alias("workspace"), F.lit(1).alias("position"), F.lit(None).cast("array<struct<level int, heading string>>").alias("headings"), *(F.lit(None).cast(spans).alias(c) for c in ("tag_markup", "markup")), *(F.lit("x").alias(c) for c in ("tag", "cite_short", "raw_cite", "card_text")), *(F.lit(None).cast("string").alias(c) for c in ("argument", "answer_to")))
+    made = docx.export_lists(entries)
+    assert made.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism and made.count() == 200
