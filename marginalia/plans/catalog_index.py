@@ -16,7 +16,7 @@ from marginalia.plans import catalog_changes as CC
 from marginalia.plans import catalog_pages as CP
 from marginalia.plans import tables as T
 from marginalia.plans.catalog_changes import putter, shared_folder
-from marginalia.plans.components import connected_components, merge_components, updated_components
+from marginalia.plans.components import connected_components, merge_components, task_sizes, updated_components
 from marginalia.streaming import limiter, timed
 from marginalia.streaming.touched import BucketedSeen
 
@@ -160,11 +160,12 @@ def _(spark, d):
     """The edges of the line items in three batches: components of the first, then two merges."""
     edges = T.read(spark, d, "lineitem").select((2 * F.col("l_orderkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b"), (F.col("l_linenumber") % 3).alias("batch"))
     put = putter(spark, "incremental")
-    labels = put(connected_components(edges.where("batch = 0").drop("batch"), put), "labels-0")
-    for k in (1, 2):
-        step = lambda df, name, k=k: put(df, f"{k}-{name}")
-        changed = step(merge_components(labels, edges.where(f"batch = {k}").drop("batch"), step), "changed")
-        labels = step(updated_components(labels, changed), "labels")
+    with task_sizes(spark, edges.count()):
+        labels = put(connected_components(edges.where("batch = 0").drop("batch"), put), "labels-0")
+        for k in (1, 2):
+            step = lambda df, name, k=k: put(df, f"{k}-{name}")
+            changed = step(merge_components(labels, edges.where(f"batch = {k}").drop("batch"), step), "changed")
+            labels = step(updated_components(labels, changed), "labels")
     return labels.select("node", "component")
 
 

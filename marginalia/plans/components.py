@@ -8,9 +8,10 @@ execution can split.  Nothing is collected: the driver sees one checksum row a r
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,30 @@ def splittable_join(rows: DataFrame, totals: DataFrame, key: str, how: str = "in
     return rows.withColumn(also, F.bitwise_not(F.col(key))).join(totals.withColumn(also, F.bitwise_not(F.col(key))), [key, also], how).drop(also)
 
 
+#: Edges of a task, and bytes to which adaptive execution may lay tasks together.
+TASK_EDGES, TASK_BYTES = 1_000_000, 16 << 20
+
+
+@contextmanager
+def task_sizes(spark: SparkSession, edges: int) -> Iterator[None]:
+    """Shuffles that run inside have partitions of a bounded number of edges, so a task's memory doesn't follow the input.
+
+    The session's number of partitions is only ever raised, its size of one only lowered; both come back afterwards.
+    """
+    parts, size = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = {k: spark.conf.get(k, None) for k in (parts, size)}
+    wanted = -(-edges // TASK_EDGES)
+    try:
+        if wanted > int(before[parts] or 200):
+            spark.conf.set(parts, str(wanted))
+        if edges > TASK_EDGES and str(before[size] or "64mb").lower() in ("64mb", "64m", "67108864", "67108864b"):
+            spark.conf.set(size, str(TASK_BYTES))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 #: Edges from which on a hot node is worth two exchanges more a round.
 MANY_EDGES = 1_000_000
 
@@ -52,17 +77,19 @@ def connected_components(edges: DataFrame, put: Callable[[DataFrame, str], DataF
     """
     start = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, name, seen = put(start, "edges-0"), "edges-0", None
-    many = now.count() > MANY_EDGES  # edges only get fewer, but for the small star's roots
-    for k in range(1, most_rounds + 1):
-        after = put(_small_star(_large_star(now, many), many), f"edges-{k}")
-        drop(name)
-        now, name = after, f"edges-{k}"
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    n = now.count()
+    many = n > MANY_EDGES  # edges only get fewer, but for the small star's roots
+    with task_sizes(edges.sparkSession, 2 * n):  # the large star takes them in both directions
+        for k in range(1, most_rounds + 1):
+            after = put(_small_star(_large_star(now, many), many), f"edges-{k}")
+            drop(name)
+            now, name = after, f"edges-{k}"
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == seen or not state[0]:
+                break
+            seen = state
+        else:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 

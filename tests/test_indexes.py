@@ -388,3 +388,21 @@ def test_every_posting_takes_no_shuffle_of_words(spark, monkeypatch):
     assert longest[1] == 3 and longest[4] == 4 and longest[59] == 59
     once = S.every_posting(df.where("doc_id <> 4"), "doc_id", {"a": "A", "b": "B"})
     assert "Repartition" not in (plan := once._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_component_tasks_hold_a_bounded_number_of_edges(spark, put, monkeypatch):
+    """Before, the session's number of partitions held for any number of edges."""
+    from marginalia.plans import components as C
+
+    monkeypatch.setattr(C, "TASK_EDGES", 50)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before, seen = [spark.conf.get(n) for n in names], []
+
+    def kept(df, name):
+        seen.append(int(spark.conf.get(names[0])))
+        return put(df, name)
+
+    edges = spark.range(1000).select((F.col("id") * 2).alias("a"), ((F.col("id") * 37) % 500 * 2 + 1).alias("b"))
+    found = {r.node: r.component for r in connected_components(edges, kept).collect()}
+    assert len(found) == 1500 and found[2] == 2 and found[75] == min(k * 2 for k in range(1000) if k * 37 % 500 == 37)
+    assert max(seen) == 40 and [spark.conf.get(n) for n in names] == before
