@@ -125,19 +125,20 @@ def _(spark, d):
 
 @query("sliding_limiter_stream", CC.CATALOG["sliding_limiter"][1])
 def _(spark, d):
-    """All events as a stream of three files in order of time; state goes from batch to batch."""
+    """All events as a stream of three batches in order of time; state goes from batch to batch by the checkpoint."""
     folder = shared_folder(spark, "stream")
     events = T.read(spark, d, "events").select("event_id", "user_id", "ts")
     cuts = events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    marks = cuts.stat.approxQuantile("us", [1 / 3, 2 / 3], 0.01) or [0.0, 0.0]
-    low, high = marks
+    low, high = cuts.stat.approxQuantile("us", [1 / 3, 2 / 3], 0.01) or [0.0, 0.0]
+    buckets = timed.buckets_for(events.count() // 3)
     for part in (F.col("us") < low, (F.col("us") >= low) & (F.col("us") < high), F.col("us") >= high):
-        cuts.where(part).drop("us").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    limited = timed.limit_timed(stream, (limiter.Window(3, 43200.0),), "user_id", "ts", "event_id")
-    with timed.rocksdb(spark):
-        run = limited.select("id", "key", "allowed").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+        # as many files as the scan has tasks; all of them are one batch, for the stream runs once for each part
+        cuts.where(part).drop("us").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        limited = timed.limit_timed(stream, (limiter.Window(3, 43200.0),), "user_id", "ts", "event_id", buckets=buckets)
+        with timed.rocksdb(spark):
+            run = limited.select("id", "key", "allowed").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.schema("id long, key string, allowed boolean").parquet(f"{folder}/out")
 
 

@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,58 @@ def test_idle_keys_leave_the_state(spark, tmp_path):
     assert removed or fired, custom[-1]
 
 
+class Held:
+    """What a processor asks of its handle and of the watermark, held in memory."""
+
+    def __init__(self):
+        self.rows, self.timers, self.watermark = [], [], 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        return iter(list(self.rows))
+
+    def put(self, rows):
+        self.rows = rows
+
+    def clear(self):
+        self.rows = []
+
+    def listTimers(self):  # noqa: N802
+        return [(t,) for t in self.timers]
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+
+def test_one_call_takes_many_keys_and_forgets_the_old_ones():
+    rng, held = random.Random(7), Held()
+    processor, window = timed.Limiter((limiter.Window(2, 30.0),), 5.0), (limiter.Window(2, 30.0),)
+    processor.init(held)
+    logs, n = {}, 0
+    for batch in range(4):
+        lo = 100 * batch
+        rows = pd.DataFrame([(n + i, rng.choice([*map(str, range(40)), None]), float(lo + rng.randrange(100))) for i in range(300)], columns=["id", "key", "ts"])
+        n += 300
+        held.watermark = lo * 1000
+        got = pd.concat(processor.handleInputRows((3,), iter([rows[:200], rows[200:]]), held))
+        want = {r.id: logs.setdefault(r.key, limiter.Log(window)).hit(r.ts) for r in rows.sort_values(["ts", "id"]).itertuples()}
+        assert {r.id: (r.allowed, r.retry) for r in got.itertuples()} == want
+        assert held.timers == [int((max(t for _, t in held.rows) + 35) * 1000)] and all(t + 35 > lo for _, t in held.rows)
+    assert not list(processor.handleExpiredTimer((3,), held, None))[0].size and not held.rows
+
+
+def test_buckets_grow_with_a_batch():
+    assert timed.buckets_for(0) == 64 and timed.buckets_for(12_000_000) * timed.BUCKET_EVENTS >= 12_000_000
+
+
 # Merges --------------------------------------------------------------------------------------
 
 
