@@ -16,6 +16,8 @@ from marginalia.plans.components import connected_components, splittable_join
 MARGIN, SCORE_FLOOR, GOOD_ENOUGH = 1.10, 0.50, 0.55
 CLUSTER_PAGE = 25
 MARKUP_FLOOR, TIGHT_MARKUP_FLOOR, TAG_SAME, TAG_FLOOR = 0.80, 0.50, 0.85, 0.30
+#: Cards of a cluster up to which it is one row.
+PAIRWISE = 64
 
 
 def eligible(cards: DataFrame, need_vector: bool = True) -> DataFrame:
@@ -55,10 +57,42 @@ def source_clusters(cards: DataFrame, least: int = 2) -> DataFrame:
 def subclusters(members: DataFrame, put: Callable[[DataFrame, str], DataFrame], floor: float = TAG_FLOOR) -> DataFrame:
     """``cluster, card_id, sub``: parts of a cluster connected by like tags; ``sub`` is the part's smallest card.
 
-    Cards that share a content word meet on it; only cards without any content word meet each other directly,
-    through the smallest of them, for they are all alike.
+    A cluster of up to ``PAIRWISE`` cards is one row, whose cards are compared where it lies, so a tag is taken
+    apart and sent once; only larger clusters send a row for each word.
     """
     worded = members.select("cluster", "card_id", T.content_words(F.col("tag")).alias("words"))
+    large = put(members.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") > PAIRWISE).select("cluster"), "large")
+    if large.isEmpty():
+        alike = _alike_within(worded, floor)
+    else:
+        alike = _alike_within(worded.join(large, "cluster", "left_anti"), floor).union(_alike_by_words(worded.join(large, "cluster", "left_semi"), floor))
+    parts = connected_components(alike, put)
+    return members.select("cluster", "card_id").join(parts, F.col("card_id") == F.col("node"), "left").select("cluster", "card_id", F.coalesce("component", "card_id").alias("sub"))
+
+
+def _alike_within(worded: DataFrame, floor: float) -> DataFrame:
+    """``a, b``: like cards of a cluster, from all pairs of its cards; sets whose sizes alone keep them apart aren't compared."""
+    cards = worded.where("cluster is not null").select("cluster", F.struct("card_id", F.size("words").alias("n"), "words").alias("card"))
+    together = cards.groupBy("cluster").agg(F.collect_list("card").alias("cards"))
+
+    def may_be(x: Column, y: Column) -> Column:
+        more = F.greatest(x["n"], y["n"])
+        return (x["card_id"] < y["card_id"]) & F.when(more == 0, True).otherwise(F.least(x["n"], y["n"]) / more >= floor)
+
+    def like(p: Column) -> Column:
+        return F.when(p["n"] == 0, True).otherwise(p["shared"] / (p["n"] - p["shared"]) >= floor)
+
+    def with_later(x: Column) -> Column:
+        met = F.transform(F.filter("cards", lambda y: may_be(x, y)), lambda y: F.struct(x["card_id"].alias("a"), y["card_id"].alias("b"), (x["n"] + y["n"]).alias("n"), F.size(F.array_intersect(x["words"], y["words"])).alias("shared")))
+        return F.transform(F.filter(met, like), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+
+    return together.select(F.inline(F.flatten(F.transform("cards", with_later))))
+
+
+def _alike_by_words(worded: DataFrame, floor: float) -> DataFrame:
+    """``a, b``: like cards of a cluster.  Cards that share a content word meet on it; only cards without any
+    content word meet each other directly, through the smallest of them, for they are all alike.
+    """
     sized = worded.withColumn("n", F.size("words"))
     words = sized.select("cluster", "card_id", "n", F.explode("words").alias("word"))
     left, right = (words.select("cluster", "word", F.col("card_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
@@ -66,8 +100,7 @@ def subclusters(members: DataFrame, put: Callable[[DataFrame, str], DataFrame],
     alike = met.where(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")) >= floor).select("a", "b")
     empty = sized.where("n = 0").select("cluster", "card_id")
     bare = empty.join(empty.groupBy("cluster").agg(F.min("card_id").alias("b")), "cluster").where("card_id <> b").select(F.col("card_id").alias("a"), "b")
-    parts = connected_components(alike.union(bare), put)
-    return members.select("cluster", "card_id").join(parts, F.col("card_id") == F.col("node"), "left").select("cluster", "card_id", F.coalesce("component", "card_id").alias("sub"))
+    return alike.union(bare)
 
 
 def decide(members: DataFrame) -> DataFrame:

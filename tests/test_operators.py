@@ -1,5 +1,6 @@
 """Operators on small tables: search, hierarchies, components, dedup, lists, changes, segmentation."""
 
+import itertools
 import json
 import random
 import re
@@ -226,6 +227,30 @@ def test_subclusters_are_transitive(spark, put):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
 
 
+@pytest.mark.parametrize("pairwise", [64, 3])
+def test_subclusters_equal_all_pairs_and_send_no_row_a_word(spark, put, monkeypatch, pairwise):
+    monkeypatch.setattr(D, "PAIRWISE", pairwise, raising=False)
+    rng, plans = random.Random(11), []
+    cards = [(c, 100 * c + i, " ".join(rng.sample("alpha beta gamma delta epsilon zeta eta theta the of".split(), rng.randrange(6)))) for c in range(12) for i in range(2 + c)]
+    cards += [(None, 5000, "alpha beta"), (None, 5001, "alpha beta"), (20, 6000, None), (20, 6001, "")]
+    words = {k: {w for w in (t or "").split() if w not in ("the", "of")} for _, k, t in cards}
+    part = {k: k for _, k, _ in cards}
+    for (c, a, _), (e, b, _) in itertools.combinations(cards, 2):
+        both = words[a] | words[b]
+        if c is not None and c == e and (not both or len(words[a] & words[b]) / len(both) >= D.TAG_FLOOR):
+            low, high = sorted((part[a], part[b]))
+            part = {k: low if v == high else v for k, v in part.items()}
+
+    def keep(df, name):
+        if name == "edges-0":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name)
+
+    got = {r.card_id: r.sub for r in D.subclusters(spark.createDataFrame(cards, "cluster long, card_id long, tag string"), keep).collect()}
+    assert got == part and len(set(part.values())) < len(part)
+    assert ("Join" in plans[0]) == (pairwise == 3)
+
+
 @pytest.mark.parametrize("n", [3, 40])
 def test_chains_come_out_flat(spark, put, n):
     chain = [(i, i + 1 if i < n else None) for i in range(1, n + 1)] + [(100, 101), (101, 102), (102, 100), (103, 101), (200, None)]
