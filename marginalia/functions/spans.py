@@ -5,6 +5,8 @@ Everything is a Column over one row's arrays, so no row is exploded and nothing
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,7 +76,7 @@ def of_kind(spans: Column, kind: str) -> Column:
     """Non-empty spans of a kind by start; spans of equal start keep their order."""
     hit = F.filter(or_none(spans), lambda s: (s["kind"] == kind) & (s["start"] < s["end"]))
     numbered = F.transform(hit, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s["end"].alias("end")))
-    return F.transform(F.array_sort(numbered), lambda s: span(s["start"], s["end"], F.lit(kind)))
+    return F.transform(F.sort_array(numbered), lambda s: span(s["start"], s["end"], F.lit(kind)))
 
 
 def cut(text: Column, s: Column) -> Column:
@@ -95,27 +97,48 @@ def reading_seconds(words: Column, wpm: int = WPM) -> Column:
     return F.when(words == 0, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.bround(words * 60 / wpm).cast("long")))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named: inside lambdas nothing else sees to that."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _all_of_kind(s: Column, kind: str) -> Column:
+    return F.filter(s, lambda x: x["kind"] == kind)
+
+
+def _edges(length: Column, s: Column) -> Column:
+    """Where a text of this length begins and ends and where spans do, in order, each once."""
+    ends = F.array_distinct(F.concat(F.array(F.lit(0), length), F.transform(s, lambda x: x["start"]), F.transform(s, lambda x: x["end"])))
+    null_last = lambda e: F.concat(F.slice(e, F.lit(2), F.size(e)), F.slice(e, F.lit(1), F.lit(1)))
+    return _let(F.sort_array(ends), lambda e: F.when(F.get(e, F.lit(0)).isNull(), null_last(e)).otherwise(e))
+
+
 def segments(text: Column, spans: Column) -> Column:
     """The text cut at every end of a span: structs of start, end, highlighted and underlined."""
-    s = or_none(spans)
-    edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.length(text)), F.transform(s, lambda x: x["start"]), F.transform(s, lambda x: x["end"]))))
-    pairs = F.zip_with(F.slice(edges, F.lit(1), F.greatest(F.size(edges) - 1, F.lit(0))), F.slice(edges, F.lit(2), F.size(edges)), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    has = lambda p, kind: F.exists(s, lambda x: (x["kind"] == kind) & (x["start"] <= p["start"]) & (x["end"] >= p["end"]))
-    return F.transform(pairs, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), has(p, "highlight").alias("highlighted"), has(p, "underline").alias("underlined")))
+    pairs = lambda e: F.zip_with(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, F.lit(2), F.size(e)), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    has = lambda p, s: F.exists(s, lambda x: (x["start"] <= p["start"]) & (x["end"] >= p["end"]))
+    told = lambda s, lights, lines: F.transform(_let(_edges(F.length(text), s), pairs), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), has(p, lights).alias("highlighted"), has(p, lines).alias("underlined")))
+    return _let(or_none(spans), lambda s: _let(_all_of_kind(s, "highlight"), lambda lights: _let(_all_of_kind(s, "underline"), lambda lines: told(s, lights, lines))))
 
 
 DOTS = ' <span class="ellipsis">…</span> '
 
 
-def _marked(text: Column, part: Column) -> Column:
-    chunk = html_escape(cut(text, part))
-    lit = lambda c: F.concat(F.lit('<mark class="hl">'), c, F.lit("</mark>"))
-    under = lambda c: F.concat(F.lit('<u class="ul">'), c, F.lit("</u>"))
-    return F.when(part["highlighted"], lit(chunk)).when(part["underlined"], under(chunk)).otherwise(chunk)
+def _rendered(text: Column, s: Column, lights: Column, lines: Column) -> Column:
+    """The text cut at the ends of the spans ``s``; ``lights`` and ``lines`` are those of them that highlight and underline."""
+
+    def part(e: Column, x: Column, i: Column) -> Column:
+        chunk = html_escape(F.substring(text, x + 1, F.get(e, i + 1) - x))  # null after the last end, and so left out
+        on = lambda s: F.exists(s, lambda y: (y["start"] <= x) & (y["end"] > x))  # noqa: E731  # no span ends before the next edge
+        lit = F.concat(F.lit('<mark class="hl">'), chunk, F.lit("</mark>"))
+        under = F.concat(F.lit('<u class="ul">'), chunk, F.lit("</u>"))
+        return F.when(on(lights), lit).when(on(lines), under).otherwise(chunk)
+
+    return _let(_edges(F.length(text), s), lambda e: F.array_join(F.transform(e, lambda x, i: part(e, x, i)), ""))
 
 
 def render_full(text: Column, spans: Column) -> Column:
-    return F.array_join(F.transform(segments(text, spans), lambda p: _marked(text, p)), "")
+    return _let(or_none(spans), lambda s: _let(_all_of_kind(s, "highlight"), lambda lights: _let(_all_of_kind(s, "underline"), lambda lines: _rendered(text, s, lights, lines))))
 
 
 def render(text: Column, spans: Column, mode: str = "full") -> Column:
@@ -128,10 +151,13 @@ def render(text: Column, spans: Column, mode: str = "full") -> Column:
         return F.array_join(F.transform(of_kind(spans, "highlight"), lambda s: F.concat(F.lit('<mark class="hl">'), html_escape(cut(text, s)), F.lit("</mark>"))), DOTS)
     if mode != "underline-only":
         raise ValueError(f"unknown mode {mode!r}")
-    lights = F.filter(or_none(spans), lambda s: s["kind"] == "highlight")
 
-    def local(u: Column) -> Column:
-        clipped = F.transform(lights, lambda h: span(F.greatest(h["start"], u["start"]) - u["start"], F.least(h["end"], u["end"]) - u["start"], "highlight"))
-        return F.concat(F.array(span(F.lit(0), u["end"] - u["start"], "underline")), F.filter(clipped, lambda c: c["start"] < c["end"]))
+    def clipped(lights: Column, u: Column) -> Column:
+        inside = F.transform(lights, lambda h: span(F.greatest(h["start"], u["start"]) - u["start"], F.least(h["end"], u["end"]) - u["start"], "highlight"))
+        return F.filter(inside, lambda c: c["start"] < c["end"])
+
+    def line(lights: Column, u: Column) -> Column:
+        whole = F.array(span(F.lit(0), u["end"] - u["start"], "underline"))
+        return _let(cut(text, u), lambda t: _let(clipped(lights, u), lambda h: _let(whole, lambda w: _rendered(t, F.concat(w, h), h, w))))
 
-    return F.array_join(F.transform(of_kind(spans, "underline"), lambda u: render_full(cut(text, u), local(u))), DOTS)
+    return _let(_all_of_kind(or_none(spans), "highlight"), lambda lights: F.array_join(F.transform(of_kind(spans, "underline"), lambda u: line(lights, u)), DOTS))

@@ -1,5 +1,6 @@
 """Scalar functions, span algebra and rendering, by example and against simple models."""
 
+import html
 import random
 
 import pytest
@@ -202,6 +203,39 @@ def test_render_modes(spark):
         spans.render(t, m, "other")
 
 
+def test_rendering_works_each_list_out_once():
+    t, m = F.col("t"), F.col("m")
+    for mode in ("full", "underline-only"):
+        shown = spans.render(t, m, mode)._jc.toString()
+        assert shown.lower().count("array_distinct") == 1 and "array_sort" not in shown.lower(), mode
+
+
+def test_render_of_crossing_spans_equals_character_by_character(spark):
+    rng, kinds = random.Random(3), ("highlight", "underline", "bold")
+    text = "a<b> & 'c' \"d\" é"
+    cases = [[(rng.randrange(-2, 20), rng.randrange(-2, 24), rng.choice(kinds)) for _ in range(rng.randrange(6))] for _ in range(60)]
+    cases = [[(max(0, a), max(0, b), k) for a, b, k in c] for c in cases]
+    esc = lambda c: html.escape(c, quote=True)
+
+    def full(body, marks):
+        edges, out = sorted({0, len(body), *(a for a, _, _ in marks), *(b for _, b, _ in marks)}), ""
+        for x, y in zip(edges, edges[1:]):
+            on = {k for a, b, k in marks if a <= x and b >= y}
+            tag = ('<mark class="hl">', "</mark>") if "highlight" in on else ('<u class="ul">', "</u>") if "underline" in on else ("", "")
+            out += tag[0] + esc(body[x:y]) + tag[1]
+        return out
+
+    def lines(body, marks):
+        lights = [(a, b) for a, b, k in marks if k == "highlight"]
+        whole = sorted(((a, i, b) for i, (a, b, k) in enumerate(marks) if k == "underline" and a < b), key=lambda u: u[:2])
+        cut = lambda a, b: [(0, b - a, "underline")] + [(max(h, a) - a, min(i, b) - a, "highlight") for h, i in lights if max(h, a) < min(i, b)]
+        return ' <span class="ellipsis">…</span> '.join(full(body[a:b], cut(a, b)) for a, _, b in whole)
+
+    rows = [(text, [{"start": a, "end": b, "kind": k} for a, b, k in c]) for c in cases]
+    got = evaluate(spark, rows, f"t string, m {spans.SPANS}", full=spans.render(F.col("t"), F.col("m")), ul=spans.render(F.col("t"), F.col("m"), "underline-only"))
+    assert [(r["full"], r["ul"]) for r in got] == [(full(text, c), lines(text, c)) for c in cases]
+
+
 @pytest.mark.parametrize("n,want", [(0, 0), (1, 1), (9, 2), (270, 60), (135, 30)])
 def test_reading_seconds(spark, n, want):
     assert one(spark, n, spans.reading_seconds, "int") == want
