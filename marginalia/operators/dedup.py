@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,21 +103,33 @@ def _alike_by_words(worded: DataFrame, floor: float) -> DataFrame:
     return alike.union(bare)
 
 
-def decide(members: DataFrame) -> DataFrame:
+def decide(members: DataFrame, details: Sequence[DataFrame] = (), put: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """One row for each (cluster, sub): the winner, the figures of the rules, ``decision`` and ``skip_reason``.
 
-    ``members``: cluster, sub, card_id, tag, markup, score.  The first rule that holds decides.
+    ``members``: cluster, sub, card_id, tag, markup, score.  The first rule that holds decides.  Tags and mark-up are
+    looked at only where a card has peers; if they come in tables of their own (``details``, each with one row a card_id),
+    only those cards' rows are read out of them, and ``put`` stores the list of them, whose size then decides the join.
     """
-    order = Window.partitionBy("cluster", "sub").orderBy(F.col("score").desc(), "card_id")
-    ranked = members.withColumn("rk", F.row_number().over(order)).withColumn("runner_up", F.lead("score").over(order)).withColumn("size", F.count("*").over(Window.partitionBy("cluster", "sub")))
-    win = ranked.where("rk = 1").select("cluster", "sub", "size", F.col("card_id").alias("winner_id"), F.col("score").alias("winner_score"), F.col("runner_up").alias("runner_up_score"), F.col("tag").alias("w_tag"), F.col("markup").alias("w_markup"))
-    both = win.join(ranked.where("rk > 1").select("cluster", "sub", "card_id", "tag", "markup"), ["cluster", "sub"], "left")
-    peer = F.col("card_id").isNotNull()
-    tag_near = F.when(peer, T.jaccard(T.content_words(F.col("w_tag")), T.content_words(F.col("tag"))))
-    mark_near = F.when(peer, S.jaccard(F.col("w_markup"), F.col("markup")))
-    covered = F.when(peer, S.covers(F.col("w_markup"), F.col("markup")))
+    part = Window.partitionBy("cluster", "sub")
+    order = part.orderBy(F.col("score").desc(), "card_id")
+    ranked = members.select("cluster", "sub", "card_id", "score", F.row_number().over(order).alias("rk"), F.lead("score").over(order).alias("runner_up"), F.count("*").over(part).alias("size"))
+    win = ranked.where("rk = 1").select("cluster", "sub", "size", F.col("card_id").alias("winner_id"), F.col("score").alias("winner_score"), F.col("runner_up").alias("runner_up_score"))
+    several = ranked.where("size > 1").select("cluster", "sub", "card_id", "rk")
+    if details:
+        several = put(several, "several")
+        told, ids = several, several.select("card_id")
+        for table in details:
+            told = told.join(table.join(ids, "card_id", "left_semi"), "card_id", "left")
+    else:
+        told = several.join(members.select("cluster", "sub", "card_id", "tag", "markup"), ["cluster", "sub", "card_id"])
+    worded = told.select("cluster", "sub", "rk", T.content_words(F.col("tag")).alias("words"), "markup")
+    beside = part.orderBy("rk")
+    both = worded.select("cluster", "sub", "rk", "words", "markup", F.first("words").over(beside).alias("w_words"), F.first("markup").over(beside).alias("w_markup")).where("rk > 1")
+    near = both.select("cluster", "sub", T.jaccard(F.col("w_words"), F.col("words")).alias("tj"), S.jaccard(F.col("w_markup"), F.col("markup")).alias("mj"), S.covers(F.col("w_markup"), F.col("markup")).alias("covered"))
+    met = near.groupBy("cluster", "sub").agg(F.min("mj").alias("mj"), F.bool_and("covered").alias("covered"), F.min("tj").alias("tj_min"), F.max("tj").alias("tj_max"))
     keys = ["cluster", "sub", "size", "winner_id", "winner_score", "runner_up_score"]
-    seen = both.groupBy(*keys).agg(F.coalesce(F.min(mark_near), F.lit(1.0)).alias("mj"), F.coalesce(F.bool_and(covered), F.lit(True)).alias("winner_covers_all"), F.coalesce(F.min(tag_near), F.lit(1.0)).alias("tj_min"), F.coalesce(F.max(tag_near), F.lit(1.0)).alias("tj_max"))
+    one = lambda c: F.coalesce(c, F.lit(1.0)).alias(c)
+    seen = win.join(met, ["cluster", "sub"], "left").select(*keys, one("mj"), F.coalesce("covered", F.lit(True)).alias("winner_covers_all"), one("tj_min"), one("tj_max"))
     margin = F.when(F.col("runner_up_score") > 0, F.col("winner_score") / F.greatest("runner_up_score", F.lit(1e-6)))
     floor = F.when(F.col("tj_max") >= TAG_SAME, TIGHT_MARKUP_FLOOR).otherwise(MARKUP_FLOOR)
     reason = (

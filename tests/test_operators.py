@@ -227,6 +227,24 @@ def test_subclusters_are_transitive(spark, put):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
 
 
+def test_decide_reads_details_of_cards_with_peers_only(spark, put):
+    members = [member(1, 1, "solar panels", 0.9, [(0, 5)]), member(2, 2, "solar panels", 0.9, [(0, 9)]), member(2, 3, "solar panels cut", 0.5, [(2, 5)]), member(2, 4, None, 0.5), member(3, 5, None, 0.9), member(3, 6, "wind", 0.8, [(1, 2)])]
+    df = spark.createDataFrame(members, f"cluster long, sub long, card_id long, tag string, markup {SPANS}, score double")
+    peers = F.col("sub").isin(2, 3)
+    tag = F.when(peers, F.col("tag")).otherwise(F.raise_error(F.lit("a tag without peers was read")).cast("string"))
+    kept = []
+
+    def keep(frame, name):
+        kept.append(name)
+        return put(frame, name)
+
+    details = df.where("card_id <> 4").select("card_id", tag.alias("tag")), df.select("card_id", "markup")
+    got = {r["sub"]: r for r in D.decide(df.select("cluster", "sub", "card_id", "score"), details, keep).collect()}
+    want = {r["sub"]: r for r in D.decide(df).collect()}
+    assert got == want and kept == ["several"]
+    assert (want[2]["max_tag_jaccard"], want[2]["min_tag_jaccard"], want[3]["max_tag_jaccard"]) == (0.667, 0.0, 0.0)
+
+
 @pytest.mark.parametrize("pairwise", [64, 3])
 def test_subclusters_equal_all_pairs_and_send_no_row_a_word(spark, put, monkeypatch, pairwise):
     monkeypatch.setattr(D, "PAIRWISE", pairwise, raising=False)
