@@ -10,7 +10,8 @@ the index is built: a bounded number of indexed vectors is compared with all vec
 the fewest probes that find the wanted share of their true neighbours become the default
 (vectors without any structure take most lists, clustered ones a few).  ``pairs_within`` is exact: each list knows
 how far it reaches from its centre, so a list that can't hold a near vector is left out
-by the triangle inequality of angles, and no other.
+by the triangle inequality of angles, and no other.  It names classes by their first rows;
+``row_pairs_within`` has the pairs of all rows.
 
 There are about as many lists as the square root of the vectors, MOST_LISTS at most, so
 the centres stay small enough for a broadcast.
@@ -37,6 +38,10 @@ MOST_LISTS = 4096
 SAMPLE, OVERFULL = 64, 4
 #: Vectors that measure the probes, neighbours of each, and the share of these to find, a little above the 0.95 promised.
 MEASURED, NEAREST, RECALL = 256, 8, 0.97
+#: Rows of a class that are stored together, about; so many times so many pairs come of two such parts in one place.
+PART = 256
+#: What rounding may do to an angle: the arc cosine near 1 has half the digits.
+ANGLE_SLACK = 1e-6
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
@@ -44,7 +49,7 @@ def _stack(vectors: pd.Series) -> np.ndarray:
 
 
 class VectorIndex:
-    """An index stored under ``path``: ``lists`` (by folder), ``members`` (rep, id), ``centres``."""
+    """An index stored under ``path``: ``lists`` (by folder), ``members`` (rep, id, part), ``parts`` (rep, part, ids), ``centres``."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -60,6 +65,10 @@ class VectorIndex:
     def members(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/members")
 
+    def parts(self) -> DataFrame:
+        """The ids of each class of several rows, in parts of about PART."""
+        return self.spark.read.parquet(f"{self.path}/parts")
+
 
 def _centres(sample: DataFrame, k: int, seed: int) -> np.ndarray:
     """Unit centres of about ``k`` clusters of the sample (v); overfull clusters are split, twice at most."""
@@ -93,7 +102,7 @@ def _nearest(centres: np.ndarray, probes: int, reach: np.ndarray | None = None,
     def near(vectors: pd.Series) -> pd.Series:
         cos = np.clip(_stack(vectors) @ centres.T, -1, 1)
         if reach is not None:
-            return pd.Series([np.flatnonzero(x).astype(np.int32) for x in np.arccos(cos) - reach[None, :] <= within + 1e-9])
+            return pd.Series([np.flatnonzero(x).astype(np.int32) for x in np.arccos(cos) - reach[None, :] <= within + ANGLE_SLACK])
         few = min(probes, len(centres))
         best = np.argpartition(-cos, few - 1, axis=1)[:, :few]
         order = np.argsort(-np.take_along_axis(cos, best, 1), axis=1, kind="stable")  # the nearest first
@@ -103,14 +112,16 @@ def _nearest(centres: np.ndarray, probes: int, reach: np.ndarray | None = None,
 
 
 def build(rows: DataFrame, path: str, id_col: str = "id", vector_col: str = "embedding", lists: int | None = None, seed: int = 7) -> VectorIndex:
-    """Index ``rows`` under ``path``."""
+    """Index ``rows`` under ``path``; an id names one row."""
     spark = rows.sparkSession
     kept = rows.select(F.col(id_col).cast("long").alias("id"), unit(F.col(vector_col)).alias("v")).where("v is not null and id is not null")
     classes = kept.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes.write.parquet(f"{path}/classes")
     classes = spark.read.parquet(f"{path}/classes")
     n = classes.count()
-    kept.join(classes.where("n > 1").select("v", "rep"), "v").select("rep", "id").distinct().write.parquet(f"{path}/members")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART)).cast("int")
+    kept.join(classes.where("n > 1").select("v", "rep", "n"), "v").select("rep", "id", part.alias("part")).distinct().write.parquet(f"{path}/members")
+    spark.read.parquet(f"{path}/members").groupBy("rep", "part").agg(F.collect_list("id").alias("ids")).write.parquet(f"{path}/parts")
     if not n:
         spark.createDataFrame([], "rep long, v array<double>, list int").write.parquet(f"{path}/lists")
         spark.createDataFrame([], "list int, centre array<double>, reach double, n long").write.parquet(f"{path}/centres")
@@ -233,8 +244,8 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 8, probes: int | Non
     return out.select("a", F.col("x.b").alias("b"), F.col("x.distance").alias("distance"), (F.col("rn") + 1).cast("int").alias("rn"))
 
 
-def pairs_within(index: VectorIndex, threshold: float) -> DataFrame:
-    """``a < b, distance``: all pairs of classes nearer than ``threshold``, and each class' first row with its copies."""
+def pairs_within(index: VectorIndex, threshold: float, copies: bool = True) -> DataFrame:
+    """``a < b, distance``: all pairs of classes nearer than ``threshold``, by their first rows, and unless without ``copies`` each class' first row with them."""
     if not index.sizes:
         return index.spark.createDataFrame([], "a long, b long, distance double")
     angle = math.acos(max(-1.0, min(1.0, 1 - threshold)))
@@ -255,5 +266,21 @@ def pairs_within(index: VectorIndex, threshold: float) -> DataFrame:
         return pd.concat(out, ignore_index=True)
 
     found = _dealt(index, probed).groupBy("i", "j").applyInPandas(near, "a long, b long, distance double")
-    copies = index.members().where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance"))
-    return found.union(copies) if threshold > 0 else found
+    if not copies or threshold <= 0:
+        return found
+    return found.union(index.members().where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance")))
+
+
+def row_pairs_within(index: VectorIndex, threshold: float) -> DataFrame:
+    """``a < b, distance``: all pairs of rows nearer than ``threshold``, copies among themselves and with every neighbour of theirs too."""
+    between = pairs_within(index, threshold, copies=False)
+    if not index.sizes or threshold <= 0:
+        return between
+    for end in ("a", "b"):
+        between = between.join(index.parts().select(F.col("rep").alias(end), F.col("ids").alias(f"{end}s")), end, "left")
+    between = between.select("distance", F.coalesce("bs", F.array("b")).alias("bs"), F.explode(F.coalesce("as", F.array("a"))).alias("a")).select("distance", "a", F.explode("bs").alias("b"))
+    between = between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    left, right = (index.parts().select("rep", F.col("part").alias(p), F.col("ids").alias(ids)) for p, ids in (("p", "as"), ("q", "bs")))
+    # a row for two parts goes to any task, or a large class would be paired in one
+    inside = left.join(right, "rep").where("p <= q").repartition("rep", "p", "q").select("p", "q", "bs", F.explode("as").alias("a")).select("p", "q", "a", F.explode("bs").alias("b")).where("p < q or a < b")
+    return between.union(inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0.0).alias("distance")))

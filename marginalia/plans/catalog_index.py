@@ -62,7 +62,7 @@ _PAIRS = "SELECT x.vec_id AS a, y.vec_id AS b, 1 - list_cosine_similarity(x.embe
 
 @query("near_pairs_indexed", f"SELECT a, b, round(distance, 6)::DOUBLE AS distance FROM ({_PAIRS}) WHERE distance < 0.6")
 def _(spark, d):
-    return V.pairs_within(_vectors(spark, d), 0.6).withColumn("distance", F.round("distance", 6))
+    return V.row_pairs_within(_vectors(spark, d), 0.6).withColumn("distance", F.round("distance", 6))
 
 
 # Substrings ----------------------------------------------------------------------------------

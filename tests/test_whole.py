@@ -172,3 +172,22 @@ def test_random_projections_pair_rows_once_and_copies_with_their_first(spark):
         assert found <= want and len(found) >= 0.9 * len(want) > 100
     plan = N.lsh_pairs(df, 0.2)._jdf.queryExecution().optimizedPlan().toString()
     assert "hashValue" not in plan and "entry" not in plan
+
+
+def test_copies_are_in_all_their_near_pairs(spark, tmp_path, monkeypatch):
+    """Two groups of equal vectors near each other, one of several parts, pairs of copies, and single vectors."""
+    from marginalia.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "PART", 4, raising=False)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(90, 6)).astype(np.float32)
+    v[10:40:2], v[41:45], v[60:64] = v[7], v[7] + np.float32(0.01), v[[1, 2, 3, 3]]
+    v[70:80] = 2 * v[7]  # equal but for their length
+    ids = rng.permutation(90) * 3
+    spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    want = {(min(i, j), max(i, j)): d[x, y] for x, i in enumerate(ids.tolist()) for y, j in enumerate(ids.tolist()) if x < y and d[x, y] < 0.6}
+    got = CATALOG["near_pairs_indexed"][0](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b) for r in got} == set(want) and len(got) == len(want) > 400
+    assert all(abs(r.distance - want[r.a, r.b]) < 2e-6 for r in got)
